@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from vigil.sources.dims import MONEY, PRICE_TYPE
 
-THOUSANDTH = F.lit(Decimal("0.001"))
 
 
 def count_tokens(text: Column) -> Column:
@@ -80,7 +79,7 @@ def calculate_cost(input_tokens: Column, output_tokens: Column,
                    input_per_1k: Column, output_per_1k: Column) -> Column:
     """X13 in exact decimal: round(in/1000*p_in + out/1000*p_out, 6), half-up."""
     raw = (input_tokens.cast("decimal(20,0)") * input_per_1k.cast(PRICE_TYPE)
-           + output_tokens.cast("decimal(20,0)") * output_per_1k.cast(PRICE_TYPE)) * THOUSANDTH
+           + output_tokens.cast("decimal(20,0)") * output_per_1k.cast(PRICE_TYPE)) * F.lit(Decimal("0.001"))
     return F.round(raw, 6).cast(MONEY)
 
 

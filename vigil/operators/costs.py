@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions import cost as fc
+from vigil.functions.formatting import fixed
 from vigil.sources import dims
 
 PRICE_COLS = ["input_per_1k", "output_per_1k"]
@@ -98,8 +99,8 @@ def per_request_check(estimate: Column, max_per_request: float | Column) -> tupl
     limit; the reason carries the estimate to 4 places."""
     limit = max_per_request if isinstance(max_per_request, Column) else F.lit(Decimal(str(max_per_request)))
     over = estimate > limit
-    reason = F.when(over, F.format_string("Estimated cost $%.4f exceeds per-request limit $%s",
-                                          estimate.cast("double"), _py_number(limit)))
+    reason = F.when(over, F.concat(F.lit("Estimated cost $"), fixed(estimate, 4),
+                                   F.lit(" exceeds per-request limit $"), _py_number(limit)))
     return ~over, reason
 
 

@@ -25,9 +25,11 @@ def _sql_spans(kind: str, m: str, s: str) -> str:
             f"'start': {start}, 'end': {start} + CAST(length(x) AS INTEGER)}})")
 
 
-def found_sql(entities: list[str] | None = None) -> str:
-    """CTEs ``pii_arr`` and ``pii_found(doc_id, text, f)`` with f the sorted
-    findings list (RE2 dialect: no (?U); same matches on this data)."""
+def found_sql(entities: list[str] | None = None,
+              src: str = "SELECT doc_id, text FROM documents") -> str:
+    """CTEs ``pii_arr`` and ``pii_found(<src columns>, f)`` with f the sorted
+    findings list of ``text`` (RE2 dialect: no (?U); same matches on this
+    data)."""
     names = "[" + ", ".join(_q(n) for n in dims.COMMON_NAMES) + "]"
     name_pat = f"(?i)\\b(?:{pii.NAME_ALTERNATION})\\b"
     cols, spans = [], []
@@ -43,12 +45,12 @@ def found_sql(entities: list[str] | None = None) -> str:
             spans.append(sp)
     rank = "[" + ", ".join(_q(t) for t in dims.PII_TYPES) + "]"
     return f"""pii_arr AS (
-  SELECT doc_id, text, {', '.join(cols)},
+  SELECT *, {', '.join(cols)},
          list_distinct(list_filter(string_split_regex(lower(text), '\\s+'),
                                    lambda w: list_contains({names}, w))) AS bare
-  FROM documents),
+  FROM ({src})),
 pii_found AS (
-  SELECT doc_id, text,
+  SELECT * EXCLUDE ({', '.join(f'm{n}, s{n}' for n in range(len(kinds)))}, bare),
          list_transform(list_sort(list_transform(list_concat({', '.join(spans)}),
              lambda f: {{'s': f.start, 'r': list_position({rank}, f.type), 'f': f}})),
              lambda k: k.f) AS f

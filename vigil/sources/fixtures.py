@@ -94,7 +94,7 @@ keyed_log AS (
 
 # --- B2 chat requests --------------------------------------------------------
 
-def chat_turns(conversations: DataFrame) -> DataFrame:
+def chat_turns(conversations: DataFrame, with_pii: bool = False) -> DataFrame:
     """B2 in flat form: one row per assistant turn with the request's
     aggregates (message count, characters, token estimate) computed as
     running sums over the earlier turns of the conversation.
@@ -104,18 +104,27 @@ def chat_turns(conversations: DataFrame) -> DataFrame:
     running sums, which the skew-safe two-level prefix sum computes in linear
     work (see operators.windows.running_sum).
     """
+    from vigil.functions import pii
     from vigil.operators.windows import running_sum
-
+    from vigil.session import ensure_parallelism
+
+    extra = []
+    values = {"msg_tokens": "input_tokens", "msg_chars": "request_chars", "msg_one": "message_count"}
+    if with_pii:
+        conversations = ensure_parallelism(conversations)
+        extra = [F.size(pii.detect(F.col("text"))).cast("bigint").alias("msg_findings")]
+        values["msg_findings"] = "request_findings_count"
     turns = conversations.select(
         "conv_id", "turn", "role", "text",
         fc.message_tokens(F.col("role"), F.col("text")).alias("msg_tokens"),
         F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("msg_chars"),
         F.lit(1).cast("bigint").alias("msg_one"),
+        *extra,
     )
-    turns = running_sum(turns, keys=["conv_id"], order="turn",
-                        values={"msg_tokens": "input_tokens", "msg_chars": "request_chars",
-                                "msg_one": "message_count"},
+    turns = running_sum(turns, keys=["conv_id"], order="turn", values=values,
                         block=F.floor(F.col("turn") / 64), inclusive=False)
+    pii_cols = ([F.col("request_findings_count"), F.col("msg_findings").alias("response_findings_count")]
+                if with_pii else [])
     c = F.col("conv_id")
     return turns.where(F.col("role") == "assistant").select(
         F.concat(c.cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("request_id"),
@@ -130,10 +139,18 @@ def chat_turns(conversations: DataFrame) -> DataFrame:
         (c % 4 != 0).alias("has_usage"),
         F.when(c % 4 != 0, F.col("input_tokens")).cast("bigint").alias("prompt_tokens"),
         F.when(c % 4 != 0, fc.count_tokens(F.col("text"))).cast("bigint").alias("completion_tokens"),
+        *pii_cols,
     )
 
 
-CHAT_TURNS_SQL = f"""chat_turns AS (
+def chat_turns_sql(src: str = "conversations", with_pii: bool = False) -> str:
+    """CTE ``chat_turns``; with_pii expects ``src`` to carry the findings
+    list ``f`` of each turn."""
+    pii_sum = (",\n      CAST(coalesce(sum(len(f)) OVER w, 0) AS BIGINT) AS request_findings_count"
+               if with_pii else "")
+    pii_cols = (",\n         request_findings_count, CAST(len(f) AS BIGINT) AS response_findings_count"
+                if with_pii else "")
+    return f"""chat_turns AS (
   SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS request_id, conv_id, turn,
          ({_sql_list(LOG_MODELS)})[conv_id % 5 + 1] AS model,
          message_count, request_chars, input_tokens,
@@ -142,17 +159,20 @@ CHAT_TURNS_SQL = f"""chat_turns AS (
          text AS response_text,
          conv_id % 4 <> 0 AS has_usage,
          CASE WHEN conv_id % 4 <> 0 THEN input_tokens END AS prompt_tokens,
-         CASE WHEN conv_id % 4 <> 0 THEN CAST(coalesce(length(text), 0) // 4 AS BIGINT) END AS completion_tokens
+         CASE WHEN conv_id % 4 <> 0 THEN CAST(coalesce(length(text), 0) // 4 AS BIGINT) END AS completion_tokens{pii_cols}
   FROM (
     SELECT *,
       CAST(coalesce(sum(4 + coalesce(length(role), 0) // 4 + coalesce(length(text), 0) // 4) OVER w, 0) AS BIGINT) AS input_tokens,
       CAST(coalesce(sum(coalesce(length(text), 0)) OVER w, 0) AS BIGINT) AS request_chars,
-      CAST(count(*) OVER w AS BIGINT) AS message_count
-    FROM conversations
+      CAST(count(*) OVER w AS BIGINT) AS message_count{pii_sum}
+    FROM {src}
     WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
   WHERE role = 'assistant')"""
 
 
+CHAT_TURNS_SQL = chat_turns_sql()
+
+
 def chat_requests_nested(conversations: DataFrame) -> DataFrame:
     """B2 with the literal request body (messages array), for the JSON sinks
     and the per-message PII scan. Quadratic in conversation length by
