@@ -8,5 +8,6 @@ def load_all() -> None:
     global _LOADED
     if _LOADED:
         return
-    from vigil.plans import cache_queries, chat_queries, cost_queries, limit_queries, pii_queries  # noqa: F401
+    from vigil.plans import (budget_queries, cache_queries, chat_queries, cost_queries,  # noqa: F401
+                             limit_queries, pii_queries)
     _LOADED = True
