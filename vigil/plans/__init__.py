@@ -9,5 +9,5 @@ def load_all() -> None:
     if _LOADED:
         return
     from vigil.plans import (budget_queries, cache_queries, chat_queries, cost_queries,  # noqa: F401
-                             limit_queries, pii_queries)
+                             limit_queries, pii_queries, report_queries)
     _LOADED = True
