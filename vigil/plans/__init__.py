@@ -8,6 +8,7 @@ def load_all() -> None:
     global _LOADED
     if _LOADED:
         return
-    from vigil.plans import (budget_queries, cache_queries, chat_queries, cost_queries,  # noqa: F401
+    from vigil.plans import (access_log_queries, budget_queries, cache_queries, chat_queries,  # noqa: F401
+                             cost_queries,
                              limit_queries, pii_queries, report_queries)
     _LOADED = True
