@@ -71,21 +71,24 @@ def _guard(text: Column, kind: str) -> Column:
 
 def find_spans(text: Column, pattern: str, kind: str) -> Column:
     """Every non-overlapping match of ``pattern`` with half-open
-    code-point offsets, as ARRAY<STRUCT<type, text, start, end>>."""
+    code-point offsets, as ARRAY<STRUCT<type, text, start, end>>.
+
+    Match i starts after pieces 0..i and matches 0..i-1. Matches and pieces
+    are zipped and walked once by ``aggregate`` (an outer expression
+    referenced inside a lambda would be re-evaluated per element)."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
+    zipped = F.arrays_zip(matches.alias("m"), pieces.alias("p"))
+    init = F.struct(F.lit(0).alias("pos"), _empty().alias("out"))
 
-    def span(m, i):
-        before = F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0),
-                             lambda acc, p: acc + F.length(p))
-        earlier = F.aggregate(F.slice(matches, 1, i), F.lit(0),
-                              lambda acc, p: acc + F.length(p))
-        start = before + earlier
-        return F.struct(F.lit(kind).alias("type"), m.alias("text"),
-                        start.cast("int").alias("start"),
-                        (start + F.length(m)).cast("int").alias("end"))
+    def step(acc, z):
+        start = acc["pos"] + F.length(z["p"])
+        span = F.struct(F.lit(kind).alias("type"), z["m"].alias("text"), start.cast("int").alias("start"),
+                        (start + F.length(z["m"])).cast("int").alias("end"))
+        return F.when(z["m"].isNull(), acc).otherwise(F.struct(
+            (start + F.length(z["m"])).alias("pos"), F.concat(acc["out"], F.array(span)).alias("out")))
 
-    return F.transform(matches, span)
+    return F.aggregate(zipped, init, step, lambda acc: acc["out"])
 
 
 def detect_family(text: Column, kind: str) -> Column:
@@ -104,7 +107,12 @@ def detect_names(text: Column) -> Column:
     bare = F.array_distinct(F.regexp_extract_all(
         F.lower(text), F.lit(f"(?U)(?<!\\S)({NAME_ALTERNATION})(?!\\S)"), F.lit(1)))
     spans = find_spans(text, f"(?iU)\\b(?:{NAME_ALTERNATION})\\b", "person_name")
-    hits = F.filter(spans, lambda f: F.array_contains(bare, F.lower(f["text"])))
+    # carry ``bare`` in the accumulator so it is computed once per row
+    init = F.struct(bare.alias("bare"), _empty().alias("out"))
+    hits = F.aggregate(spans, init, lambda a, f: F.when(
+        F.array_contains(a["bare"], F.lower(f["text"])),
+        F.struct(a["bare"].alias("bare"), F.concat(a["out"], F.array(f)).alias("out"))).otherwise(a),
+        lambda a: a["out"])
     return F.when(text.isNull(), _empty()).when(F.size(bare) > 0, hits).otherwise(_empty())
 
 

@@ -35,7 +35,7 @@ from vigil.sources.dims import RATE_WINDOWS
 
 
 def govern(requests: DataFrame, policy_settings: DataFrame, pricing: DataFrame | None = None,
-           checkpoint: bool = False) -> DataFrame:
+           checkpoint: bool = True) -> DataFrame:
     """``requests``: request_id, ts, sec, client_id, model, messages
     ARRAY<STRUCT<role, content>>, max_tokens, temperature, top_p,
     usage_prompt_tokens, usage_completion_tokens (the provider's answer).
@@ -89,13 +89,18 @@ def govern(requests: DataFrame, policy_settings: DataFrame, pricing: DataFrame |
                                             F.col("max_tokens"), F.col("top_p")))
     d = d.withColumn("reach_cache", F.col("rate_ok") & ~F.col("pii_block") & F.col("cost_ok"))
     if checkpoint:
+        # stages 0-2 feed three folds below; a reliable checkpoint in the
+        # shared folder stops each fold from recomputing them and survives
+        # executor loss
         d = cut_lineage(d)
 
     # 3. cache replay over requests that reach the cache step
     if p["caching_enabled"]:
         rep = cache.replay(d.select("request_id", "cache_key", "ts", "reach_cache"), int(p["cache_ttl"]),
-                           eligible=F.col("reach_cache"))
-        d = d.join(rep.select("request_id", "cache_hit"), "request_id", "left")
+                           eligible=F.col("reach_cache")).select("request_id", "cache_hit")
+        if checkpoint:
+            rep = cut_lineage(rep)  # slim: (request_id, cache_hit)
+        d = d.join(rep, "request_id", "left")
     else:
         d = d.withColumn("cache_hit", F.lit(False))
     d = d.withColumn("cache_hit", F.coalesce(F.col("cache_hit"), F.lit(False)))

@@ -22,8 +22,13 @@ def scan_texts(df: DataFrame, text_col: str = "text", entities: list[str] | None
 
 
 def findings_rows(df: DataFrame, id_col: str) -> DataFrame:
-    """One row per finding: id, ord, pii_type, pii_text, pii_start, pii_end."""
-    return (df.select(id_col, F.posexplode("findings").alias("ord", "f"))
+    """One row per finding: id, ord, pii_type, pii_text, pii_start, pii_end.
+
+    ``posexplode_outer`` + a filter on its output: the inner form makes
+    Catalyst infer ``size(findings) > 0`` and push it below the scan's
+    repartition, which would run the whole detection twice."""
+    return (df.select(id_col, F.posexplode_outer("findings").alias("ord", "f"))
+              .where(F.col("f").isNotNull())
               .select(id_col, F.col("ord").cast("int").alias("ord"),
                       F.col("f.type").alias("pii_type"), F.col("f.text").alias("pii_text"),
                       F.col("f.start").alias("pii_start"), F.col("f.end").alias("pii_end")))
