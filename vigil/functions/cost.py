@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import pandas as pd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,8 +37,6 @@ def _encoder():
 def bpe_token_count_udf():
     """Optional exact tokenizer as a vectorised UDF; falls back per row to the
     length-div-4 rule when the vocabulary is unavailable."""
-    import pandas as pd
-
     @F.pandas_udf("bigint")
     def _count(texts: pd.Series) -> pd.Series:
         try:

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +46,6 @@ ERR_NAME = "Policy must have a 'name' field"
 # ---------------------------------------------------------------------------
 
 def _yaml_to_json_udf():
-    import pandas as pd
-
     @F.pandas_udf("string")
     def to_json(texts: pd.Series) -> pd.Series:
         import yaml
@@ -65,7 +65,7 @@ def read_policies(spark: SparkSession, directory: str) -> DataFrame:
     """S3: every ``*.yaml`` file of a directory -> (policy_name = file stem,
     doc VARIANT, modified TIMESTAMP). Empty and unparsable files are
     skipped. YAML is parsed by a small vectorised helper on the executors."""
-    raw = (spark.read.option("wholetext", "true").option("pathGlobFilter", "*.yaml").text(directory)
+    raw = (spark.read.option("pathGlobFilter", "*.yaml").text(directory, wholetext=True)
            .select(F.col("value"), F.col("_metadata.file_path").alias("path"),
                    F.col("_metadata.file_modification_time").alias("modified")))
     parsed = raw.select(
