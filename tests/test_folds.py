@@ -177,3 +177,28 @@ def test_state_helpers_are_bounded():
     for t in range(0, 100000, 5):
         rate_limit._check(states, t, lim, add=True)
     assert all(len(s) <= 3 for s in states) and not q
+
+
+def test_rate_chunked_fast_path_against_brute_force(spark):
+    """Generous limits over many days: most day-chunks are calm (no fold),
+    one client bursts into its limits on some days."""
+    limits = {"requests_per_minute": 3, "requests_per_hour": 20, "requests_per_day": 60}
+    rnd = random.Random(5)
+    rows, rid = [], 0
+    for day in range(10):
+        for c in "abcd":
+            for _ in range(rnd.randrange(5, 40)):
+                rows.append((rid, c, day * 86400 + rnd.randrange(0, 86400)))
+                rid += 1
+        if day in (3, 4, 8):  # burst days for client z
+            base = day * 86400 + 3600 * 5
+            for i in range(120):
+                rows.append((rid, "z", base + i * rnd.choice([1, 2, 20])))
+                rid += 1
+    rows.append((rid, "z", 6 * 86400))  # a calm request on a quiet day after the burst
+    df = spark.createDataFrame(rows, "request_id long, client_id string, sec long")
+    want = brute_rate(rows, limits)
+    for strategy in ("chunked", "serial"):
+        got = {x.request_id: (x.allowed, x.reason, x.remaining_minute, x.remaining_hour, x.remaining_day)
+               for x in rate_limit.decisions(df, limits, strategy=strategy).collect()}
+        assert got == want, strategy

@@ -90,32 +90,39 @@ def _check(states, t, limits, add):
     return True, None, rem, took
 
 
-def make_fold(limits):
-    """Iterator fold for mapInPandas over rows sorted by (client, sec, kind)."""
+def make_fold(limits, group_cols=("client_id",), ctx_col: str | None = None):
+    """Iterator fold for mapInPandas over rows sorted by (group, sec, kind).
+    State starts empty at each new group; rows flagged ``ctx_col`` only
+    build state (their decisions belong to another group)."""
 
     def fold(batches):
         cur = None
         states = None
+        cols = ["client_id", "sec", "first_id", "first_allowed", "first_reason"] + \
+               [f"first_rem_{_short(x[0])}" for x in limits] + ["rest_allowed", "rest_reason"] + \
+               [f"rest_rem_{_short(x[0])}" for x in limits] + [f"slot_{_short(x[0])}" for x in limits]
         for pdf in batches:
             rows = []
-            for cid, t, n, kind, fid in zip(pdf["client_id"].values, pdf["sec"].values,
-                                            pdf["n"].values, pdf["kind"].values, pdf["first_id"].values):
-                if cid != cur:
-                    cur = cid
+            groups = zip(*[pdf[c].values for c in group_cols])
+            ctx = pdf[ctx_col].values if ctx_col else [False] * len(pdf)
+            for g, cid, t, n, kind, fid, is_ctx in zip(groups, pdf["client_id"].values, pdf["sec"].values,
+                                                       pdf["n"].values, pdf["kind"].values,
+                                                       pdf["first_id"].values, ctx):
+                if g != cur:
+                    cur = g
                     states = [deque() for _ in limits]
                 if kind == 1:
                     states = [deque() for _ in limits]
                     continue
                 t = int(t)
                 a1, r1, rem1, took = _check(states, t, limits, add=True)
+                if is_ctx:
+                    continue
                 if n > 1:
                     a2, r2, rem2, _ = _check(states, t, limits, add=False)
                 else:
                     a2, r2, rem2 = None, None, [None] * len(limits)
                 rows.append((cid, t, int(fid), a1, r1, *rem1, a2, r2, *rem2, *took))
-            cols = ["client_id", "sec", "first_id", "first_allowed", "first_reason"] + \
-                   [f"first_rem_{_short(x[0])}" for x in limits] + ["rest_allowed", "rest_reason"] + \
-                   [f"rest_rem_{_short(x[0])}" for x in limits] + [f"slot_{_short(x[0])}" for x in limits]
             out = pd.DataFrame(rows, columns=cols)
             for c in cols:
                 if "_rem_" in c:
@@ -126,18 +133,117 @@ def make_fold(limits):
 
 
 def fold_seconds(per_sec: DataFrame, limits) -> DataFrame:
-    """T1/T2 fold: one decision row per (client, second) for its first
-    request and for any later request of the same second."""
+    """T1/T2 fold over each client's whole timeline: one decision row per
+    (client, second) for its first request and for any later request of the
+    same second."""
     ordered = per_sec.repartition("client_id").sortWithinPartitions("client_id", "sec", "kind")
     return ordered.mapInPandas(make_fold(limits), _fold_schema(limits))
 
 
-def decisions(log: DataFrame, rate_limits: dict[str, int], resets: DataFrame | None = None) -> DataFrame:
+def fold_seconds_chunked(per_sec: DataFrame, limits, checkpointed: bool = False) -> DataFrame:
+    """Same result as ``fold_seconds``, with a client's timeline split into
+    chunks of the largest window (a day).
+
+    A second is *calm* when the offered load (distinct seconds in each
+    window, a sliding sum) leaves room in every window whatever was denied
+    before: then it is admitted, and if the whole previous chunk was calm
+    too, the state equals the offered seconds, so its decision follows from
+    the sliding counts alone (JVM, parallel). Only chunks with a non-calm
+    second (or a reset), and the chunk after them, go through the fold; runs
+    of such chunks form independent segments, each replayed from the calm
+    chunk before it. A hot client is thus split by day, and a client that
+    stays under its limits never reaches Python."""
+    from pyspark.sql import Window
+
+    from vigil.session import cut_lineage
+
+    wmax = max(w for _, _, w, _ in limits)
+    chunk = F.floor(F.col("sec") / wmax)
+    # the per-second table and the sliding counts feed several branches below;
+    # checkpointing them (shared folder) keeps each branch from recomputing
+    # the scan, the aggregation and the windows
+    if not checkpointed:
+        per_sec = cut_lineage(per_sec)
+    req = per_sec.where(F.col("kind") == 0)
+    cnt_cols = {f"_cnt{k}": w for k, (_, _, w, _) in enumerate(limits)}
+    counted = trailing_sum(req.withColumn("_one", F.lit(1).cast("bigint")), ["client_id"], "sec",
+                           cnt_cols, "_one", chunk_seconds=wmax)
+    extra = F.when(F.col("n") > 1, 1).otherwise(0)
+    calm = None
+    for k, (_, lim, _, _) in enumerate(limits):
+        c = (F.col(f"_cnt{k}") - 1 + extra) < lim
+        calm = c if calm is None else (calm & c)
+    counted = cut_lineage(counted.withColumn("_calm", calm).withColumn("_chunk", chunk))
+
+    hot = (counted.where(~F.col("_calm")).select("client_id", "_chunk")
+           .unionByName(per_sec.where(F.col("kind") == 1).select("client_id", chunk.alias("_chunk")))
+           .distinct())
+    # a hot chunk and its successor need the fold (the successor's window reaches back)
+    fold_chunks = hot.unionByName(hot.select("client_id", (F.col("_chunk") + 1).alias("_chunk"))).distinct()
+    # consecutive fold chunks form one segment (gaps and islands); one row per
+    # (client, chunk): bounded by the time span, not by request volume
+    w = Window.partitionBy("client_id").orderBy("_chunk")
+    segs = cut_lineage(fold_chunks.withColumn("_seg", F.col("_chunk") - F.row_number().over(w)))
+    starts = segs.groupBy("client_id", "_seg").agg((F.min("_chunk") - 1).alias("_chunk"))
+
+    rows = per_sec.withColumn("_chunk", chunk)
+    native = rows.join(segs, ["client_id", "_chunk"]).withColumn("_ctx", F.lit(False))
+    context = rows.where(F.col("kind") == 0).join(starts, ["client_id", "_chunk"]).withColumn("_ctx", F.lit(True))
+    fold_in = native.unionByName(context)
+    folded = (fold_in.repartition("client_id", "_seg").sortWithinPartitions("client_id", "_seg", "sec", "kind")
+              .mapInPandas(make_fold(limits, ("client_id", "_seg"), "_ctx"), _fold_schema(limits)))
+
+    fast = counted.join(fold_chunks, ["client_id", "_chunk"], "left_anti")
+    many = F.col("n") > 1
+    fast_cols = [F.col("client_id"), F.col("sec"), F.col("first_id").cast("bigint").alias("first_id"),
+                 F.lit(True).alias("first_allowed"), F.lit(None).cast("string").alias("first_reason")]
+    fast_cols += [(F.lit(lim) - F.col(f"_cnt{k}")).cast("bigint").alias(f"first_rem_{_short(n)}")
+                  for k, (n, lim, _, _) in enumerate(limits)]
+    fast_cols += [F.when(many, True).alias("rest_allowed"), F.lit(None).cast("string").alias("rest_reason")]
+    fast_cols += [F.when(many, F.lit(lim) - F.col(f"_cnt{k}") - 1).cast("bigint").alias(f"rest_rem_{_short(n)}")
+                  for k, (n, lim, _, _) in enumerate(limits)]
+    fast_cols += [F.lit(True).alias(f"slot_{_short(n)}") for n, *_ in limits]
+    return fast.select(*fast_cols).unionByName(folded)
+
+
+# Above this many active seconds, a client's timeline is split into day
+# chunks; below it one streaming pass per client is cheaper (fewer shuffles).
+HOT_CLIENT_SECONDS = 5_000_000
+
+
+def choose_fold(ps: DataFrame, limits, strategy: str = "auto", span_seconds: int | None = None) -> DataFrame:
+    """Per-second decisions. 'auto': no client can have more active seconds
+    than the log spans, so a short log folds serially at once; otherwise the
+    busiest client is measured on the (checkpointed) per-second table and
+    clients are split by day only when one timeline is long."""
+    if strategy == "auto" and span_seconds is not None and span_seconds <= HOT_CLIENT_SECONDS:
+        strategy = "serial"
+    if strategy == "auto":
+        from vigil.session import cut_lineage
+        ps = cut_lineage(ps)
+        busiest = ps.groupBy("client_id").count().agg(F.max("count")).first()[0] or 0
+        strategy = "chunked" if busiest > HOT_CLIENT_SECONDS else "serial"
+        if strategy == "chunked":
+            return fold_seconds_chunked(ps, limits, checkpointed=True)
+    if strategy == "chunked":
+        return fold_seconds_chunked(ps, limits)
+    return fold_seconds(ps, limits)
+
+
+def decisions(log: DataFrame, rate_limits: dict[str, int], resets: DataFrame | None = None,
+              strategy: str = "auto") -> DataFrame:
     """T1 + T2 + T4 + T12 per request: allowed, reason, remaining per window
     (NULL where the check stopped before it), min_remaining. Rows without a
-    time fail open with full remaining."""
+    time fail open with full remaining. ``strategy``: 'serial' folds each
+    client's whole timeline in one streaming pass; 'chunked' splits clients
+    by day with a parallel fast path for calm days; 'auto' picks by the
+    busiest client's number of active seconds."""
     limits = limits_list(rate_limits)
-    folded = fold_seconds(per_second(log, resets), limits)
+    span = None
+    if strategy == "auto":  # one column scan, trivial aggregate
+        lo, hi = log.agg(F.min("sec"), F.max("sec")).first()
+        span = 0 if lo is None else hi - lo + 1
+    folded = choose_fold(per_second(log, resets), limits, strategy, span)
     keyed = log.select("request_id", "client_id", "sec")
     j = keyed.join(folded, on=["client_id", "sec"], how="left")
     is_first = F.col("request_id") == F.col("first_id")

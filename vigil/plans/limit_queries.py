@@ -134,7 +134,8 @@ SELECT client_id, limit_type, "limit", used, greatest(0, "limit" - used) AS rema
 FROM ({_STATUS_ROWS})""")
 def rate_limit_status(spark, sf_dir):
     log = keyed(spark, sf_dir)
-    folded = rl.fold_seconds(rl.per_second(log), LIMITS)
+    lo, hi = log.agg(F.min("sec"), F.max("sec")).first()
+    folded = rl.choose_fold(rl.per_second(log), LIMITS, span_seconds=hi - lo + 1)
     return rl.status(folded, TEST_LIMITS, AS_OF_SEC)
 
 

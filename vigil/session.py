@@ -55,9 +55,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (never a local checkpoint),
-    so a lost executor does not force recomputation of long folds."""
+    so a lost executor does not force recomputation of long folds. The frame
+    is persisted while it is written, so the plan runs once, not twice."""
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        out = df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
+    return out
 
 
 def ensure_parallelism(df: DataFrame) -> DataFrame:
