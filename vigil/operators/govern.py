@@ -64,7 +64,7 @@ def govern(requests: DataFrame, policy_settings: DataFrame, pricing: DataFrame |
             m["role"].alias("role"), m["content"].alias("content"),
             pii.filter_entities(pii.detect(m["content"]), ents).alias("f")))
         d = d.withColumn("_scan", per_msg)
-        first_bad = F.element_at(F.filter(F.col("_scan"), lambda s: F.size(s["f"]) > 0), 1)
+        first_bad = F.try_element_at(F.filter(F.col("_scan"), lambda s: F.size(s["f"]) > 0), F.lit(1))
         d = (d.withColumn("pii_request_findings", F.aggregate(F.col("_scan"), F.lit(0),
                                                               lambda a, s: a + F.size(s["f"])))
               .withColumn("pii_block", F.lit(action == "block") & first_bad.isNotNull())

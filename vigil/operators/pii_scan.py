@@ -48,7 +48,7 @@ def scan_request(requests: DataFrame, action: str | Column = "warn",
     d = ensure_parallelism(requests).withColumn("_scan", per_msg)
     report = F.flatten(F.transform(F.col("_scan"), lambda s: pii.report(
         s["findings"], F.format_string("messages[%d].content", s["idx"]), act)))
-    first_bad = F.element_at(F.filter(F.col("_scan"), lambda s: F.size(s["findings"]) > 0), 1)
+    first_bad = F.try_element_at(F.filter(F.col("_scan"), lambda s: F.size(s["findings"]) > 0), F.lit(1))
     blocked = (act == "block") & first_bad.isNotNull()
     new_msgs = F.transform(F.col("_scan"), lambda s: F.struct(
         s["role"].alias("role"),

@@ -148,5 +148,5 @@ def pii_response_block(spark, sf_dir):
         "doc_id", F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices"))
     r = pii_scan.scan_response(resp, "block", FILE_DEFAULT_ENTITIES)
     return r.select("doc_id", (F.size("response_findings") > 0).alias("blocked"),
-                    F.element_at("choices", 1)["message"]["content"].alias("content"),
+                    F.try_element_at("choices", F.lit(1))["message"]["content"].alias("content"),
                     F.size("response_findings").cast("int").alias("findings"))
