@@ -12,8 +12,9 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,51 +42,89 @@ def daily_running_spend(df: DataFrame, cost_col: str = "cost") -> DataFrame:
     return out.withColumn("spend_before", F.col("spend_before").cast(MONEY_SUM)).drop("_c")
 
 
+LOOKAHEAD = 1024
+
+
+def _fold_tail(est: np.ndarray, act: np.ndarray, s: int, cap: int):
+    """One day's tail from spend ``s``: decisions and spend before each row.
+
+    The spend changes only at admitted rows with a positive cost; between
+    two changes every decision is the vector test ``est <= cap - s``, so
+    Python iterates over spend changes, not rows (lookahead windows keep
+    the work linear)."""
+    n = len(est)
+    allowed = np.zeros(n, dtype=bool)
+    before = np.zeros(n, dtype=np.int64)
+    pos = 0
+    while pos < n:
+        hi = min(n, pos + LOOKAHEAD)
+        ok = est[pos:hi] <= cap - s
+        change = np.flatnonzero(ok & (act[pos:hi] > 0))
+        stop = hi if len(change) == 0 else pos + int(change[0]) + 1
+        allowed[pos:stop] = ok[:stop - pos]
+        before[pos:stop] = s
+        if len(change):
+            s += int(act[stop - 1])
+        pos = stop
+    return allowed, before, s
+
+
 def _admission_fold(cap_micro: int):
     def fold(batches):
         cur, spend = None, 0
         for pdf in batches:
             days = pdf["day"].values
-            est = pdf["est_micro"].values
-            act = pdf["act_micro"].values
-            allowed = []
-            before = []
-            for d, e, a in zip(days, est, act):
-                if d != cur:
-                    cur, spend = d, 0
-                ok = spend + int(e) <= cap_micro
-                allowed.append(ok)
-                before.append(spend)
-                if ok:
-                    spend += int(a)
+            est = pdf["est_micro"].values.astype(np.int64)
+            act = pdf["act_micro"].values.astype(np.int64)
+            start = pdf["start_micro"].values.astype(np.int64)
+            allowed = np.zeros(len(pdf), dtype=bool)
+            before = np.zeros(len(pdf), dtype=np.int64)
+            bounds = np.flatnonzero(days[1:] != days[:-1]) + 1 if len(days) else np.array([], dtype=int)
+            for lo, hi in zip(np.concatenate([[0], bounds]).astype(int), np.concatenate([bounds, [len(days)]]).astype(int)):
+                if hi <= lo:
+                    continue
+                if days[lo] != cur:
+                    cur, spend = days[lo], int(start[lo])
+                a, b, spend = _fold_tail(est[lo:hi], act[lo:hi], spend, cap_micro)
+                allowed[lo:hi] = a
+                before[lo:hi] = b
             yield pd.DataFrame({"request_id": pdf["request_id"].values, "allowed": allowed,
                                 "spend_before_micro": before})
     return fold
 
 
 def admission(requests: DataFrame, daily_cap: str | Decimal) -> DataFrame:
-    """T6 per request: (request_id, day, allowed, spend_before, reason).
+    """T6 per request: (request_id, allowed, spend_before, reason).
 
     ``requests`` needs request_id, ts, estimated_cost and actual_cost (the
-    cost it adds when admitted; 0 for cache hits and failures)."""
+    cost it adds when admitted; 0 for cache hits and failures).
+
+    While the spend of the day so far (every earlier request admitted) plus
+    the day's largest estimate stays within the cap, admission is certain;
+    that prefix comes from a skew-safe running sum for every day in
+    parallel. Only each day's tail, from the first row where the cap could
+    bind, streams through the fold, which starts from that row's spend."""
     cap = Decimal(str(daily_cap))
     cap_micro = int(cap * SCALE)
     d = requests.select("request_id", "ts", F.to_date("ts").alias("day"),
                         (F.col("estimated_cost") * SCALE).cast("bigint").alias("est_micro"),
                         (F.coalesce(F.col("actual_cost"), F.lit(0)) * SCALE).cast("bigint").alias("act_micro"))
-    bound = d.groupBy("day").agg((F.sum("act_micro") + F.max("est_micro")).alias("worst"))
-    d = d.join(bound, "day")  # one row per day; AQE broadcasts it at runtime
-    easy = d.where(F.col("worst") <= cap_micro)
-    hard = d.where(F.col("worst") > cap_micro)
-    easy_out = running_sum(easy.withColumn("_a", F.col("act_micro")), ["day"], ["ts", "request_id"],
-                           {"_a": "spend_before_micro"}, block=F.hour("ts"), inclusive=False) \
-        .select("request_id", F.lit(True).alias("allowed"), "spend_before_micro")
+    emax = d.groupBy("day").agg(F.max("est_micro").alias("emax"))  # one row per day
+    pre = running_sum(d.withColumn("_a", F.col("act_micro")), ["day"], ["ts", "request_id"],
+                      {"_a": "prefix_micro"}, block=F.hour("ts"), inclusive=False).drop("_a")
+    pre = pre.join(emax, "day").withColumn("_sure", F.col("prefix_micro") + F.col("emax") <= cap_micro)
+    sure = pre.where("_sure").select("request_id", F.lit(True).alias("allowed"),
+                                     F.col("prefix_micro").alias("spend_before_micro"))
+    tail = pre.where(~F.col("_sure"))
+    starts = tail.groupBy("day").agg(F.min("prefix_micro").alias("start_micro"))  # one row per day
+    tail = tail.join(starts, "day")
     schema = T.StructType([T.StructField("request_id", requests.schema["request_id"].dataType),
                            T.StructField("allowed", T.BooleanType()),
                            T.StructField("spend_before_micro", T.LongType())])
-    hard_out = (hard.repartition("day").sortWithinPartitions("day", "ts", "request_id")
+    tail_out = (tail.select("request_id", "ts", "day", "est_micro", "act_micro", "start_micro")
+                .repartition("day").sortWithinPartitions("day", "ts", "request_id")
                 .mapInPandas(_admission_fold(cap_micro), schema))
-    out = easy_out.unionByName(hard_out)
+    out = sure.unionByName(tail_out)
     spend = (F.col("spend_before_micro").cast("decimal(38,0)") * F.lit(Decimal("0.000001"))).cast(MONEY)
     reason = F.when(~F.col("allowed"), F.concat(
         F.lit(f"Would exceed daily cap ${_py_float(cap)} (current: $"),
@@ -135,6 +174,3 @@ def utilisation(df: DataFrame, cost_col: str = "cost") -> DataFrame:
         out = out.unionByName(p)
     return out
 
-
-def budget_inputs(log: DataFrame, est: Column, actual: Column) -> DataFrame:
-    return log.withColumn("estimated_cost", est).withColumn("actual_cost", actual)

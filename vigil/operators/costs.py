@@ -76,12 +76,6 @@ def daily_cost(log: DataFrame) -> DataFrame:
             .agg(F.sum("cost").cast(dims.MONEY_SUM).alias("cost")))
 
 
-def estimated_cost(model: Column, input_tokens: Column, max_tokens: Column,
-                   default_max_tokens: int = dims.DEFAULT_MAX_TOKENS_FOR_COST) -> tuple[Column, Column]:
-    """X14 pieces: estimated output tokens (max_tokens, else the default)."""
-    return input_tokens, F.coalesce(max_tokens.cast("bigint"), F.lit(default_max_tokens).cast("bigint"))
-
-
 def with_estimate(df: DataFrame, input_col: str = "input_tokens", max_col: str = "max_tokens",
                   pricing: DataFrame | None = None) -> DataFrame:
     """Estimated cost from the request's input tokens and max_tokens."""

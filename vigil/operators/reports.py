@@ -6,8 +6,6 @@ handful of rows. "Now" is always the ``as_of`` parameter.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +90,3 @@ def recent_requests(log: DataFrame, n: int = RECENT_ROWS) -> DataFrame:
         (F.col("pii_findings") > 0).alias("pii"),
         F.col("cached").alias("cache"))
 
-
-def as_of_date(s: str) -> dt.date:
-    return dt.date.fromisoformat(s)

@@ -173,26 +173,6 @@ def chat_turns_sql(src: str = "conversations", with_pii: bool = False) -> str:
 CHAT_TURNS_SQL = chat_turns_sql()
 
 
-def chat_requests_nested(conversations: DataFrame) -> DataFrame:
-    """B2 with the literal request body (messages array), for the JSON sinks
-    and the per-message PII scan. Quadratic in conversation length by
-    definition of a chat request; use chat_turns for reports."""
-    w = (__import__("pyspark.sql.window", fromlist=["Window"]).Window
-         .partitionBy("conv_id").orderBy("turn")
-         .rowsBetween(-(1 << 62), -1))
-    msgs = F.collect_list(F.struct(F.col("role"), F.col("text").alias("content"))).over(w)
-    c = F.col("conv_id")
-    return (conversations.withColumn("messages", msgs)
-            .where(F.col("role") == "assistant")
-            .select(
-                F.concat(c.cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("request_id"),
-                _pick(LOG_MODELS, c % 5 + 1).alias("model"),
-                F.col("messages"),
-                F.when(c % 3 == 0, F.lit(None)).otherwise(F.lit(256)).cast("int").alias("max_tokens"),
-                F.when(c % 2 == 0, F.lit(None)).otherwise(F.lit(0.7)).cast("double").alias("temperature"),
-                F.col("text").alias("response_text")))
-
-
 # --- B3 documents as one-message requests ------------------------------------
 
 def pii_documents(documents: DataFrame) -> DataFrame:
