@@ -1,5 +1,11 @@
-"""The governed request path over the request log (rows-only check; the
-stage invariants are tested in tests/test_govern.py)."""
+"""The governed request path over the request log.
+
+The oracle composes the three recursive folds (rate limit, cache, daily
+cap) in one DuckDB statement with the same stage order and the same
+approximation on binding days (the cache is replayed before the cap).
+The prompts of this log (``event_type:k``) hold no personal data, so the
+oracle's PII counts are 0; the Spark side runs the detection.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +13,25 @@ import json
 
 from pyspark.sql import functions as F
 
+from vigil.functions.cost import sql_cost
+from vigil.functions.formatting import sql_fixed
 from vigil.operators import govern, policy
-from vigil.plans.limit_queries import TEST_LIMITS
+from vigil.plans.limit_queries import LIMITS, TEST_LIMITS, dec_cte
 from vigil.plans.registry import query
-from vigil.sources import fixtures
+from vigil.sources import dims, fixtures
 from vigil.sources.tables import read_table
 
+MAX_PER_REQUEST = "0.03"
+DAILY_CAP = "0.35"
+CACHE_TTL = 21600
+
 # The built-in default policy with limits tight enough to bind on this data.
 TEST_POLICY = {
     **policy.BUILTIN_DEFAULT,
     "name": "Test Policy",
     "rate_limits": TEST_LIMITS,
-    "cost_limits": {"max_per_request": 0.03, "daily_cap": 0.35},
-    "caching": {"enabled": True, "ttl_seconds": 21600},
+    "cost_limits": {"max_per_request": float(MAX_PER_REQUEST), "daily_cap": float(DAILY_CAP)},
+    "caching": {"enabled": True, "ttl_seconds": CACHE_TTL},
 }
 
 
@@ -28,8 +40,83 @@ def test_policy_settings(spark):
     return policy.settings(doc.select("policy_name", F.parse_json("json").alias("doc")))
 
 
-@query("governed_requests")
+def flat(df):
+    return df.select(
+        "request_id", "client_id", "ts", "model", "cache_key",
+        F.col("decision.allowed").alias("allowed"), F.col("decision.stage").alias("stage"),
+        F.col("decision.status").alias("status"), F.col("decision.reason").alias("reason"),
+        "estimated_cost", "cost", "cache_hit",
+        F.col("pii.request_findings").alias("pii_request_findings"),
+        F.col("pii.response_findings").alias("pii_response_findings"),
+        "rate_remaining")
+
+
+P_IN = "coalesce(p.input_per_1k, CAST(0.0005 AS DECIMAL(12,8)))"
+P_OUT = "coalesce(p.output_per_1k, CAST(0.0015 AS DECIMAL(12,8)))"
+_CAP_MICRO = int(float(DAILY_CAP) * 1_000_000)
+_TTL_US = CACHE_TTL * 1_000_000
+_NAMES = ", ".join(f"remaining_{n.split('_')[-1]}" for n, *_ in LIMITS)
+_LIVE = f"f.store IS NOT NULL AND r.t < f.store + {_TTL_US}"
+
+GOVERN_SQL = f"""WITH RECURSIVE {dec_cte(LIMITS)},
+g0 AS (
+  SELECT l.*, d.allowed AS rate_ok, d.reason AS rate_reason,
+         coalesce(least({", ".join("d." + x.strip() for x in _NAMES.split(","))}), 0) AS rate_remaining,
+         {sql_cost('5 + length(l.prompt) // 4', 'coalesce(l.max_tokens, 500)', P_IN, P_OUT)} AS estimated_cost,
+         {sql_cost('l.input_tokens', 'l.output_tokens', P_IN, P_OUT)} AS full_cost
+  FROM keyed_log l JOIN dec d ON l.request_id = d.request_id
+  LEFT JOIN {dims.sql_pricing_values('p', 'p_model')} ON l.model = p_model),
+g1 AS (SELECT *, estimated_cost <= {MAX_PER_REQUEST} AS cost_ok,
+              rate_ok AND estimated_cost <= {MAX_PER_REQUEST} AS reach FROM g0),
+r AS (SELECT request_id, cache_key, epoch_us(ts) AS t,
+             row_number() OVER (PARTITION BY cache_key ORDER BY epoch_us(ts), request_id) AS rn
+      FROM g1 WHERE reach),
+cf AS (
+  SELECT cache_key, rn, request_id, false AS hit, t AS store FROM r WHERE rn = 1
+  UNION ALL
+  SELECT r.cache_key, r.rn, r.request_id, {_LIVE} AS hit,
+         CASE WHEN {_LIVE} THEN f.store ELSE r.t END AS store
+  FROM cf f JOIN r ON r.cache_key = f.cache_key AND r.rn = f.rn + 1),
+g2 AS (SELECT g1.*, coalesce(cf.hit, false) AS cache_hit,
+              CASE WHEN reach AND NOT coalesce(cf.hit, false) THEN full_cost END AS cost0
+       FROM g1 LEFT JOIN cf ON g1.request_id = cf.request_id),
+c AS (SELECT request_id, CAST(ts AS DATE) AS day,
+             CAST(estimated_cost * 1000000 AS BIGINT) AS est_micro,
+             CAST(coalesce(cost0, 0) * 1000000 AS BIGINT) AS act_micro,
+             row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, request_id) AS rn
+      FROM g2 WHERE reach),
+bf AS (
+  SELECT day, rn, request_id, est_micro <= {_CAP_MICRO} AS allowed, CAST(0 AS BIGINT) AS before,
+         CAST(CASE WHEN est_micro <= {_CAP_MICRO} THEN act_micro ELSE 0 END AS BIGINT) AS spend
+  FROM c WHERE rn = 1
+  UNION ALL
+  SELECT c.day, c.rn, c.request_id, f.spend + c.est_micro <= {_CAP_MICRO}, f.spend,
+         f.spend + CASE WHEN f.spend + c.est_micro <= {_CAP_MICRO} THEN c.act_micro ELSE 0 END
+  FROM bf f JOIN c ON c.day = f.day AND c.rn = f.rn + 1),
+g3 AS (SELECT g2.*, bf.allowed AS cap_ok,
+              CASE WHEN NOT bf.allowed THEN 'Would exceed daily cap ${float(DAILY_CAP)} (current: $' ||
+                {sql_fixed('CAST(bf.before AS DECIMAL(38,0)) * 0.000001', 2)} || ')' END AS cap_reason
+       FROM g2 LEFT JOIN bf ON g2.request_id = bf.request_id),
+g4 AS (SELECT *, CASE WHEN NOT rate_ok THEN 'rate_limit'
+                      WHEN NOT cost_ok OR NOT coalesce(cap_ok, true) THEN 'cost'
+                      WHEN cache_hit THEN 'cache' ELSE 'provider' END AS stage FROM g3)
+SELECT request_id, client_id, ts, model, cache_key,
+       stage IN ('cache', 'provider') AS allowed, stage,
+       CAST(CASE WHEN stage IN ('rate_limit', 'cost') THEN 429 WHEN stage = 'pii' THEN 400 ELSE 200 END AS INTEGER) AS status,
+       coalesce(CASE WHEN NOT rate_ok THEN rate_reason END,
+                CASE WHEN NOT cost_ok THEN 'Estimated cost $' || {sql_fixed('estimated_cost', 4)} ||
+                     ' exceeds per-request limit ${MAX_PER_REQUEST}' END,
+                cap_reason) AS reason,
+       estimated_cost,
+       CASE WHEN stage = 'provider' THEN cost0 END AS cost,
+       cache_hit,
+       0 AS pii_request_findings, 0 AS pii_response_findings,
+       rate_remaining
+FROM g4"""
+
+
+@query("governed_requests", GOVERN_SQL)
 def governed_requests(spark, sf_dir):
     log = fixtures.with_client_and_key(fixtures.request_log(read_table(spark, sf_dir, "events")))
     reqs = govern.request_log_as_requests(log)
-    return govern.govern(reqs, test_policy_settings(spark))
+    return flat(govern.govern(reqs, test_policy_settings(spark)))

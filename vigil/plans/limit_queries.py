@@ -94,17 +94,22 @@ fold AS (
   FROM (SELECT p.*, {pruned} FROM fold f JOIN ps p ON p.client_id = f.client_id AND p.rn = f.rn + 1))"""
 
 
-def decisions_sql(limits, with_resets=False) -> str:
+def dec_cte(limits, with_resets=False) -> str:
+    """CTEs up to ``dec`` (per-request decisions) without the WITH keyword."""
     rems = ", ".join(f"CASE WHEN l.request_id = f.first_id THEN first_rem_{rl._short(n)} "
                      f"ELSE rest_rem_{rl._short(n)} END AS remaining_{rl._short(n)}" for n, *_ in limits)
-    names = ", ".join(f"remaining_{rl._short(n)}" for n, *_ in limits)
-    return f"""WITH RECURSIVE {fold_sql(limits, with_resets)},
+    return f"""{fold_sql(limits, with_resets)},
 dec AS (
   SELECT l.request_id, l.client_id, l.sec,
          CASE WHEN l.request_id = f.first_id THEN first_allowed ELSE rest_allowed END AS allowed,
          CASE WHEN l.request_id = f.first_id THEN first_reason ELSE rest_reason END AS reason,
          {rems}
-  FROM keyed_log l JOIN fold f ON l.client_id = f.client_id AND l.sec = f.sec{" AND f.kind = 0" if with_resets else ""})
+  FROM keyed_log l JOIN fold f ON l.client_id = f.client_id AND l.sec = f.sec{" AND f.kind = 0" if with_resets else ""})"""
+
+
+def decisions_sql(limits, with_resets=False) -> str:
+    names = ", ".join(f"remaining_{rl._short(n)}" for n, *_ in limits)
+    return f"""WITH RECURSIVE {dec_cte(limits, with_resets)}
 SELECT *, coalesce(least({names}), 0) AS min_remaining FROM dec"""
 
 
