@@ -9,6 +9,8 @@ texts that cannot contain the family (no '@', no digit, no key prefix).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +42,28 @@ REDACTED_REPORT_TEXT = "[REDACTED]"
 # ---------------------------------------------------------------------------
 
 PATTERN_OF = dict(PATTERNS)
+_PLAIN = re.compile(r"^Column<'[A-Za-z_][A-Za-z0-9_]*'>$")
+_MEMO: dict = {}
+
+
+def _memo(fn):
+    """Builds each expression tree once per process for plain column
+    references (building one costs thousands of py4j calls); expressions on
+    lambda variables are always rebuilt."""
+
+    def wrapper(*args, **kwargs):
+        cols = [a for a in args if isinstance(a, Column)]
+        if not cols or not all(_PLAIN.match(str(c)) for c in cols):
+            return fn(*args, **kwargs)
+        key = (fn.__name__, tuple(str(a) if isinstance(a, Column) else repr(a) for a in args),
+               tuple(sorted((k, repr(v)) for k, v in kwargs.items())))
+        if key not in _MEMO:
+            _MEMO[key] = fn(*args, **kwargs)
+        return _MEMO[key]
+
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    return wrapper
 NAME_ALTERNATION = "|".join(dims.COMMON_NAMES)
 # Java needs (?U) so \d \w \b \s are Unicode-aware, as in the original.
 JAVA_FLAGS = "(?U)"
@@ -123,6 +147,7 @@ def sort_findings(findings: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["f"])
 
 
+@_memo
 def detect(text: Column, families: list[str] | None = None) -> Column:
     """U1 + O1: all families (and names) unioned and sorted."""
     kinds = families or dims.PII_TYPES
@@ -201,6 +226,7 @@ def _splice_reference(text: Column, findings: Column, repl) -> Column:
         F.when(F.length(a) > f["end"], F.substring(a, f["end"] + 1, 1 << 30)).otherwise(F.lit(""))))
 
 
+@_memo
 def redact_text(text: Column, findings: Column, overlap: str = "merge") -> Column:
     """X10."""
     if overlap == "reference":
@@ -208,6 +234,7 @@ def redact_text(text: Column, findings: Column, overlap: str = "merge") -> Colum
     return F.when(F.size(findings) == 0, text).otherwise(_splice(text, merge_overlaps(findings), _redaction))
 
 
+@_memo
 def hash_text(text: Column, findings: Column, overlap: str = "merge") -> Column:
     """X11."""
     if overlap == "reference":
