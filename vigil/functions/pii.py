@@ -243,8 +243,15 @@ def hash_text(text: Column, findings: Column, overlap: str = "merge") -> Column:
 
 
 def apply_action(text: Column, findings: Column, action: Column | str, overlap: str = "merge") -> Column:
-    """Rewrites content per action: redact, hash, or unchanged (warn/block)."""
-    act = F.lit(action) if isinstance(action, str) else action
+    """Rewrites content per action: redact, hash, or unchanged (warn/block).
+    A literal action builds only its own branch."""
+    if isinstance(action, str):
+        if action == "redact":
+            return redact_text(text, findings, overlap)
+        if action == "hash":
+            return hash_text(text, findings, overlap)
+        return text
+    act = action
     return (F.when(act == "redact", redact_text(text, findings, overlap))
              .when(act == "hash", hash_text(text, findings, overlap))
              .otherwise(text))

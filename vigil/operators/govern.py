@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from vigil.functions import cost as fc
 from vigil.functions import pii
 from vigil.functions.keys import cache_key
-from vigil.operators import budget, cache, costs, rate_limit
+from vigil.operators import budget, cache, costs, pii_scan, rate_limit
 from vigil.session import cut_lineage
 from vigil.sources.dims import RATE_WINDOWS
 
@@ -60,18 +60,15 @@ def govern(requests: DataFrame, policy_settings: DataFrame, pricing: DataFrame |
     if p["pii_enabled"]:
         ents = list(p["pii_entities"] or [])
         action = p["pii_action"]
-        per_msg = F.transform(F.col("messages"), lambda m: F.struct(
-            m["role"].alias("role"), m["content"].alias("content"),
-            pii.filter_entities(pii.detect(m["content"]), ents).alias("f")))
-        d = d.withColumn("_scan", per_msg)
-        first_bad = F.try_element_at(F.filter(F.col("_scan"), lambda s: F.size(s["f"]) > 0), F.lit(1))
+        d = d.withColumn("_scan", pii_scan.message_scan(F.col("messages"), ents))
+        first_bad = F.try_element_at(F.filter(F.col("_scan"), lambda s: F.size(s["findings"]) > 0), F.lit(1))
         d = (d.withColumn("pii_request_findings", F.aggregate(F.col("_scan"), F.lit(0),
-                                                              lambda a, s: a + F.size(s["f"])))
+                                                              lambda a, s: a + F.size(s["findings"])))
               .withColumn("pii_block", F.lit(action == "block") & first_bad.isNotNull())
               .withColumn("pii_reason", F.when(F.col("pii_block"), F.format_string(
-                  "PII detected in request: %d instances found", F.size(first_bad["f"]))))
+                  "PII detected in request: %d instances found", F.size(first_bad["findings"]))))
               .withColumn("messages", F.transform(F.col("_scan"), lambda s: F.struct(
-                  s["role"].alias("role"), pii.apply_action(s["content"], s["f"], action).alias("content"))))
+                  s["role"].alias("role"), pii.apply_action(s["content"], s["findings"], action).alias("content"))))
               .drop("_scan"))
     else:
         d = d.withColumn("pii_request_findings", F.lit(0)).withColumn("pii_block", F.lit(False)) \
@@ -88,6 +85,10 @@ def govern(requests: DataFrame, policy_settings: DataFrame, pricing: DataFrame |
     d = d.withColumn("cache_key", cache_key(F.col("model"), F.col("messages"), F.col("temperature"),
                                             F.col("max_tokens"), F.col("top_p")))
     d = d.withColumn("reach_cache", F.col("rate_ok") & ~F.col("pii_block") & F.col("cost_ok"))
+    # only the columns later stages and the output use (no message bodies)
+    d = d.select("request_id", "client_id", "ts", "model", "cache_key", "rate_ok", "rate_reason",
+                 "rate_remaining", "pii_request_findings", "pii_block", "pii_reason", "estimated_cost",
+                 "cost_ok", "cost_reason", "reach_cache", "usage_prompt_tokens", "usage_completion_tokens")
     if checkpoint:
         # stages 0-2 feed three folds below; a reliable checkpoint in the
         # shared folder stops each fold from recomputing them and survives

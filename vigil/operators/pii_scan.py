@@ -34,6 +34,15 @@ def findings_rows(df: DataFrame, id_col: str) -> DataFrame:
                       F.col("f.start").alias("pii_start"), F.col("f.end").alias("pii_end")))
 
 
+@pii._memo
+def message_scan(messages: Column, entities: list[str] | None = None) -> Column:
+    """Per message of a messages array: role, content, index and its
+    sorted, entity-filtered findings (one row per request, P3)."""
+    return F.transform(messages, lambda m, i: F.struct(
+        m["role"].alias("role"), m["content"].alias("content"), i.alias("idx"),
+        pii.filter_entities(pii.detect(m["content"]), entities).alias("findings")))
+
+
 def scan_request(requests: DataFrame, action: str | Column = "warn",
                  entities: list[str] | Column | None = None, overlap: str = "merge") -> DataFrame:
     """C1 on chat requests with a ``messages`` ARRAY<STRUCT<role, content>>.
@@ -42,10 +51,7 @@ def scan_request(requests: DataFrame, action: str | Column = "warn",
     the report (M5), rewritten messages, and the block decision (P6: the
     reason counts the first offending message only)."""
     act = F.lit(action) if isinstance(action, str) else action
-    per_msg = F.transform(F.col("messages"), lambda m, i: F.struct(
-        m["role"].alias("role"), m["content"].alias("content"), i.alias("idx"),
-        pii.filter_entities(pii.detect(m["content"]), entities).alias("findings")))
-    d = ensure_parallelism(requests).withColumn("_scan", per_msg)
+    d = ensure_parallelism(requests).withColumn("_scan", message_scan(F.col("messages"), entities))
     report = F.flatten(F.transform(F.col("_scan"), lambda s: pii.report(
         s["findings"], F.format_string("messages[%d].content", s["idx"]), act)))
     first_bad = F.try_element_at(F.filter(F.col("_scan"), lambda s: F.size(s["findings"]) > 0), F.lit(1))
