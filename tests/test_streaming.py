@@ -70,3 +70,26 @@ def test_access_log_stream(spark):
     assert len(rows) == 2
     assert rows[0].method == "POST" and str(rows[0].cost) == "0.001250" and rows[0].model == "gpt-3.5-turbo"
     assert rows[1].status == 404 and rows[1].pii_findings == 1 and rows[1].status_class == "error"
+
+
+def test_access_log_batch_read_and_policy_reload(spark):
+    from vigil.operators import access_log
+
+    d = tempfile.mkdtemp(prefix="vigil-log-")
+    with open(os.path.join(d, "b.log"), "w") as f:
+        f.write("INFO:     _meta_cost cost 0.5\n"  # before any request line: dropped
+                'INFO:     9.9.9.9:5000 - "POST /v1/chat/completions HTTP/1.1" 429\n'
+                "INFO:     _meta_cost cost 0.000100\n"
+                "INFO:     _meta_cost cost 0.000200\n")  # the later cost line wins
+    lines = access_log.read_access_log(spark, d)
+    rows = access_log.entries(access_log.parse_lines(lines), order=["block", "line_no"]).collect()
+    assert len(rows) == 1 and rows[0].status == 429 and str(rows[0].cost) == "0.000200"
+    # Policies are re-read for each micro-batch
+    pols = tempfile.mkdtemp(prefix="vigil-pol-")
+    with open(os.path.join(pols, "p.yaml"), "w") as f:
+        f.write("name: P\nenabled: true\n")
+    seen = []
+    q = jobs.access_log_stream(spark, d, lambda e, epoch, p: seen.append(p.count()), policies_dir=pols,
+                               checkpoint=tempfile.mkdtemp(prefix="vigil-ck-"))
+    q.awaitTermination(600)
+    assert seen == [1]

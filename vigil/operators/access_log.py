@@ -45,8 +45,9 @@ def read_access_log(spark: SparkSession, path: str) -> DataFrame:
 def parse_lines(lines: DataFrame, cost_marker: str = COST_MARKER, pii_marker: str = PII_MARKER) -> DataFrame:
     """X15 + X16 per line."""
     is_http = F.col("line").rlike(HTTP_LINE)
+    keep = [c for c in ("block",) if c in lines.columns]
     return lines.select(
-        "file", "line_no",
+        "file", *keep, "line_no",
         is_http.alias("is_http"),
         F.when(is_http, F.regexp_extract("line", HTTP_LINE, 1)).alias("method"),
         F.when(is_http, F.regexp_extract("line", HTTP_LINE, 2)).alias("path"),
@@ -61,9 +62,10 @@ def entries(parsed: DataFrame, order: list[str] | None = None) -> DataFrame:
     """J6 + W5: attach detail lines to the latest preceding HTTP line of the
     same file; lines before the first HTTP line are dropped."""
     order = order or ["line_no"]
+    # blocks must follow the order: the split start when present, else runs of lines
+    block = F.col(order[0]) if len(order) > 1 else F.floor(F.col(order[0]) / 4096)
     d = parsed.withColumn("_h", F.col("is_http").cast("bigint"))
-    d = running_sum(d, ["file"], order, {"_h": "entry_id"}, block=F.floor(F.col(order[0]) / 4096),
-                    inclusive=True).drop("_h")
+    d = running_sum(d, ["file"], order, {"_h": "entry_id"}, block=block, inclusive=True).drop("_h")
     d = d.where(F.col("entry_id") > 0)
     g = d.groupBy("file", "entry_id").agg(
         F.max_by("line_no", F.col("is_http")).alias("line_no"),

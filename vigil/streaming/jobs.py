@@ -156,7 +156,7 @@ def access_log_stream(spark: SparkSession, directory: str, sink, policies_dir: s
         from vigil.operators import policy
         # line order inside the batch: (file, split start, position in split)
         numbered = batch.withColumn("line_no", F.monotonically_increasing_id())
-        entries = access_log.describe(access_log.entries(access_log.parse_lines(numbered)))
+        entries = access_log.describe(access_log.entries(access_log.parse_lines(numbered), order=["block", "line_no"]))
         pols = policy.read_policies(batch.sparkSession, policies_dir) if policies_dir else None
         sink(entries, epoch, pols)
 
