@@ -218,3 +218,36 @@ def test_budget_long_tail_with_free_requests(spark):
     want = brute_budget(rows, Decimal("0.8"))
     assert got == want
     assert sum(want.values()) < len(rows)  # the cap binds
+
+
+def brute_rate_requests(rows, limits):
+    """Request-counting variant: every admitted request takes a slot."""
+    lists, out = {}, {}
+    for rid, c, s in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        rem, allowed, reason = {}, True, None
+        for name, width, suf in WIN:
+            if name not in limits:
+                continue
+            zs = [x for x in lists.get((c, name), []) if x > s - width]
+            lists[(c, name)] = zs
+            if len(zs) < limits[name]:
+                rem[name] = limits[name] - len(zs) - 1
+                zs.append(s)
+            else:
+                rem[name] = 0
+                allowed, reason = False, f"Rate limit exceeded: {name} ({limits[name]} requests per {suf})"
+                break
+        out[rid] = (allowed, reason, rem.get("requests_per_minute"), rem.get("requests_per_hour"),
+                    rem.get("requests_per_day"))
+    return out
+
+
+def test_rate_count_mode_requests(spark):
+    rows = [(1, "a", 1000), (2, "a", 1000), (3, "a", 1000), (4, "a", 1070), (5, "b", 5), (6, "b", 5)]
+    limits = {"requests_per_minute": 2, "requests_per_hour": 3}
+    df = spark.createDataFrame(rows, "request_id long, client_id string, sec long")
+    got = {x.request_id: (x.allowed, x.reason, x.remaining_minute, x.remaining_hour, None)
+           for x in rate_limit.decisions(df, limits, count_mode="requests").collect()}
+    want = {k: (v[0], v[1], v[2], v[3], None) for k, v in brute_rate_requests(rows, limits).items()}
+    assert got == want
+    assert got[3][0] is False  # a third request in the same second counts

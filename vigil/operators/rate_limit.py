@@ -69,9 +69,12 @@ def _fold_schema(limits) -> T.StructType:
     return T.StructType(fields)
 
 
-def _check(states, t, limits, add):
+def _check(states, t, limits, add, distinct=True):
     """One request against the per-window state; returns (allowed, reason,
-    remaining per window (None when not reached), slots taken)."""
+    remaining per window (None when not reached), slots taken). With
+    ``distinct`` a second holds one slot however many requests it has (the
+    original's sorted-set members are seconds); otherwise every admitted
+    request takes a slot."""
     rem = [None] * len(limits)
     took = [False] * len(limits)
     for k, (name, limit, width, suffix) in enumerate(limits):
@@ -80,7 +83,7 @@ def _check(states, t, limits, add):
             q.popleft()
         c = len(q)
         if c < limit:
-            if add and (not q or q[-1] != t):
+            if add and (not distinct or not q or q[-1] != t):
                 q.append(t)
                 took[k] = True
             rem[k] = limit - c - 1
@@ -90,7 +93,7 @@ def _check(states, t, limits, add):
     return True, None, rem, took
 
 
-def make_fold(limits, group_cols=("client_id",), ctx_col: str | None = None):
+def make_fold(limits, group_cols=("client_id",), ctx_col: str | None = None, distinct: bool = True):
     """Iterator fold for mapInPandas over rows sorted by (group, sec, kind).
     State starts empty at each new group; rows flagged ``ctx_col`` only
     build state (their decisions belong to another group)."""
@@ -115,7 +118,7 @@ def make_fold(limits, group_cols=("client_id",), ctx_col: str | None = None):
                     states = [deque() for _ in limits]
                     continue
                 t = int(t)
-                a1, r1, rem1, took = _check(states, t, limits, add=True)
+                a1, r1, rem1, took = _check(states, t, limits, add=True, distinct=distinct)
                 if is_ctx:
                     continue
                 if n > 1:
@@ -230,15 +233,37 @@ def choose_fold(ps: DataFrame, limits, strategy: str = "auto", span_seconds: int
     return fold_seconds(ps, limits)
 
 
+def fold_requests(log: DataFrame, limits, resets: DataFrame | None = None) -> DataFrame:
+    """count_mode='requests': every admitted request takes a slot, so each
+    request is its own fold row (sorted by second, then id)."""
+    rows = (log.where(F.col("sec").isNotNull())
+               .select("client_id", "sec", F.lit(1).cast("bigint").alias("n"),
+                       F.col("request_id").cast("bigint").alias("first_id"), F.lit(0).alias("kind")))
+    if resets is not None:
+        rows = rows.unionByName(resets.select("client_id", F.col("reset_sec").alias("sec")).distinct().select(
+            "client_id", "sec", F.lit(0).cast("bigint").alias("n"), F.lit(-1).cast("bigint").alias("first_id"),
+            F.lit(1).alias("kind")))
+    ordered = rows.repartition("client_id").sortWithinPartitions("client_id", "sec", "kind", "first_id")
+    return ordered.mapInPandas(make_fold(limits, distinct=False), _fold_schema(limits))
+
+
 def decisions(log: DataFrame, rate_limits: dict[str, int], resets: DataFrame | None = None,
-              strategy: str = "auto") -> DataFrame:
+              strategy: str = "auto", count_mode: str = "distinct_seconds") -> DataFrame:
     """T1 + T2 + T4 + T12 per request: allowed, reason, remaining per window
     (NULL where the check stopped before it), min_remaining. Rows without a
     time fail open with full remaining. ``strategy``: 'serial' folds each
     client's whole timeline in one streaming pass; 'chunked' splits clients
     by day with a parallel fast path for calm days; 'auto' picks by the
-    busiest client's number of active seconds."""
+    busiest client's number of active seconds. ``count_mode='requests'``
+    counts every request instead of every active second (what the
+    original's documentation promises; one fold row per request)."""
     limits = limits_list(rate_limits)
+    if count_mode == "requests":
+        folded = fold_requests(log, limits, resets)
+        keyed = log.select("request_id", "client_id", "sec")
+        j = keyed.join(folded.drop("client_id", "sec").withColumnRenamed("first_id", "request_id"),
+                       on="request_id", how="left").withColumn("first_id", F.col("request_id"))
+        return _decide(j, limits)
     span = None
     if strategy == "auto":  # one column scan, trivial aggregate
         lo, hi = log.agg(F.min("sec"), F.max("sec")).first()
@@ -246,6 +271,10 @@ def decisions(log: DataFrame, rate_limits: dict[str, int], resets: DataFrame | N
     folded = choose_fold(per_second(log, resets), limits, strategy, span)
     keyed = log.select("request_id", "client_id", "sec")
     j = keyed.join(folded, on=["client_id", "sec"], how="left")
+    return _decide(j, limits)
+
+
+def _decide(j: DataFrame, limits) -> DataFrame:
     is_first = F.col("request_id") == F.col("first_id")
     fail_open = F.col("sec").isNull()
     out = j.select(
