@@ -79,3 +79,23 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < want:
         return df.repartition(want)
     return df
+
+
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 8) -> dict[str, str]:
+    """Starting settings for a large cluster run (the session builder of the
+    platform applies them): AQE starts from enough shuffle partitions for
+    ~128 MB each and coalesces; text scans split at 128 MB so a regex task
+    stays small; skewed joins are split by AQE; broadcasts stay at the
+    default size bound."""
+    cores = max(1, executors * cores_per_executor)
+    shuffle_parts = max(cores * 2, int(input_bytes // (128 << 20)))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(shuffle_parts),
+        "spark.sql.files.maxPartitionBytes": str(128 << 20),
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    }
