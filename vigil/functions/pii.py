@@ -55,7 +55,10 @@ def _memo(fn):
         cols = [a for a in args if isinstance(a, Column)]
         if not cols or not all(_PLAIN.match(str(c)) for c in cols):
             return fn(*args, **kwargs)
-        key = (fn.__name__, tuple(str(a) if isinstance(a, Column) else repr(a) for a in args),
+        from pyspark import SparkContext
+
+        key = (id(SparkContext._active_spark_context), fn.__name__,
+               tuple(str(a) if isinstance(a, Column) else repr(a) for a in args),
                tuple(sorted((k, repr(v)) for k, v in kwargs.items())))
         if key not in _MEMO:
             _MEMO[key] = fn(*args, **kwargs)
