@@ -150,3 +150,37 @@ def pii_response_block(spark, sf_dir):
     return r.select("doc_id", (F.size("response_findings") > 0).alias("blocked"),
                     F.try_element_at("choices", F.lit(1))["message"]["content"].alias("content"),
                     F.size("response_findings").cast("int").alias("findings"))
+
+
+def reference_splice_sql(repl) -> str:
+    """The original right-to-left splice over every finding (stale offsets
+    after an overlap included), as one list_reduce."""
+    return (f"CASE WHEN len(f) = 0 THEN text ELSE list_reduce(list_reverse(f), "
+            f"lambda acc, x: substring(acc, 1, x.start) || {repl('x')} || substring(acc, x.\"end\" + 1), text) END")
+
+
+@query("pii_redact_documents_reference", f"""WITH {found_sql()}
+SELECT doc_id, CAST(len(f) AS INTEGER) AS findings, {reference_splice_sql(_sql_redaction)} AS redacted
+FROM pii_found""")
+def pii_redact_documents_reference(spark, sf_dir):
+    """X10 with ``overlap='reference'``: every finding spliced right to left,
+    reproducing the original text exactly, corruption on overlaps included."""
+    d = pii_scan.scan_texts(docs(spark, sf_dir))
+    return d.select("doc_id", F.size("findings").cast("int").alias("findings"),
+                    pii.redact_text(F.col("text"), F.col("findings"), "reference").alias("redacted"))
+
+
+@query("pii_findings_report", f"""WITH {found_sql(FILE_DEFAULT_ENTITIES)}
+SELECT doc_id, 'messages[0].content' AS location, x.type AS pii_type, '[REDACTED]' AS reported_text,
+       x.start AS pii_start, x."end" AS pii_end
+FROM (SELECT doc_id, unnest(f) AS x FROM pii_found)""")
+def pii_findings_report(spark, sf_dir):
+    """M5 / P5: the findings report of a redact-action request scan (raw
+    text is reported only for the warn action)."""
+    reqs = docs(spark, sf_dir).select(
+        "doc_id", F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages"))
+    r = pii_scan.scan_request(reqs, "redact", FILE_DEFAULT_ENTITIES)
+    rows = r.select("doc_id", F.explode_outer("request_findings").alias("x")).where(F.col("x").isNotNull())
+    return rows.select("doc_id", F.col("x.location").alias("location"), F.col("x.type").alias("pii_type"),
+                       F.col("x.text").alias("reported_text"), F.col("x.position.start").alias("pii_start"),
+                       F.col("x.position.end").alias("pii_end"))
