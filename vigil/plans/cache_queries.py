@@ -81,3 +81,26 @@ FROM f WHERE NOT hit AND entry IS NOT NULL AND NOT regexp_matches(cache_key, '^0
 def cache_invalidate(spark, sf_dir):
     t = cache.cache_table(_replay(spark, sf_dir, TABLE_TTL), None, TABLE_TTL)
     return cache.invalidate(t, INVALIDATE_GLOB)
+
+
+LOOKUP_SPLIT = "2024-01-16"
+
+
+@query("cache_lookup", f"""WITH RECURSIVE {replay_sql(TABLE_TTL).replace("WHERE status <> 429", f"WHERE status <> 429 AND ts < TIMESTAMP '{LOOKUP_SPLIT}'")},
+tbl AS (SELECT cache_key, make_timestamp(max(entry)) AS stored_at,
+               make_timestamp(max(entry)) + INTERVAL {TABLE_TTL} SECOND AS expires_at
+        FROM f WHERE NOT hit AND entry IS NOT NULL GROUP BY cache_key)
+SELECT l.request_id, l.cache_key, l.ts, t.stored_at,
+       coalesce(t.stored_at <= l.ts AND l.ts < t.expires_at, false) AS cache_hit
+FROM keyed_log l LEFT JOIN tbl t ON l.cache_key = t.cache_key
+WHERE l.ts >= TIMESTAMP '{LOOKUP_SPLIT}'""")
+def cache_lookup(spark, sf_dir):
+    """Requests of the second half of the log looked up in the cache
+    table the first half built (equi-join on the key + validity range)."""
+    log = keyed(spark, sf_dir)
+    split = F.lit(LOOKUP_SPLIT).cast("timestamp_ntz")
+    first = log.where(F.col("ts") < split)
+    table = cache.cache_table(cache.replay(first, TABLE_TTL, eligible=F.col("status") != 429,
+                                           answered_ok=F.col("status") == 200), None, TABLE_TTL)
+    later = log.where(F.col("ts") >= split).select("request_id", "cache_key", "ts")
+    return cache.lookup(later, table).select("request_id", "cache_key", "ts", "stored_at", "cache_hit")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigil.functions import cost as fc
 from vigil.functions.cost import sql_cost
 from vigil.functions.formatting import sql_fixed
 from vigil.operators import audit, costs, policy, replay, spans
@@ -97,7 +98,6 @@ SELECT model AS llm_model, request_id AS llm_request_id, message_count AS llm_me
 FROM chat_turns {PRICE_JOIN}""")
 def request_spans(spark, sf_dir):
     d = costs.with_prices(turns(spark, sf_dir, with_pii=True))
-    from vigil.functions import cost as fc
     d = d.withColumn("cost", F.when(F.col("has_usage"), fc.calculate_cost(
         F.col("prompt_tokens"), F.col("completion_tokens"), F.col("input_per_1k"), F.col("output_per_1k"))))
     d = d.withColumn("cache_hit", F.lit(False)).withColumn("status", F.lit("OK"))
@@ -122,3 +122,16 @@ def routed_models(spark, sf_dir):
     return log.select("request_id", "model",
                       policy.route_model(policy.FILE_DEFAULT_ROUTING).alias("routed_model"))
 
+
+
+@query("response_token_counts", f"""WITH {fixtures.CHAT_TURNS_SQL}
+SELECT request_id, CAST(CASE WHEN has_usage THEN coalesce(completion_tokens, 0)
+                             ELSE coalesce(length(response_text), 0) // 4 END AS BIGINT) AS response_tokens
+FROM chat_turns""")
+def response_token_counts(spark, sf_dir):
+    """Completion tokens from usage when the response has it, else the
+    token count of the choices' contents."""
+    t = turns(spark, sf_dir)
+    usage = F.when(F.col("has_usage"), F.struct(F.col("completion_tokens").alias("completion_tokens")))
+    choices = F.array(F.struct(F.struct(F.col("response_text").alias("content")).alias("message")))
+    return t.select("request_id", fc.response_tokens(usage, choices).alias("response_tokens"))

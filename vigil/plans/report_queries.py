@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from vigil.operators import reports
+from pyspark.sql import functions as F
+
+from vigil.operators import costs, policy, reports
 from vigil.plans.cost_queries import PRICED_SQL, log
 from vigil.plans.registry import query
 from vigil.sources import dims, fixtures
@@ -72,3 +74,18 @@ FROM request_log LEFT JOIN {dims.sql_pricing_values('p', 'p_model')} ON model =
 ORDER BY ts DESC, request_id LIMIT 20""")
 def recent_requests(spark, sf_dir):
     return reports.recent_requests(log(spark, sf_dir))
+
+
+RETENTION_DAYS = 7
+
+
+@query("masked_request_log", f"""WITH {PRICED_SQL.replace("WHERE l.status = 200 AND NOT l.cached", "")}
+SELECT request_id, ts, model, status, prompt, CAST(NULL AS VARCHAR) AS response_text, cost, pii_findings
+FROM tracked WHERE CAST(ts AS DATE) > DATE '{AS_OF}' - {RETENTION_DAYS}""")
+def masked_request_log(spark, sf_dir):
+    """P23 with the file-default logging flags (requests and costs kept,
+    responses dropped) and a 7-day retention ending at as_of."""
+    d = costs.price_requests(log(spark, sf_dir)).withColumn("response_text", F.lit(None).cast("string"))
+    m = policy.log_policy_mask(d, log_requests=True, log_responses=False, log_costs=True, log_pii=True,
+                               retention_days=RETENTION_DAYS, as_of=AS_OF)
+    return m.select("request_id", "ts", "model", "status", "prompt", "response_text", "cost", "pii_findings")
