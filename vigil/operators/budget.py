@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.operators.windows import running_sum, trailing_sum
+from vigil.session import cut_lineage
 from vigil.sources.dims import MONEY, MONEY_SUM
 
 # ---------------------------------------------------------------------------
@@ -112,7 +113,11 @@ def admission(requests: DataFrame, daily_cap: str | Decimal) -> DataFrame:
     emax = d.groupBy("day").agg(F.max("est_micro").alias("emax"))  # one row per day
     pre = running_sum(d.withColumn("_a", F.col("act_micro")), ["day"], ["ts", "request_id"],
                       {"_a": "prefix_micro"}, block=F.hour("ts"), inclusive=False).drop("_a")
-    pre = pre.join(emax, "day").withColumn("_sure", F.col("prefix_micro") + F.col("emax") <= cap_micro)
+    # the prefix table feeds three branches (certain rows, tail rows, tail
+    # starts): checkpoint its slim columns once instead of recomputing them
+    pre = cut_lineage(pre.join(emax, "day").select(
+        "request_id", "ts", "day", "est_micro", "act_micro", "prefix_micro",
+        (F.col("prefix_micro") + F.col("emax") <= cap_micro).alias("_sure")))
     sure = pre.where("_sure").select("request_id", F.lit(True).alias("allowed"),
                                      F.col("prefix_micro").alias("spend_before_micro"))
     tail = pre.where(~F.col("_sure"))

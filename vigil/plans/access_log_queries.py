@@ -7,6 +7,7 @@ from vigil.operators import access_log as al
 from vigil.operators import costs
 from vigil.plans.registry import query
 from vigil.sources import dims, fixtures
+from vigil.session import cut_lineage
 from vigil.sources.tables import read_table
 
 P_IN = "coalesce(p.input_per_1k, CAST(0.0005 AS DECIMAL(12,8)))"
@@ -14,8 +15,11 @@ P_OUT = "coalesce(p.output_per_1k, CAST(0.0015 AS DECIMAL(12,8)))"
 
 
 def lines(spark, sf_dir):
+    """The generated log, written once to the checkpoint folder: in
+    production the lines are a text scan, and the entry attachment reads
+    its input twice (two-level running count)."""
     log = costs.price_requests(fixtures.request_log(read_table(spark, sf_dir, "events")))
-    return al.generate_lines(log)
+    return cut_lineage(al.generate_lines(log))
 
 
 def _q(s: str) -> str:
