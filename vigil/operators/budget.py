@@ -163,12 +163,14 @@ def running_total_cost(df: DataFrame, cost_col: str = "cost") -> DataFrame:
 
 def utilisation(df: DataFrame, cost_col: str = "cost") -> DataFrame:
     """Spend per day / week / month against the declared budgets, with
-    the alert ladder (notify at 80 %, block at 95 %)."""
+    the alert ladder (notify at 80 %, block at 95 %). One pass to day
+    totals; weeks and months roll up from that small table."""
+    daily = df.groupBy(F.to_date("ts").alias("day")).agg(F.sum(cost_col).cast(MONEY_SUM).alias("spend"))
     parts = []
     for period, budget in BUDGETS:
         b = F.lit(Decimal(budget)).cast(MONEY)
-        g = (df.groupBy(F.date_trunc(period, F.col("ts")).cast("date").alias("period_start"))
-               .agg(F.sum(cost_col).cast(MONEY_SUM).alias("spend")))
+        g = (daily.groupBy(F.date_trunc(period, F.col("day")).cast("date").alias("period_start"))
+                  .agg(F.sum("spend").cast(MONEY_SUM).alias("spend")))
         ratio = F.round(F.col("spend") / b, 6)
         parts.append(g.select(F.lit(period).alias("period"), "period_start", "spend",
                               b.alias("budget"), ratio.cast("decimal(18,6)").alias("utilisation"),
@@ -178,4 +180,3 @@ def utilisation(df: DataFrame, cost_col: str = "cost") -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-

@@ -293,26 +293,20 @@ def _decide(j: DataFrame, limits) -> DataFrame:
 
 def status(folded: DataFrame, rate_limits: dict[str, int], as_of_sec: int) -> DataFrame:
     """Per client and limit at ``as_of_sec``: used = slots held in the
-    window, remaining = max(0, limit - used), reset = as_of + window."""
+    window, remaining = max(0, limit - used), reset = as_of + window. One
+    aggregate over the fold output counts every window at once; the limit
+    rows come from exploding a literal array (no union, no join)."""
     limits = limits_list(rate_limits)
-    rows = []
-    for n, lim, width, _ in limits:
-        rows.append(
-            folded.where(F.col(f"slot_{_short(n)}") & (F.col("sec") > as_of_sec - width) & (F.col("sec") <= as_of_sec))
-                  .groupBy("client_id").agg(F.count(F.lit(1)).alias("used"))
-                  .select("client_id", F.lit(n).alias("limit_type"), F.lit(lim).cast("bigint").alias("limit"),
-                          "used"))
-    used = rows[0]
-    for r in rows[1:]:
-        used = used.unionByName(r)
-    lim_arr = F.array(*[F.struct(F.lit(n).alias("limit_type"), F.lit(lim).cast("bigint").alias("limit"),
-                                 F.lit(width).cast("bigint").alias("width")) for n, lim, width, _ in limits])
-    grid = (folded.select("client_id").distinct()
-            .select("client_id", F.explode(lim_arr).alias("l")).select("client_id", "l.*"))
-    out = grid.join(used, on=["client_id", "limit_type", "limit"], how="left")
-    return out.select("client_id", "limit_type", "limit",
-                      F.coalesce(F.col("used"), F.lit(0).cast("bigint")).alias("used"),
-                      F.greatest(F.lit(0).cast("bigint"), F.col("limit") - F.coalesce(F.col("used"), F.lit(0))).alias("remaining"),
+    used = folded.groupBy("client_id").agg(*[
+        F.count_if(F.col(f"slot_{_short(n)}") & (F.col("sec") > as_of_sec - width)
+                   & (F.col("sec") <= as_of_sec)).alias(f"used_{_short(n)}")
+        for n, _, width, _ in limits])
+    rows = F.array(*[F.struct(F.lit(n).alias("limit_type"), F.lit(lim).cast("bigint").alias("limit"),
+                              F.col(f"used_{_short(n)}").cast("bigint").alias("used"),
+                              F.lit(width).cast("bigint").alias("width")) for n, lim, width, _ in limits])
+    out = used.select("client_id", F.explode(rows).alias("l")).select("client_id", "l.*")
+    return out.select("client_id", "limit_type", "limit", "used",
+                      F.greatest(F.lit(0).cast("bigint"), F.col("limit") - F.col("used")).alias("remaining"),
                       (F.lit(as_of_sec) + F.col("width")).cast("bigint").alias("reset_time"))
 
 
