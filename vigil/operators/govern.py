@@ -46,13 +46,16 @@ def govern(requests: DataFrame, policy_settings: DataFrame, pricing: DataFrame |
     order = {n: w for n, w, _ in RATE_WINDOWS}
     limits = dict(sorted((p["rate_limits"] or {}).items(), key=lambda kv: order.get(kv[0], 1 << 40)))
 
-    # 0. rate limit (T1/T2); every request takes part
-    rl = rate_limit.decisions(requests.select("request_id", "client_id", "sec"), limits) if limits else None
-    d = requests
-    if rl is not None:
-        d = d.join(rl.select("request_id", F.col("allowed").alias("rate_ok"), F.col("reason").alias("rate_reason"),
-                             F.col("min_remaining").alias("rate_remaining")), "request_id", "left")
+    # 0. rate limit (T1/T2); every request takes part; the request columns
+    # ride along the fold's join back, so no second join on the request id
+    if limits:
+        rest = [c for c in requests.columns if c not in ("request_id", "client_id", "sec")]
+        d = (rate_limit.decisions(requests, limits, keep=rest)
+             .withColumnRenamed("allowed", "rate_ok").withColumnRenamed("reason", "rate_reason")
+             .withColumnRenamed("min_remaining", "rate_remaining")
+             .drop("remaining_minute", "remaining_hour", "remaining_day"))
     else:
+        d = requests
         d = d.withColumn("rate_ok", F.lit(True)).withColumn("rate_reason", F.lit(None).cast("string")) \
              .withColumn("rate_remaining", F.lit(None).cast("bigint"))
 

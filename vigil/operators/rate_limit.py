@@ -248,7 +248,8 @@ def fold_requests(log: DataFrame, limits, resets: DataFrame | None = None) -> Da
 
 
 def decisions(log: DataFrame, rate_limits: dict[str, int], resets: DataFrame | None = None,
-              strategy: str = "auto", count_mode: str = "distinct_seconds") -> DataFrame:
+              strategy: str = "auto", count_mode: str = "distinct_seconds",
+              keep: list[str] | None = None) -> DataFrame:
     """T1 + T2 + T4 + T12 per request: allowed, reason, remaining per window
     (NULL where the check stopped before it), min_remaining. Rows without a
     time fail open with full remaining. ``strategy``: 'serial' folds each
@@ -256,29 +257,32 @@ def decisions(log: DataFrame, rate_limits: dict[str, int], resets: DataFrame | N
     by day with a parallel fast path for calm days; 'auto' picks by the
     busiest client's number of active seconds. ``count_mode='requests'``
     counts every request instead of every active second (what the
-    original's documentation promises; one fold row per request)."""
+    original's documentation promises; one fold row per request).
+    ``keep``: further columns of ``log`` carried through the join back, so
+    a caller needs no second join on the request id."""
+    keep = [c for c in (keep or []) if c not in ("request_id", "client_id", "sec")]
     limits = limits_list(rate_limits)
     if count_mode == "requests":
         folded = fold_requests(log, limits, resets)
-        keyed = log.select("request_id", "client_id", "sec")
+        keyed = log.select("request_id", "client_id", "sec", *keep)
         j = keyed.join(folded.drop("client_id", "sec").withColumnRenamed("first_id", "request_id"),
                        on="request_id", how="left").withColumn("first_id", F.col("request_id"))
-        return _decide(j, limits)
+        return _decide(j, limits, keep)
     span = None
     if strategy == "auto":  # one column scan, trivial aggregate
         lo, hi = log.agg(F.min("sec"), F.max("sec")).first()
         span = 0 if lo is None else hi - lo + 1
     folded = choose_fold(per_second(log, resets), limits, strategy, span)
-    keyed = log.select("request_id", "client_id", "sec")
+    keyed = log.select("request_id", "client_id", "sec", *keep)
     j = keyed.join(folded, on=["client_id", "sec"], how="left")
-    return _decide(j, limits)
+    return _decide(j, limits, keep)
 
 
-def _decide(j: DataFrame, limits) -> DataFrame:
+def _decide(j: DataFrame, limits, keep: list[str] = ()) -> DataFrame:
     is_first = F.col("request_id") == F.col("first_id")
     fail_open = F.col("sec").isNull()
     out = j.select(
-        "request_id", "client_id", "sec",
+        "request_id", "client_id", "sec", *keep,
         F.when(fail_open, True).when(is_first, F.col("first_allowed")).otherwise(F.col("rest_allowed")).alias("allowed"),
         F.when(fail_open, None).when(is_first, F.col("first_reason")).otherwise(F.col("rest_reason")).alias("reason"),
         *[F.when(fail_open, F.lit(lim).cast("bigint"))
