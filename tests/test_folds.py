@@ -251,3 +251,27 @@ def test_rate_count_mode_requests(spark):
     want = {k: (v[0], v[1], v[2], v[3], None) for k, v in brute_rate_requests(rows, limits).items()}
     assert got == want
     assert got[3][0] is False  # a third request in the same second counts
+
+
+def test_chunked_fold_splits_a_hot_client_and_auto_switches(spark, monkeypatch):
+    """A client busy on days 1 and 5 with quiet days between: the chunked
+    fold replays the two bursts as separate segments, and 'auto' switches to
+    it once the log spans more seconds than the threshold."""
+    limits = {"requests_per_minute": 2, "requests_per_hour": 5, "requests_per_day": 20}
+    rows, rid = [], 0
+    for day in (1, 5):
+        for i in range(60):
+            rows.append((rid, "hot", day * 86400 + i * 7))
+            rid += 1
+    for day in range(0, 8):
+        rows.append((rid, "hot", day * 86400 + 50000))
+        rid += 1
+    df = spark.createDataFrame(rows, "request_id long, client_id string, sec long")
+    ps = rate_limit.per_second(df)
+    lim = rate_limit.limits_list(limits)
+    chunk_rows = rate_limit.fold_seconds_chunked(ps, lim)
+    assert chunk_rows.count() == ps.count()
+    monkeypatch.setattr(rate_limit, "HOT_CLIENT_SECONDS", 50)  # the hot client has 128 active seconds
+    got = {x.request_id: (x.allowed, x.reason, x.remaining_minute, x.remaining_hour, x.remaining_day)
+           for x in rate_limit.decisions(df, limits).collect()}
+    assert got == brute_rate(rows, limits)
