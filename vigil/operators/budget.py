@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from vigil.operators.windows import running_sum, trailing_sum
 from vigil.session import cut_lineage
-from vigil.sources.dims import MONEY, MONEY_SUM
+from vigil.sources.dims import DAILY_CAP_REASON, MONEY, MONEY_SUM
 
 # ---------------------------------------------------------------------------
 # Declared research budgets and their alert ladder.
@@ -131,9 +131,9 @@ def admission(requests: DataFrame, daily_cap: str | Decimal) -> DataFrame:
                 .mapInPandas(_admission_fold(cap_micro), schema))
     out = sure.unionByName(tail_out)
     spend = (F.col("spend_before_micro").cast("decimal(38,0)") * F.lit(Decimal("0.000001"))).cast(MONEY)
+    before_text, after_text = DAILY_CAP_REASON.format(cap=_py_float(cap), current="\0").split("\0")
     reason = F.when(~F.col("allowed"), F.concat(
-        F.lit(f"Would exceed daily cap ${_py_float(cap)} (current: $"),
-        F.format_string("%.2f", F.round(spend, 2).cast("double")), F.lit(")")))
+        F.lit(before_text), F.format_string("%.2f", F.round(spend, 2).cast("double")), F.lit(after_text)))
     return out.select("request_id", "allowed", spend.alias("spend_before"), reason.alias("reason"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -93,8 +94,8 @@ def per_request_check(estimate: Column, max_per_request: float | Column) -> tupl
     limit; the reason carries the estimate to 4 places."""
     limit = max_per_request if isinstance(max_per_request, Column) else F.lit(Decimal(str(max_per_request)))
     over = estimate > limit
-    reason = F.when(over, F.concat(F.lit("Estimated cost $"), fixed(estimate, 4),
-                                   F.lit(" exceeds per-request limit $"), _py_number(limit)))
+    a, b, c = re.split(r"\{estimate\}|\{limit\}", dims.PER_REQUEST_REASON)
+    reason = F.when(over, F.concat(F.lit(a), fixed(estimate, 4), F.lit(b), _py_number(limit), F.lit(c)))
     return ~over, reason
 
 

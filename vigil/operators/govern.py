@@ -31,7 +31,7 @@ from vigil.functions import pii
 from vigil.functions.keys import cache_key
 from vigil.operators import budget, cache, costs, pii_scan, rate_limit
 from vigil.session import cut_lineage
-from vigil.sources.dims import RATE_WINDOWS
+from vigil.sources.dims import PII_BLOCK_REASON, RATE_WINDOWS
 
 
 def govern(requests: DataFrame, policy_settings: DataFrame, pricing: DataFrame | None = None,
@@ -66,7 +66,7 @@ def govern(requests: DataFrame, policy_settings: DataFrame, pricing: DataFrame |
                                                               lambda a, s: a + F.size(s["findings"])))
               .withColumn("pii_block", F.lit(action == "block") & first_bad.isNotNull())
               .withColumn("pii_reason", F.when(F.col("pii_block"), F.format_string(
-                  "PII detected in request: %d instances found", F.size(first_bad["findings"]))))
+                  PII_BLOCK_REASON, F.size(first_bad["findings"]))))
               .withColumn("messages", F.transform(F.col("_scan"), lambda s: F.struct(
                   s["role"].alias("role"), pii.apply_action(s["content"], s["findings"], action).alias("content"))))
               .drop("_scan"))

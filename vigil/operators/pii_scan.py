@@ -9,7 +9,7 @@ from vigil.functions import pii
 from vigil.sources import dims
 from vigil.session import ensure_parallelism
 
-BLOCK_REASON = "PII detected in request: %d instances found"
+BLOCK_REASON = dims.PII_BLOCK_REASON
 
 
 def scan_texts(df: DataFrame, text_col: str = "text", entities: list[str] | None = None) -> DataFrame:

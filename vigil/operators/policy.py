@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.sources.dims import POLICY_INTEGER_ERROR, POLICY_NAME_ERROR, POLICY_NUMBER_ERROR
+
 # ---------------------------------------------------------------------------
 # The two built-in policies (the file shipped next to the
 # service, and the one the loader writes when the directory is empty) and
@@ -42,7 +44,7 @@ BUILTIN_DEFAULT = {
 FILE_DEFAULT_ROUTING = [("max_tokens < 100", "gpt-3.5-turbo"), ("default", "gpt-4o-mini")]
 COST_FIELDS = ["max_per_request", "max_per_minute", "daily_cap"]
 RATE_FIELDS = ["requests_per_minute", "requests_per_hour", "requests_per_day"]
-ERR_NAME = "Policy must have a 'name' field"
+ERR_NAME = POLICY_NAME_ERROR
 # ---------------------------------------------------------------------------
 
 def _yaml_to_json_udf():
@@ -110,11 +112,11 @@ def validate(policies: DataFrame) -> DataFrame:
     numeric = "^(BIGINT|DOUBLE|FLOAT|BOOLEAN|DECIMAL.*)$"
     for f in COST_FIELDS:
         t = _vtype(doc, f"$.cost_limits.{f}")
-        checks.append(F.when(t.isNotNull() & ~t.rlike(numeric), F.lit(f"cost_limits.{f} must be a number")))
+        checks.append(F.when(t.isNotNull() & ~t.rlike(numeric), F.lit(POLICY_NUMBER_ERROR.format(field=f))))
     for f in RATE_FIELDS:
         t = _vtype(doc, f"$.rate_limits.{f}")
         checks.append(F.when(t.isNotNull() & ~t.rlike("^(BIGINT|BOOLEAN)$"),
-                             F.lit(f"rate_limits.{f} must be an integer")))
+                             F.lit(POLICY_INTEGER_ERROR.format(field=f))))
     return policies.select("policy_name", F.array_compact(F.array(*checks)).alias("errors"))
 
 

@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.operators.windows import trailing_sum
-from vigil.sources.dims import RATE_WINDOWS
+from vigil.sources.dims import RATE_LIMIT_REASON, RATE_WINDOWS
 
 WINDOW_OF = {n: (w, s) for n, w, s in RATE_WINDOWS}
-REASON = "Rate limit exceeded: {name} ({limit} requests per {suffix})"
+REASON = RATE_LIMIT_REASON
 
 
 def limits_list(rate_limits: dict[str, int]) -> list[tuple[str, int, int, str]]:

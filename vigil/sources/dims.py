@@ -54,6 +54,15 @@ RATE_WINDOWS = [
 ]
 
 RESPONSE_BLOCKED_TEXT = "Response blocked due to PII detection."
+
+# Decision and validation messages (Python format fields filled per row).
+RATE_LIMIT_REASON = "Rate limit exceeded: {name} ({limit} requests per {suffix})"
+PII_BLOCK_REASON = "PII detected in request: %d instances found"
+PER_REQUEST_REASON = "Estimated cost ${estimate} exceeds per-request limit ${limit}"
+DAILY_CAP_REASON = "Would exceed daily cap ${cap} (current: ${current})"
+POLICY_NAME_ERROR = "Policy must have a 'name' field"
+POLICY_NUMBER_ERROR = "cost_limits.{field} must be a number"
+POLICY_INTEGER_ERROR = "rate_limits.{field} must be an integer"
 DEFAULT_MAX_TOKENS_FOR_COST = 500
 DEFAULT_CACHE_TTL = 3600
 COUNTER_RETENTION_DAYS = 7
