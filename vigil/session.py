@@ -41,14 +41,22 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; we only invent one (a fresh local
-    folder) when the setting is absent, which happens in tests and the bench.
+    A cluster names a shared folder there (the context picks it up at start);
+    we only invent one (a fresh local folder) when neither the setting nor the
+    context has one, which happens in tests and the bench. The setting itself
+    cannot change at runtime, so the context's folder is set directly.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    try:
+        current = sc._jsc.sc().getCheckpointDir()
+        if current.isDefined():
+            return current.get()
+    except Exception:  # noqa: BLE001 - fall back to the configuration
+        pass
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="vigil-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path
 
 
