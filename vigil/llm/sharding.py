@@ -45,9 +45,8 @@ def _range_of(bounds: list[tuple[int, int]], base: Column) -> Column:
     """The number of boundaries at or below (key, id), by halving steps over a literal array."""
     if not bounds:
         return base
-    arr = F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), F.lit(i).cast("bigint").alias("i")) for k, i in bounds])
-    key = F.struct(F.col("_k").alias("k"), F.col("_id").alias("i"))
-    return base + F.size(F.filter(arr, lambda b: b <= key))
+    arr = ", ".join(f"struct(bigint('{k}') AS k, bigint('{i}') AS i)" for k, i in bounds)  # one expression: built by one call
+    return base + F.expr(f"size(filter(array({arr}), b -> b <= struct(_k AS k, _id AS i)))")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", row_id: str = "doc_id",
@@ -84,6 +83,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", row_id: str
               .join(F.broadcast(per), "_range")  # at most as many rows as ranges
               .withColumn("_at", F.col("_b0") + F.col("_rb")).withColumn("_no", F.col("_n0") + F.col("_rn"))
               .withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"(_at * {shards}) div {max(1, total)}")).cast("int")))
+    placed = staged(placed.select(*keep, "_size", "_crc", "_no", "shard"))
     first = placed.groupBy("shard").agg(F.min("_no").alias("_first"))
     return (placed.join(F.broadcast(first), "shard")  # one row per shard
             .select(*keep, F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", (F.col("_no") - F.col("_first")).alias("slot")))
