@@ -131,3 +131,10 @@ def op2(spark, sf_dir):
     from vigil.llm.substring_dedup import dedup
 
     return dedup(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", sha_hex(F.col("kept_text")).alias("kept_sha256"))
+
+
+@query("op10_multi_index_hashing")
+def op10(spark, sf_dir):
+    from vigil.llm.ann_mih import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"))
