@@ -138,3 +138,16 @@ def op10(spark, sf_dir):
     from vigil.llm.ann_mih import nearest
 
     return nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_boosted_pii")
+def op3(spark, sf_dir):
+    from vigil.llm.pii_boost import detect, fit
+
+    docs = _documents(spark, sf_dir)
+    d = detect(docs, fit(docs)).select("doc_id", "pii_spans")
+    base = F.filter("pii_spans", lambda s: s["base"])
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return d.select("doc_id", *(number(k) for k in ("email", "ip", "card", "phone")), sha_hex(told(base)).alias("base_sha256"),
+                    told(F.col("pii_spans")).alias("spans"))
