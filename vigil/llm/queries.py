@@ -151,3 +151,24 @@ def op3(spark, sf_dir):
     number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     return d.select("doc_id", *(number(k) for k in ("email", "ip", "card", "phone")), sha_hex(told(base)).alias("base_sha256"),
                     told(F.col("pii_spans")).alias("spans"))
+
+
+@query("op6_separator_scan_token_counts")
+def op6(spark, sf_dir):
+    import uuid
+
+    from vigil.llm.token_scan import count_tokens, read_blocks, write_token_files
+    from vigil.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_token_files(_documents(spark, sf_dir, "text"), path)
+    out = count_tokens(read_blocks(spark, path))
+    part = F.regexp_extract("file", r"part-(\d+)", 1).cast("bigint") * 1000 + F.regexp_extract("file", r"-c(\d+)", 1).cast("bigint")
+    return out.select(part.alias("file_no"), "doc_no", "start", "n_tokens", "complete")
+
+
+@query("op7_quotation_linking")
+def op7(spark, sf_dir):
+    from vigil.llm.chat_quotes import conversations
+
+    return conversations(read_table(spark, sf_dir, "conversations"))
