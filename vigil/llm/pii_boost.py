@@ -9,8 +9,8 @@ words around it). One boosted tree model per kind is fitted on a bounded
 sample of candidates with labels by rule: a candidate that is a base span has
 its kind; one with the form of an access key, or a mixed token assigned to a
 secret's name, is a ``secret``; others are none. Half of the sample fits the
-trees, the other half calibrates a threshold per kind, the lowest that reaches
-``PRECISION`` there (no threshold, no span). Accepted candidates that touch no
+trees, the other half calibrates a threshold per kind, the lowest of at least
+0.5 that reaches ``PRECISION`` there (no threshold, no span). Accepted candidates that touch no
 base span and no better candidate are added.
 
 Defined cases: null is an empty text without spans; without any candidate
@@ -196,8 +196,8 @@ def fit(docs: DataFrame, text: str = "text", row_id: str = "doc_id", sample_rows
         p, right = trees.probability(x[test]), y[test] == k
         order = np.argsort(-p, kind="stable")
         precision = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
-        last = np.flatnonzero((precision >= PRECISION) & (np.diff(p[order], append=-1) < 0))  # never between equal scores
-        if len(last) and p[order][last[-1]] >= 0.5:
+        last = np.flatnonzero((precision >= PRECISION) & (p[order] >= 0.5) & (np.diff(p[order], append=-1) < 0))  # never between equal scores
+        if len(last):
             models[kind] = (trees, float(p[order][last[-1]]))
     return models
 
