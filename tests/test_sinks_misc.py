@@ -1,14 +1,11 @@
 """Sinks and smaller operators: spans export, session audit export, cache
-lookup against a table, policy change detection, optional tokenizer."""
+lookup against a table, policy change detection."""
 
 import datetime as dt
 import glob
 import os
 import tempfile
 
-from pyspark.sql import functions as F
-
-from vigil.functions import cost as fc
 from vigil.operators import audit, cache, policy, spans
 
 
@@ -53,10 +50,3 @@ def test_policy_changed(spark):
     df = spark.createDataFrame([("a", t), ("b", t + dt.timedelta(minutes=5))], "policy_name string, modified timestamp")
     assert df.agg(policy.policy_changed(df, t + dt.timedelta(minutes=1)).alias("c")).first().c is True
     assert df.agg(policy.policy_changed(df, t + dt.timedelta(minutes=10)).alias("c")).first().c is False
-
-
-def test_optional_tokenizer_falls_back(spark):
-    df = spark.createDataFrame([("Hello, how are you?",), ("This is a longer text " * 100,)], "t string")
-    n = [r.n for r in df.select(fc.bpe_token_count_udf()(F.col("t")).alias("n")).collect()]
-    # exact BPE when the vocabulary loads, else the length // 4 rule
-    assert 4 <= n[0] <= 8 and 400 <= n[1] <= 600

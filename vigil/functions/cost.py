@@ -1,53 +1,24 @@
 """Token and cost column functions.
 
-All of these are JVM expressions; the optional exact tokenizer is an
-Arrow-batched pandas UDF loaded once per Python worker.
+All of these are JVM expressions.
 """
 
 from __future__ import annotations
 
 from decimal import Decimal
 
-import pandas as pd
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vigil.sources.dims import MONEY, PRICE_TYPE
 
 
-
 def count_tokens(text: Column) -> Column:
     """X12 default: code points div 4, the governed proxy's own fallback when
     its BPE vocabulary cannot be loaded. NULL text counts 0."""
     return F.coalesce(F.floor(F.length(text) / 4).cast("bigint"), F.lit(0).cast("bigint"))
 
 
-_ENCODER = None
-
-
-def _encoder():
-    global _ENCODER
-    if _ENCODER is None:
-        import tiktoken  # gated: the vocabulary may need a download
-        _ENCODER = tiktoken.get_encoding("cl100k_base")
-    return _ENCODER
-
-
-def bpe_token_count_udf():
-    """Optional exact tokenizer as a vectorised UDF; falls back per row to the
-    length-div-4 rule when the vocabulary is unavailable."""
-    @F.pandas_udf("bigint")
-    def _count(texts: pd.Series) -> pd.Series:
-        try:
-            enc = _encoder()
-            return texts.fillna("").map(lambda t: len(enc.encode(t))).astype("int64")
-        except Exception:
-            return (texts.fillna("").str.len() // 4).astype("int64")
-
-    return _count
-
-
 def message_tokens(role: Column, content: Column) -> Column:
     """Per-message share of A8: 4 + tok(role) + tok(content)."""
     return F.lit(4).cast("bigint") + count_tokens(role) + count_tokens(content)

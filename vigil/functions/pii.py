@@ -96,14 +96,15 @@ def _guard(text: Column, kind: str) -> Column:
     return F.lit(True)
 
 
-def find_spans(text: Column, pattern: str, kind: str) -> Column:
+def find_spans(text: Column, pattern: str | Column, kind: str) -> Column:
     """Every non-overlapping match of ``pattern`` with half-open
     code-point offsets, as ARRAY<STRUCT<type, text, start, end>>.
 
     Match i starts after pieces 0..i and matches 0..i-1. Matches and pieces
     are zipped and walked once by ``aggregate`` (an outer expression
     referenced inside a lambda would be re-evaluated per element)."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    matches = F.regexp_extract_all(text, pattern, F.lit(0))
     pieces = F.split(text, pattern, -1)
     zipped = F.arrays_zip(matches.alias("m"), pieces.alias("p"))
     init = F.struct(F.lit(0).alias("pos"), _empty().alias("out"))
@@ -125,37 +126,38 @@ def detect_family(text: Column, kind: str) -> Column:
             .otherwise(_empty())
 
 
-def detect_names(text: Column) -> Column:
-    """Whole-word occurrences of a listed name, case-insensitive, counted
-    once each, for names that appear somewhere in the text as a bare
-    whitespace-delimited token (the original only searches names that occur
-    as a bare token; it then reports each occurrence once per such token,
-    which we deduplicate)."""
-    bare = F.array_distinct(F.regexp_extract_all(
-        F.lower(text), F.lit(f"(?U)(?<!\\S)({NAME_ALTERNATION})(?!\\S)"), F.lit(1)))
-    spans = find_spans(text, f"(?iU)\\b(?:{NAME_ALTERNATION})\\b", "person_name")
-    # carry ``bare`` in the accumulator so it is computed once per row
-    init = F.struct(bare.alias("bare"), _empty().alias("out"))
-    hits = F.aggregate(spans, init, lambda a, f: F.when(
-        F.array_contains(a["bare"], F.lower(f["text"])),
-        F.struct(a["bare"].alias("bare"), F.concat(a["out"], F.array(f)).alias("out"))).otherwise(a),
-        lambda a: a["out"])
-    return F.when(text.isNull(), _empty()).when(F.size(bare) > 0, hits).otherwise(_empty())
+# White space between name tokens, as the original splits text (the information separators included).
+_TOKEN_SPACE = "[\\s\\x1c-\\x1f]"
+
+
+def detect_names(text: Column, repeats: bool = False) -> Column:
+    """A white-space token whose word characters alone make a listed name
+    is searched, punctuation and all, as a whole word in the text, ignoring
+    case. Each distinct token is searched once; ``repeats`` searches it once
+    per time it occurs, as the original does (D2)."""
+    bare = F.regexp_replace(F.lower(text), "(?U)[^\\w\\s\\x1c-\\x1f]", "")
+    guard = bare.rlike(f"(?U)(?<![^\\s\\x1c-\\x1f])(?:{NAME_ALTERNATION})(?![^\\s\\x1c-\\x1f])")
+    tokens = F.filter(F.split(F.lower(text), f"(?U){_TOKEN_SPACE}+"),
+                      lambda w: F.regexp_replace(w, "(?U)[^\\w]", "").isin(dims.COMMON_NAMES))
+    tokens = tokens if repeats else F.array_distinct(tokens)
+    quoted = lambda w: F.concat(F.lit("(?iU)\\b\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E\\b"))
+    found = F.flatten(F.transform(tokens, lambda w: find_spans(text, quoted(w), "person_name")))
+    return F.when(text.isNull(), _empty()).when(guard, found).otherwise(_empty())
 
 
 def sort_findings(findings: Column) -> Column:
-    """O1: by start; ties keep detection order of the type."""
-    keyed = F.transform(findings, lambda f: F.struct(
-        f["start"].alias("s"), dims.pii_type_rank(f["type"]).alias("r"), f.alias("f")))
+    """O1: by start; ties keep the order of detection."""
+    keyed = F.transform(findings, lambda f, i: F.struct(f["start"].alias("s"), i.alias("i"), f.alias("f")))
     return F.transform(F.array_sort(keyed), lambda k: k["f"])
 
 
 @_memo
-def detect(text: Column, families: list[str] | None = None) -> Column:
-    """U1 + O1: all families (and names) unioned and sorted."""
-    kinds = families or dims.PII_TYPES
-    parts = [detect_family(text, k) if k != "person_name" else detect_names(text) for k in kinds]
-    return sort_findings(F.concat(*parts))
+def detect(text: Column, families: list[str] | None = None, repeats: bool = False) -> Column:
+    """U1 + O1: all families (and names) unioned and sorted. ``families``
+    limits the search to the types that a policy asks for (P4)."""
+    kinds = [k for k in dims.PII_TYPES if not families or k in families]
+    parts = [detect_family(text, k) if k != "person_name" else detect_names(text, repeats) for k in kinds]
+    return sort_findings(F.concat(*parts)) if parts else _empty()
 
 
 def filter_entities(findings: Column, entities: Column | list[str] | None) -> Column:
@@ -211,14 +213,21 @@ def merge_overlaps(findings: Column) -> Column:
 
 
 def _splice(text: Column, findings: Column, repl) -> Column:
-    """Replaces sorted, non-overlapping spans left to right."""
-    init = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"))
-    acc = F.aggregate(findings, init, lambda a, f: F.struct(
-        F.concat(a["out"], F.substring(text, a["pos"] + 1, f["start"] - a["pos"]), repl(f)).alias("out"),
-        f["end"].alias("pos")))
-    return F.concat(acc["out"],
-                    F.when(F.length(text) > acc["pos"],
-                           F.substring(text, acc["pos"] + 1, 1 << 30)).otherwise(F.lit("")))
+    """Replaces sorted, non-overlapping spans: each replacement with the gap
+    before it, joined once. Gaps are cut from four-byte characters, so that a
+    cut does not walk the text from its start: linear in text and findings.
+    (The struct makes lambda variables of both, which are evaluated once.)"""
+    wide = F.array(F.struct(F.encode(text, "UTF-32").alias("u"), findings.alias("k")))
+    cut = lambda u, a, b: F.decode(F.substring(u, 4 * a + 1, 4 * (b - a)), "UTF-32")
+
+    def pieces(s):
+        n = F.size(s["k"])
+        before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(s["k"], i - 1)["end"])
+        runs = F.transform(s["k"], lambda f, i: F.concat(cut(s["u"], before(i), f["start"]), repl(f)))
+        last = F.when(n == 0, F.lit(0)).otherwise(F.get(s["k"], n - 1)["end"])
+        return F.concat(F.array_join(runs, ""), cut(s["u"], last, (F.octet_length(s["u"]) / 4).cast("int")))
+
+    return F.get(F.transform(wide, pieces), F.lit(0))
 
 
 def _splice_reference(text: Column, findings: Column, repl) -> Column:

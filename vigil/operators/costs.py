@@ -19,18 +19,15 @@ def with_prices(df: DataFrame, pricing: DataFrame | None = None, model_col: str
     """Left lookup of per-1K prices by exact model name; a missing model
     takes the fallback model's prices.
 
-    The pricing dimension is a fixed handful of rows, so it is broadcast; a
-    user-supplied table is broadcast only after its row count is checked.
+    The built-in pricing dimension is a fixed handful of rows, so it is
+    broadcast. A user's table gets no hint (AQE broadcasts it by its measured
+    size), and one row per model, so that it cannot multiply requests.
     """
-    spark = df.sparkSession
     if pricing is None:
-        pricing = dims.pricing_table(spark)
-        small = True
+        p = F.broadcast(dims.pricing_table(df.sparkSession).select(F.col("model").alias("_price_model"), *PRICE_COLS))
     else:
-        small = pricing.limit(10_001).count() <= 10_000
-    p = pricing.select(F.col("model").alias("_price_model"), *PRICE_COLS)
-    if small:
-        p = F.broadcast(p)
+        p = pricing.groupBy(F.col("model").alias("_price_model")).agg(
+            F.min(F.struct(*PRICE_COLS)).alias("_p")).select("_price_model", "_p.*")
     fin, fout = dims.fallback_prices()
     out = df.join(p, df[model_col] == p["_price_model"], "left").drop("_price_model")
     return (out.withColumn("input_per_1k", F.coalesce(F.col("input_per_1k"), fin))

@@ -7,18 +7,15 @@ from pyspark.sql import functions as F
 
 from vigil.functions import pii
 from vigil.sources import dims
-from vigil.session import ensure_parallelism
 
 BLOCK_REASON = dims.PII_BLOCK_REASON
 
 
 def scan_texts(df: DataFrame, text_col: str = "text", entities: list[str] | None = None) -> DataFrame:
-    """Adds ``findings`` (sorted, entity-filtered) for a text column.
-
-    Regex work is CPU-bound per row, so a scan with fewer splits than cores
-    is spread first (a no-op at cluster scale)."""
-    d = ensure_parallelism(df)
-    return d.withColumn("findings", pii.filter_entities(pii.detect(F.col(text_col)), entities))
+    """Adds ``findings`` (sorted; only the listed types are searched) for a
+    text column. A narrow map over the scan: size the splits of CPU-heavy
+    text with ``spark.sql.files.maxPartitionBytes``."""
+    return df.withColumn("findings", pii.detect(F.col(text_col), entities or None))
 
 
 def findings_rows(df: DataFrame, id_col: str) -> DataFrame:
@@ -34,13 +31,20 @@ def findings_rows(df: DataFrame, id_col: str) -> DataFrame:
                       F.col("f.start").alias("pii_start"), F.col("f.end").alias("pii_end")))
 
 
+def searched(text: Column, entities: list[str] | Column | None) -> Column:
+    """A literal entity list limits the search itself; a column filters afterwards."""
+    if entities is None or isinstance(entities, list):
+        return pii.detect(text, entities or None)
+    return pii.filter_entities(pii.detect(text), entities)
+
+
 @pii._memo
 def message_scan(messages: Column, entities: list[str] | None = None) -> Column:
     """Per message of a messages array: role, content, index and its
     sorted, entity-filtered findings (one row per request, P3)."""
     return F.transform(messages, lambda m, i: F.struct(
         m["role"].alias("role"), m["content"].alias("content"), i.alias("idx"),
-        pii.filter_entities(pii.detect(m["content"]), entities).alias("findings")))
+        searched(m["content"], entities).alias("findings")))
 
 
 def scan_request(requests: DataFrame, action: str | Column = "warn",
@@ -51,7 +55,7 @@ def scan_request(requests: DataFrame, action: str | Column = "warn",
     the report (M5), rewritten messages, and the block decision (P6: the
     reason counts the first offending message only)."""
     act = F.lit(action) if isinstance(action, str) else action
-    d = ensure_parallelism(requests).withColumn("_scan", message_scan(F.col("messages"), entities))
+    d = requests.withColumn("_scan", message_scan(F.col("messages"), entities))
     report = F.flatten(F.transform(F.col("_scan"), lambda s: pii.report(
         s["findings"], F.format_string("messages[%d].content", s["idx"]), act)))
     first_bad = F.try_element_at(F.filter(F.col("_scan"), lambda s: F.size(s["findings"]) > 0), F.lit(1))
@@ -74,8 +78,8 @@ def scan_response(responses: DataFrame, action: str | Column = "warn",
     act = F.lit(action) if isinstance(action, str) else action
     per = F.transform(F.col("choices"), lambda c, i: F.struct(
         c["message"]["content"].alias("content"), i.alias("idx"),
-        pii.filter_entities(pii.detect(c["message"]["content"]), entities).alias("findings")))
-    d = ensure_parallelism(responses).withColumn("_scan", per)
+        searched(c["message"]["content"], entities).alias("findings")))
+    d = responses.withColumn("_scan", per)
     report = F.flatten(F.transform(F.col("_scan"), lambda s: pii.report(
         s["findings"], F.format_string("choices[%d].message.content", s["idx"]), act)))
     new_choices = F.transform(F.col("_scan"), lambda s: F.struct(F.struct(

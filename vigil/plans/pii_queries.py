@@ -26,33 +26,33 @@ def _sql_spans(kind: str, m: str, s: str) -> str:
 
 
 def found_sql(entities: list[str] | None = None,
-              src: str = "SELECT doc_id, text FROM documents") -> str:
+              src: str = "SELECT doc_id, text FROM documents", repeats: bool = False) -> str:
     """CTEs ``pii_arr`` and ``pii_found(<src columns>, f)`` with f the sorted
     findings list of ``text`` (RE2 dialect: no (?U); same matches on this
     data)."""
     names = "[" + ", ".join(_q(n) for n in dims.COMMON_NAMES) + "]"
-    name_pat = f"(?i)\\b(?:{pii.NAME_ALTERNATION})\\b"
     cols, spans = [], []
-    kinds = [k for k, _ in pii.PATTERNS] + ["person_name"]
+    kinds = [k for k, _ in pii.PATTERNS]
     for n, kind in enumerate(kinds):
-        pat = name_pat if kind == "person_name" else pii.PATTERN_OF[kind]
+        pat = pii.PATTERN_OF[kind]
         cols.append(f"regexp_extract_all(text, {_q(pat)}, 0) AS m{n}, "
                     f"regexp_split_to_array(text, {_q(pat)}) AS s{n}")
-        sp = _sql_spans(kind, f"m{n}", f"s{n}")
-        if kind == "person_name":
-            sp = f"list_filter({sp}, lambda z: list_contains(bare, lower(z.text)))"
         if entities is None or kind in entities:
-            spans.append(sp)
-    rank = "[" + ", ".join(_q(t) for t in dims.PII_TYPES) + "]"
+            spans.append(_sql_spans(kind, f"m{n}", f"s{n}"))
+    if entities is None or "person_name" in entities:
+        # each token that is a listed name without its punctuation, searched as a whole word, punctuation and all
+        per = _sql_spans("person_name", "w.m", "w.s")
+        spans.append(f"flatten(list_transform(list_transform(bare, lambda b: {{'m': regexp_extract_all(text, '(?i)\\b' || regexp_escape(b) || '\\b'), "
+                     f"'s': regexp_split_to_array(text, '(?i)\\b' || regexp_escape(b) || '\\b')}}), lambda w: {per}))")
+    once = "" if repeats else "list_position(ws, w) = i AND "
     return f"""pii_arr AS (
   SELECT *, {', '.join(cols)},
-         list_distinct(list_filter(string_split_regex(lower(text), '\\s+'),
-                                   lambda w: list_contains({names}, w))) AS bare
-  FROM ({src})),
+         list_filter(ws, lambda w, i: {once}list_contains({names}, regexp_replace(w, '[^\\pL\\pN_]', '', 'g'))) AS bare
+  FROM (SELECT *, string_split_regex(lower(text), '[\\s\\pZ\\x1c-\\x1f]+') AS ws FROM ({src}))),
 pii_found AS (
-  SELECT * EXCLUDE ({', '.join(f'm{n}, s{n}' for n in range(len(kinds)))}, bare),
+  SELECT * EXCLUDE ({', '.join(f'm{n}, s{n}' for n in range(len(kinds)))}, ws, bare),
          list_transform(list_sort(list_transform(list_concat({', '.join(spans)}),
-             lambda f: {{'s': f.start, 'r': list_position({rank}, f.type), 'f': f}})),
+             lambda f, i: {{'s': f.start, 'i': i, 'f': f}})),
              lambda k: k.f) AS f
   FROM pii_arr)"""
 
@@ -98,8 +98,10 @@ def pii_scan_documents(spark, sf_dir):
 SELECT x.type AS pii_type, count(*) AS findings, count(DISTINCT doc_id) AS documents
 FROM (SELECT doc_id, unnest(f) AS x FROM pii_found) GROUP BY x.type""")
 def pii_counts_by_type(spark, sf_dir):
-    rows = pii_scan.findings_rows(pii_scan.scan_texts(docs(spark, sf_dir)), "doc_id")
-    per_doc = rows.groupBy("pii_type", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    kinds = F.transform("findings", lambda f: f["type"])
+    d = pii_scan.scan_texts(docs(spark, sf_dir)).select(kinds.alias("k"))  # counted per document before the explode: one shuffle, by type
+    each = F.transform(F.array_distinct("k"), lambda t: F.struct(t.alias("pii_type"), F.size(F.filter("k", lambda x: x == t)).alias("n")))
+    per_doc = d.select(F.explode_outer(each).alias("x")).where("x IS NOT NULL").select("x.*")
     return per_doc.groupBy("pii_type").agg(F.sum("n").alias("findings"),
                                            F.count(F.lit(1)).alias("documents"))
 
@@ -159,13 +161,13 @@ def reference_splice_sql(repl) -> str:
             f"lambda acc, x: substring(acc, 1, x.start) || {repl('x')} || substring(acc, x.\"end\" + 1), text) END")
 
 
-@query("pii_redact_documents_reference", f"""WITH {found_sql()}
+@query("pii_redact_documents_reference", f"""WITH {found_sql(repeats=True)}
 SELECT doc_id, CAST(len(f) AS INTEGER) AS findings, {reference_splice_sql(_sql_redaction)} AS redacted
 FROM pii_found""")
 def pii_redact_documents_reference(spark, sf_dir):
-    """X10 with ``overlap='reference'``: every finding spliced right to left,
-    reproducing the original text exactly, corruption on overlaps included."""
-    d = pii_scan.scan_texts(docs(spark, sf_dir))
+    """X10 with ``overlap='reference'``: every finding, a name's once per token
+    as the original records them, spliced right to left with stale offsets."""
+    d = docs(spark, sf_dir).withColumn("findings", pii.detect(F.col("text"), repeats=True))
     return d.select("doc_id", F.size("findings").cast("int").alias("findings"),
                     pii.redact_text(F.col("text"), F.col("findings"), "reference").alias("redacted"))
 
@@ -184,3 +186,44 @@ def pii_findings_report(spark, sf_dir):
     return rows.select("doc_id", F.col("x.location").alias("location"), F.col("x.type").alias("pii_type"),
                        F.col("x.text").alias("reported_text"), F.col("x.position.start").alias("pii_start"),
                        F.col("x.position.end").alias("pii_end"))
+
+
+# Texts that hold every family: made from customers' keys, so that they grow with the table. the
+# text's parts; names with inner punctuation, repeats, and a name inside an address included.
+_NAMES_AT = "([" + ", ".join(_q(n) for n in dims.COMMON_NAMES) + f"])[c_custkey % {len(dims.COMMON_NAMES)} + 1]"
+_DIGITS = "right('0000000000' || CAST(c_custkey * 7919 AS VARCHAR), 10)"
+CUSTOMER_TEXT_SQL = f"""SELECT c_custkey AS doc_id, CASE c_custkey % 8
+  WHEN 0 THEN 'Ask ' || n || ' or ' || upper(n) || '. Write to ' || n || '.' || c_custkey || '@mail.example.com'
+  WHEN 1 THEN 'ssn ' || left(d, 3) || '-' || substr(d, 4, 2) || '-' || substr(d, 6, 4) || ' of (' || n || ')'
+  WHEN 2 THEN 'sk-' || repeat(left(d, 8), 6) || ' and pk_' || repeat(left(d, 8), 4)
+  WHEN 3 THEN 'key AKIA' || upper(left(sha256(d), 16)) || ' from 10.' || c_custkey % 256 || '.0.7 for ' || left(n, 1) || '.' || substr(n, 2)
+  WHEN 4 THEN 'call (' || left(d, 3) || ') ' || substr(d, 4, 3) || '-' || right(d, 4) || ', ' || n || '! ' || n
+  WHEN 5 THEN 'card 4' || left(d, 3) || ' ' || right(d, 4) || ' ' || left(d, 4) || ' ' || right(d, 4) || ' ok'
+  WHEN 6 THEN 'Authorization: Bearer ' || left(sha256(d), 20) || ' é ' || n || ', ' || n || '.x'
+  ELSE c_name || ' says nothing' END AS text
+FROM (SELECT *, {_NAMES_AT} AS n, {_DIGITS} AS d FROM customer)"""
+
+
+def customer_texts(spark, sf_dir):
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    c = c.withColumn("n", F.element_at(dims.names_array(), (F.col("c_custkey") % len(dims.COMMON_NAMES) + 1).cast("int")))
+    c = c.withColumn("d", F.expr("right('0000000000' || CAST(c_custkey * 7919 AS STRING), 10)"))
+    case = CUSTOMER_TEXT_SQL.split("doc_id, ", 1)[1].rsplit(" AS text", 1)[0].replace("sha256(d)", "sha2(d, 256)")
+    return c.select(F.col("c_custkey").alias("doc_id"), F.expr(case).alias("text"))
+
+
+@query("pii_scan_customer_texts", f"""WITH {found_sql(src=CUSTOMER_TEXT_SQL)}
+SELECT doc_id, CAST(o - 1 AS INTEGER) AS ord, x.type AS pii_type, x.text AS pii_text,
+       x.start AS pii_start, x."end" AS pii_end
+FROM (SELECT doc_id, unnest(f) AS x, generate_subscripts(f, 1) AS o FROM pii_found)""")
+def pii_scan_customer_texts(spark, sf_dir):
+    return pii_scan.findings_rows(pii_scan.scan_texts(customer_texts(spark, sf_dir)), "doc_id")
+
+
+@query("pii_redact_customer_texts_reference", f"""WITH {found_sql(src=CUSTOMER_TEXT_SQL, repeats=True)}
+SELECT doc_id, CAST(len(f) AS INTEGER) AS findings, {reference_splice_sql(_sql_redaction)} AS redacted
+FROM pii_found""")
+def pii_redact_customer_texts_reference(spark, sf_dir):
+    d = customer_texts(spark, sf_dir).withColumn("findings", pii.detect(F.col("text"), repeats=True))
+    return d.select("doc_id", F.size("findings").cast("int").alias("findings"),
+                    pii.redact_text(F.col("text"), F.col("findings"), "reference").alias("redacted"))

@@ -43,18 +43,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     A cluster names a shared folder there (the context picks it up at start);
     we only invent one (a fresh local folder) when neither the setting nor the
-    context has one, which happens in tests and the bench. The setting itself
+    context has one and the master is local (tests, the bench); elsewhere a
+    missing folder is an error. The setting itself
     cannot change at runtime, so the context's folder is set directly.
     """
     sc = spark.sparkContext
-    try:
-        current = sc._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-    except Exception:  # noqa: BLE001 - fall back to the configuration
-        pass
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="vigil-ckpt-")
     sc.setCheckpointDir(path)
     return path
@@ -75,28 +75,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
-def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """Spread CPU-heavy row work when the scan yields fewer splits than cores.
-
-    At scale a scan already has thousands of splits and this is a no-op, so no
-    shuffle is added; a single small file (one row group) becomes one task
-    otherwise.
-    """
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
-
-
 def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 8) -> dict[str, str]:
     """Starting settings for a large cluster run (the session builder of the
-    platform applies them): AQE starts from enough shuffle partitions for
-    ~128 MB each and coalesces; text scans split at 128 MB so a regex task
+    platform applies them): AQE starts from one shuffle partition per GB of
+    raw input (100 TB: about 100k, of ~100 MB of slim columns) and coalesces; text scans split at 128 MB so a regex task
     stays small; skewed joins are split by AQE; broadcasts stay at the
     default size bound."""
     cores = max(1, executors * cores_per_executor)
-    shuffle_parts = max(cores * 2, int(input_bytes // (128 << 20)))
+    # the jobs shuffle slim columns (keys, numbers, hashes), not the raw input: about a gigabyte of it per partition
+    shuffle_parts = max(cores * 2, int(input_bytes // (1 << 30)))
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",

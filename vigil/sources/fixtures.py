@@ -106,12 +106,10 @@ def chat_turns(conversations: DataFrame, with_pii: bool = False) -> DataFrame:
     """
     from vigil.functions import pii
     from vigil.operators.windows import running_sum
-    from vigil.session import ensure_parallelism
 
     extra = []
     values = {"msg_tokens": "input_tokens", "msg_chars": "request_chars", "msg_one": "message_count"}
     if with_pii:
-        conversations = ensure_parallelism(conversations)
         extra = [F.size(pii.detect(F.col("text"))).cast("bigint").alias("msg_findings")]
         values["msg_findings"] = "request_findings_count"
     turns = conversations.select(
