@@ -1,9 +1,10 @@
-"""Policy reading, validation, selection, routing (one-row inline inputs)."""
+"""Policies: checks of every limited field, selection, files, settings, routing, masking."""
 
 import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from vigil.operators import policy
@@ -15,65 +16,67 @@ def _docs(spark, named):
         "policy_name", F.parse_json("json").alias("doc"), F.lit(None).cast("timestamp").alias("modified"))
 
 
-def _errors(spark, doc):
-    return policy.validate(_docs(spark, [("p", doc)])).first().errors
+# one document per case: what is wrong with it
+VALIDITY = [
+    ({"name": "a"}, []),
+    ({"name": "b", "cost_limits": {"daily_cap": 7, "max_per_request": 0.5}, "rate_limits": {"requests_per_day": 9}}, []),
+    ({}, ["Policy must have a 'name' field"]),
+    ({"name": "c", "cost_limits": {"daily_cap": [1]}}, ["cost_limits.daily_cap must be a number"]),
+    ({"name": "d", "cost_limits": {"max_per_request": "0.5"}}, ["cost_limits.max_per_request must be a number"]),
+    ({"name": "e", "rate_limits": {"requests_per_hour": "many"}}, ["rate_limits.requests_per_hour must be an integer"]),
+    ({"name": "f", "rate_limits": {"requests_per_day": 1.5}}, ["rate_limits.requests_per_day must be an integer"]),
+    ({"name": "g", "rate_limits": {"requests_per_minute": False}}, []),  # a boolean counts as a whole number
+]
 
 
-def test_validate(spark):
-    assert _errors(spark, {"name": "Valid", "cost_limits": {"max_per_request": 0.01, "daily_cap": 100.0},
-                           "rate_limits": {"requests_per_minute": 60}}) == []
-    assert _errors(spark, {"cost_limits": {"max_per_request": 0.01}}) == ["Policy must have a 'name' field"]
-    assert _errors(spark, {"name": "T", "cost_limits": {"max_per_request": "invalid"}}) == \
-        ["cost_limits.max_per_request must be a number"]
-    assert _errors(spark, {"name": "T", "rate_limits": {"requests_per_minute": 60.5}}) == \
-        ["rate_limits.requests_per_minute must be an integer"]
-    assert _errors(spark, {"name": "T", "rate_limits": {"requests_per_hour": True}}) == []  # bool passes
+def test_validation(spark):
+    docs = _docs(spark, [(f"p{i}", d) for i, (d, _) in enumerate(VALIDITY)])
+    got = {r.policy_name: r.errors for r in policy.validate(docs).collect()}
+    assert got == {f"p{i}": want for i, (_, want) in enumerate(VALIDITY)}
 
 
-def test_active_policy(spark):
-    pols = _docs(spark, [("a", {"name": "Disabled", "enabled": False}),
-                         ("b", {"name": "Enabled Policy", "enabled": True}),
-                         ("default", {"name": "Default", "enabled": False})])
-    assert policy.active_policy(pols).first().name == "Enabled Policy"
-    assert policy.active_policy(pols, "a").first().name == "Disabled"  # named wins even if disabled
-    only_disabled = _docs(spark, [("a", {"name": "X", "enabled": False}), ("default", {"name": "D", "enabled": False})])
-    assert policy.active_policy(only_disabled).first().name == "D"
-    assert policy.active_policy(_docs(spark, [("a", {"name": "X", "enabled": False})])).count() == 0
+@pytest.mark.parametrize("named, ask, want", [
+    ([("x", False), ("y", True), ("z", True)], None, "Y"),
+    ([("x", False), ("y", True)], "x", "X"),  # a name asked for wins, enabled or not
+    ([("x", False), ("default", False)], None, "DEFAULT"),
+    ([("x", False), ("default", True), ("a", True)], "nobody", "A"),
+    ([("x", False)], None, None),
+])
+def test_selection(spark, named, ask, want):
+    docs = _docs(spark, [(n, {"name": n.upper(), "enabled": on}) for n, on in named])
+    got = [r.name for r in policy.active_policy(docs, *([ask] if ask else [])).collect()]
+    assert got == ([want] if want else [])
 
 
-def test_read_policies_and_fallback(spark):
+def test_files(spark):
     d = tempfile.mkdtemp(prefix="vigil-pol-")
-    with open(os.path.join(d, "custom.yaml"), "w") as f:
-        f.write("name: Custom\nenabled: true\ncost_limits:\n  max_per_request: 0.05\n")
-    with open(os.path.join(d, "empty.yaml"), "w") as f:
-        f.write("")
-    with open(os.path.join(d, "broken.yaml"), "w") as f:
-        f.write("name: [unclosed\n")
+    for name, body in (("tight.yaml", "name: Tight\nrate_limits:\n  requests_per_minute: 2\n"), ("blank.yaml", "\n"),
+                       ("torn.yaml", "name: {\n"), ("notes.txt", "name: No\n")):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(body)
     pols = policy.read_policies(spark, d)
-    assert sorted(r.policy_name for r in pols.collect()) == ["custom"]
+    assert [r.policy_name for r in pols.collect()] == ["tight"]
     s = policy.settings(pols).first()
-    assert s.name == "Custom" and float(s.max_per_request) == 0.05 and s.caching_enabled
-    empty = pols.where("false")
-    fb = policy.with_fallback(empty, spark).collect()
-    assert [r.policy_name for r in fb] == ["default"]
-    assert [r.policy_name for r in policy.with_fallback(pols, spark).collect()] == ["custom"]
+    assert s.name == "Tight" and s.rate_limits == {"requests_per_minute": 2}
+    assert [r.policy_name for r in policy.with_fallback(pols, spark).collect()] == ["tight"]
+    assert [r.policy_name for r in policy.with_fallback(pols.where("false"), spark).collect()] == ["default"]
 
 
-def test_default_policy_structure(spark):
-    s = policy.settings(policy.default_policies(spark)).orderBy("policy_name").collect()
-    builtin, filed = s
-    assert builtin.pii_enabled and builtin.pii_action == "warn" and "api_key" in builtin.pii_entities
-    assert not filed.pii_enabled and filed.pii_action == "redact"
-    assert float(filed.daily_cap) == 100.0 and filed.rate_limits["requests_per_minute"] == 60
+def test_shipped_defaults(spark):
+    got = {r.policy_name: r for r in policy.settings(policy.default_policies(spark)).collect()}
+    assert len(got) == 2
+    with_pii = [r for r in got.values() if r.pii_enabled]
+    assert len(with_pii) == 1 and with_pii[0].pii_action == "warn"
+    assert {float(r.daily_cap) for r in got.values()} == {100.0}
 
 
-def test_route_model(spark):
-    df = spark.createDataFrame([(50,), (500,), (None,)], "max_tokens int")
+def test_routing_by_tokens(spark):
+    df = spark.createDataFrame([(None,), (1,), (100,), (100_000,)], "max_tokens int")
     got = [r.m for r in df.select(policy.route_model(policy.FILE_DEFAULT_ROUTING).alias("m")).collect()]
-    assert got == ["gpt-3.5-turbo", "gpt-4o-mini", "gpt-4o-mini"]
+    assert got[1] == "gpt-3.5-turbo" and got[0] == got[3] and set(got) == {"gpt-3.5-turbo", "gpt-4o-mini"}
 
 
-def test_log_policy_mask(spark):
-    df = spark.createDataFrame([("p", "r", 1.0)], "prompt string, response_text string, cost double")
-    r = policy.log_policy_mask(df, log_responses=False).first()
-    assert r.prompt == "p" and r.response_text is None and r.cost == 1.0
+def test_masked_log(spark):
+    df = spark.createDataFrame([("question", "answer", 2.5)], "prompt string, response_text string, cost double")
+    assert tuple(policy.log_policy_mask(df, log_responses=False).first()) == ("question", None, 2.5)
+    assert policy.log_policy_mask(df, log_responses=True).first().response_text == "answer"
