@@ -253,10 +253,9 @@ def test_rate_count_mode_requests(spark):
     assert got[3][0] is False  # a third request in the same second counts
 
 
-def test_chunked_fold_splits_a_hot_client_and_auto_switches(spark, monkeypatch):
+def test_chunked_fold_splits_a_hot_client(spark):
     """A client busy on days 1 and 5 with quiet days between: the chunked
-    fold replays the two bursts as separate segments, and 'auto' switches to
-    it once the log spans more seconds than the threshold."""
+    fold replays the two bursts as separate segments, whatever the size."""
     limits = {"requests_per_minute": 2, "requests_per_hour": 5, "requests_per_day": 20}
     rows, rid = [], 0
     for day in (1, 5):
@@ -271,7 +270,37 @@ def test_chunked_fold_splits_a_hot_client_and_auto_switches(spark, monkeypatch):
     lim = rate_limit.limits_list(limits)
     chunk_rows = rate_limit.fold_seconds_chunked(ps, lim)
     assert chunk_rows.count() == ps.count()
-    monkeypatch.setattr(rate_limit, "HOT_CLIENT_SECONDS", 50)  # the hot client has 128 active seconds
     got = {x.request_id: (x.allowed, x.reason, x.remaining_minute, x.remaining_hour, x.remaining_day)
            for x in rate_limit.decisions(df, limits).collect()}
     assert got == brute_rate(rows, limits)
+
+
+def test_rows_without_client_or_time_fail_open(spark):
+    rows = [(1, "a", 10), (2, "a", 20), (3, None, 10), (4, None, 11), (5, "a", None), (6, None, None)]
+    df = spark.createDataFrame(rows, "request_id long, client_id string, sec long")
+    for strategy in ("chunked", "serial"):
+        got = {x.request_id: (x.allowed, x.reason, x.remaining_minute) for x in rate_limit.decisions(df, {"requests_per_minute": 1}, strategy=strategy).collect()}
+        assert got[1] == (True, None, 0) and got[2][0] is False
+        assert all(got[k] == (True, None, 1) for k in (3, 4, 5, 6))
+
+
+def test_no_job_runs_while_a_limiter_plan_is_built(spark):
+    sc = spark.sparkContext
+    df = spark.range(100).selectExpr("id AS request_id", "concat('c', id % 3) AS client_id", "id * 7 AS sec")
+    sc.setJobGroup("plan-only", "plan")
+    rate_limit.decisions(df, {"requests_per_minute": 2, "requests_per_day": 9})
+    assert list(sc.statusTracker().getJobIdsForGroup("plan-only")) == []
+    sc.setJobGroup("other", "other")
+
+
+def test_json_strings_equal_pythons(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from vigil.functions.keys import json_string
+
+    texts = ["", "plain", 'q" b\\ /', "tab\tnl\ncr\rbs\bff\f", "\x00\x01\x1f\x7f\x80", "äß 日本 ﷺ", "😀 \U0010ffff", "mixed \\u0041 é\"", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.j for r in df.select("i", json_string(F.col("t")).alias("j")).collect()}
+    assert [got[i] for i in range(len(texts))] == [json.dumps(t) for t in texts]

@@ -82,7 +82,7 @@ def test_access_log_batch_read_and_policy_reload(spark):
                 "INFO:     _meta_cost cost 0.000100\n"
                 "INFO:     _meta_cost cost 0.000200\n")  # the later cost line wins
     lines = access_log.read_access_log(spark, d)
-    rows = access_log.entries(access_log.parse_lines(lines), order=["block", "line_no"]).collect()
+    rows = access_log.entries(access_log.parse_lines(lines)).collect()
     assert len(rows) == 1 and rows[0].status == 429 and str(rows[0].cost) == "0.000200"
     # Policies are re-read for each micro-batch
     pols = tempfile.mkdtemp(prefix="vigil-pol-")

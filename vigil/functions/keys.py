@@ -14,14 +14,25 @@ def client_id(client_ip: Column, user_agent: Column) -> Column:
     return F.substring(F.sha2(raw, 256), 1, 16)
 
 
+def _u(code: Column) -> Column:
+    return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code.cast("bigint"))), 4, "0"))
+
+
 def json_string(s: Column) -> Column:
-    """JSON string literal: quotes plus escapes for backslash, quote and the
-    common control characters. NULL becomes the JSON null."""
+    """JSON string literal in ASCII: backslash, quote and control characters
+    escaped, all else outside space..~ as \\uXXXX (surrogate pairs beyond the
+    basic plane). NULL becomes the JSON null."""
     esc = F.replace(s, F.lit("\\"), F.lit("\\\\"))
-    esc = F.replace(esc, F.lit('"'), F.lit('\\"'))
-    esc = F.replace(esc, F.lit("\n"), F.lit("\\n"))
-    esc = F.replace(esc, F.lit("\r"), F.lit("\\r"))
-    esc = F.replace(esc, F.lit("\t"), F.lit("\\t"))
+    for a, b in [('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")]:
+        esc = F.replace(esc, F.lit(a), F.lit(b))
+
+    def one(c):
+        code = F.ascii(c)
+        high = code - 0x10000
+        return (F.when((code >= 32) & (code < 127), c).when(code < 0x10000, _u(code))
+                .otherwise(F.concat(_u(F.floor(high / 1024) + 0xD800), _u(high % 1024 + 0xDC00))))
+
+    esc = F.when(esc.rlike("[^ -~]"), F.array_join(F.transform(F.split(esc, ""), one), "")).otherwise(esc)
     return F.coalesce(F.concat(F.lit('"'), esc, F.lit('"')), F.lit("null"))
 
 
@@ -32,8 +43,7 @@ def _json_number(c: Column) -> Column:
 def canonical_request_json(model: Column, messages: Column, temperature: Column,
                            max_tokens: Column, top_p: Column) -> Column:
     """The cache-key document: sorted keys, ', ' and ': ' separators, absent
-    temperature/top_p as 1.0, absent max_tokens as null. Equals the governed
-    proxy's text for ASCII content (it escapes non-ASCII as \\uXXXX)."""
+    temperature/top_p as 1.0, absent max_tokens as null."""
     msgs = F.array_join(F.transform(messages, lambda m: F.concat(
         F.lit('{"content": '), json_string(m["content"]),
         F.lit(', "role": '), json_string(m["role"]), F.lit("}"))), ", ")
@@ -53,8 +63,13 @@ def cache_key(model: Column, messages: Column, temperature: Column,
 
 
 def sql_json_string(expr: str) -> str:
+    """The same literal as DuckDB SQL."""
     esc = expr
-    for a, b in [("'\\'", "'\\\\'"), ("'\"'", "'\\\"'"), ("chr(10)", "'\\n'"),
-                 ("chr(13)", "'\\r'"), ("chr(9)", "'\\t'")]:
+    for a, b in [("'\\'", "'\\\\'"), ("'\"'", "'\\\"'"), ("chr(10)", "'\\n'"), ("chr(13)", "'\\r'"), ("chr(9)", "'\\t'"), ("chr(8)", "'\\b'"), ("chr(12)", "'\\f'")]:
         esc = f"replace({esc}, {a}, {b})"
+    u = "'\\u' || lpad(lower(to_hex({})), 4, '0')"
+    one = (f"CASE WHEN ord(c) BETWEEN 32 AND 126 THEN c WHEN ord(c) < 65536 THEN {u.format('ord(c)')} "
+           f"ELSE {u.format('(ord(c) - 65536) // 1024 + 55296')} || {u.format('(ord(c) - 65536) % 1024 + 56320')} END")
+    esc = (f"CASE WHEN regexp_matches({esc}, '[^ -~]') THEN list_aggregate(list_transform(regexp_extract_all({esc}, '(?s).'), lambda c: {one}), 'string_agg', '') "
+           f"ELSE {esc} END")
     return f"coalesce('\"' || {esc} || '\"', 'null')"

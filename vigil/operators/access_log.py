@@ -61,7 +61,7 @@ def parse_lines(lines: DataFrame, cost_marker: str = COST_MARKER, pii_marker: st
 def entries(parsed: DataFrame, order: list[str] | None = None) -> DataFrame:
     """J6 + W5: attach detail lines to the latest preceding HTTP line of the
     same file; lines before the first HTTP line are dropped."""
-    order = order or ["line_no"]
+    order = order or [c for c in ("block", "line_no") if c in parsed.columns]
     # blocks must follow the order: the split start when present, else runs of lines
     block = F.col(order[0]) if len(order) > 1 else F.floor(F.col(order[0]) / 4096)
     d = parsed.withColumn("_h", F.col("is_http").cast("bigint"))
@@ -121,7 +121,7 @@ def generate_lines(log: DataFrame, cost_marker: str = COST_MARKER, pii_marker: s
         F.concat(F.lit("access-"), F.date_format("ts", "yyyy-MM-dd"), F.lit(".log")).alias("file"),
         "ts", "request_id", "client_ip", "status", "cost", "pii_findings",
         (1 + (F.col("status") == 200).cast("bigint") + (F.col("pii_findings") > 0).cast("bigint")).alias("nl"))
-    d = running_sum(d, ["file"], ["ts", "request_id"], {"nl": "base"}, block=F.hour("ts"), inclusive=False)
+    d = running_sum(d, ["file"], ["ts", "request_id"], {"nl": "base"}, block=F.date_trunc("minute", F.col("ts")), inclusive=False)
     http = F.struct((F.col("base") + 1).alias("off"), F.concat(
         F.lit("INFO:     "), F.col("client_ip"), F.lit(':5000 - "POST /v1/chat/completions HTTP/1.1" '),
         F.col("status").cast("string")).alias("line"))

@@ -33,13 +33,19 @@ ALERT_BLOCK = "0.95"
 SCALE = 10 ** 6  # money is DECIMAL(18,6): the fold works on integer micro-dollars
 
 
+def _minute():
+    """Block of the prefix sums: short enough that its rows fit a task at any traffic, few enough for a small
+    table of prefixes."""
+    return F.date_trunc("minute", F.col("ts"))
+
+
 def daily_running_spend(df: DataFrame, cost_col: str = "cost") -> DataFrame:
     """Spend of the day strictly before each request (order ts,
-    request_id), as a two-level prefix sum over hour blocks, so a hot day is
-    spread over its hours."""
+    request_id), as a two-level prefix sum over minute blocks, so a hot day is
+    spread over its minutes."""
     d = df.withColumn("day", F.to_date("ts")).withColumn("_c", F.coalesce(F.col(cost_col), F.lit(0).cast(MONEY)))
     out = running_sum(d, ["day"], ["ts", "request_id"], {"_c": "spend_before"},
-                      block=F.hour("ts"), inclusive=False)
+                      block=_minute(), inclusive=False)
     return out.withColumn("spend_before", F.col("spend_before").cast(MONEY_SUM)).drop("_c")
 
 
@@ -89,8 +95,8 @@ def _admission_fold(cap_micro: int):
                 a, b, spend = _fold_tail(est[lo:hi], act[lo:hi], spend, cap_micro)
                 allowed[lo:hi] = a
                 before[lo:hi] = b
-            yield pd.DataFrame({"request_id": pdf["request_id"].values, "allowed": allowed,
-                                "spend_before_micro": before})
+            yield pd.DataFrame({"request_id": pdf["request_id"].values, "ts": pdf["ts"].values, "day": days, "act_micro": act,
+                                "allowed": allowed, "spend_before_micro": before})
     return fold
 
 
@@ -103,8 +109,9 @@ def admission(requests: DataFrame, daily_cap: str | Decimal) -> DataFrame:
     While the spend of the day so far (every earlier request admitted) plus
     the day's largest estimate stays within the cap, admission is certain;
     that prefix comes from a skew-safe running sum for every day in
-    parallel. Only each day's tail, from the first row where the cap could
-    bind, streams through the fold, which starts from that row's spend."""
+    parallel. From the first row where the cap could bind, rows whose estimate
+    no longer fits are denied in parallel; only those that may still fit
+    stream through the fold, which starts from that row's spend."""
     cap = Decimal(str(daily_cap))
     cap_micro = int(cap * SCALE)
     d = requests.select("request_id", "ts", F.to_date("ts").alias("day"),
@@ -112,7 +119,7 @@ def admission(requests: DataFrame, daily_cap: str | Decimal) -> DataFrame:
                         (F.coalesce(F.col("actual_cost"), F.lit(0)) * SCALE).cast("bigint").alias("act_micro"))
     emax = d.groupBy("day").agg(F.max("est_micro").alias("emax"))  # one row per day
     pre = running_sum(d.withColumn("_a", F.col("act_micro")), ["day"], ["ts", "request_id"],
-                      {"_a": "prefix_micro"}, block=F.hour("ts"), inclusive=False).drop("_a")
+                      {"_a": "prefix_micro"}, block=_minute(), inclusive=False).drop("_a")
     # the prefix table feeds three branches (certain rows, tail rows, tail
     # starts): checkpoint its slim columns once instead of recomputing them
     pre = cut_lineage(pre.join(emax, "day").select(
@@ -123,13 +130,23 @@ def admission(requests: DataFrame, daily_cap: str | Decimal) -> DataFrame:
     tail = pre.where(~F.col("_sure"))
     starts = tail.groupBy("day").agg(F.min("prefix_micro").alias("start_micro"))  # one row per day
     tail = tail.join(starts, "day")
+    # spend never falls: what does not fit at the tail's start never will, so only the rest is folded
+    fits = F.col("est_micro") + F.col("start_micro") <= cap_micro
     schema = T.StructType([T.StructField("request_id", requests.schema["request_id"].dataType),
-                           T.StructField("allowed", T.BooleanType()),
+                           T.StructField("ts", requests.schema["ts"].dataType), T.StructField("day", T.DateType()),
+                           T.StructField("act_micro", T.LongType()), T.StructField("allowed", T.BooleanType()),
                            T.StructField("spend_before_micro", T.LongType())])
-    tail_out = (tail.select("request_id", "ts", "day", "est_micro", "act_micro", "start_micro")
-                .repartition("day").sortWithinPartitions("day", "ts", "request_id")
-                .mapInPandas(_admission_fold(cap_micro), schema))
-    out = sure.unionByName(tail_out)
+    folded = (tail.where(fits).select("request_id", "ts", "day", "est_micro", "act_micro", "start_micro")
+              .repartition("day").sortWithinPartitions("day", "ts", "request_id")
+              .mapInPandas(_admission_fold(cap_micro), schema))
+    folded = cut_lineage(folded)  # Python state over a day: not to be computed once per branch
+    # a row that never fits sees the start's spend and what the fold admitted before it, a prefix sum over minutes
+    steps = folded.where("allowed AND act_micro > 0").select("day", "ts", "request_id", "act_micro", F.lit(False).alias("ask"))
+    asks = tail.where(~fits).select("day", "ts", "request_id", F.lit(0).cast("bigint").alias("act_micro"), F.lit(True).alias("ask"))
+    seen = running_sum(steps.unionByName(asks), ["day"], ["ts", "request_id"], {"act_micro": "more"}, block=_minute(), inclusive=False).where("ask")
+    denied = seen.join(starts, "day").select("request_id", F.lit(False).alias("allowed"),
+                                             (F.col("start_micro") + F.col("more")).alias("spend_before_micro"))
+    out = sure.unionByName(folded.select("request_id", "allowed", "spend_before_micro")).unionByName(denied)
     spend = (F.col("spend_before_micro").cast("decimal(38,0)") * F.lit(Decimal("0.000001"))).cast(MONEY)
     before_text, after_text = DAILY_CAP_REASON.format(cap=_py_float(cap), current="\0").split("\0")
     reason = F.when(~F.col("allowed"), F.concat(
@@ -153,11 +170,11 @@ def minute_spend(df: DataFrame, max_per_minute: str = "1.0", cost_col: str = "co
 
 def running_total_cost(df: DataFrame, cost_col: str = "cost") -> DataFrame:
     """Running total over the whole log in (ts, request_id) order; the
-    global prefix is built from hour blocks, so no window runs without a
+    global prefix is built from minute blocks, so no window runs without a
     partition key."""
     d = df.withColumn("_c", F.coalesce(F.col(cost_col), F.lit(0).cast(MONEY)))
     out = running_sum(d, [], ["ts", "request_id"], {"_c": "running_total"},
-                      block=F.date_trunc("hour", F.col("ts")), inclusive=True)
+                      block=_minute(), inclusive=True)
     return out.withColumn("running_total", F.col("running_total").cast(MONEY_SUM)).drop("_c")
 
 

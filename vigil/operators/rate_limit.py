@@ -46,7 +46,7 @@ def per_second(log: DataFrame, resets: DataFrame | None = None) -> DataFrame:
     """(client_id, sec) -> n requests and the first request id; reset rows
     (client_id, reset_sec) are added with kind 1 so they sort after the
     requests of their second."""
-    ps = (log.where(F.col("sec").isNotNull())
+    ps = (log.where(F.col("sec").isNotNull() & F.col("client_id").isNotNull())
              .groupBy("client_id", "sec")
              .agg(F.count(F.lit(1)).alias("n"), F.min("request_id").alias("first_id"))
              .withColumn("kind", F.lit(0)))
@@ -143,7 +143,7 @@ def fold_seconds(per_sec: DataFrame, limits) -> DataFrame:
     return ordered.mapInPandas(make_fold(limits), _fold_schema(limits))
 
 
-def fold_seconds_chunked(per_sec: DataFrame, limits, checkpointed: bool = False) -> DataFrame:
+def fold_seconds_chunked(per_sec: DataFrame, limits) -> DataFrame:
     """Same result as ``fold_seconds``, with a client's timeline split into
     chunks of the largest window (a day).
 
@@ -158,15 +158,8 @@ def fold_seconds_chunked(per_sec: DataFrame, limits, checkpointed: bool = False)
     stays under its limits never reaches Python."""
     from pyspark.sql import Window
 
-    from vigil.session import cut_lineage
-
     wmax = max(w for _, _, w, _ in limits)
     chunk = F.floor(F.col("sec") / wmax)
-    # the per-second table and the sliding counts feed several branches below;
-    # checkpointing them (shared folder) keeps each branch from recomputing
-    # the scan, the aggregation and the windows
-    if not checkpointed:
-        per_sec = cut_lineage(per_sec)
     req = per_sec.where(F.col("kind") == 0)
     cnt_cols = {f"_cnt{k}": w for k, (_, _, w, _) in enumerate(limits)}
     counted = trailing_sum(req.withColumn("_one", F.lit(1).cast("bigint")), ["client_id"], "sec",
@@ -176,7 +169,7 @@ def fold_seconds_chunked(per_sec: DataFrame, limits, checkpointed: bool = False)
     for k, (_, lim, _, _) in enumerate(limits):
         c = (F.col(f"_cnt{k}") - 1 + extra) < lim
         calm = c if calm is None else (calm & c)
-    counted = cut_lineage(counted.withColumn("_calm", calm).withColumn("_chunk", chunk))
+    counted = counted.withColumn("_calm", calm).withColumn("_chunk", chunk)
 
     hot = (counted.where(~F.col("_calm")).select("client_id", "_chunk")
            .unionByName(per_sec.where(F.col("kind") == 1).select("client_id", chunk.alias("_chunk")))
@@ -186,7 +179,7 @@ def fold_seconds_chunked(per_sec: DataFrame, limits, checkpointed: bool = False)
     # consecutive fold chunks form one segment (gaps and islands); one row per
     # (client, chunk): bounded by the time span, not by request volume
     w = Window.partitionBy("client_id").orderBy("_chunk")
-    segs = cut_lineage(fold_chunks.withColumn("_seg", F.col("_chunk") - F.row_number().over(w)))
+    segs = fold_chunks.withColumn("_seg", F.col("_chunk") - F.row_number().over(w))
     starts = segs.groupBy("client_id", "_seg").agg((F.min("_chunk") - 1).alias("_chunk"))
 
     rows = per_sec.withColumn("_chunk", chunk)
@@ -209,30 +202,6 @@ def fold_seconds_chunked(per_sec: DataFrame, limits, checkpointed: bool = False)
     return fast.select(*fast_cols).unionByName(folded)
 
 
-# Above this many active seconds, a client's timeline is split into day
-# chunks; below it one streaming pass per client is cheaper (fewer shuffles).
-HOT_CLIENT_SECONDS = 5_000_000
-
-
-def choose_fold(ps: DataFrame, limits, strategy: str = "auto", span_seconds: int | None = None) -> DataFrame:
-    """Per-second decisions. 'auto': no client can have more active seconds
-    than the log spans, so a short log folds serially at once; otherwise the
-    busiest client is measured on the (checkpointed) per-second table and
-    clients are split by day only when one timeline is long."""
-    if strategy == "auto" and span_seconds is not None and span_seconds <= HOT_CLIENT_SECONDS:
-        strategy = "serial"
-    if strategy == "auto":
-        from vigil.session import cut_lineage
-        ps = cut_lineage(ps)
-        busiest = ps.groupBy("client_id").count().agg(F.max("count")).first()[0] or 0
-        strategy = "chunked" if busiest > HOT_CLIENT_SECONDS else "serial"
-        if strategy == "chunked":
-            return fold_seconds_chunked(ps, limits, checkpointed=True)
-    if strategy == "chunked":
-        return fold_seconds_chunked(ps, limits)
-    return fold_seconds(ps, limits)
-
-
 def fold_requests(log: DataFrame, limits, resets: DataFrame | None = None) -> DataFrame:
     """count_mode='requests': every admitted request takes a slot, so each
     request is its own fold row (sorted by second, then id)."""
@@ -248,14 +217,15 @@ def fold_requests(log: DataFrame, limits, resets: DataFrame | None = None) -> Da
 
 
 def decisions(log: DataFrame, rate_limits: dict[str, int], resets: DataFrame | None = None,
-              strategy: str = "auto", count_mode: str = "distinct_seconds",
+              strategy: str = "chunked", count_mode: str = "distinct_seconds",
               keep: list[str] | None = None) -> DataFrame:
     """T1 + T2 + T4 + T12 per request: allowed, reason, remaining per window
     (NULL where the check stopped before it), min_remaining. Rows without a
-    time fail open with full remaining. ``strategy``: 'serial' folds each
-    client's whole timeline in one streaming pass; 'chunked' splits clients
-    by day with a parallel fast path for calm days; 'auto' picks by the
-    busiest client's number of active seconds. ``count_mode='requests'``
+    time or without a client fail open with full remaining. ``strategy``:
+    'chunked' splits clients by day with a parallel fast path for calm days,
+    whatever the size; 'serial' folds each client's whole timeline in one
+    streaming pass (the plain form that tests compare with).
+    ``count_mode='requests'``
     counts every request instead of every active second (what the
     original's documentation promises; one fold row per request).
     ``keep``: further columns of ``log`` carried through the join back, so
@@ -268,11 +238,8 @@ def decisions(log: DataFrame, rate_limits: dict[str, int], resets: DataFrame | N
         j = keyed.join(folded.drop("client_id", "sec").withColumnRenamed("first_id", "request_id"),
                        on="request_id", how="left").withColumn("first_id", F.col("request_id"))
         return _decide(j, limits, keep)
-    span = None
-    if strategy == "auto":  # one column scan, trivial aggregate
-        lo, hi = log.agg(F.min("sec"), F.max("sec")).first()
-        span = 0 if lo is None else hi - lo + 1
-    folded = choose_fold(per_second(log, resets), limits, strategy, span)
+    fold = fold_seconds if strategy == "serial" else fold_seconds_chunked
+    folded = fold(per_second(log, resets), limits)
     keyed = log.select("request_id", "client_id", "sec", *keep)
     j = keyed.join(folded, on=["client_id", "sec"], how="left")
     return _decide(j, limits, keep)
@@ -280,7 +247,7 @@ def decisions(log: DataFrame, rate_limits: dict[str, int], resets: DataFrame | N
 
 def _decide(j: DataFrame, limits, keep: list[str] = ()) -> DataFrame:
     is_first = F.col("request_id") == F.col("first_id")
-    fail_open = F.col("sec").isNull()
+    fail_open = F.col("sec").isNull() | F.col("client_id").isNull()
     out = j.select(
         "request_id", "client_id", "sec", *keep,
         F.when(fail_open, True).when(is_first, F.col("first_allowed")).otherwise(F.col("rest_allowed")).alias("allowed"),

@@ -28,24 +28,21 @@ def running_sum(df: DataFrame, keys: list[str], order: str | list[str],
     ``inclusive=False`` sums strictly earlier rows only. ``order`` must be a
     total order within a key (add a tie-breaker column if needed).
 
-    One shuffle of the input by (key, block) feeds both the running sum
-    inside each block and the block totals (same partitioning, so the input
-    is read once); the totals are tiny and their prefix is joined back on
-    (key, block), which the window output is already partitioned by.
+    Block totals come from a partial aggregate (one row per key, block and
+    task crosses the shuffle); their prefix is a small table that is joined
+    back on (key, block), which the window output is already partitioned by.
     """
     order_cols = [order] if isinstance(order, str) else list(order)
     blk = "_blk"
     d = df.withColumn(blk, block)
     end = Window.currentRow if inclusive else -1
-    part = Window.partitionBy(*keys, blk)
-    wi = part.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, end)
-    within = d.select("*", *[F.coalesce(F.sum(s).over(wi), F.lit(0)).alias(f"_in_{s}") for s in values],
-                      *[F.sum(s).over(part).alias(f"_tot_{s}") for s in values])
-    totals = within.groupBy(*keys, blk).agg(*[F.max(f"_tot_{s}").alias(f"_tot_{s}") for s in values])
+    wi = Window.partitionBy(*keys, blk).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, end)
+    within = d.select("*", *[F.coalesce(F.sum(s).over(wi), F.lit(0)).alias(f"_in_{s}") for s in values])
+    totals = d.groupBy(*keys, blk).agg(*[F.sum(s).alias(f"_tot_{s}") for s in values])
     wb = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, blk, *[
         F.coalesce(F.sum(f"_tot_{s}").over(wb), F.lit(0)).alias(f"_off_{s}") for s in values])
-    out = within.drop(*[f"_tot_{s}" for s in values]).join(offsets, on=[*keys, blk], how="inner")
+    out = within.join(offsets, on=[*keys, blk], how="inner")
     for s, dst in values.items():
         out = out.withColumn(dst, (F.col(f"_off_{s}") + F.col(f"_in_{s}")).cast("bigint")
                              if _is_integral(df, s) else F.col(f"_off_{s}") + F.col(f"_in_{s}"))

@@ -37,10 +37,10 @@ CANDIDATES_SQL = fixtures.REQUEST_LOG_SQL + f""",
 cand AS (
   SELECT request_id, ts, CAST(ts AS DATE) AS day,
          CAST({sql_cost('input_tokens', 'coalesce(max_tokens, 500)', P_IN, P_OUT)} * 1000000 AS BIGINT) AS est_micro,
-         CASE WHEN cached THEN 0 ELSE
+         CASE WHEN cached OR status <> 200 THEN 0 ELSE
            CAST({sql_cost('input_tokens', 'output_tokens', P_IN, P_OUT)} * 1000000 AS BIGINT) END AS act_micro
   FROM request_log LEFT JOIN {dims.sql_pricing_values('p', 'p_model')} ON model = p_model
-  WHERE status = 200),
+  WHERE status <> 429),
 c AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ts, request_id) AS rn FROM cand)"""
 
 _CAP_MICRO = int(float(DAILY_CAP) * 1_000_000)
@@ -60,9 +60,10 @@ SELECT request_id, allowed, CAST(CAST(before AS DECIMAL(38,0)) * 0.000001 AS DEC
          {sql_fixed('CAST(before AS DECIMAL(38,0)) * 0.000001', 2)} || ')' END AS reason
 FROM f""")
 def daily_budget_admission(spark, sf_dir):
-    log = fixtures.request_log(read_table(spark, sf_dir, "events")).where(F.col("status") == 200)
+    # all that the rate limiter let through: a request that fails later is decided too, and adds no cost
+    log = fixtures.request_log(read_table(spark, sf_dir, "events")).where(F.col("status") != 429)
     d = costs.price_requests(costs.with_estimate(log))
-    d = d.withColumn("actual_cost", F.when(F.col("cached"), F.lit(0)).otherwise(F.col("cost")))
+    d = d.withColumn("actual_cost", F.when(F.col("cached") | (F.col("status") != 200), F.lit(0)).otherwise(F.col("cost")))
     return budget.admission(d, DAILY_CAP)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigil.functions.keys import cache_key, sql_json_string
 from vigil.operators import cache
 from vigil.plans.registry import query
 from vigil.sources import fixtures
@@ -46,6 +47,19 @@ f AS (
   FROM f JOIN r ON r.cache_key = f.cache_key AND r.rn = f.rn + 1)"""
 
 
+_DOC_JSON = ("'{\"max_tokens\": null, \"messages\": [{\"content\": ' || " + sql_json_string("text") +
+             " || ', \"role\": \"user\"}], \"model\": \"gpt-4\", \"temperature\": 1.0, \"top_p\": 1.0}'")
+
+
+@query("document_cache_keys", f"""SELECT doc_id, sha256({_DOC_JSON}) AS cache_key FROM documents""")
+def document_cache_keys(spark, sf_dir):
+    """P2 over whole texts in every script: each document as a one-message request."""
+    none = F.lit(None).cast("double")
+    msgs = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
+    return read_table(spark, sf_dir, "documents").select(
+        "doc_id", cache_key(F.lit("gpt-4"), msgs, none, none.cast("int"), none).alias("cache_key"))
+
+
 @query("cache_keys", f"""WITH {fixtures.KEYED_LOG_SQL}
 SELECT request_id, cache_key FROM keyed_log""")
 def cache_keys(spark, sf_dir):

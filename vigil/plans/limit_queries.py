@@ -139,8 +139,7 @@ SELECT client_id, limit_type, "limit", used, greatest(0, "limit" - used) AS rema
 FROM ({_STATUS_ROWS})""")
 def rate_limit_status(spark, sf_dir):
     log = keyed(spark, sf_dir)
-    lo, hi = log.agg(F.min("sec"), F.max("sec")).first()
-    folded = rl.choose_fold(rl.per_second(log), LIMITS, span_seconds=hi - lo + 1)
+    folded = rl.fold_seconds_chunked(rl.per_second(log), LIMITS)
     return rl.status(folded, TEST_LIMITS, AS_OF_SEC)
 
 
