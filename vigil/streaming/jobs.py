@@ -51,51 +51,63 @@ def cost_counters_stream(events: DataFrame) -> DataFrame:
                     "output_tokens", "cost"))
 
 
-def start_cost_counters(events: DataFrame, checkpoint: str, table: str, trigger: dict | None = None):
-    """Refresh the counters on a trigger (30 s by default, as the
-    dashboard); ``{'availableNow': True}`` processes what exists and stops."""
-    trig = trigger or {"processingTime": "30 seconds"}
-    return (cost_counters_stream(events).writeStream.outputMode("update").format("memory")
-            .queryName(table).option("checkpointLocation", checkpoint).trigger(**trig).start())
-
-
 def merge_counters(path: str):
-    """K1/K2 stream sink for ``foreachBatch``: the update-mode batch carries
-    new totals for the (day, model) groups that changed; rows of the same
-    days that did not change are kept, and only the touched day partitions
-    are rewritten (dynamic partition overwrite)."""
+    """K1/K2 stream sink for ``foreachBatch``: each epoch's new totals go to a
+    folder of their own, ``path/epoch=N``; nothing is read or overwritten but
+    that epoch's own folder when it is retried, so no failure can lose
+    counters. ``read_counters`` takes the latest total of each group."""
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        updates = batch.persist()  # read twice: the touched days and the merge
-        try:
-            days = [r.day for r in updates.select("day").distinct().collect()]  # a handful per batch
-            if not days:
-                return
-            try:
-                old = spark.read.parquet(path).where(F.col("day").isin(days))
-                kept = old.join(updates.select("day", "model"), ["day", "model"], "left_anti")
-                merged = kept.unionByName(updates.select(*old.columns))
-            except Exception:  # noqa: BLE001 - first batch: no table yet
-                merged = updates
-            merged = merged.persist()
-            merged.count()  # materialise before overwriting the partitions it was read from
-            merged.write.mode("overwrite").partitionBy("day").parquet(path)
-            merged.unpersist()
-        finally:
-            updates.unpersist()
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/epoch={epoch}")
 
     return sink
 
 
+COUNTER_SCHEMA = "day date, model string, requests bigint, input_tokens bigint, output_tokens bigint, cost decimal(28,6), epoch bigint"
+
+
+def read_counters(spark: SparkSession, path: str) -> DataFrame:
+    """The counters as of the latest epoch: (day, model) -> totals."""
+    rows = spark.read.schema(COUNTER_SCHEMA).parquet(path)
+    values = [c for c in rows.columns if c not in ("day", "model", "epoch")]
+    return (rows.groupBy("day", "model").agg(F.max(F.struct("epoch", *values)).alias("v"))
+            .select("day", "model", *[F.col(f"v.{c}").alias(c) for c in values]))
+
+
+def compact_counters(spark: SparkSession, path: str, target: str) -> None:
+    """Writes the current counters as one epoch of a new table, so that old epochs can be removed with ``path``."""
+    rows = spark.read.schema(COUNTER_SCHEMA).parquet(path).agg(F.max("epoch")).first()[0]
+    if rows is not None:
+        read_counters(spark, path).write.mode("overwrite").parquet(f"{target.rstrip('/')}/epoch={rows}")
+
+
 def start_counter_table(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """T7 into a day-partitioned parquet table via the merge sink."""
+    """T7 + T9: counters refreshed on a trigger (30 s by default, as the
+    dashboard) into files; ``{'availableNow': True}`` processes what exists
+    and stops."""
     return (cost_counters_stream(events).writeStream.outputMode("update")
             .foreachBatch(merge_counters(path)).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "30 seconds"})).start())
 
 
+#: How far behind the newest event a request may come and still be decided by the stateful streams.
+LATE_BY = "1 day"
+
+
+def _expire(state, at_ms: int) -> None:
+    """Lets the state go at ``at_ms`` of event time; a timeout must lie beyond the watermark, so state whose
+    time has already come is dropped at once."""
+    if at_ms > state.getCurrentWatermarkMs():
+        state.setTimeoutTimestamp(at_ms)
+    else:
+        state.remove()
+
+
+def undecided(requests: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Batch side output: requests that came later than the streams accept, and so have no decision."""
+    return requests.join(decisions.select("request_id").distinct(), "request_id", "left_anti")
+
+
 # --- T1: rate limiting with per-client state ---------------------------------
 
 def _rate_state_schema(limits) -> T.StructType:
@@ -109,9 +121,11 @@ def _rate_output_schema(limits) -> T.StructType:
                         [T.StructField(f"remaining_{rate_limit._short(n)}", T.LongType()) for n, *_ in limits])
 
 
-def rate_limit_stream(keyed: DataFrame, rate_limits: dict[str, int]) -> DataFrame:
+def rate_limit_stream(keyed: DataFrame, rate_limits: dict[str, int], late_by: str = LATE_BY) -> DataFrame:
     """T1/T2 per request as a stream; state per client is at most ``limit``
-    seconds per window."""
+    seconds per window. Requests are decided in order of arrival: one that is
+    older than the client's last decided second counts at that second. Those
+    more than ``late_by`` behind the newest event get no row (``undecided``)."""
     limits = rate_limit.limits_list(rate_limits)
     max_w = max(w for _, _, w, _ in limits)
 
@@ -122,16 +136,17 @@ def rate_limit_stream(keyed: DataFrame, rate_limits: dict[str, int]) -> DataFram
         prev = state.get if state.exists else tuple([] for _ in limits)
         states = [deque(int(x) for x in (prev[k] or [])) for k in range(len(limits))]
         pdf = pd.concat(list(pdfs)).sort_values(["sec", "request_id"])
-        rows, last, seen = [], None, None
-        for rid, sec in zip(pdf["request_id"].values, pdf["sec"].values):
-            sec = int(sec)
+        newest = max((q[-1] for q in states if q), default=None)
+        rows, last, seen = [], newest or 0, newest
+        for rid, own in zip(pdf["request_id"].values, pdf["sec"].values):
+            sec = max(int(own), last)
             first = sec != seen
             seen = sec
             a, r, rem, _ = rate_limit._check(states, sec, limits, add=first)
-            rows.append((int(rid), key[0], sec, a, r, *rem))
+            rows.append((int(rid), key[0], int(own), a, r, *rem))
             last = sec
         state.update(tuple(list(q) for q in states))
-        state.setTimeoutTimestamp((last + max_w) * 1000)
+        _expire(state, (last + max_w) * 1000)
         cols = [f.name for f in _rate_output_schema(limits).fields]
         out = pd.DataFrame(rows, columns=cols)
         for c in cols:
@@ -140,7 +155,7 @@ def rate_limit_stream(keyed: DataFrame, rate_limits: dict[str, int]) -> DataFram
         yield out
 
     s = keyed.select("request_id", "client_id", "sec", F.col("ts").cast("timestamp").alias("ts"))
-    return (s.withWatermark("ts", "0 seconds").groupBy("client_id")
+    return (s.withWatermark("ts", late_by).groupBy("client_id")
             .applyInPandasWithState(handle, _rate_output_schema(limits), _rate_state_schema(limits),
                                     "append", GroupStateTimeout.EventTimeTimeout))
 
@@ -152,8 +167,10 @@ CACHE_OUT = T.StructType([T.StructField("request_id", T.LongType()), T.StructFie
 CACHE_STATE = T.StructType([T.StructField("store_us", T.LongType())])
 
 
-def cache_replay_stream(keyed: DataFrame, ttl_seconds: int) -> DataFrame:
-    """T5 as a stream; state per key is the live entry's store time."""
+def cache_replay_stream(keyed: DataFrame, ttl_seconds: int, late_by: str = LATE_BY) -> DataFrame:
+    """T5 as a stream; state per key is the live entry's store time. A request
+    older than the entry it finds counts as of the entry's time; those more
+    than ``late_by`` behind the newest event get no row (``undecided``)."""
     ttl_us = int(ttl_seconds) * 1_000_000
 
     def handle(key, pdfs, state):
@@ -162,18 +179,18 @@ def cache_replay_stream(keyed: DataFrame, ttl_seconds: int) -> DataFrame:
             return
         store = state.get[0] if state.exists else None
         pdf = pd.concat(list(pdfs)).sort_values(["t_us", "request_id"])
-        t = pdf["t_us"].values.astype(np.int64)
+        t = np.maximum(pdf["t_us"].values.astype(np.int64), store or 0)
         hit, _, store = cache._fold_key(t, pdf["ok"].values.astype(bool), store, ttl_us)
         if store is not None:
             state.update((store,))
-            state.setTimeoutTimestamp((store + ttl_us) // 1000)
+            _expire(state, (store + ttl_us) // 1000)
         yield pd.DataFrame({"request_id": pdf["request_id"].values.astype(np.int64), "cache_key": key[0],
                             "cache_hit": hit})
 
     s = keyed.select("request_id", "cache_key", F.col("ts").cast("timestamp").alias("ts"),
                      F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"),
                      (F.col("status") == 200).alias("ok") if "status" in keyed.columns else F.lit(True).alias("ok"))
-    return (s.withWatermark("ts", "0 seconds").groupBy("cache_key")
+    return (s.withWatermark("ts", late_by).groupBy("cache_key")
             .applyInPandasWithState(handle, CACHE_OUT, CACHE_STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
