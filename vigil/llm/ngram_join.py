@@ -16,7 +16,8 @@ that is never too low), then by hash. The join then works like this:
 5. Linked pairs give components. Pairs that share a leader but ended in
    different components are left: Jaccard distance is a metric, so those whose
    distances to the leader differ by more than the limit cannot be linked;
-   sizes and shared counts rule out more; all that remain are counted as in 4.
+   sizes rule out more, and so does what two members can share at most, inside
+   the leader's set and outside it; all that remain are counted as in 4.
 
 So no link between different components is lost, and a large group of near
 copies costs its size, not its square, in pairs. Hashes are 64 bits; in the
@@ -125,8 +126,17 @@ def _pivots(classes: DataFrame, fragments: int) -> list[int]:
     """Cuts of the global order at the quantiles of evenly spaced n-grams of 256 sets, chosen by hash."""
     import numpy as np
 
-    some = classes.select(F.col("shared").alias("s")).orderBy(F.xxhash64("class"), "class").limit(256)
-    got = [np.frombuffer(r.s, "<u8")[:: max(1, len(r.s) // 8 // 64)] for r in some.select(F.col("s")).collect() if r.s]
+    def thin(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            sets = [np.frombuffer(x, "<u8") for x in b.column("shared").to_pylist()]
+            few = [x[np.linspace(0, len(x) - 1, 64).astype(np.int64)] if len(x) else x for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column("class"), pa.array([x.tobytes() for x in few], pa.binary())], ["class", "some"])
+
+    some = classes.select("class", "shared").mapInArrow(thin, "class bigint, some binary").orderBy(F.xxhash64("class"), "class").limit(256)
+    got = [np.frombuffer(r.some, "<u8") for r in some.collect()]
+    got = [x for x in got if len(x)]
     if not got:
         return []
     all_ = np.sort(np.concatenate(got))
@@ -226,14 +236,16 @@ def join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", n: int = N
     label = lambda c, as_: F.coalesce(F.col(c), F.col(as_))
     far = pairs.withColumn("d", 1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap")))
     far = (far.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
-           .select("a", label("la", "a").alias("la"), "b", label("lb", "b").alias("lb"), "nb", "hb", "d"))
+           .select("a", label("la", "a").alias("la"), "b", label("lb", "b").alias("lb"), "nb", "hb", "overlap", "d"))
     far = staged(far)
-    x = far.where("la <> lb").select("a", F.col("b").alias("x"), F.col("lb").alias("lx"), F.col("nb").alias("nx"), F.col("hb").alias("hx"), F.col("d").alias("dx"))
-    y = far.select("a", F.col("b").alias("y"), F.col("lb").alias("ly"), F.col("nb").alias("ny"), F.col("hb").alias("hy"), F.col("d").alias("dy"))
+    x = far.where("la <> lb").select("a", F.col("b").alias("x"), F.col("lb").alias("lx"), F.col("nb").alias("nx"), F.col("hb").alias("hx"), F.col("overlap").alias("ox"), F.col("d").alias("dx"))
+    y = far.select("a", F.col("b").alias("y"), F.col("lb").alias("ly"), F.col("nb").alias("ny"), F.col("hb").alias("hy"), F.col("overlap").alias("oy"), F.col("d").alias("dy"))
     limit = 1 - percent / 100
+    # what x and y share lies inside the leader's set, or is n-grams outside it that are in more than one document
+    most = F.least("ox", "oy") + F.least(F.col("hx") - F.col("ox"), F.col("hy") - F.col("oy"))
     left = x.join(y, (x["a"] == y["a"]) & (F.col("lx") != F.col("ly")) & (F.abs(F.col("dx") - F.col("dy")) <= limit + 1e-9)
                   & (percent * F.greatest("nx", "ny") <= 100 * F.least("nx", "ny"))
-                  & (percent * (F.col("nx") + F.col("ny")) <= (100 + percent) * F.least("hx", "hy")))
+                  & (percent * (F.col("nx") + F.col("ny")) <= (100 + percent) * most))
     left = staged(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     more = staged(with_sizes(count_overlaps(left, classes, pivots, left.count())).where(linked).select("a", "b"))
     top = (more.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
@@ -243,7 +255,7 @@ def join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", n: int = N
              .union(second.join(labels.select(F.col("node")), "node", "left_anti").select(F.col("node").alias("class"), "label")))
     whole = staged(sets.select("id", "n_shingles", "class").join(final, "class", "left").withColumn("label", F.coalesce("label", "class")))
     # an empty set is its own component, and ids alone tell those apart
-    least = whole.where("n_shingles > 0").groupBy("label").agg(F.min("id").alias("least"))
+    least = staged(whole.where("n_shingles > 0").groupBy("label").agg(F.min("id").alias("least")))  # so that a large group's side of the join can be split
     return whole.join(least, "label", "left").select(
         F.col("id").alias(row_id), "n_shingles", "class",
         F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
