@@ -6,19 +6,22 @@ limits -> 3 cache -> 4 provider answer (from the log) -> 5 response PII ->
 
 * a rate-limit slot is consumed even if a later stage ends the request;
 * redaction happens before the token estimate and the cache key;
-* cache hits pass stages 0-2 but are not costed;
-* requests ended at stages 0-2 never reach the cache.
-
-The policy is a one-row settings frame joined by policy name (broadcast:
-policies are a handful of rows). Folds run on slim columns and join back on
-the request id.
-
-Daily cap and cache interact (a denied request stores nothing). Per day the
-worst case (every candidate's cost plus the largest estimate) decides: days
-under the cap admit everything and the cache replays in parallel by key;
-on days where the cap binds we replay the cache first and then fold the
-admission with hit costs of 0 (the interleaving inside such a day is
-approximated; see README).
+* requests ended at stages 0-2 never reach the cache, neither to be served
+  nor to store;
+* a failed provider call ends the request before response PII, cost and
+  store; a hit returns the stored answer with its cost and its findings and
+  is not costed again.
+
+The policy is a one-row settings frame, read on the driver like any
+configuration.
+
+The daily cap and the cache depend on each other: a request that the cap
+denies stores nothing, and a hit spends nothing. Each decision depends on
+earlier requests only, so exactly one assignment of decisions is consistent
+with itself. It is found by iteration: the cache is replayed with the current
+cap decisions, the cap is decided again with the resulting spend, until no
+decision changes. Every round makes at least the first wrong decision in time
+right; it never stops early. Rounds work on slim tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -31,122 +34,132 @@ from vigil.functions import pii
 from vigil.functions.keys import cache_key
 from vigil.operators import budget, cache, costs, pii_scan, rate_limit
 from vigil.session import cut_lineage
-from vigil.sources.dims import PII_BLOCK_REASON, RATE_WINDOWS
+from vigil.sources.dims import DEFAULT_MODEL, PII_BLOCK_REASON, RATE_WINDOWS
 
 
-def govern(requests: DataFrame, policy_settings: DataFrame, pricing: DataFrame | None = None,
-           checkpoint: bool = True) -> DataFrame:
-    """``requests``: request_id, ts, sec, client_id, model, messages
-    ARRAY<STRUCT<role, content>>, max_tokens, temperature, top_p,
-    usage_prompt_tokens, usage_completion_tokens (the provider's answer).
-    ``policy_settings``: one row of ``policy.settings``."""
-    p = policy_settings.first()  # one row of settings; read on the driver like any config
+def _told(findings):
+    """Findings as type:start-end, in order."""
+    return F.transform(findings, lambda f: F.concat_ws("", f["type"], F.lit(":"), f["start"], F.lit("-"), f["end"]))
+
+
+def _limits(p) -> dict:
     # policy documents are VARIANT objects, which keep keys sorted; limits are
     # checked minute -> hour -> day, the order every shipped policy uses
     order = {n: w for n, w, _ in RATE_WINDOWS}
-    limits = dict(sorted((p["rate_limits"] or {}).items(), key=lambda kv: order.get(kv[0], 1 << 40)))
-
-    # 0. rate limit (T1/T2); every request takes part
-    rl = rate_limit.decisions(requests.select("request_id", "client_id", "sec"), limits) if limits else None
-    d = requests
-    if rl is not None:
-        d = d.join(rl.select("request_id", F.col("allowed").alias("rate_ok"), F.col("reason").alias("rate_reason"),
-                             F.col("min_remaining").alias("rate_remaining")), "request_id", "left")
-    else:
-        d = d.withColumn("rate_ok", F.lit(True)).withColumn("rate_reason", F.lit(None).cast("string")) \
-             .withColumn("rate_remaining", F.lit(None).cast("bigint"))
+    return dict(sorted((p["rate_limits"] or {}).items(), key=lambda kv: order.get(kv[0], 1 << 40)))
+
 
-    # 1. request PII (redaction feeds the estimate and the cache key)
+def _checked(requests: DataFrame, p, pricing: DataFrame | None) -> DataFrame:
+    """Stages 1, 2a, 5 and 6 as far as they depend on the row alone: one narrow row per request, without texts."""
+    d = requests.withColumn("model", F.coalesce("model", F.lit(DEFAULT_MODEL)))
+    none = F.lit(None).cast("array<string>")
     if p["pii_enabled"]:
-        ents = list(p["pii_entities"] or [])
-        action = p["pii_action"]
+        ents, action = list(p["pii_entities"] or []), p["pii_action"]
         d = d.withColumn("_scan", pii_scan.message_scan(F.col("messages"), ents))
         first_bad = F.try_element_at(F.filter(F.col("_scan"), lambda s: F.size(s["findings"]) > 0), F.lit(1))
-        d = (d.withColumn("pii_request_findings", F.aggregate(F.col("_scan"), F.lit(0),
-                                                              lambda a, s: a + F.size(s["findings"])))
+        d = (d.withColumn("request_findings", F.flatten(F.transform("_scan", lambda s: _told(s["findings"]))))
               .withColumn("pii_block", F.lit(action == "block") & first_bad.isNotNull())
-              .withColumn("pii_reason", F.when(F.col("pii_block"), F.format_string(
-                  PII_BLOCK_REASON, F.size(first_bad["findings"]))))
+              .withColumn("pii_reason", F.when(F.col("pii_block"), F.format_string(PII_BLOCK_REASON, F.size(first_bad["findings"]))))
               .withColumn("messages", F.transform(F.col("_scan"), lambda s: F.struct(
                   s["role"].alias("role"), pii.apply_action(s["content"], s["findings"], action).alias("content"))))
-              .drop("_scan"))
+              .withColumn("answer_findings", _told(pii_scan.searched(F.col("answer"), ents))))
     else:
-        d = d.withColumn("pii_request_findings", F.lit(0)).withColumn("pii_block", F.lit(False)) \
-             .withColumn("pii_reason", F.lit(None).cast("string"))
-
-    # 2a. estimate and per-request limit
-    d = d.withColumn("input_tokens", fc.request_tokens(F.col("messages")))
+        d = (d.withColumn("request_findings", none).withColumn("pii_block", F.lit(False))
+              .withColumn("pii_reason", F.lit(None).cast("string")).withColumn("answer_findings", none))
+    d = d.withColumn("input_tokens", fc.request_tokens(F.col("messages"), F.col("system")))
     d = costs.with_estimate(d, pricing=pricing)
     if p["max_per_request"] is not None:
         ok, reason = costs.per_request_check(F.col("estimated_cost"), F.lit(p["max_per_request"]))
-        d = d.withColumn("cost_ok", ok).withColumn("cost_reason", reason)
     else:
-        d = d.withColumn("cost_ok", F.lit(True)).withColumn("cost_reason", F.lit(None).cast("string"))
-    d = d.withColumn("cache_key", cache_key(F.col("model"), F.col("messages"), F.col("temperature"),
-                                            F.col("max_tokens"), F.col("top_p")))
-    d = d.withColumn("reach_cache", F.col("rate_ok") & ~F.col("pii_block") & F.col("cost_ok"))
-    # only the columns later stages and the output use (no message bodies)
-    d = d.select("request_id", "client_id", "ts", "model", "cache_key", "rate_ok", "rate_reason",
-                 "rate_remaining", "pii_request_findings", "pii_block", "pii_reason", "estimated_cost",
-                 "cost_ok", "cost_reason", "reach_cache", "usage_prompt_tokens", "usage_completion_tokens")
-    if checkpoint:
-        # stages 0-2 feed three folds below; a reliable checkpoint in the
-        # shared folder stops each fold from recomputing them and survives
-        # executor loss
-        d = cut_lineage(d)
-
-    # 3. cache replay over requests that reach the cache step
-    if p["caching_enabled"]:
-        rep = cache.replay(d.select("request_id", "cache_key", "ts", "reach_cache"), int(p["cache_ttl"]),
-                           eligible=F.col("reach_cache")).select("request_id", "cache_hit")
-        if checkpoint:
-            rep = cut_lineage(rep)  # slim: (request_id, cache_hit)
-        d = d.join(rep, "request_id", "left")
-    else:
-        d = d.withColumn("cache_hit", F.lit(False))
-    d = d.withColumn("cache_hit", F.coalesce(F.col("cache_hit"), F.lit(False)))
-
-    # 4/6. provider answer and actual cost for forwarded requests
+        ok, reason = F.lit(True), F.lit(None).cast("string")
     d = costs.with_prices(d, pricing)
-    d = d.withColumn("cost", F.when(F.col("reach_cache") & ~F.col("cache_hit") & F.col("usage_prompt_tokens").isNotNull(),
-                                    fc.calculate_cost(F.col("usage_prompt_tokens"), F.col("usage_completion_tokens"),
-                                                      F.col("input_per_1k"), F.col("output_per_1k")))) \
-         .drop("input_per_1k", "output_per_1k")
-
-    # 2b. daily cap over the requests that passed 0-2
-    if p["daily_cap"] is not None:
-        cand = d.where(F.col("reach_cache")).select(
-            "request_id", "ts", "estimated_cost", F.coalesce(F.col("cost"), F.lit(0)).alias("actual_cost"))
-        adm = budget.admission(cand, p["daily_cap"])
-        d = d.join(adm.select("request_id", F.col("allowed").alias("cap_ok"), F.col("reason").alias("cap_reason")),
-                   "request_id", "left")
+    empty = F.array().cast("array<string>")
+    return d.select(
+        "request_id", "client_id", "ts", "sec", "model",
+        cache_key(F.col("model"), F.col("messages"), F.col("temperature"), F.col("max_tokens"), F.col("top_p")).alias("cache_key"),
+        F.coalesce("request_findings", empty).alias("request_findings"), F.coalesce("answer_findings", empty).alias("answer_findings"),
+        "pii_block", "pii_reason", "estimated_cost", ok.alias("cost_ok"), reason.alias("cost_reason"),
+        F.coalesce(F.col("answer_status") == 200, F.lit(False)).alias("answer_ok"), F.coalesce("answer_status", F.lit(502)).alias("answer_status"),
+        F.when(F.col("usage_prompt_tokens").isNotNull(), fc.calculate_cost(
+            F.col("usage_prompt_tokens"), F.coalesce("usage_completion_tokens", F.lit(0)), F.col("input_per_1k"), F.col("output_per_1k"))).alias("full_cost"))
+
+
+def _cap_and_cache(reach: DataFrame, p) -> DataFrame:
+    """Stages 2b and 3 over the requests that reach them: (request_id, cap_ok, cap_reason, cache_hit, stored_at)."""
+    caching, cap = p["caching_enabled"], p["daily_cap"]
+    now = reach.withColumn("cap_ok", F.lit(True)).withColumn("cap_reason", F.lit(None).cast("string"))
+    keep = ["ts", "estimated_cost", "full_cost", "answer_ok", "cap_ok", "cap_reason"]
+    while True:
+        if caching:
+            # a request denied by the cap neither hits nor stores; its own hit is what it would find
+            seen = cache.replay(now, int(p["cache_ttl"]), answered_ok=F.col("answer_ok") & F.col("cap_ok"),
+                                carry=[c for c in keep if c != "ts"]).withColumnRenamed("entry_stored_at", "stored_at")
+        else:
+            seen = now.select("request_id", "cache_key", *keep, F.lit(False).alias("cache_hit"), F.lit(None).cast("timestamp").alias("stored_at"))
+        if cap is None:
+            return seen
+        seen = cut_lineage(seen)  # read by the cap and by the next round
+        spend = F.when(~F.col("cache_hit") & F.col("answer_ok"), F.col("full_cost"))
+        asked = seen.select("request_id", "ts", "estimated_cost", F.coalesce(spend, F.lit(0)).alias("actual_cost"))
+        new = budget.admission(asked, cap).select("request_id", F.col("allowed").alias("new_ok"), F.col("reason").alias("new_reason"))
+        now = cut_lineage(seen.join(new, "request_id"))
+        if now.where(F.col("new_ok") != F.col("cap_ok")).limit(1).count() == 0:
+            return now.drop("cap_reason", "new_ok").withColumnRenamed("new_reason", "cap_reason")
+        now = now.drop("cap_ok", "cap_reason", "cache_hit", "stored_at").withColumnsRenamed({"new_ok": "cap_ok", "new_reason": "cap_reason"})
+
+
+def govern(requests: DataFrame, policy_settings: DataFrame, pricing: DataFrame | None = None) -> DataFrame:
+    """``requests``: request_id, ts, sec, client_id, model, messages
+    ARRAY<STRUCT<role, content>>, system, max_tokens, temperature, top_p, and
+    from the log the provider's answer: answer_status, answer (text),
+    usage_prompt_tokens, usage_completion_tokens. ``policy_settings``: one
+    row of ``policy.settings``."""
+    p = policy_settings.first()  # one row of settings; read on the driver like any config
+    limits = _limits(p)
+    d = _checked(requests, p, pricing)
+    if limits:  # 0: every request takes part; slim columns ride along, so no join back is needed
+        d = rate_limit.decisions(d, limits, keep=d.columns).withColumnsRenamed(
+            {"allowed": "rate_ok", "reason": "rate_reason", "min_remaining": "rate_remaining"})
     else:
-        d = d.withColumn("cap_ok", F.lit(True)).withColumn("cap_reason", F.lit(None).cast("string"))
-
+        d = d.withColumn("rate_ok", F.lit(True)).withColumn("rate_reason", F.lit(None).cast("string")).withColumn("rate_remaining", F.lit(None).cast("bigint"))
+    d = cut_lineage(d.withColumn("reach", F.col("rate_ok") & ~F.col("pii_block") & F.col("cost_ok")))
+    passed = _cap_and_cache(d.where("reach").select("request_id", "cache_key", "ts", "estimated_cost", "full_cost", "answer_ok"), p)
+    passed = cut_lineage(passed.select("request_id", "cap_ok", "cap_reason", (F.col("cache_hit") & F.col("cap_ok")).alias("cache_hit"), "stored_at"))
+    d = d.join(passed, "request_id", "left").withColumn("cache_hit", F.coalesce("cache_hit", F.lit(False)))
+    # a hit is served with what its entry holds: the one miss of that key and time that stored
+    stored = (d.where("reach AND cap_ok AND NOT cache_hit AND answer_ok AND stored_at IS NOT NULL")
+              .select(F.col("cache_key").alias("_k"), F.col("stored_at").alias("_at"), F.col("full_cost").alias("stored_cost"),
+                      F.col("request_findings").alias("stored_request_findings"), F.col("answer_findings").alias("stored_answer_findings")))
+    d = d.join(stored, F.col("cache_hit") & (F.col("cache_key") == F.col("_k")) & (F.col("stored_at") == F.col("_at")), "left")
     stage = (F.when(~F.col("rate_ok"), "rate_limit").when(F.col("pii_block"), "pii")
               .when(~F.col("cost_ok") | ~F.coalesce(F.col("cap_ok"), F.lit(True)), "cost")
-              .when(F.col("cache_hit"), "cache").otherwise("provider"))
-    status = F.when(stage.isin("rate_limit", "cost"), 429).when(stage == "pii", 400).otherwise(200)
+              .when(F.col("cache_hit"), "cache").when(~F.col("answer_ok"), "provider_error").otherwise("provider"))
+    status = (F.when(stage.isin("rate_limit", "cost"), 429).when(stage == "pii", 400)
+               .when(stage == "provider_error", F.col("answer_status")).otherwise(200))
     reason = F.coalesce(F.when(~F.col("rate_ok"), F.col("rate_reason")), F.col("pii_reason"),
-                        F.when(~F.col("cost_ok"), F.col("cost_reason")), F.col("cap_reason"))
-    served = F.col("cache_hit") | (stage == "provider")
+                        F.when(~F.col("cost_ok"), F.col("cost_reason")), F.when(~F.coalesce("cap_ok", F.lit(True)), F.col("cap_reason")))
+    served = stage == "provider"
+    none = F.array().cast("array<string>")
     return d.select(
         "request_id", "client_id", "ts", "model", "cache_key",
-        F.struct((stage.isin("cache", "provider")).alias("allowed"), stage.alias("stage"),
-                 status.cast("int").alias("status"), reason.alias("reason")).alias("decision"),
-        "estimated_cost",
-        F.when(served & ~F.col("cache_hit"), F.col("cost")).alias("cost"),
-        "cache_hit",
-        F.struct(F.col("pii_request_findings").cast("int").alias("request_findings"),
-                 F.lit(0).alias("response_findings")).alias("pii"),
+        F.struct(stage.isin("cache", "provider").alias("allowed"), stage.alias("stage"), status.cast("int").alias("status"), reason.alias("reason")).alias("decision"),
+        "estimated_cost", F.when(served, F.col("full_cost")).when(F.col("cache_hit"), F.col("stored_cost")).alias("cost"),
+        F.when(served, F.col("full_cost")).otherwise(F.lit(0)).cast("decimal(18,6)").alias("tracked_cost"), "cache_hit",
+        F.struct(F.when(served, F.col("request_findings")).when(F.col("cache_hit"), F.col("stored_request_findings")).otherwise(none).alias("request_findings"),
+                 F.when(served, F.col("answer_findings")).when(F.col("cache_hit"), F.col("stored_answer_findings")).otherwise(none).alias("response_findings")).alias("pii"),
         F.col("rate_remaining"))
 
 
 def request_log_as_requests(log: DataFrame) -> DataFrame:
     """Request-log rows as governed requests: one user message holding the
-    prompt; the logged token counts stand for the provider's usage."""
+    prompt, with an address where the log reports personal data; the logged
+    status, client address and token counts stand for the provider's answer."""
+    content = F.when(F.col("pii_findings") > 0, F.concat("prompt", F.lit(" mail to u"), F.col("user_agent").substr(7, 20), F.lit("@mail.example.com"))).otherwise(F.col("prompt"))
+    answer = F.when(F.col("request_id") % 11 == 0, F.concat(F.lit("seen from "), F.col("client_ip"), F.lit(" ok"))).otherwise(F.lit("ok"))
     return log.select(
-        "request_id", "ts", "sec", "client_id", "model",
-        F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))).alias("messages"),
+        "request_id", "ts", "sec", "client_id", F.when(F.col("request_id") % 13 != 0, F.col("model")).alias("model"),
+        F.array(F.struct(F.lit("user").alias("role"), content.alias("content"))).alias("messages"),
+        F.when(F.col("request_id") % 17 == 0, F.lit("answer briefly")).alias("system"),
         "max_tokens", F.lit(None).cast("double").alias("temperature"), F.lit(None).cast("double").alias("top_p"),
+        F.col("status").alias("answer_status"), answer.alias("answer"),
         F.col("input_tokens").alias("usage_prompt_tokens"), F.col("output_tokens").alias("usage_completion_tokens"))
