@@ -155,6 +155,18 @@ def active_policy(policies: DataFrame, requested: str | None = None) -> DataFram
     return ranked.orderBy(*order).limit(1)
 
 
+def with_policies(requests: DataFrame, policies: DataFrame, wanted: str) -> DataFrame:
+    """Each request with the settings of the policy it names, or of the
+    active one (P10 without a name) when there is no such policy. Policies
+    are unique by name; the default is one row, found once."""
+    s = settings(policies)
+    default = active_policy(policies).select(F.col("policy_name").alias("_default"), F.lit(1).alias("_one"))
+    names = s.select(F.col("policy_name").alias("_named"))
+    r = requests.join(names, F.col(wanted) == F.col("_named"), "left").withColumn("_one", F.lit(1)).join(F.broadcast(default), "_one", "left")
+    r = r.withColumn("_use", F.coalesce("_named", "_default"))
+    return r.join(s, F.col("_use") == s["policy_name"], "left").drop("_named", "_default", "_use", "_one")
+
+
 def policy_changed(policies: DataFrame, last_loaded) -> Column:
     """P12 as an aggregate: any file modified after the last load."""
     return F.max(F.col("modified")) > F.lit(last_loaded)

@@ -83,3 +83,16 @@ FROM d ORDER BY file DESC, entry_id DESC LIMIT {al.SHOW_ENTRIES}""")
 def recent_log_entries(spark, sf_dir):
     e = al.describe(al.entries(al.parse_lines(lines(spark, sf_dir))))
     return al.recent_entries(e).select("file", "entry_id", "status", "status_class", "description")
+
+
+@query("access_log_details", f"""WITH {LINES_SQL},
+sel AS ({_SELECT})
+SELECT file, entry_id,
+  '{{"request":{{"method":"' || method || '","path":"' || path || '","status":' || status || '}},"ai":{{' ||
+  coalesce('"model":"' || model || '",', '') || '"cost":"' ||
+  CASE WHEN coalesce(cost <> 0, false) THEN '$' || printf('%.6f', CAST(cost AS DOUBLE)) ELSE 'N/A' END ||
+  '","piiFindings":' || coalesce(pii_findings, 0) || '}},"metadata":{{"id":"' || file || ':' || line_no || '","duration":"N/A"}}}}' AS detail_json
+FROM sel""")
+def access_log_details(spark, sf_dir):
+    """The detail document of every entry."""
+    return al.describe(al.entries(al.parse_lines(lines(spark, sf_dir)))).select("file", "entry_id", "detail_json")

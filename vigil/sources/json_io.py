@@ -51,6 +51,11 @@ def read_responses(spark: SparkSession, path: str, multiline: bool = True) -> Da
     return spark.read.schema(RESPONSE_SCHEMA).option("multiLine", multiline).json(path)
 
 
+def parse_requests(df: DataFrame, col: str = "request_json") -> DataFrame:
+    """S1 from a string column."""
+    return df.withColumn("request", F.from_json(F.col(col), REQUEST_SCHEMA))
+
+
 def parse_responses(df: DataFrame, col: str = "response_json") -> DataFrame:
     """S2 from a string column."""
     return df.withColumn("response", F.from_json(F.col(col), RESPONSE_SCHEMA))
