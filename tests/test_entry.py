@@ -16,13 +16,6 @@ def test_entry_runs(spark):
     assert df.count() > 0
 
 
-def test_every_query_runs_at_sf0001(spark):
-    orc = E.oracle_sql()
-    assert BASE and set(BASE) <= set(orc)  # every one of these queries has oracle SQL
-    for name in BASE:
-        assert E.queries()[name](spark, SF001).count() >= 0, name
-
-
 def test_no_query_uses_fixed_input_only(spark):
     # every registered query's plan reads a parquet table, or a checkpoint
     # (LogicalRDD) that Spark derived from one
