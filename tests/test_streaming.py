@@ -1,5 +1,6 @@
 """Streaming twins equal the batch jobs (availableNow over the same files)."""
 
+import datetime as dt
 import os
 import shutil
 import tempfile
@@ -166,3 +167,18 @@ def test_cache_stream_with_an_expired_key(spark):
     got = {r.request_id: r.cache_hit for r in _run(spark, jobs.cache_replay_stream(stream, h, "4 hours"), "cache_ooo").collect()}
     want = {r.request_id: r.cache_hit for r in cache.replay(table, h, answered_ok=F.col("status") == 200).collect()}
     assert got == want and want[4] and not want[5] and want[8]
+
+
+def test_pair_stream(spark):
+    def stream(rows, schema, name):
+        d = tempfile.mkdtemp(prefix="vigil-pr-")
+        for i, part in enumerate(rows):
+            spark.createDataFrame(part, schema).coalesce(1).write.parquet(os.path.join(d, f"{name}{i}"))
+        return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(d)
+
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda m: t0 + dt.timedelta(minutes=m)
+    q = stream([[(1, at(0)), (2, at(1))], [(3, at(2)), (9, at(600))]], "request_id long, ts timestamp", "q")
+    a = stream([[(1, at(3), "one"), (2, at(30), "too late")], [(3, at(2), "three"), (9, at(601), "nine")]], "request_id long, answered_at timestamp, answer string", "a")
+    got = {r.request_id: r.answer for r in _run(spark, jobs.pair_stream(q, a, late_by="5 minutes"), "pairs_t").collect()}
+    assert got[1] == "one" and got[3] == "three" and got[9] == "nine" and got.get(2) is None

@@ -194,6 +194,19 @@ def cache_replay_stream(keyed: DataFrame, ttl_seconds: int, late_by: str = LATE_
             .applyInPandasWithState(handle, CACHE_OUT, CACHE_STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
+# --- J5: requests with their answers ----------------------------------------------
+
+def pair_stream(requests: DataFrame, responses: DataFrame, within: str = "10 minutes", late_by: str = LATE_BY) -> DataFrame:
+    """J5 as a stream: each request (request_id, ts, ..) with the answer
+    (request_id, answered_at, ..) that comes up to ``within`` after it. Both
+    sides' state goes once the watermark has passed the bound; a request
+    without an answer is emitted then, with nulls."""
+    q = requests.withWatermark("ts", late_by).alias("q")
+    a = responses.withColumnRenamed("request_id", "_rid").withWatermark("answered_at", late_by).alias("a")
+    bound = F.expr(f"_rid = request_id AND answered_at >= ts AND answered_at <= ts + INTERVAL {within}")
+    return q.join(a, bound, "left").drop("_rid")
+
+
 # --- T10 / T11: live access log and policy hot reload ---------------------------
 
 def access_log_stream(spark: SparkSession, directory: str, sink, policies_dir: str | None = None,
