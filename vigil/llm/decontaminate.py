@@ -110,19 +110,19 @@ class Matcher:
         return runs, ids
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[list[tuple[str, str]]]:
-    """The distinct items in blocks of bounded size, in id order."""
+def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int):
+    """The distinct items in blocks of bounded size, in id order, one block on the driver at a time."""
     rows = (benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t"))
             .where("i IS NOT NULL AND t IS NOT NULL").distinct().orderBy("i", "t"))
-    out, used = [[]], 0
-    for r in rows.toLocalIterator():  # one partition at a time; a block is the most that is kept before it is sent
+    block, used = [], 0
+    for r in rows.toLocalIterator():
         size = len(r.t.encode("utf-8", "surrogatepass"))
-        if out[-1] and used + size > block_bytes:
-            out.append([])
-            used = 0
-        out[-1].append((r.i, r.t))
+        if block and used + size > block_bytes:
+            yield block
+            block, used = [], 0
+        block.append((r.i, r.t))
         used += size
-    return out
+    yield block  # also when there are no items: every text then gets its columns
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
