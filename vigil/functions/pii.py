@@ -128,6 +128,17 @@ def detect_family(text: Column, kind: str) -> Column:
 
 # White space between name tokens, as the original splits text (the information separators included).
 _TOKEN_SPACE = "[\\s\\x1c-\\x1f]"
+_ANY = "[^a-z\\s]*+"
+
+
+def _spelled() -> str:
+    """A cheap guard: after white space, some name's letters in a row with anything but letters and spaces
+    between them (a superset of the tokens that count)."""
+    by_first: dict[str, list[str]] = {}
+    for name in dims.COMMON_NAMES:
+        by_first.setdefault(name[0], []).append(_ANY.join(name[1:]))
+    return f"[\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u3000]{_ANY}(?:" + "|".join(
+        f"{first}{_ANY}(?:{'|'.join(rest)})" for first, rest in sorted(by_first.items())) + ")(?![a-z])"
 
 
 def detect_names(text: Column, repeats: bool = False) -> Column:
@@ -135,8 +146,7 @@ def detect_names(text: Column, repeats: bool = False) -> Column:
     is searched, punctuation and all, as a whole word in the text, ignoring
     case. Each distinct token is searched once; ``repeats`` searches it once
     per time it occurs, as the original does (D2)."""
-    bare = F.regexp_replace(F.lower(text), "(?U)[^\\w\\s\\x1c-\\x1f]", "")
-    guard = bare.rlike(f"(?U)(?<![^\\s\\x1c-\\x1f])(?:{NAME_ALTERNATION})(?![^\\s\\x1c-\\x1f])")
+    guard = F.concat(F.lit(" "), F.lower(text)).rlike(_spelled())
     tokens = F.filter(F.split(F.lower(text), f"(?U){_TOKEN_SPACE}+"),
                       lambda w: F.regexp_replace(w, "(?U)[^\\w]", "").isin(dims.COMMON_NAMES))
     tokens = tokens if repeats else F.array_distinct(tokens)

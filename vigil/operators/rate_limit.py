@@ -160,36 +160,35 @@ def fold_seconds_chunked(per_sec: DataFrame, limits) -> DataFrame:
 
     wmax = max(w for _, _, w, _ in limits)
     chunk = F.floor(F.col("sec") / wmax)
-    req = per_sec.where(F.col("kind") == 0)
     cnt_cols = {f"_cnt{k}": w for k, (_, _, w, _) in enumerate(limits)}
-    counted = trailing_sum(req.withColumn("_one", F.lit(1).cast("bigint")), ["client_id"], "sec",
-                           cnt_cols, "_one", chunk_seconds=wmax)
+    counted = trailing_sum(per_sec.where(F.col("kind") == 0).withColumn("_one", F.lit(1).cast("bigint")), ["client_id"], "sec",
+                           cnt_cols, "_one", chunk_seconds=wmax).drop("_one")
     extra = F.when(F.col("n") > 1, 1).otherwise(0)
-    calm = None
+    calm = F.lit(True)
     for k, (_, lim, _, _) in enumerate(limits):
-        c = (F.col(f"_cnt{k}") - 1 + extra) < lim
-        calm = c if calm is None else (calm & c)
-    counted = counted.withColumn("_calm", calm).withColumn("_chunk", chunk)
-
-    hot = (counted.where(~F.col("_calm")).select("client_id", "_chunk")
-           .unionByName(per_sec.where(F.col("kind") == 1).select("client_id", chunk.alias("_chunk")))
-           .distinct())
-    # a hot chunk and its successor need the fold (the successor's window reaches back)
-    fold_chunks = hot.unionByName(hot.select("client_id", (F.col("_chunk") + 1).alias("_chunk"))).distinct()
-    # consecutive fold chunks form one segment (gaps and islands); one row per
-    # (client, chunk): bounded by the time span, not by request volume
-    w = Window.partitionBy("client_id").orderBy("_chunk")
-    segs = fold_chunks.withColumn("_seg", F.col("_chunk") - F.row_number().over(w))
-    starts = segs.groupBy("client_id", "_seg").agg((F.min("_chunk") - 1).alias("_chunk"))
+        calm = calm & ((F.col(f"_cnt{k}") - 1 + extra) < lim)
+    resets = per_sec.where(F.col("kind") == 1).select("*", *[F.lit(None).cast("bigint").alias(c) for c in cnt_cols])
+    rows = counted.unionByName(resets).withColumn("_chunk", chunk).withColumn("_hot", (F.col("kind") == 1) | ~F.coalesce(calm, F.lit(False)))
 
-    rows = per_sec.withColumn("_chunk", chunk)
-    native = rows.join(segs, ["client_id", "_chunk"]).withColumn("_ctx", F.lit(False))
-    context = rows.where(F.col("kind") == 0).join(starts, ["client_id", "_chunk"]).withColumn("_ctx", F.lit(True))
-    fold_in = native.unionByName(context)
+    # one row per (client, chunk), bounded by the time span and not by request volume: a hot chunk and its
+    # successor (whose windows reach back) are folded; runs of them are segments, named by their first chunk;
+    # the calm chunk before a segment is its context
+    w = Window.partitionBy("client_id").orderBy("_chunk")
+    days = rows.groupBy("client_id", "_chunk").agg(F.max("_hot").alias("_hot"))
+    follows = F.coalesce(F.lag("_chunk").over(w) == F.col("_chunk") - 1, F.lit(False))
+    days = days.withColumn("_follows", follows).withColumn("_fold", F.col("_hot") | (follows & F.coalesce(F.lag("_hot").over(w), F.lit(False))))
+    days = days.withColumn("_start", F.col("_fold") & ~(F.col("_follows") & F.coalesce(F.lag("_fold").over(w), F.lit(False))))
+    days = days.select(
+        "client_id", "_chunk", "_fold",
+        F.when(F.col("_fold"), F.last(F.when(F.col("_start"), F.col("_chunk")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+         .when(F.lead("_start").over(w) & (F.lead("_chunk").over(w) == F.col("_chunk") + 1), F.col("_chunk") + 1).alias("_seg"))
+    rows = rows.drop("_hot").join(days, ["client_id", "_chunk"])
+    fold_in = (rows.where(F.col("_fold") | (F.col("_seg").isNotNull() & (F.col("kind") == 0)))
+               .select("client_id", "sec", "n", "first_id", "kind", "_seg", (~F.col("_fold")).alias("_ctx")))
     folded = (fold_in.repartition("client_id", "_seg").sortWithinPartitions("client_id", "_seg", "sec", "kind")
               .mapInPandas(make_fold(limits, ("client_id", "_seg"), "_ctx"), _fold_schema(limits)))
 
-    fast = counted.join(fold_chunks, ["client_id", "_chunk"], "left_anti")
+    fast = rows.where(~F.col("_fold") & (F.col("kind") == 0))
     many = F.col("n") > 1
     fast_cols = [F.col("client_id"), F.col("sec"), F.col("first_id").cast("bigint").alias("first_id"),
                  F.lit(True).alias("first_allowed"), F.lit(None).cast("string").alias("first_reason")]
