@@ -13,20 +13,11 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def main() -> None:
-    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    import __spark_entry__ as E
-    from vigil.session import build_session
-
-    spark = build_session()
-    print("# Physical plans (round 1)\n")
-    print(f"Generated by `tools/plan_report.py` at `{os.path.basename(sf_dir)}`: each query is run, then "
-          "its final adaptive plan is read (checkpointed inputs show as scans of the checkpoint; a stage "
-          "that AQE reuses is counted under Reused, not again under Exchanges).\n")
+def report(spark, sf_dir: str, queries: dict) -> None:
     print("| Query | Scans | Exchanges | Reused | Broadcast joins | Sort-merge joins | Python stages | "
           "Windows | Columns read | Filters pushed to the scan |")
     print("|---|---|---|---|---|---|---|---|---|---|")
-    for name, fn in sorted(E.queries().items()):
+    for name, fn in sorted(queries.items()):
         df = fn(spark, sf_dir)
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
@@ -39,6 +30,30 @@ def main() -> None:
               f"{plan.count('ReusedExchange')} | {plan.count('BroadcastHashJoin')} | "
               f"{plan.count('SortMergeJoin')} | {py} | {plan.count('Window [')} | {cols} | "
               f"{'; '.join(pushed)[:120] or '-'} |")
+
+
+def main() -> None:
+    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    from vigil.plans import load_all
+    from vigil.plans.registry import QUERIES
+    from vigil.session import build_session, ensure_checkpoint_dir
+
+    load_all()
+    spark = build_session()
+    ensure_checkpoint_dir(spark)
+    print("# Physical plans\n")
+    print(f"Generated by `tools/plan_report.py` at `{os.path.basename(sf_dir)}`: each query is run, then "
+          "its final adaptive plan is read (checkpointed inputs show as scans of the checkpoint; a stage "
+          "that AQE reuses is counted under Reused, not again under Exchanges). The second table has "
+          "broadcasts by measured size off, as for sides that are large on a cluster; what stays broadcast "
+          "there has a hint and a proven bound.\n")
+    for off in (False, True):
+        if off:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+        print("## Broadcasts by size off\n" if off else "## Default settings\n")
+        report(spark, sf_dir, QUERIES)
+        print()
     spark.stop()
 
 
