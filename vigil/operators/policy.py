@@ -160,11 +160,11 @@ def with_policies(requests: DataFrame, policies: DataFrame, wanted: str) -> Data
     active one (P10 without a name) when there is no such policy. Policies
     are unique by name; the default is one row, found once."""
     s = settings(policies)
-    default = active_policy(policies).select(F.col("policy_name").alias("_default"), F.lit(1).alias("_one"))
+    first = active_policy(policies).select("policy_name").first()  # one name, read on the driver like any configuration
     names = s.select(F.col("policy_name").alias("_named"))
-    r = requests.join(names, F.col(wanted) == F.col("_named"), "left").withColumn("_one", F.lit(1)).join(F.broadcast(default), "_one", "left")
-    r = r.withColumn("_use", F.coalesce("_named", "_default"))
-    return r.join(s, F.col("_use") == s["policy_name"], "left").drop("_named", "_default", "_use", "_one")
+    r = requests.join(names, F.col(wanted) == F.col("_named"), "left")
+    r = r.withColumn("_use", F.coalesce("_named", F.lit(first[0] if first else None).cast("string")))
+    return r.join(s, F.col("_use") == s["policy_name"], "left").drop("_named", "_use")
 
 
 def policy_changed(policies: DataFrame, last_loaded) -> Column:
