@@ -3,7 +3,7 @@
 import __spark_entry__ as E
 from vigil.plans import load_all
 from vigil.plans.registry import QUERIES
-from conftest import SF001
+from paths import SF001
 
 
 load_all()

@@ -4,7 +4,7 @@ import json
 import os
 import tempfile
 
-from conftest import SF01
+from paths import SF01
 from vigil.operators import costs, replay
 from vigil.sources import fixtures, json_io
 

@@ -5,7 +5,7 @@ import sys
 
 import pytest
 
-from conftest import SF001
+from paths import SF001
 from vigil.plans import load_all
 from vigil.plans.registry import ORACLES, QUERIES
 

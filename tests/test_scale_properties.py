@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from conftest import SF001
+from paths import SF001
 from vigil.plans import load_all
 from vigil.plans.registry import QUERIES
 from vigil.operators.windows import running_sum, trailing_sum

@@ -7,7 +7,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from paths import SF01
 from vigil.operators import cache, costs, rate_limit
 from vigil.sources import fixtures
 from vigil.streaming import jobs
