@@ -46,3 +46,8 @@ def test_repeats_within_and_across(spark):
             w += ["x"] * rng.randrange(10, 60)  # overlaps with itself
         rows.append((i, " ".join(w)))
     assert got(spark.createDataFrame(rows, "doc_id long, text string"), 12) == brute(rows, 12)
+
+
+def test_only_short_texts(spark):
+    rows = [(1, "too short"), (2, ""), (3, None)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), 35) == brute(rows, 35)

@@ -86,8 +86,10 @@ def _cuts(sketch: Sketch, cells):
     """(shard, from, to) of the runs of sorted cells that share a shard."""
     import numpy as np
 
+    if not len(cells):  # a bucket of short or empty texts
+        return []
     s = cells >> np.uint64(sketch.shard_bits)
-    at = np.flatnonzero(np.diff(s, prepend=s[:1] + np.uint64(1))) if len(s) else np.zeros(0, np.int64)
+    at = np.flatnonzero(np.diff(s, prepend=s[:1] + np.uint64(1)))
     return [(int(s[a]), int(a), int(b)) for a, b in zip(at, [*at[1:], len(s)], strict=True)]
 
 
