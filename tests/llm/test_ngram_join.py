@@ -83,3 +83,8 @@ def test_components_of_a_chain_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200 + i) for i in range(30)] + [(7, 7)]
     out = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert {out[i] for i in range(61)} == {0} and {out[200 + i] for i in range(30)} == {100}
+
+
+def test_only_empty_texts(spark):
+    rows = [(1, ""), (2, None), (3, " ")]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
