@@ -70,6 +70,20 @@ def test_secrets_are_added_and_clean_texts_left_alone(spark, awkward, empty):
     assert P.detect(empty, models).count() == 0 and P.fit(empty) == {}
 
 
+def test_secrets_after_an_address_without_a_blank_between(spark):
+    rng = random.Random(5)
+    lines = ['{{"user":"bob.{i}@x.org","token":"{hex}"}}', "a{i}@b.com,{key}", "https://ann{i}@host.example/login?token={hex}&next=1"]
+    rows, hidden = _rows(random.Random(1)), {}
+    for i, line in enumerate(lines * 40, start=len(rows)):
+        hidden[i] = "".join(rng.choice("0123456789abcdef") for _ in range(20)) if "hex" in line else "AKIA" + "".join(rng.choice("0123456789ABCDEFGHJK") for _ in range(15)) + "7"
+        rows.append((i, line.format(i=i, hex=hidden[i], key=hidden[i])))
+        at = rows[-1][1].index(hidden[i])
+        assert (at, at + len(hidden[i]), 1) in P.candidates(rows[-1][1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.redacted_text for r in P.detect(df, P.fit(df)).collect()}
+    assert sum(hidden[i] in out[i] for i in hidden) == 0
+
+
 def test_redaction():
     t = "a bob@x.org b +1 (555) 123-4567."
     assert P.redact(t, P.base_spans(t)) == "a [EMAIL] b [PHONE]."

@@ -93,14 +93,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(start, end, generator) of proposed spans; they may overlap."""
     out = set()
-    done = 0
+    words = tokens = 0  # where the last word with an @ and the last token ended: a token may lie in such a word
     n = len(text)
     for m in _MARK.finditer(text):
         at = m.start()
-        if at < done:
-            continue
-        s, e = at, at + 1  # the word around the mark, then the token and what it is assigned to
+        s, e = at, at + 1  # the word around the mark, or the token
         if text[at] == "@":
+            if at < words:
+                continue
             while s and not text[s - 1].isspace():
                 s -= 1
             while e < n and not text[e].isspace():
@@ -112,16 +112,16 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
                 b -= 1
             if b - a >= 6:
                 out.add((a, b, 0))
-            done = e
-        else:
+            words = e
+        elif at >= tokens:
             while s and text[s - 1] in _TOKEN:
                 s -= 1
             while e < n and text[e] in _TOKEN:
                 e += 1
             if e - s >= 12:
                 out.add((s, e, 1))
-            done = e
-    if out or done:
+            tokens = e
+    if words or tokens:
         for gen, pattern in ((2, _RUN), (3, _DOTTED), (4, _CARD)):
             for m in pattern.finditer(text):
                 if m.end() - m.start() >= 7:
