@@ -84,6 +84,20 @@ def test_secrets_after_an_address_without_a_blank_between(spark):
     assert sum(hidden[i] in out[i] for i in hidden) == 0
 
 
+def test_a_frequent_label_takes_no_rare_ones_place(spark, caplog):
+    rng = random.Random(7)
+    table = lambda: " ; ".join(str(rng.randrange(10 ** 9, 10 ** 12)) for _ in range(60))
+    secrets = {i: "".join(rng.choice("0123456789abcdef") for _ in range(24)) for i in range(0, 400, 5)}
+    rows = [(i, f"{table()} password={secrets[i]} end" if i in secrets else table()) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    models = P.fit(df, sample_candidates=200)  # none: some 24,000 candidates
+    assert "secret" in models
+    out = {r.doc_id: r.redacted_text for r in P.detect(df, models).collect()}
+    assert sum(x in out[i] for i, x in secrets.items()) == 0
+    assert sum(len(out[i]) != len(t) for i, t in rows if i not in secrets) == 0
+    assert "no model for kind phone" in caplog.text and "no model for kind secret" not in caplog.text
+
+
 def test_redaction():
     t = "a bob@x.org b +1 (555) 123-4567."
     assert P.redact(t, P.base_spans(t)) == "a [EMAIL] b [PHONE]."

@@ -21,6 +21,7 @@ replaced.
 
 from __future__ import annotations
 
+import logging
 import math
 import re
 import uuid
@@ -31,11 +32,14 @@ from pyspark.sql import types as T
 
 from vigil.llm.boosting import Boosted
 from vigil.llm.boosting import fit as fit_trees
-from vigil.llm.common import cached, with_columns
+from vigil.llm.common import cached, staged, with_columns
 
-#: Bounds of the sample: rows whose texts are scanned for it, and candidates that the trees are fitted and calibrated on.
-SAMPLE_ROWS, SAMPLE_CANDIDATES = 20_000, 20_000
+#: Bound of the sample, which is drawn from all rows: distinct candidates of each label (a kind, or none).
+SAMPLE_CANDIDATES = 10_000
+#: Least precision of the calibration half, and least examples of a kind in either half.
 PRECISION, LEAST = 0.99, 10
+HASHES = 1 << 40
+LOG = logging.getLogger(__name__)
 
 # The kinds in their order, and the patterns and limits of the base spans.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -158,47 +162,88 @@ def rule_kind(text: str, s: int, e: int, base: dict[tuple[int, int], str]) -> in
     return 1 + KINDS.index("secret") if mixed and _ASSIGNED.search(text[max(0, s - 24):s]) else 0
 
 
-def fit(docs: DataFrame, text: str = "text", row_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS, sample_candidates: int = SAMPLE_CANDIDATES) -> dict:
-    """kind -> (trees, threshold), fitted on a bounded sample."""
+def fit(docs: DataFrame, text: str = "text", sample_candidates: int = SAMPLE_CANDIDATES) -> dict:
+    """kind -> (trees, threshold). Every row is scanned; of each label the distinct candidates (with the text around
+    them) of the lowest hashes are the sample. A kind that gets no model is logged as a warning."""
     import numpy as np
 
-    n = docs.count()
-    part = docs.where(F.pmod(F.xxhash64(F.col(row_id), F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / max(1, n))))
-
     def propose(batches):
+        import heapq
+        from hashlib import blake2b
+
         import pyarrow as pa
 
+        held: dict[int, dict[int, bytes]] = {}
+        bound: dict[int, int] = {}
+
+        def lowest(y):
+            keep = heapq.nsmallest(sample_candidates + 1, held[y])
+            held[y] = {h: held[y][h] for h in keep}
+            bound[y] = keep[-1]
+
         for b in batches:
-            labels, fold, rows = [], [], []
             for t in b.column(0).to_pylist():
                 if not t:
                     continue
-                base = {(s, e): k for k, s, e in base_spans(t)}
-                for s, e, gen in candidates(t):
-                    labels.append(rule_kind(t, s, e, base))
-                    rows.append([float(v) for v in features(t, s, e, gen)])
-            fold = [hash((lb, *r)) % (1 << 40) for lb, r in zip(labels, rows, strict=True)]  # numbers only: the same in every process
-            yield pa.RecordBatch.from_arrays([pa.array(fold, pa.int64()), pa.array(labels, pa.int32()), pa.array(rows, pa.list_(pa.float64()))],
-                                             ["h", "y", "x"])
-
-    drawn = (part.select(text).mapInArrow(propose, "h bigint, y int, x array<double>")
-             .orderBy("h", "y").limit(sample_candidates).collect())  # bounded
-    models = {}
-    if not drawn:
-        return models
-    x = np.array([r.x for r in drawn])
-    y = np.array([r.y for r in drawn])
-    test = np.array([r.h for r in drawn]) % 2 == 1
+                found = candidates(t)
+                base = {(s, e): k for k, s, e in base_spans(t)} if found else {}
+                for s, e, gen in found:
+                    y = rule_kind(t, s, e, base)
+                    around = f"{gen} {e - s} {min(s, 24)} {t[max(0, s - 24):e + 12]}"
+                    h = int.from_bytes(blake2b(around.encode("utf-8", "surrogatepass"), digest_size=5).digest(), "big")
+                    mine = held.setdefault(y, {})
+                    if h in mine or h > bound.get(y, HASHES):
+                        continue
+                    mine[h] = np.array(features(t, s, e, gen), dtype="<f8").tobytes()
+                    if len(mine) > 2 * sample_candidates + 2:
+                        lowest(y)
+        for y in held:
+            if len(held[y]) > sample_candidates:
+                lowest(y)
+            for at in range(0, len(held[y]), 4096):
+                part = list(held[y].items())[at:at + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array([y] * len(part), pa.int32()), pa.array([h for h, _ in part], pa.int64()),
+                                                  pa.array([x for _, x in part], pa.binary())], ["y", "h", "x"])
+
+    # a band is an eighth of a doubling of the hash, so the bands up to the cut hold little more than the sample
+    near = staged(docs.select(text).mapInArrow(propose, "y int, h bigint, x binary").groupBy("y", "h").agg(F.min("x").alias("x"))
+                  .withColumn("band", F.floor(8 * F.log2(F.col("h") + 1)).cast("int")))
+    bands: dict[int, list] = {}
+    for r in near.groupBy("y", "band").agg(F.count(F.lit(1)).alias("n")).collect():  # some 320 per label
+        bands.setdefault(r.y, []).append((r.band, r.n))
+    models, xs, ys, hs, ws = {}, [], [], [], []
+    for y, counts in sorted(bands.items()):
+        cut = total = 0
+        for band, n in sorted(counts):
+            cut, total = band, total + n
+            if total > sample_candidates:
+                break
+        got = near.where((F.col("y") == y) & (F.col("band") <= cut)).select("h", "x").collect()  # bounded
+        got.sort(key=lambda r: r.h)
+        # each stands for its share of the hashes: a cut label's candidates for more than one
+        weight = HASHES / (got[sample_candidates].h + 1) if len(got) > sample_candidates else 1.0
+        for r in got[:sample_candidates]:
+            xs.append(np.frombuffer(r.x, "<f8"))
+            ys.append(y)
+            hs.append(r.h)
+            ws.append(weight)
+    x, y, test, w = np.array(xs), np.array(ys, dtype=int), np.array(hs, dtype=np.int64) % 2 == 1, np.array(ws)
     for k, kind in enumerate(KINDS, start=1):
-        if min((y[~test] == k).sum(), (y[test] == k).sum()) < LEAST or (y[~test] == k).all():
-            continue
-        trees = fit_trees(x[~test], y[~test] == k)
-        p, right = trees.probability(x[test]), y[test] == k
-        order = np.argsort(-p, kind="stable")
-        precision = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
-        last = np.flatnonzero((precision >= PRECISION) & (p[order] >= 0.5) & (np.diff(p[order], append=-1) < 0))  # never between equal scores
-        if len(last):
-            models[kind] = (trees, float(p[order][last[-1]]))
+        right = y == k
+        if min((right & ~test).sum(), (right & test).sum()) < LEAST or right[~test].all():
+            why = "too few or no other examples"
+        else:
+            trees = fit_trees(x[~test], right[~test])
+            p = trees.probability(x[test])
+            order = np.argsort(-p, kind="stable")
+            precision = np.cumsum((w * right)[test][order]) / np.cumsum(w[test][order])
+            last = np.flatnonzero((precision >= PRECISION) & (p[order] >= 0.5) & (np.diff(p[order], append=-1) < 0))  # never between equal scores
+            if len(last):
+                models[kind] = (trees, float(p[order][last[-1]]))
+                continue
+            why = f"no threshold reaches precision {PRECISION}"
+        LOG.warning("no model for kind %s, only base spans of it are found: %s (%d examples to fit, %d to calibrate, %d candidates in all)",
+                    kind, why, (right & ~test).sum(), (right & test).sum(), len(y))
     return models
 
 
@@ -230,8 +275,8 @@ def detect(docs: DataFrame, models: dict, text: str = "text") -> DataFrame:
             x = np.array([f[3] for f in found], dtype=float)
             score = {kind: trees.probability(x) for kind, (trees, _) in m.items()}
             for i, (k, s, e, _) in enumerate(found):
-                kind = max(score, key=lambda c: score[c][i])
-                if score[kind][i] >= m[kind][1]:
+                kind = max((c for c in score if score[c][i] >= m[c][1]), key=lambda c: score[c][i], default=None)
+                if kind is not None:
                     extra.setdefault(k, []).append((-float(score[kind][i]), s, e, kind))
         spans, red = [], []
         for k, t in enumerate(texts):
