@@ -98,6 +98,38 @@ def test_a_frequent_label_takes_no_rare_ones_place(spark, caplog):
     assert "no model for kind phone" in caplog.text and "no model for kind secret" not in caplog.text
 
 
+def test_assigned_values_and_near_forms_are_added(spark):
+    rng = random.Random(9)
+    word = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    low, cap, num = "abcdefghijkmnopqrstuvwxyz", "ABCDEFGHJKLMNPQRSTUVWXYZ", "0123456789"
+    forms = [lambda: (f'x password="{(v := word(low, 3) + "!" + word(num + low, 4))}" y', v), lambda: (f"x pwd: {(v := word(low, 6) + word(num, 2))} y", v),
+             lambda: (f"x access_key={(v := word(cap, 20))} y", v), lambda: (f"x {(v := 'AKIA' + word(cap, 16))} y", v),
+             lambda: (f"call tel: {(v := f'{rng.randrange(200, 999)} {rng.randrange(200, 999)} {rng.randrange(1000, 9999)}')} now", v),
+             lambda: (f"mail to {(v := f'{word(low, 5)} [at] {word(low, 6)} [dot] org')} now", v)]
+    rows, hidden = _rows(random.Random(1), 600), {}
+    for i in range(600, 1200):
+        t, hidden[i] = forms[i % len(forms)]()
+        rows.append((i, t))
+    rows += [(i, rng.choice(["password: required", "the key: open", "room 555 123 4567", "meet at noon", '"quoted" word', "time: 12:30:45"])) for i in range(1200, 1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    models = P.fit(df)
+    assert {"secret", "phone", "email"} <= set(models)
+    out = {r.doc_id: r.redacted_text for r in P.detect(df, models).collect()}
+    left = [t for i, t in rows if i in hidden and hidden[i] in out[i]]
+    assert len(left) <= 6, left
+    wrong = [t for i, t in rows if i >= 1200 and out[i] != t]
+    assert not wrong, wrong
+
+
+def test_long_values_take_linear_time():
+    import time
+
+    t0 = time.perf_counter()
+    for t in ("a='" * 100_000, 'a="' + "x" * 300_000, "a=\"\\" * 100_000, "'\"`" * 100_000, "a at " * 100_000, "1:" * 150_000, "a" + " " * 300_000 + "=", "a=" * 150_000, "a.b" * 100_000):
+        P.candidates(t)
+    assert time.perf_counter() - t0 < 30
+
+
 def test_redaction():
     t = "a bob@x.org b +1 (555) 123-4567."
     assert P.redact(t, P.base_spans(t)) == "a [EMAIL] b [PHONE]."

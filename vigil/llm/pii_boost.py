@@ -1,14 +1,16 @@
 """Personal data by high-recall candidates and boosted trees.
 
 The base spans (email, ip, card, phone) follow fixed patterns and checks and are
-always kept. Generators propose further, overlapping spans around every digit
-and every ``@``: address-like words, number runs, dotted numbers, long tokens and
-quoted or assigned values. Each candidate gets format features (lengths,
+always kept. Generators propose further, overlapping spans: around every digit
+and every ``@`` address-like words, number runs, dotted numbers and long tokens; and
+assigned values, quoted words, addresses with "at" written out, IPv6 forms and runs of 20 capitals. Each candidate gets format features (lengths,
 character classes, groups, entropy) and context features (the characters and key
 words around it). One boosted tree model per kind is fitted on a bounded
 sample of candidates with labels by rule: a candidate that is a base span has
-its kind; one with the form of an access key, or a mixed token assigned to a
-secret's name, is a ``secret``; others are none. Half of the sample fits the
+its kind; one with the form of an access key, a value assigned to a secret's name
+(quoted or after ``=`` of any form, else with a digit or symbol) or a mixed token assigned to
+a weaker name is a ``secret``; a near form that follows a key word of its kind (or is plain by
+itself: "[at]", IPv6) has that kind; others are none. Half of the sample fits the
 trees, the other half calibrates a threshold per kind, the lowest of at least
 0.5 that reaches ``PRECISION`` there (no threshold, no span). Accepted candidates that touch no
 base span and no better candidate are added.
@@ -53,9 +55,22 @@ _MARK = re.compile(r"[0-9@]")
 _RUN = re.compile(r"[+(]?[0-9][0-9 ().-]{5,}[0-9]")
 _DOTTED = re.compile(r"(?<![0-9.])[0-9]++(?:\.[0-9]++){2,}")
 _TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+_ADDRESS = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:[\[({] ?at ?[\])}]| at ) ?[A-Za-z0-9-]++(?: ?(?:[\[({] ?dot ?[\])}]| dot |\.) ?[A-Za-z0-9-]++)++", re.IGNORECASE)
+_IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])")
+_VALUE = re.compile(r"""(?<=[\w\])])\\?["']?[ \t]*+(?:=>?|:=?)[ \t]*+(?:"((?:[^"\\\n]|\\.)++)"|'((?:[^'\\\n]|\\.)++)'|\\["']([^"'\\\n]++)|([^\s"'\\,;&<>()\[\]{}]++))""")
+_QUOTED = re.compile(r"""(?<!\w)(["'`])((?:(?!\1)\S)++)\1(?!\w)""")
+_MAILBOX = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]++")
+_NUMBER = re.compile(r"[+(]?[0-9][0-9 ().-]*")
+_LETTERS = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Z]{20}(?![A-Za-z0-9+/_-])")
 _KEY = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}\Z")
 _NAMES = ("pass", "pwd", "token", "secret", "key", "mail", "phone", "tel", "card", "addr", "version", "license")
 _ASSIGNED = re.compile(r"(?:password|passwd|pwd|token|secret|key)[\"']?\s*[=:]\s*[\"']?\Z", re.IGNORECASE)
+# Weak rules on the text before a span: names that always hold secrets, and key words of the other kinds.
+_STRONG = re.compile(r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|(?:api|access|private|auth)[ _-]?(?:key|token))\\?["']?\s*(=>?|:=?|\bis\b)\s*(\\?["'`])?\Z""", re.IGNORECASE)
+_SAID = r"""[a-z]{0,6}\.?\\?["']?\s*(?:(?:no\.?|number|is|at|me)\s*)?(?:[=:#]\s*)?\\?["'(<]?\Z"""
+_MAIL_WORD, _IP_WORD, _CARD_WORD, _PHONE_WORD = (re.compile(rf"\b(?:{w}){_SAID}", re.IGNORECASE) for w in (
+    "e-?mail|mail|contact|write to", "ip|ipv6|host|addr|client|server", "card|visa|mastercard|amex|cc|pan", "tel|phone|telephone|mobile|cell|call|fax|sms"))
+_NONE = frozenset(("null", "none", "nil", "true", "false", "undefined"))
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
                      T.StructField("base", T.BooleanType()), T.StructField("score", T.DoubleType())])
@@ -130,6 +145,21 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
             for m in pattern.finditer(text):
                 if m.end() - m.start() >= 7:
                     out.add((m.start(), m.end(), gen))
+    if "=" in text or ":" in text:
+        for m in _VALUE.finditer(text):
+            s, e = m.span(m.lastindex)
+            if m.lastindex == 4:  # without quotes: the end of a sentence is no part of it
+                while e > s and text[e - 1] in ".:":
+                    e -= 1
+            if e > s:
+                out.add((s, e, 5))
+    if '"' in text or "'" in text or "`" in text:
+        out.update((*m.span(2), 6) for m in _QUOTED.finditer(text))
+    if ":" in text:
+        out.update((*m.span(), 7) for m in _IPV6.finditer(text))
+    if "at" in text or "AT" in text or "At" in text:
+        out.update((*m.span(), 8) for m in _ADDRESS.finditer(text))
+    out.update((*m.span(), 9) for m in _LETTERS.finditer(text))
     return sorted(out)
 
 
@@ -146,10 +176,25 @@ def features(text: str, s: int, e: int, gen: int) -> list[float]:
             digits / n, upper / n, len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
             max((int(g[:9]) for g in groups), default=0), switches, -sum(p * math.log2(p) for p in counts),
             all(c in "0123456789abcdefABCDEF" for c in x), x[:1] == "+", x.rpartition("@")[2].count("."),
+            n - digits - upper - lower, any(c.isspace() for c in x), x.count(":"), "::" in x, x.lower() in _NONE, float(_KEY.match(x) is not None),
+            float(_at_end(text, e)), float(sum(map(len, groups))), *_named(before),
             float(gen), *(float(w in low) for w in _NAMES), prev.isspace(), prev in ("\"", "'"), prev in ("=", ":"), prev.isalnum(),
             nxt.isspace(), nxt in ("\"", "'"), nxt in (".", ","), nxt.isalnum(), "=" in before[-4:] or ":" in before[-4:]]
 
 
+def _at_end(text: str, e: int) -> bool:
+    """Whether a value ends here, so that a span is no mere front part of one."""
+    rest = text[e:e + 2]
+    return not rest or rest[0].isspace() or rest[0] in "\"'`\\,;&<>()[]{}" or (rest[0] in ".:" and (len(rest) == 1 or rest[1].isspace()))
+
+
+def _named(before: str) -> list[float]:
+    """What the text just before a span says: a secret's name (2: one in quotes or after a bare =), an assigned name, and the other kinds' words."""
+    strong = _STRONG.search(before)
+    return [0.0 if strong is None else 2.0 if strong.group(2) or strong.group(1) == "=" else 1.0, float(_ASSIGNED.search(before) is not None),
+            *(float(w.search(before) is not None) for w in (_MAIL_WORD, _IP_WORD, _CARD_WORD, _PHONE_WORD))]
+
+
 def rule_kind(text: str, s: int, e: int, base: dict[tuple[int, int], str]) -> int:
     """The label of a candidate: 1 + the number of its kind, 0 for none."""
     kind = base.get((s, e))
@@ -158,8 +203,22 @@ def rule_kind(text: str, s: int, e: int, base: dict[tuple[int, int], str]) -> in
     x = text[s:e]
     if _KEY.match(x):
         return 1 + KINDS.index("secret")
-    mixed = any(c.isdigit() for c in x) and any(c.isalpha() for c in x) and e - s >= 12
-    return 1 + KINDS.index("secret") if mixed and _ASSIGNED.search(text[max(0, s - 24):s]) else 0
+    before = text[max(0, s - 24):s]
+    strong, assigned, mail, ip, card, phone = _named(before)
+    digits, has_letter = sum(c.isdigit() for c in x), any(c.isalpha() for c in x)
+    if _at_end(text, e) and x.lower() not in _NONE and (
+            (strong == 2 and (has_letter or digits)) or (strong and has_letter and (digits or any(not c.isalnum() and not c.isspace() for c in x)))
+            or (assigned and digits and has_letter and e - s >= 12)):
+        return 1 + KINDS.index("secret")
+    if s and (text[s - 1].isalnum() or text[s - 1] in "+.") or e < len(text) and text[e].isalnum():
+        return 0  # part of something longer
+    if _ADDRESS.fullmatch(x) and (mail or any(c in "[({" for c in x)) or (mail and _MAILBOX.fullmatch(x)):
+        return 1 + KINDS.index("email")
+    if _IPV6.fullmatch(x) and (x.count(":") == 7 or ("::" in x and x.count("::") == 1 and sum(c.isalnum() for c in x) >= 2) or (ip and x.count(":") > 3)):
+        return 1 + KINDS.index("ip")
+    if card and 13 <= digits <= 19 and _CARD.fullmatch(x):
+        return 1 + KINDS.index("card")
+    return 1 + KINDS.index("phone") if phone and 7 <= digits <= 15 and _NUMBER.fullmatch(x) else 0
 
 
 def fit(docs: DataFrame, text: str = "text", sample_candidates: int = SAMPLE_CANDIDATES) -> dict:
@@ -269,7 +328,7 @@ def detect(docs: DataFrame, models: dict, text: str = "text") -> DataFrame:
         m = cached(key, lambda: {kind: (Boosted(*trees), at) for kind, (trees, at) in shared.value.items()})
         texts = batch.column(text).to_pylist()
         base = [base_spans(t) if t else [] for t in texts]
-        found = [(k, s, e, features(t, s, e, gen)) for k, t in enumerate(texts) if t and m and _MARK.search(t) for s, e, gen in candidates(t)]
+        found = [(k, s, e, features(t, s, e, gen)) for k, t in enumerate(texts) if t and m for s, e, gen in candidates(t)]
         extra: dict[int, list] = {}
         if found:
             x = np.array([f[3] for f in found], dtype=float)
@@ -282,7 +341,7 @@ def detect(docs: DataFrame, models: dict, text: str = "text") -> DataFrame:
         for k, t in enumerate(texts):
             got = [{"kind": kind, "start": s, "end": e, "base": True, "score": 1.0} for kind, s, e in base[k]]
             taken = [(s, e) for _, s, e in base[k]]
-            for p, s, e, kind in sorted(extra.get(k, [])):
+            for p, s, e, kind in sorted(extra.get(k, []), key=lambda c: (c[0], c[1], -c[2], c[3])):  # of equals the longer
                 if all(e <= a or s >= b for a, b in taken):
                     taken.append((s, e))
                     got.append({"kind": kind, "start": s, "end": e, "base": False, "score": -p})
