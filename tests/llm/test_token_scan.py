@@ -38,6 +38,32 @@ def test_hand_made_files(spark, tmp_path):
         assert {n: [(r.n_tokens, r.complete) for r in out if r.file.endswith(f"/{n}")] for n in "abc"} == want
 
 
+def test_one_file_is_read_by_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = [[i % 50_000] * (i % 90) for i in range(300)]
+    (tmp_path / "one file").write_bytes(b"".join(t.to_bytes(2, "big") for d in docs for t in [*d, 50_256]))
+    most = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(most, "1000")  # as for a file above what one row can hold
+    try:
+        blocks = read_blocks(spark, str(tmp_path), 256, task_bytes=2048)
+        dealt = blocks.groupBy(F.spark_partition_id()).agg(F.sum(F.length("data")).alias("n")).collect()
+        assert len(dealt) > 5 and max(r.n for r in dealt) < 8192
+        got = [(r.n_tokens, r.complete) for r in count_tokens(blocks, block_bytes=256).orderBy("doc_no").collect()]
+        assert got == [(len(d), True) for d in docs]
+    finally:
+        spark.conf.unset(most)
+
+
+def test_a_store_that_python_cannot_open(spark, tmp_path, monkeypatch, caplog):
+    from vigil.llm import token_scan
+
+    (tmp_path / "a").write_bytes(b"".join(t.to_bytes(2, "big") for t in [1, 2, 50_256, 3, 50_256]))
+    monkeypatch.setattr(token_scan, "_opened", lambda uri: 1 / 0)
+    got = count_tokens(read_blocks(spark, str(tmp_path), 4), block_bytes=4).orderBy("doc_no").collect()
+    assert [r.n_tokens for r in got] == [2, 1] and "by whole files" in caplog.text
+
+
 def test_no_files_with_tokens(spark, empty, tmp_path):
     write_token_files(empty, str(tmp_path / "t"))
     assert count_tokens(read_blocks(spark, str(tmp_path / "t"))).count() == 0

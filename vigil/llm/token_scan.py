@@ -1,8 +1,8 @@
 """Token counts of documents in flat token files, by a scan for the end-of-document id.
 
 A token file is nothing but ids of fixed width, one document after another,
-each closed by the end id: no index, no lengths. Files are read as blocks of
-bytes that ignore document borders; each block is searched for the end id as
+each closed by the end id: no index, no lengths. Files of any length are read as blocks of
+bytes that ignore document borders, each by a task that reads only its byte range; each block is searched for the end id as
 one vector comparison. A document may span blocks: the last end before a block,
 and the number of ends before it, come from a prefix scan over one small row per
 block, so that blocks of one large file are worked by many tasks.
@@ -18,6 +18,8 @@ no documents; repeated rows are counted each for itself.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +27,9 @@ from vigil.llm.tokens import encoder, vocabulary_path
 
 #: The id that ends a document, and how ids are laid out; bytes of a block (a multiple of the id's width).
 END_ID, LAYOUT, WIDTH, BLOCK_BYTES = 50_256, ">u2", 2, 1 << 20
-#: Documents per file, so that a file stays far below what one row can hold.
-FILE_DOCS = 20_000
+#: Bytes that one task reads, of one or several files; documents per file that is written.
+TASK_BYTES, FILE_DOCS = 8 << 20, 20_000
+LOG = logging.getLogger(__name__)
 
 
 def write_token_files(docs: DataFrame, path: str, text: str = "text", vocabulary: str | None = None, file_docs: int = FILE_DOCS) -> None:
@@ -47,11 +50,51 @@ def write_token_files(docs: DataFrame, path: str, text: str = "text", vocabulary
      .write.option("lineSep", last).option("maxRecordsPerFile", file_docs).text(path))
 
 
-def read_blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(file, block, data): the files' bytes in blocks, regardless of documents."""
-    files = spark.read.format("binaryFile").load(path).where("length > 0")
-    cut = F.expr(f"transform(sequence(0L, (length - 1) div {block_bytes}), i -> struct(i AS block, substring(content, cast(i * {block_bytes} + 1 AS int), {block_bytes}) AS data))")
-    return files.select(F.col("path").alias("file"), F.explode(cut).alias("x")).select("file", "x.block", "x.data")
+def _opened(uri: str):
+    """(pyarrow file system, path in it)."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(quote("s3:" + rest if scheme in ("s3a", "s3n") else uri, safe=":/@"))
+
+
+def read_blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """(file, block, data): the files' bytes in blocks, regardless of documents. Files are only listed; blocks are dealt
+    to tasks of some ``task_bytes``, which read their byte ranges. A store that Python cannot open is read by Spark
+    instead, each file as one row (so of less than 2 GB), with a warning."""
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("path").alias("file"), "length")  # no contents
+    total, one = files.agg(F.sum("length"), F.min("file")).first()
+    cut = F.explode(F.expr(f"sequence(0L, (length - 1) div {block_bytes})")).alias("block")
+    try:
+        if one is not None:
+            store, inside = _opened(one)
+            store.open_input_file(inside).close()
+    except Exception as why:  # noqa: BLE001
+        LOG.warning("%s is read by whole files: %s", path, why)
+        whole = spark.read.format("binaryFile").load(path).where("length > 0")
+        parts = F.expr(f"transform(sequence(0L, (length - 1) div {block_bytes}), i -> struct(i AS block, substring(content, cast(i * {block_bytes} + 1 AS int), {block_bytes}) AS data))")
+        return whole.select(F.col("path").alias("file"), F.explode(parts).alias("x")).select("file", "x.block", "x.data")
+
+    def read(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for file, block, length in zip(*(b.column(c).to_pylist() for c in ("file", "block", "length")), strict=True):
+                store, inside = _opened(file)
+                at = block * block_bytes
+                with store.open_input_file(inside) as f:
+                    data = f.read_at(min(block_bytes, length - at), at)
+                if len(data) != min(block_bytes, length - at):
+                    raise OSError(f"{file} is shorter than listed")
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([data], pa.binary())], ["file", "block", "data"])
+
+    # the number of partitions is given, as rows this small would all be merged into one task
+    return (files.select("file", "length", cut).repartition(max(1, -(-(total or 0) // task_bytes)))
+            .mapInArrow(read, "file string, block bigint, data binary"))
 
 
 def count_tokens(blocks: DataFrame, end_id: int = END_ID, layout: str = LAYOUT, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
