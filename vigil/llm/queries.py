@@ -172,3 +172,28 @@ def op7(spark, sf_dir):
     from vigil.llm.chat_quotes import conversations
 
     return conversations(read_table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label,
+                  [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS al, c.vec_id AS id, c.label AS cl, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+      FROM r a JOIN r c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, al, id AS positive_id, score AS positive_score FROM s WHERE cl = al
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.cl <> p.al AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
+@query("op12_kronecker_hard_negatives", OP12_SQL)
+def op12(spark, sf_dir):
+    from vigil.llm.hard_negatives import mine
+
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return mine(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label")))
