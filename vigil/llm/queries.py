@@ -197,3 +197,25 @@ def op12(spark, sf_dir):
     label = F.col("label").cast("bigint")
     moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
     return mine(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label")))
+
+
+_WORDS13 = "regexp_extract_all(" + _FOLDED + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS13.format('text')} AS w FROM documents),
+t AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) GROUP BY ALL),
+c AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d),
+df AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+i AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest({_WORDS13.format('text')}) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT i.item_id, rid, doc_id, CAST(sum(q * CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT)
+             * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len(w) * docs) // terms)))) AS BIGINT) AS score
+      FROM i JOIN t USING (term) JOIN df USING (term) JOIN d USING (rid), c GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@query("op13_bag_dedup_search", OP13_SQL)
+def op13(spark, sf_dir):
+    from vigil.llm.bag_search import search
+
+    return search(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
