@@ -219,3 +219,15 @@ def op13(spark, sf_dir):
     from vigil.llm.bag_search import search
 
     return search(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_guess_cost_secrets")
+def op11(spark, sf_dir):
+    from vigil.llm.secret_guess import KINDS, scan
+
+    d = scan(_documents(spark, sf_dir))
+    base = F.filter("secret_spans", lambda s: s["base"])
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return d.select("doc_id", *map(number, KINDS[:3]), sha_hex(told(base)).alias("base_sha256"), told(F.col("secret_spans")).alias("spans"),
+                    F.array_join(F.transform("secret_spans", lambda s: F.floor(s["bits"]).cast("string")), ",").alias("guess_bits"))
