@@ -42,3 +42,49 @@ def test_backoff_takes_the_longest_known_order():
     assert s.score(["known"]).tolist() == s.tables[0]["known"].tolist()
     s.rows, s.used = s.rows[:2], 2  # a full cache starts anew
     assert s.score(["ab", "known"]).shape == (2,)
+
+
+def test_a_small_language_keeps_its_own_entries(spark):
+    """Thirty rows beside 900, with tables that the large languages alone would fill."""
+    rng = random.Random(8)
+    rows = _rows(rng, 900)
+    small = "og det som på kan ikke være blev også søn".split()
+    stems = [a + b[1:] for a in small for b in small]
+    text = lambda: " ".join(rng.choice(small + stems) for _ in range(12))
+    rows += [(900 + i, text(), "da") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.fit(df.where("doc_id < 930"), max_words=25, max_grams=20)
+    assert len(model["langs"]) == 4 and all(sum(c[model["langs"].index("da")] > 0 for c in model["tables"][k].values()) >= 15 for k in (0, 2, 3))
+    out = [r.lang_pred for r in lang_id.identify(df.where("doc_id >= 930"), model).collect()]
+    assert out.count("da") >= 0.95 * len(out)
+
+
+def test_scores_equal_a_plain_computation(spark):
+    import math
+
+    rows = _rows(random.Random(6), 120)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.fit(df, max_words=30, max_grams=40)
+    langs = model["langs"]
+    logs = {k: {g: [math.log((c[i] + 0.5) / sum(x[i] + 0.5 for x in t.values())) for i in range(len(langs))] for g, c in t.items()} for k, t in model["tables"].items()}
+
+    def word(w):
+        for k in range(0, 6):
+            order = k and 6 - k
+            parts = [w] if order == 0 else [f"^{w}$"[i:i + order] for i in range(len(w) + 3 - order)]
+            found = [logs[order][p] for p in parts if p in logs[order]]
+            if found:
+                return [sum(v[i] for v in found) / len(found) for i in range(len(langs))]
+        return [0.0] * len(langs)
+
+    for r in lang_id.identify(df, model).collect():
+        total = [sum(x) for x in zip(*(word(w) for w in lang_id.letters(r.text)), strict=True)]
+        best = max(range(len(langs)), key=lambda i: total[i])
+        assert r.lang_pred == langs[best]
+        assert abs(r.lang_score - 1 / sum(math.exp(x - total[best]) for x in total)) < 1e-9
+
+
+def test_labels_of_free_text_are_bounded(spark, caplog):
+    rows = [(i, f"wort{i} der die", f"label {i}") for i in range(40)] + [(100 + i, "the of and", "en") for i in range(5)]
+    model = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_langs=7)
+    assert len(model["langs"]) == 7 and "en" in model["langs"] and "distinct labels" in caplog.text

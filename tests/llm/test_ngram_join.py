@@ -85,6 +85,22 @@ def test_components_of_a_chain_and_stars(spark):
     assert {out[i] for i in range(61)} == {0} and {out[200 + i] for i in range(30)} == {100}
 
 
+def test_null_ids_link_as_copies_and_as_bridges(spark):
+    text = lambda lo, hi: " ".join(f"c{i}" for i in range(lo, hi))
+    for middle in (3, None):
+        # a chain of 36, 41 and 46 shingles: each link is 0.87 or more, the ends are at 0.78
+        rows = [(1, text(0, 40)), (middle, text(0, 45)), (5, text(0, 50)), (None, text(100, 140)), (None, text(100, 142)), (None, None), (7, text(200, 240)), (None, text(200, 241)), (None, text(200, 241))]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        out = got(df)
+        assert out == brute(rows) and {c for d, _, c in out if d in (1, 5)} == {1} and (None, 37, 7) in out
+        kept = ngram_join.join(df).where("first").collect()
+        assert sorted((r.doc_id is None, r.n_shingles) for r in kept if r.n_shingles) == [(False, 36), (False, 36), (True, kept_size(kept))]
+
+
+def kept_size(kept):
+    return next(r.n_shingles for r in kept if r.doc_id is None and r.n_shingles)
+
+
 def test_only_empty_texts(spark):
     rows = [(1, ""), (2, None), (3, " ")]
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]

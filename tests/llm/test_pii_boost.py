@@ -130,6 +130,22 @@ def test_long_values_take_linear_time():
     assert time.perf_counter() - t0 < 30
 
 
+def test_many_accepted_spans_in_one_text_take_linear_time(spark):
+    import time
+
+    class Sure:
+        base, features, thresholds, leaves = 9.0, [], [], []
+
+    models = {"secret": (Sure, 0.5)}
+    unit = "a1@b.org password=\"zq9!x\" "
+    df = lambda n: spark.createDataFrame([(1, unit * n)], "doc_id long, text string")
+    P.detect(df(10), models).collect()
+    t0 = time.perf_counter()
+    r = P.detect(df(12_000), models).first()  # 300 KB
+    assert time.perf_counter() - t0 < 25
+    assert len(r.pii_spans) == 24_000 and r.redacted_text == "[EMAIL] password=\"[SECRET]\" " * 12_000
+
+
 def test_redaction():
     t = "a bob@x.org b +1 (555) 123-4567."
     assert P.redact(t, P.base_spans(t)) == "a [EMAIL] b [PHONE]."

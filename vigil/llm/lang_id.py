@@ -7,8 +7,11 @@ known n-grams of the longest order that has any. The scores of all words of
 the whole text are added up and the softmax over the languages is the score.
 
 Training reads a bounded sample of labelled rows (``sample_rows``, chosen by a
-hash of the id so that a rerun picks the same) and keeps bounded tables
-(``max_words``, ``max_grams``); it is fitted with Spark aggregates.
+hash of the id so that a rerun picks the same) and keeps bounded tables: of each
+language its own ``max_words`` most frequent words and ``max_grams`` n-grams of
+every order, so that a small language keeps its entries beside large ones. It
+is fitted with Spark aggregates. More than ``max_langs`` distinct labels are no
+languages (free text): the most frequent are learned, with a warning.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; if
 no labelled row exists, every text is ``und`` with score 0. Rows without a
@@ -17,17 +20,21 @@ language are not learned from. Columns named like an added one are replaced.
 
 from __future__ import annotations
 
+import logging
 import math
 import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.llm.common import cached, staged, with_columns
 
-SAMPLE_ROWS, MAX_WORDS, MAX_GRAMS, TOP_ORDER = 8_000, 40_000, 12_000, 5
+SAMPLE_ROWS, TOP_ORDER = 8_000, 5
+#: Bounds of the model: words, and n-grams of one order, of each language; and languages.
+MAX_WORDS, MAX_GRAMS, MAX_LANGS = 10_000, 4_000, 512
+LOG = logging.getLogger(__name__)
 #: Unseen words whose scores a worker keeps; beyond it the cache starts anew.
 CACHE_WORDS = 150_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -53,11 +60,14 @@ def _tall(rows: list[tuple], names: tuple[str, ...]):
 
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", row_id: str = "doc_id",
-        sample_rows: int = SAMPLE_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> dict:
+        sample_rows: int = SAMPLE_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, max_langs: int = MAX_LANGS) -> dict:
     """The model: languages, and per order (0: whole words) gram -> counts."""
     rows = rows.select(F.col(row_id).cast("string").alias("i"), F.col(text).alias("t"),
                        F.col(lang).cast("string").alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
-    counts = {r.l: int(r.n) for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    top = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(max_langs + 1).collect()
+    if len(top) > max_langs:
+        LOG.warning("over %d distinct labels; the most frequent are learned", max_langs)
+    counts = {r.l: int(r.n) for r in top[:max_langs]}
     if not counts:
         return {"langs": [], "tables": {}}
     # each language gives up to an equal part of the sample, so a rare one is not lost
@@ -89,14 +99,15 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", row_id: str = "
     # words are counted first, so that n-grams are taken once from each distinct word
     counted = chosen.select("t", "l").mapInArrow(words, "l string, w string, n bigint").groupBy("l", "w").agg(F.sum("n").alias("n"))
     tall = counted.mapInArrow(orders, "l string, k bigint, g string, n bigint").groupBy("l", "k", "g").agg(F.sum("n").alias("n"))
-    wide = staged(tall.groupBy("k", "g").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("l", "n"))).alias("by"))
-                  .where("n >= 2"))
+    tall = staged(tall)
+    place = F.row_number().over(Window.partitionBy("l", "k").orderBy(F.desc("n"), "g"))
+    chosen = tall.withColumn("place", place).where(F.col("place") <= F.when(F.col("k") == 0, max_words).otherwise(max_grams)).select("k", "g").distinct()
     langs = sorted(counts)
-    tables: dict[int, dict[str, list[int]]] = {}
-    for k in range(TOP_ORDER + 1):  # a bounded table per order goes to the driver
-        top = wide.where(F.col("k") == k).orderBy(F.desc("n"), "g").limit(max_words if k == 0 else max_grams)
-        tables[k] = {r.g: [int((r.by or {}).get(x, 0)) for x in langs] for r in top.select("g", "by").collect()}
-    return {"langs": langs, "tables": tables}
+    at = {x: i for i, x in enumerate(langs)}
+    tables: dict[int, dict[str, list[int]]] = {k: {} for k in range(TOP_ORDER + 1)}
+    for r in tall.join(chosen, ["k", "g"], "left_semi").collect():  # at most languages times (words + 5 orders of n-grams) entries
+        tables[r.k].setdefault(r.g, [0] * len(langs))[at[r.l]] = int(r.n)
+    return {"langs": langs, "tables": {k: dict(sorted(t.items())) for k, t in tables.items()}}
 
 
 class Scorer:

@@ -25,7 +25,8 @@ order 56 of them count.
 
 Defined cases: null texts and texts without words have an empty set (0
 n-grams) and are linked with nothing; repeated rows are copies of each other;
-with fewer words than n, the whole sequence is the one n-gram. Input columns
+with fewer words than n, the whole sequence is the one n-gram. A null id links
+as any other, but names a component only if all its ids are null. Input columns
 other than the id and the text are ignored.
 """
 
@@ -62,7 +63,7 @@ def _sets(table, n: int):
 
 
 def document_sets(docs: DataFrame, text: str = "text", row_id: str = "doc_id", n: int = N, percent: int = PERCENT, depth: int = 2) -> DataFrame:
-    """(id, n_shingles, class, shared): ``class`` is the set's hash; ``shared`` its n-grams with an estimate above 1,
+    """(id, text_hash, n_shingles, class, shared): ``class`` is the set's hash; ``shared`` its n-grams with an estimate above 1,
     as ascending little-endian uint64 in the global order, or null if they are too few for any partner."""
     texts, total = bucketed(docs, text, row_id)
     sketch = repeats.Sketch.for_items(max(1, total // 5), depth)
@@ -89,13 +90,13 @@ def document_sets(docs: DataFrame, text: str = "text", row_id: str = "doc_id", n
         ends = np.searchsorted(row, np.arange(many + 1))
         enough = (100 * np.diff(ends) >= percent * sizes) & (sizes > 0)
         blobs = [rank[ends[k]:ends[k + 1]].tobytes() if enough[k] else None for k in range(many)]
-        return pa.table([table.column("id"), pa.array(sizes), pa.array(sums.view(np.int64)), pa.array(blobs, pa.binary())],
-                        names=["id", "n_shingles", "class", "shared"])
+        return pa.table([table.column("id"), table.column("text_hash"), pa.array(sizes), pa.array(sums.view(np.int64)), pa.array(blobs, pa.binary())],
+                        names=["id", "text_hash", "n_shingles", "class", "shared"])
 
     by_bucket = texts.groupBy("bucket")
     answers = repeats.merge(by_bucket.applyInArrow(first, repeats.ASK), sketch)
     kind = docs.schema[row_id].dataType.simpleString()
-    return by_bucket.cogroup(answers.groupBy("bucket")).applyInArrow(second, f"id {kind}, n_shingles bigint, class bigint, shared binary")
+    return by_bucket.cogroup(answers.groupBy("bucket")).applyInArrow(second, f"id {kind}, text_hash bigint, n_shingles bigint, class bigint, shared binary")
 
 
 def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
@@ -214,17 +215,17 @@ def count_overlaps(pairs: DataFrame, classes: DataFrame, pivots: list[int], n_pa
 
 
 def join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", n: int = N, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
-    """(id, n_shingles, class, component_id): ``component_id`` is the smallest id reachable by links with
-    100 * overlap >= percent * union."""
+    """(id, text_hash, n_shingles, class, component_id, first): ``component_id`` is the smallest id reachable by links
+    with 100 * overlap >= percent * union; ``first`` marks the component's first row, by id (null last), then text hash."""
     sets = staged(document_sets(docs, text, row_id, n, percent))
-    rep = sets.where("shared IS NOT NULL").groupBy("class").agg(F.min("id").alias("id"))
-    classes = staged(sets.where("shared IS NOT NULL").join(rep, ["class", "id"], "left_semi").dropDuplicates(["class"])
-                     .select("class", "n_shingles", "shared"))
+    able = sets.where("shared IS NOT NULL").withColumn("row_hash", F.xxhash64("id", "text_hash"))  # never null
+    rep = able.groupBy("class").agg(F.min("row_hash").alias("row_hash"))
+    classes = staged(able.join(rep, ["class", "row_hash"], "left_semi").dropDuplicates(["class"]).select("class", "n_shingles", "shared"))
     pivots = _pivots(classes, fragments)
     sized = classes.select("class", F.col("n_shingles").alias("n"), (F.octet_length("shared") / 8).cast("bigint").alias("held"))
 
     grams = staged(_prefixes(classes, percent))
-    heads = grams.groupBy("gram").agg(F.max(F.struct("typical", "class")).getField("class").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    heads = staged(grams.groupBy("gram").agg(F.max(F.struct("typical", "class")).getField("class").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"))  # so that a frequent n-gram's side of the join can be split
     led = staged(grams.join(heads, "gram").where("class <> a").select("a", F.col("class").alias("b")).distinct())
     with_sizes = lambda p: (p.join(sized.toDF("a", "na", "ha"), "a").join(sized.toDF("b", "nb", "hb"), "b"))
     linked = f"100 * overlap >= {percent} * (na + nb - overlap)"
@@ -253,9 +254,11 @@ def join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", n: int = N
     second = components(top)
     final = (labels.join(second.toDF("label", "up"), "label", "left").select(F.col("node").alias("class"), F.coalesce("up", "label").alias("label"))
              .union(second.join(labels.select(F.col("node")), "node", "left_anti").select(F.col("node").alias("class"), "label")))
-    whole = staged(sets.select("id", "n_shingles", "class").join(final, "class", "left").withColumn("label", F.coalesce("label", "class")))
+    whole = staged(sets.select("id", "text_hash", "n_shingles", "class").join(final, "class", "left").withColumn("label", F.coalesce("label", "class")))
     # an empty set is its own component, and ids alone tell those apart
-    least = staged(whole.where("n_shingles > 0").groupBy("label").agg(F.min("id").alias("least")))  # so that a large group's side of the join can be split
+    row = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("text_hash").alias("text_hash"))
+    least = staged(whole.where("n_shingles > 0").groupBy("label").agg(F.min(row).alias("head")))  # so that a large group's side of the join can be split
     return whole.join(least, "label", "left").select(
-        F.col("id").alias(row_id), "n_shingles", "class",
-        F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+        F.col("id").alias(row_id), "text_hash", "n_shingles", "class",
+        F.when(F.col("n_shingles") > 0, F.col("head.id")).otherwise(F.col("id")).alias("component_id"),
+        ((F.col("n_shingles") == 0) | row.eqNullSafe(F.col("head"))).alias("first"))

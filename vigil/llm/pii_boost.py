@@ -340,10 +340,12 @@ def detect(docs: DataFrame, models: dict, text: str = "text") -> DataFrame:
         spans, red = [], []
         for k, t in enumerate(texts):
             got = [{"kind": kind, "start": s, "end": e, "base": True, "score": 1.0} for kind, s, e in base[k]]
-            taken = [(s, e) for _, s, e in base[k]]
+            taken = bytearray(len(t) if k in extra else 0)
+            for _, s, e in base[k] if k in extra else ():
+                taken[s:e] = b"\1" * (e - s)
             for p, s, e, kind in sorted(extra.get(k, []), key=lambda c: (c[0], c[1], -c[2], c[3])):  # of equals the longer
-                if all(e <= a or s >= b for a, b in taken):
-                    taken.append((s, e))
+                if taken.find(1, s, e) < 0:
+                    taken[s:e] = b"\1" * (e - s)
                     got.append({"kind": kind, "start": s, "end": e, "base": False, "score": -p})
             got.sort(key=lambda g: (g["start"], KINDS.index(g["kind"])))
             spans.append(got)
