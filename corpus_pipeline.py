@@ -30,11 +30,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group linked by word 5-gram Jaccard of 0.8 or more."""
+    """Keeps the document with the smallest id (null last, then by text hash) of each group linked by word 5-gram
+    Jaccard of 0.8 or more."""
     small_batches(spark)
-    first = ngram_join.join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_kept"]), "left_semi")
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)  # repeated rows
+    first = ngram_join.join(docs).where("first").select(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_hash")).distinct()
+    kept = docs.withColumn("_text", F.xxhash64("text"))
+    kept = kept.join(first, kept["doc_id"].eqNullSafe(first["_kept"]) & (kept["_text"] == first["_hash"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)  # repeated rows
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
