@@ -134,6 +134,53 @@ def test_cache_random_against_brute_force(spark):
     assert got == brute_cache(rows, 900)
 
 
+def test_cache_one_key_over_many_chunks(spark):
+    """All requests have one key: chunks replay in several tasks, and equal the plain fold."""
+    rnd = random.Random(17)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # tasks as of large inputs
+    for ttl, gap, fails in ((60, 3, 0.0), (60, 50, 0.5), (600, 2000, 0.3), (7, 400, 0.1)):
+        t, rows, ok = 0, [], {}
+        for i in range(3000):
+            t += rnd.randrange(0, 2 * gap + 1) if rnd.random() > 0.01 else 40 * ttl
+            rows.append((i, "hot", t))
+            ok[i] = rnd.random() >= fails
+        df = spark.createDataFrame([(r, k, _ts(x), ok[r]) for r, k, x in rows], "request_id long, cache_key string, ts timestamp, ok boolean")
+        out = cache.replay(df, ttl, answered_ok=F.col("ok"))
+        got = out.withColumn("part", F.spark_partition_id()).collect()
+        assert {x.request_id: x.cache_hit for x in got} == brute_cache(rows, ttl, ok), (ttl, gap)
+        assert len({x.part for x in got}) > 1
+        live = None
+        for x in sorted(got, key=lambda x: (x.ts, x.request_id)):  # the entry of a hit is the last store
+            live = x.ts if not x.cache_hit and ok[x.request_id] else live
+            assert x.entry_stored_at == (live if x.cache_hit or ok[x.request_id] else None)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_cache_chunks_in_small_arrow_batches(spark):
+    rnd = random.Random(23)
+    rows = [(i, rnd.choice(["a", "a", "a", "b", "c", "d" * 40]), rnd.randrange(0, 30_000)) for i in range(2500)]
+    ok = {i: rnd.random() < 0.8 for i, *_ in rows}
+    df = spark.createDataFrame([(r, k, _ts(t), ok[r], "x" * (r % 5)) for r, k, t in rows], "request_id long, cache_key string, ts timestamp, ok boolean, extra string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 3, 64):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+            got = cache.replay(df, 50, answered_ok=F.col("ok"), carry=["extra"]).collect()
+            assert {x.request_id: x.cache_hit for x in got} == brute_cache(rows, 50, ok)
+            assert all(x.extra == "x" * (x.request_id % 5) for x in got)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_cache_rows_without_key_or_time(spark):
+    rows = [(1, "k", _ts(0)), (2, None, _ts(1)), (3, "k", None), (4, "k", _ts(5)), (5, None, None), (6, None, _ts(2)), (None, "k", _ts(6))]
+    df = spark.createDataFrame(rows, "request_id long, cache_key string, ts timestamp")
+    got = sorted((x.request_id or 0, x.cache_hit, x.entry_stored_at) for x in cache.replay(df, 100).collect())
+    assert got == [(0, True, _ts(0)), (1, False, _ts(0)), (2, False, None), (3, False, None), (4, True, _ts(0)), (5, False, None), (6, False, None)]
+    assert [x.cache_hit for x in cache.replay(df, 0).collect()] == [False] * 7
+    assert cache.replay(df.limit(0), 100).count() == 0
+
+
 def brute_budget(rows, cap):
     out, spend = {}, {}
     for rid, ts, est, act in sorted(rows, key=lambda r: (r[1], r[0])):
