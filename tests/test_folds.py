@@ -267,6 +267,48 @@ def test_budget_long_tail_with_free_requests(spark):
     assert sum(want.values()) < len(rows)  # the cap binds
 
 
+def test_step_functions_equal_the_fold():
+    import numpy as np
+
+    rnd = random.Random(31)
+    for _ in range(60):
+        cap = rnd.randrange(1, 400)
+        n = rnd.randrange(0, 40)
+        est = np.array([rnd.randrange(0, 120) for _ in range(n)], dtype=np.int64)
+        act = np.array([rnd.choice([0, int(e), int(e) // 2, int(e) + 7]) for e in est], dtype=np.int64)
+        steps = budget.Steps(cap)
+        cut = rnd.randrange(0, n + 1)
+        steps.add(est[:cut], act[:cut])
+        steps.add(est[cut:], act[cut:])
+        assert steps.lo[0] == 0 and steps.hi[-1] == cap and (steps.lo[1:] == steps.hi[:-1] + 1).all()
+        for left in range(cap + 1):
+            spend = budget._fold_tail(est, act, cap - left, cap)[2]
+            i = int(np.searchsorted(steps.lo, left, side="right")) - 1
+            assert cap - left + int(steps.spent[i]) == spend
+
+
+def test_budget_one_day_runs_in_many_tasks(spark):
+    rnd = random.Random(37)
+    rows = []
+    for i in range(5000):
+        est = Decimal(rnd.choice([10, 200, 3000, 40000])) / Decimal(10 ** 6)
+        act = Decimal(0) if rnd.random() < 0.5 else (est * Decimal(rnd.choice(["0.1", "0.9", "1.3"]))).quantize(Decimal("0.000001"))
+        rows.append((i, _ts(rnd.randrange(0, 6 * 3600)), est, act))
+    df = spark.createDataFrame(rows, "request_id long, ts timestamp, estimated_cost decimal(18,6), actual_cost decimal(18,6)")
+    tasks = []
+    real, spark_task = budget.cut_lineage, F.spark_partition_id().alias("p")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # tasks as of large inputs
+    try:
+        budget.cut_lineage = lambda d: real(d) if "allowed" not in d.columns else (tasks.append(d.select(spark_task).distinct().count()), real(d))[1]
+        got = {x.request_id: x.allowed for x in budget.admission(df, "1.5").collect()}
+    finally:
+        budget.cut_lineage = real
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = brute_budget(rows, Decimal("1.5"))
+    assert got == want and 0 < sum(want.values()) < len(rows)
+    assert tasks and tasks[0] > 1
+
+
 def brute_rate_requests(rows, limits):
     """Request-counting variant: every admitted request takes a slot."""
     lists, out = {}, {}

@@ -2,10 +2,9 @@
 minute spend, W4 running total, A14 budget utilisation.
 
 Admission under a daily cap is a serial fold (a denied request adds
-nothing, so later decisions depend on earlier ones). Days whose worst case
-fits under the cap (all actual costs plus the largest estimate) admit every
-request, computed with plain aggregates; only the other days stream, in
-time order, through a fold whose state is one running sum.
+nothing, so later decisions depend on earlier ones). What a day surely admits
+comes from prefix sums; from where the cap can bind, each minute is summed up
+as a step function of the spend, and those are composed per day.
 """
 
 from __future__ import annotations
@@ -76,26 +75,110 @@ def _fold_tail(est: np.ndarray, act: np.ndarray, s: int, cap: int):
     return allowed, before, s
 
 
+class Steps:
+    """What a block's requests spend, as a step function of what is left of the cap before the block.
+
+    Piece i holds the amounts left from ``lo[i]`` to ``hi[i]``, which all lead to the spend ``spent[i]``. A request is
+    admitted where its estimate is at most what is then left, so it raises whole pieces, or cuts one at its own
+    threshold; neighbours that have come to the same spend are one again. There are never more pieces than
+    micro-dollars in the largest estimate."""
+
+    def __init__(self, left: int):
+        self.lo, self.hi, self.spent = np.array([0]), np.array([left]), np.array([0])
+
+    def add(self, est: np.ndarray, act: np.ndarray) -> None:
+        """The block's next requests, in order; those that can be admitted from no piece, or cost nothing, are skipped at once."""
+        at, n = 0, len(est)
+        while at < n:
+            end = min(n, at + LOOKAHEAD)
+            can = np.flatnonzero((est[at:end] <= (self.hi - self.spent).max()) & (act[at:end] > 0))
+            if not len(can):
+                at = end
+                continue
+            at += int(can[0])
+            self._one(int(est[at]), int(act[at]))
+            at += 1
+
+    def _one(self, est: int, act: int) -> None:
+        needs = est + self.spent
+        cut = (self.lo < needs) & (needs <= self.hi)
+        of = np.repeat(np.arange(len(needs)), 1 + cut)
+        upper = np.zeros(len(of), dtype=bool)
+        upper[1:] = of[1:] == of[:-1]
+        lower = np.zeros(len(of), dtype=bool)
+        lower[:-1] = upper[1:]
+        lo, hi = np.where(upper, needs[of], self.lo[of]), np.where(lower, needs[of] - 1, self.hi[of])
+        spent = self.spent[of] + act * ((lo >= needs[of]) & ~lower)
+        keep = np.ones(len(of), dtype=bool)
+        keep[1:] = spent[1:] != spent[:-1]
+        first = np.flatnonzero(keep)
+        self.lo, self.spent, self.hi = lo[first], spent[first], hi[np.append(first[1:], len(of)) - 1]
+
+
+def _runs(pdf: pd.DataFrame, cols: list[str], cur):
+    """(key, from, to, whether the group begins here) for the runs of equal ``cols`` in a sorted batch after group ``cur``."""
+    values = [pdf[c].values for c in cols]
+    new = np.zeros(len(pdf), dtype=bool)
+    for v in values:
+        new[1:] |= v[1:] != v[:-1]
+    cuts = np.flatnonzero(new).tolist()
+    for lo, hi in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
+        if hi > lo:
+            key = tuple(v[lo] for v in values)
+            yield key, lo, hi, key != cur
+            cur = key
+
+
+def _block_steps(cap_micro: int):
+    def run(batches):
+        def frame():
+            return pd.DataFrame(out, columns=["day", "blk", "left", "bounds", "spent"])
+
+        key, steps, out = None, None, []
+        for pdf in batches:
+            est, act, start = (pdf[c].values.astype(np.int64) for c in ("est_micro", "act_micro", "start_micro"))
+            for k, lo, hi, begins in _runs(pdf, ["day", "blk"], key):
+                if begins:
+                    if steps is not None:
+                        out.append((*key, left, steps.lo, steps.spent))
+                    key, left = k, cap_micro - int(start[lo])
+                    steps = Steps(left)
+                steps.add(est[lo:hi], act[lo:hi])
+            yield frame()
+            out = []
+        if steps is not None:
+            out.append((*key, left, steps.lo, steps.spent))
+            yield frame()
+
+    return run
+
+
+def _compose_steps(batches):
+    """Applies a day's step functions one after the other: what is left before each block."""
+    from bisect import bisect_right
+
+    day, left = None, 0
+    for pdf in batches:
+        out = []
+        for d, bounds, spent, start in zip(pdf["day"].values, pdf["bounds"].values, pdf["spent"].values, pdf["left"].values, strict=True):
+            if d != day:
+                day, left = d, int(start)
+            out.append(left)
+            if left >= 0:
+                left -= int(spent[bisect_right(bounds, left) - 1])
+        yield pd.DataFrame({"day": pdf["day"].values, "blk": pdf["blk"].values, "left": out})
+
+
 def _admission_fold(cap_micro: int):
     def fold(batches):
-        cur, spend = None, 0
+        key, spend = None, 0
         for pdf in batches:
-            days = pdf["day"].values
-            est = pdf["est_micro"].values.astype(np.int64)
-            act = pdf["act_micro"].values.astype(np.int64)
-            start = pdf["start_micro"].values.astype(np.int64)
-            allowed = np.zeros(len(pdf), dtype=bool)
-            before = np.zeros(len(pdf), dtype=np.int64)
-            bounds = np.flatnonzero(days[1:] != days[:-1]) + 1 if len(days) else np.array([], dtype=int)
-            for lo, hi in zip(np.concatenate([[0], bounds]).astype(int), np.concatenate([bounds, [len(days)]]).astype(int)):
-                if hi <= lo:
-                    continue
-                if days[lo] != cur:
-                    cur, spend = days[lo], int(start[lo])
-                a, b, spend = _fold_tail(est[lo:hi], act[lo:hi], spend, cap_micro)
-                allowed[lo:hi] = a
-                before[lo:hi] = b
-            yield pd.DataFrame({"request_id": pdf["request_id"].values, "ts": pdf["ts"].values, "day": days, "act_micro": act,
+            est, act, left = (pdf[c].values.astype(np.int64) for c in ("est_micro", "act_micro", "left"))
+            allowed, before = np.zeros(len(pdf), dtype=bool), np.zeros(len(pdf), dtype=np.int64)
+            for key, lo, hi, begins in _runs(pdf, ["day", "blk"], key):
+                spend = cap_micro - int(left[lo]) if begins else spend
+                allowed[lo:hi], before[lo:hi], spend = _fold_tail(est[lo:hi], act[lo:hi], spend, cap_micro)
+            yield pd.DataFrame({"request_id": pdf["request_id"].values, "ts": pdf["ts"].values, "day": pdf["day"].values, "act_micro": act,
                                 "allowed": allowed, "spend_before_micro": before})
     return fold
 
@@ -110,8 +193,11 @@ def admission(requests: DataFrame, daily_cap: str | Decimal) -> DataFrame:
     the day's largest estimate stays within the cap, admission is certain;
     that prefix comes from a skew-safe running sum for every day in
     parallel. From the first row where the cap could bind, rows whose estimate
-    no longer fits are denied in parallel; only those that may still fit
-    stream through the fold, which starts from that row's spend."""
+    no longer fits are denied in parallel. Those that may still fit are worked
+    by minute: each minute gives what it would spend as a step function of what
+    is left (``Steps``), a day's functions are applied one after the other (a few
+    numbers a minute), and each minute is decided from what is really left, so
+    that no day is one task."""
     cap = Decimal(str(daily_cap))
     cap_micro = int(cap * SCALE)
     d = requests.select("request_id", "ts", F.to_date("ts").alias("day"),
@@ -136,8 +222,13 @@ def admission(requests: DataFrame, daily_cap: str | Decimal) -> DataFrame:
                            T.StructField("ts", requests.schema["ts"].dataType), T.StructField("day", T.DateType()),
                            T.StructField("act_micro", T.LongType()), T.StructField("allowed", T.BooleanType()),
                            T.StructField("spend_before_micro", T.LongType())])
-    folded = (tail.where(fits).select("request_id", "ts", "day", "est_micro", "act_micro", "start_micro")
-              .repartition("day").sortWithinPartitions("day", "ts", "request_id")
+    able = tail.where(fits).select("request_id", "ts", "day", _minute().alias("blk"), "est_micro", "act_micro", "start_micro")
+    steps = (able.select("day", "blk", "ts", "request_id", "est_micro", "act_micro", "start_micro")
+             .repartition("day", "blk").sortWithinPartitions("day", "blk", "ts", "request_id")
+             .mapInPandas(_block_steps(cap_micro), f"day date, blk {able.schema['blk'].dataType.simpleString()}, left bigint, bounds array<bigint>, spent array<bigint>"))
+    left = (steps.repartition("day").sortWithinPartitions("day", "blk")
+            .mapInPandas(_compose_steps, f"day date, blk {able.schema['blk'].dataType.simpleString()}, left bigint"))
+    folded = (able.drop("start_micro").join(left, ["day", "blk"]).repartition("day", "blk").sortWithinPartitions("day", "blk", "ts", "request_id")
               .mapInPandas(_admission_fold(cap_micro), schema))
     folded = cut_lineage(folded)  # Python state over a day: not to be computed once per branch
     # a row that never fits sees the start's spend and what the fold admitted before it, a prefix sum over minutes
