@@ -159,22 +159,22 @@ def fold_seconds_chunked(per_sec: DataFrame, limits) -> DataFrame:
     from pyspark.sql import Window
 
     wmax = max(w for _, _, w, _ in limits)
-    chunk = F.floor(F.col("sec") / wmax)
     cnt_cols = {f"_cnt{k}": w for k, (_, _, w, _) in enumerate(limits)}
-    counted = trailing_sum(per_sec.where(F.col("kind") == 0).withColumn("_one", F.lit(1).cast("bigint")), ["client_id"], "sec",
-                           cnt_cols, "_one", chunk_seconds=wmax).drop("_one")
+    # a reset counts as no request; it is a row of its own, after the requests of its second
+    counted = trailing_sum(per_sec.withColumn("_one", 1 - F.col("kind").cast("bigint")), ["client_id"], "sec",
+                           cnt_cols, "_one", chunk_seconds=wmax, keep_chunk=True).drop("_one")
     extra = F.when(F.col("n") > 1, 1).otherwise(0)
     calm = F.lit(True)
     for k, (_, lim, _, _) in enumerate(limits):
         calm = calm & ((F.col(f"_cnt{k}") - 1 + extra) < lim)
-    resets = per_sec.where(F.col("kind") == 1).select("*", *[F.lit(None).cast("bigint").alias(c) for c in cnt_cols])
-    rows = counted.unionByName(resets).withColumn("_chunk", chunk).withColumn("_hot", (F.col("kind") == 1) | ~F.coalesce(calm, F.lit(False)))
+    rows = counted.withColumn("_hot", (F.col("kind") == 1) | ~calm)
 
     # one row per (client, chunk), bounded by the time span and not by request volume: a hot chunk and its
     # successor (whose windows reach back) are folded; runs of them are segments, named by their first chunk;
     # the calm chunk before a segment is its context
     w = Window.partitionBy("client_id").orderBy("_chunk")
-    days = rows.groupBy("client_id", "_chunk").agg(F.max("_hot").alias("_hot"))
+    # (all columns of the rows are read here too, so that their exchange is made once and reused below)
+    days = rows.groupBy("client_id", "_chunk").agg(F.max("_hot").alias("_hot"), F.count("first_id").alias("_rows")).where("_rows >= 0")
     follows = F.coalesce(F.lag("_chunk").over(w) == F.col("_chunk") - 1, F.lit(False))
     days = days.withColumn("_follows", follows).withColumn("_fold", F.col("_hot") | (follows & F.coalesce(F.lag("_hot").over(w), F.lit(False))))
     days = days.withColumn("_start", F.col("_fold") & ~(F.col("_follows") & F.coalesce(F.lag("_fold").over(w), F.lit(False))))

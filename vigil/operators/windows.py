@@ -56,20 +56,23 @@ def _is_integral(df: DataFrame, col: str) -> bool:
 
 
 def trailing_sum(df: DataFrame, keys: list[str], t: str, windows: dict[str, int],
-                 value: str, chunk_seconds: int | None = None) -> DataFrame:
+                 value: str, chunk_seconds: int | None = None, keep_chunk: bool = False) -> DataFrame:
     """Adds, per window name -> width w (seconds), the sum of ``value`` over the
     rows of the same key with time in ``(t - w, t]``.
 
     Expects at most a few rows per (key, t) (pre-aggregate first); the work of
-    a hot key is spread over its time chunks.
+    a hot key is spread over its time chunks. Rows and their halo copies come
+    from one pass over ``df``. With ``keep_chunk`` the column ``_chunk`` (time
+    divided by the chunk's length) stays: the output is partitioned by it.
     """
     wmax = max(windows.values())
     chunk = max(chunk_seconds or wmax, wmax)
-    native = df.withColumn("_chunk", F.floor(F.col(t) / chunk)).withColumn("_native", F.lit(True))
-    halo = (native.where(F.col(t) > (F.col("_chunk") + 1) * chunk - wmax)
-            .withColumn("_chunk", F.col("_chunk") + 1).withColumn("_native", F.lit(False)))
-    both = native.unionByName(halo)
+    own = F.floor(F.col(t) / chunk)
+    places = F.array(F.struct(own.alias("c"), F.lit(True).alias("native")),
+                     F.when(F.col(t) > (own + 1) * chunk - wmax, F.struct((own + 1).alias("c"), F.lit(False).alias("native"))))
+    both = (df.withColumn("_place", F.explode(places)).where(F.col("_place").isNotNull())
+            .withColumn("_chunk", F.col("_place.c")).withColumn("_native", F.col("_place.native")).drop("_place"))
     base = Window.partitionBy(*keys, "_chunk").orderBy(F.col(t))
     cols = [F.sum(value).over(base.rangeBetween(-(w - 1), 0)).alias(name)
             for name, w in windows.items()]
-    return both.select("*", *cols).where("_native").drop("_chunk", "_native")
+    return both.select("*", *cols).where("_native").drop("_native", *([] if keep_chunk else ["_chunk"]))
