@@ -21,7 +21,9 @@ earlier requests only, so exactly one assignment of decisions is consistent
 with itself. It is found by iteration: the cache is replayed with the current
 cap decisions, the cap is decided again with the resulting spend, until no
 decision changes. Every round makes at least the first wrong decision in time
-right; it never stops early. Rounds work on slim tables in the shared folder.
+right; it never stops early. After the first, a round replays only the keys in
+which a decision turned, and decides only the days whose spend that changed.
+Rounds work on slim tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -87,25 +89,43 @@ def _checked(requests: DataFrame, p, pricing: DataFrame | None) -> DataFrame:
 def _cap_and_cache(reach: DataFrame, p) -> DataFrame:
     """Stages 2b and 3 over the requests that reach them: (request_id, cap_ok, cap_reason, cache_hit, stored_at)."""
     caching, cap = p["caching_enabled"], p["daily_cap"]
-    now = reach.withColumn("cap_ok", F.lit(True)).withColumn("cap_reason", F.lit(None).cast("string"))
-    keep = ["ts", "estimated_cost", "full_cost", "answer_ok", "cap_ok", "cap_reason"]
-    while True:
-        if caching:
-            # a request denied by the cap neither hits nor stores; its own hit is what it would find
-            seen = cache.replay(now, int(p["cache_ttl"]), answered_ok=F.col("answer_ok") & F.col("cap_ok"),
-                                carry=[c for c in keep if c != "ts"]).withColumnRenamed("entry_stored_at", "stored_at")
-        else:
-            seen = now.select("request_id", "cache_key", *keep, F.lit(False).alias("cache_hit"), F.lit(None).cast("timestamp").alias("stored_at"))
-        if cap is None:
-            return seen
-        seen = cut_lineage(seen)  # read by the cap and by the next round
+    base = ["estimated_cost", "full_cost", "answer_ok"]
+
+    def looked_up(rows: DataFrame, *carry: str) -> DataFrame:
+        if not caching:
+            return rows.withColumn("cache_hit", F.lit(False)).withColumn("stored_at", F.lit(None).cast("timestamp"))
+        # a request denied by the cap neither hits nor stores; its own hit is what it would find
+        return cache.replay(rows, int(p["cache_ttl"]), answered_ok=F.col("answer_ok") & F.col("cap_ok"),
+                            carry=[*base, "cap_ok", *carry]).withColumnRenamed("entry_stored_at", "stored_at")
+
+    def decided(rows: DataFrame) -> DataFrame:
         spend = F.when(~F.col("cache_hit") & F.col("answer_ok"), F.col("full_cost"))
-        asked = seen.select("request_id", "ts", "estimated_cost", F.coalesce(spend, F.lit(0)).alias("actual_cost"))
-        new = budget.admission(asked, cap).select("request_id", F.col("allowed").alias("new_ok"), F.col("reason").alias("new_reason"))
-        now = cut_lineage(seen.join(new, "request_id"))
-        if now.where(F.col("new_ok") != F.col("cap_ok")).limit(1).count() == 0:
-            return now.drop("cap_reason", "new_ok").withColumnRenamed("new_reason", "cap_reason")
-        now = now.drop("cap_ok", "cap_reason", "cache_hit", "stored_at").withColumnsRenamed({"new_ok": "cap_ok", "new_reason": "cap_reason"})
+        asked = rows.select("request_id", "ts", "estimated_cost", F.coalesce(spend, F.lit(0)).alias("actual_cost"))
+        return budget.admission(asked, cap).select("request_id", F.col("allowed").alias("new_ok"), F.col("reason").alias("new_reason"))
+
+    seen = looked_up(reach.withColumn("cap_ok", F.lit(True)))
+    if cap is None:
+        return seen.withColumn("cap_reason", F.lit(None).cast("string"))
+    seen = cut_lineage(seen)  # read by the cap and by the join
+    now = seen.join(decided(seen), "request_id")
+    while caching:
+        now = cut_lineage(now)
+        turned = cut_lineage(now.where(F.col("new_ok") != F.col("cap_ok")).select("cache_key").distinct())
+        if turned.limit(1).count() == 0:
+            break
+        # only keys in which a decision turned are replayed, and only days whose spend that changed are decided again
+        redo = now.join(turned, "cache_key", "left_semi").withColumn("cap_ok", F.col("new_ok")).withColumnRenamed("cache_hit", "was_hit").drop("stored_at")
+        redo = cut_lineage(looked_up(redo, "new_ok", "new_reason", "was_hit"))
+        days = redo.where((F.col("cache_hit") != F.col("was_hit")) & F.col("answer_ok")).select(F.to_date("ts").alias("day")).distinct()
+        merged = now.join(turned, "cache_key", "left_anti").unionByName(redo.drop("was_hit"))
+        days = cut_lineage(days)
+        again = decided(cut_lineage(merged.withColumn("day", F.to_date("ts")).join(days, "day", "left_semi")))
+        again = again.select("request_id", F.struct("new_ok", "new_reason").alias("again"))
+        now = merged.join(again, "request_id", "left").select(
+            *[c for c in merged.columns if c not in ("new_ok", "new_reason")],
+            F.when(F.col("again").isNotNull(), F.col("again.new_ok")).otherwise(F.col("new_ok")).alias("new_ok"),
+            F.when(F.col("again").isNotNull(), F.col("again.new_reason")).otherwise(F.col("new_reason")).alias("new_reason"))
+    return now.select("request_id", F.col("new_ok").alias("cap_ok"), F.col("new_reason").alias("cap_reason"), "cache_hit", "stored_at")
 
 
 def govern(requests: DataFrame, policy_settings: DataFrame, pricing: DataFrame | None = None) -> DataFrame:

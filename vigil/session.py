@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,18 +62,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (never a local checkpoint),
-    so a lost executor does not force recomputation of long folds. The frame
-    is persisted while it is written, so the plan runs once, not twice."""
-    from pyspark import StorageLevel
-
-    ensure_checkpoint_dir(df.sparkSession)
-    df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        out = df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
-    return out
+    """Writes ``df`` once as Parquet under the shared checkpoint folder and
+    reads it back: the plan runs once, later reads take only the columns they
+    use, and a lost executor loses nothing (never a local checkpoint)."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 8) -> dict[str, str]:
