@@ -56,24 +56,78 @@ def test_cache_stream_equals_batch(spark):
     assert got.count() == b.count() and got.exceptAll(b).count() == 0
 
 
-def test_access_log_stream(spark):
-    d = tempfile.mkdtemp(prefix="vigil-log-")
-    with open(os.path.join(d, "a.log"), "w") as f:
-        f.write('INFO:     1.2.3.4:5000 - "POST /v1/chat/completions HTTP/1.1" 200\n'
-                "INFO:     _meta_cost cost 0.001250\n"
-                'INFO:     1.2.3.4:5000 - "GET /health HTTP/1.1" 404\n'
-                "INFO:     _meta_pii findings 1\n")
-    seen = []
-    q = jobs.access_log_stream(spark, d, lambda e, epoch, p: seen.append(e.orderBy("entry_id").collect()),
-                               checkpoint=tempfile.mkdtemp(prefix="vigil-ck-"))
-    q.awaitTermination(600)
-    rows = [r for batch in seen for r in batch]
-    assert len(rows) == 2
-    assert rows[0].method == "POST" and str(rows[0].cost) == "0.001250" and rows[0].model == "gpt-3.5-turbo"
-    assert rows[1].status == 404 and rows[1].pii_findings == 1 and rows[1].status_class == "error"
+HTTP = 'INFO:     1.2.3.4:5000 - "{} HTTP/1.1" {}'
+
+
+def _live(spark, d, seen, state, ck):
+    def sink(e, epoch):
+        seen.append(sorted(((os.path.basename(r.file), r.entry_id, r.line_no, r.method, r.status, None if r.cost is None else str(r.cost), r.pii_findings)
+                            for r in e.collect()), key=str))
+
+    jobs.live_access_log(spark, d, sink, state, ck, suffix=".log", trigger={"availableNow": True}).awaitTermination(600)
+
+
+def test_live_access_log_reads_what_is_appended(spark):
+    d, state, ck, seen = (tempfile.mkdtemp(prefix="vigil-log-") for _ in range(3)), None, None, []
+    d, state, ck = d
+    a, b = os.path.join(d, "a.log"), os.path.join(d, "b.log")
+    post, get = HTTP.format("POST /v1/chat/completions", 200), HTTP.format("GET /health", 404)
+
+    def append(path, text):
+        with open(path, "a") as f:
+            f.write(text)
+
+    append(a, f"INFO:     _meta_cost cost 9.0\n{post}\n")  # a cost before any request is dropped
+    append(os.path.join(d, "other.txt"), post + "\n")
+    _live(spark, d, seen, state, ck)
+    assert seen[-1] == [("a.log", 1, 30, "POST", 200, None, None)]
+    # a detail line for the open entry, and a line that is not finished
+    append(a, "noise\nINFO:     _meta_cost cost 0.001250\n" + get[:20])
+    append(b, get + "\r\n")
+    _live(spark, d, seen, state, ck)
+    assert seen[-1] == [("a.log", 1, 30, "POST", 200, "0.001250", None), ("b.log", 1, 0, "GET", 404, None, None)]
+    append(a, get[20:] + "\nINFO:     _meta_pii findings 1\n")  # its end, and an entry in the other file that stays as it was
+    _live(spark, d, seen, state, ck)
+    at = 30 + len(post) + 1 + 6 + len("INFO:     _meta_cost cost 0.001250\n")
+    assert seen[-1] == [("a.log", 1, 30, "POST", 200, "0.001250", None), ("a.log", 2, at, "GET", 404, None, 1)]
+    append(b, "INFO:     _meta_cost cost 0.5\n" + post + "\n")
+    _live(spark, d, seen, state, ck)
+    assert [x[:2] + x[5:6] for x in seen[-1]] == [("b.log", 1, "0.500000"), ("b.log", 2, None)]
+    n = len(seen)
+    _live(spark, d, seen, state, ck)  # nothing new
+    assert all(not x for x in seen[n:])
+    # all entries, each as it was told last, are those of the whole files
+    from vigil.operators import access_log
 
+    last = {x[:2]: x[3:] for batch in seen for x in batch}
+    whole = access_log.entries(access_log.parse_lines(access_log.read_access_log(spark, f"{d}/*.log"))).collect()
+    assert last == {(os.path.basename(r.file), r.entry_id): (r.method, r.status, None if r.cost is None else str(r.cost), r.pii_findings) for r in whole}
 
-def test_access_log_batch_read_and_policy_reload(spark):
+
+def test_log_tail_blocks_hold_every_line_once():
+    from vigil.sources import log_tail
+
+    d = tempfile.mkdtemp(prefix="vigil-log-")
+    path = os.path.join(d, "x.log")
+    lines = ["", "a", "é" * 40, "long " * 300, "", "z"] * 7
+    with open(path, "w", newline="") as f:
+        f.write("\n".join(lines) + "\nunfinished")
+    source = log_tail._source()({"path": d})
+    for size in (1, 7, 64, 10**6):
+        source.options["blockBytes"] = str(size)
+        r = source.streamReader(None)
+        end = r.latestOffset()
+        parts = r.partitions({}, end)
+        got = sorted((x["at"], x["line"]) for p in parts for batch in r.read(p) for x in batch.to_pylist())
+        assert [x for _, x in got] == lines and all(p.hi - p.lo <= size for p in parts)
+    assert r.partitions(end, end) == []
+    with open(path, "w") as f:
+        f.write("new\n")  # started anew, shorter
+    got = [x["line"] for p in r.partitions(end, r.latestOffset()) for batch in r.read(p) for x in batch.to_pylist()]
+    assert got == ["new"]
+
+
+def test_access_log_batch_read(spark):
     from vigil.operators import access_log
 
     d = tempfile.mkdtemp(prefix="vigil-log-")
@@ -85,15 +139,60 @@ def test_access_log_batch_read_and_policy_reload(spark):
     lines = access_log.read_access_log(spark, d)
     rows = access_log.entries(access_log.parse_lines(lines)).collect()
     assert len(rows) == 1 and rows[0].status == 429 and str(rows[0].cost) == "0.000200"
-    # Policies are re-read for each micro-batch
-    pols = tempfile.mkdtemp(prefix="vigil-pol-")
-    with open(os.path.join(pols, "p.yaml"), "w") as f:
-        f.write("name: P\nenabled: true\n")
-    seen = []
-    q = jobs.access_log_stream(spark, d, lambda e, epoch, p: seen.append(p.count()), policies_dir=pols,
-                               checkpoint=tempfile.mkdtemp(prefix="vigil-ck-"))
-    q.awaitTermination(600)
-    assert seen == [1]
+
+
+def test_policies_changed_between_batches_change_decisions(spark, monkeypatch):
+    from vigil.operators import policy
+
+    pols, table, d, ck = (tempfile.mkdtemp(prefix="vigil-pol-") for _ in range(4))
+    table = os.path.join(table, "versions")
+    reads = []
+    real = policy.read_policies
+    monkeypatch.setattr(policy, "read_policies", lambda *a: reads.append(1) or real(*a))
+
+    def put(name, limit, mtime, enabled="true"):
+        path = os.path.join(pols, f"{name}.yaml")
+        with open(path, "w") as f:
+            f.write(f"name: {name}\nenabled: {enabled}\ncost_limits:\n  max_per_request: {limit}\n")
+        os.utime(path, (mtime, mtime))
+
+    def batch(no, rows):
+        spark.createDataFrame(rows, "request_id long, estimated_cost decimal(18,6), policy string").coalesce(1).write.parquet(os.path.join(d, f"b{no}"))
+        seen = []
+        stream = spark.readStream.schema("request_id long, estimated_cost decimal(18,6), policy string").option("recursiveFileLookup", "true").parquet(d)
+        jobs.policy_checks_stream(stream, pols, table, lambda e, epoch: seen.extend(e.collect()), ck, trigger={"availableNow": True}).awaitTermination(600)
+        return {r.request_id: (r.policy_name, r.policy_version, r.allowed) for r in seen}
+
+    from decimal import Decimal as D
+
+    assert batch(0, [(1, D("0.5"), "strict"), (2, D("5"), None)]) == {1: ("default", 0, False), 2: ("default", 0, False)}  # no file: the built-in default (0.03)
+    put("strict", 0.4, 1_700_000_000)
+    put("wide", 9.0, 1_700_000_000)
+    assert batch(1, [(3, D("0.5"), "strict"), (4, D("5"), "wide"), (5, D("5"), "unknown")]) == {
+        3: ("strict", 1, False), 4: ("wide", 1, True), 5: ("strict", 1, False)}
+    n = len(reads)
+    assert batch(2, [(6, D("0.5"), "strict")]) == {6: ("strict", 1, False)} and len(reads) == n  # nothing changed: no file is read
+    put("strict", 0.6, 1_700_000_100)
+    assert batch(3, [(7, D("0.5"), "strict")]) == {7: ("strict", 2, True)}
+    os.remove(os.path.join(pols, "strict.yaml"))
+    assert batch(4, [(8, D("5"), "strict")]) == {8: ("wide", 3, True)}
+    # the same by time, over the versions
+    v = policy.read_versions(spark, table)
+    loads = [r.at for r in v.groupBy("version").agg(F.min("loaded_at").alias("at")).orderBy("version").collect()]
+    rows = [(i, at + dt.timedelta(microseconds=shift), "strict") for i, (at, shift) in enumerate([(loads[0], -5), (loads[1], 0), (loads[2], -1), (loads[2], 3), (loads[3], 10**6)])]
+    got = policy.with_policies_as_of(spark.createDataFrame(rows, "request_id int, ts timestamp, wanted string"), v, "wanted").orderBy("request_id").collect()
+    assert [(r.policy_version, r.policy_name) for r in got] == [(0, "default"), (1, "strict"), (1, "strict"), (2, "strict"), (3, "wide")]
+    assert [str(r.max_per_request) for r in got[1:4]] == ["0.400000", "0.400000", "0.600000"]
+
+
+def test_rate_limit_stream_fails_open(spark):
+    rows = [(1, "a", "k", 100, 200), (2, "a", "k", 110, 200), (3, None, "k", 100, 200), (4, "a", "k", None, 200), (5, None, "k", None, 200)]
+    stream, table = _files(spark, [rows])
+    limits = {"requests_per_minute": 1, "requests_per_day": 5}
+    got = _run(spark, jobs.rate_limit_stream(stream, limits), "rate_open")
+    want = rate_limit.decisions(table, limits).select(got.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert {r.request_id: r.allowed for r in got.collect()} == {1: True, 2: False, 3: True, 4: True, 5: True}
 
 
 def test_counter_table_merge_sink(spark):

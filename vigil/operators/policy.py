@@ -128,7 +128,7 @@ def settings(policies: DataFrame) -> DataFrame:
         return F.try_variant_get(d, path, t)
 
     return policies.select(
-        "policy_name",
+        "policy_name", *[c for c in ("version",) if c in policies.columns],
         g("$.name", "string").alias("name"),
         F.coalesce(g("$.enabled", "boolean"), F.lit(True)).alias("enabled"),
         g("$.cost_limits", "variant").isNotNull().alias("has_cost_limits"),
@@ -172,6 +172,69 @@ def policy_changed(policies: DataFrame, last_loaded) -> Column:
     return F.max(F.col("modified")) > F.lit(last_loaded)
 
 
+VERSION_SCHEMA = "policy_name string, json string, modified timestamp, loaded_at timestamp, version int"
+
+
+def read_versions(spark: SparkSession, table: str) -> DataFrame:
+    """The versioned policy table: (policy_name, doc, modified, loaded_at, version); a version holds all policies of its load."""
+    return spark.read.schema(VERSION_SCHEMA).parquet(table).withColumn("doc", F.parse_json("json")).drop("json")
+
+
+def refresh_versions(spark: SparkSession, directory: str, table: str) -> int:
+    """The number of the version in force. Only the files' names and times are listed; when one was modified
+    after the last load (P12), added or removed, the policies are read and become the next version, a folder that
+    nothing else writes. A directory without policies gives the built-in default (S4)."""
+    import datetime as dt
+
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.yaml").load(directory)
+             .select("path", F.col("modificationTime").alias("modified")))  # the contents are not read
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(table)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    last = None
+    if fs.exists(path):
+        last = (spark.read.schema(VERSION_SCHEMA + ", files bigint").parquet(table).groupBy("version")
+                .agg(F.max("modified").alias("modified"), F.max("files").alias("files")).orderBy(F.desc("version")).first())
+    if last is not None:
+        now = files.agg(F.coalesce(policy_changed(files, last.modified), F.lit(False)).alias("changed"), F.count(F.lit(1)).alias("n")).first()
+        if not now.changed and now.n == last.files:
+            return last.version
+    version = 0 if last is None else last.version + 1
+    count = files.agg(F.count(F.lit(1)).alias("n"), F.max("modified").alias("newest")).first()
+    policies = with_fallback(read_policies(spark, directory), spark)
+    (policies.select("policy_name", F.to_json("doc").alias("json"), F.coalesce(F.lit(count.newest).cast("timestamp"), F.col("modified")).alias("modified"),
+                     F.lit(dt.datetime.now(dt.timezone.utc)).alias("loaded_at"), F.lit(count.n).cast("bigint").alias("files"))
+     .write.mode("overwrite").parquet(f"{table}/version={version}"))
+    return version
+
+
+def with_versions(requests: DataFrame, versions: DataFrame, wanted: str) -> DataFrame:
+    """Each request with the settings of the policy it names in its ``policy_version``, or of that version's active
+    one (P10 without a name) when there is no such policy."""
+    s = settings(versions)
+    order = F.when(F.col("enabled"), 0).when(F.col("policy_name") == "default", 1)
+    first = s.where(order.isNotNull()).groupBy("version").agg(F.min(F.struct(order.alias("o"), "policy_name"))["policy_name"].alias("_first"))
+    named = s.select("version", F.col("policy_name").alias("_named"))
+    r = requests.join(named, (F.col("policy_version") == named["version"]) & (F.col(wanted) == F.col("_named")), "left").drop("version")
+    r = r.join(first, F.col("policy_version") == first["version"], "left").drop("version")
+    r = r.withColumn("_use", F.coalesce("_named", "_first"))
+    return r.join(s, (F.col("policy_version") == s["version"]) & (F.col("_use") == s["policy_name"]), "left").drop("_named", "_first", "_use", "version")
+
+
+def with_policies_as_of(requests: DataFrame, versions: DataFrame, wanted: str, ts: str = "ts") -> DataFrame:
+    """T11 / J4 as of each request's time: the version loaded last at or before it (before the first load, the first).
+    An as-of join by a search in the load times, of which there is one per change of the configuration; the settings
+    then come by an equi-join on version and name."""
+    loads = versions.groupBy("version").agg(F.min("loaded_at").alias("at")).orderBy("at", "version").collect()  # one row per load
+    if not loads:
+        raise ValueError("the policy table has no version")
+    # loads are in order, so the version is found by counting those at or before the time
+    at = F.array(*[F.lit(r["at"]).cast("timestamp") for r in loads])
+    before = F.size(F.filter(at, lambda x: x <= F.col(ts).cast("timestamp")))
+    which = F.element_at(F.array(*[F.lit(r["version"]) for r in loads]), F.greatest(before, F.lit(1)))
+    return with_versions(requests.withColumn("policy_version", which), versions, wanted)
+
+
 def _sql_condition(cond: str) -> str:
     return cond.replace("request.", "")
 

@@ -1,4 +1,4 @@
-"""Structured Streaming twins of the batch jobs: T7, T8, T9, T1, T5, T10, T11.
+"""Structured Streaming twins of the batch jobs: T7, T8, T9, T1, T12, T5, T10, T11.
 
 Event time comes from the log (the original used the server clock); the
 watermark bounds state: counters close 7 days after their day, rate-limit
@@ -155,9 +155,14 @@ def rate_limit_stream(keyed: DataFrame, rate_limits: dict[str, int], late_by: st
         yield out
 
     s = keyed.select("request_id", "client_id", "sec", F.col("ts").cast("timestamp").alias("ts"))
-    return (s.withWatermark("ts", late_by).groupBy("client_id")
+    known = F.col("client_id").isNotNull() & F.col("sec").isNotNull()
+    # A request without a client or a time fails open, as in batch, and never meets the state
+    open_ = s.where(~known).select(
+        F.col("request_id").cast("bigint").alias("request_id"), "client_id", F.col("sec").cast("bigint").alias("sec"), F.lit(True).alias("allowed"),
+        F.lit(None).cast("string").alias("reason"), *[F.lit(lim).cast("bigint").alias(f"remaining_{rate_limit._short(n)}") for n, lim, *_ in limits])
+    return (s.where(known).withWatermark("ts", late_by).groupBy("client_id")
             .applyInPandasWithState(handle, _rate_output_schema(limits), _rate_state_schema(limits),
-                                    "append", GroupStateTimeout.EventTimeTimeout))
+                                    "append", GroupStateTimeout.EventTimeTimeout)).unionByName(open_)
 
 
 # --- T5: cache replay with per-key state --------------------------------------
@@ -207,27 +212,74 @@ def pair_stream(requests: DataFrame, responses: DataFrame, within: str = "10 min
     return q.join(a, bound, "left").drop("_rid")
 
 
-# --- T10 / T11: live access log and policy hot reload ---------------------------
+# --- T10: live access log -----------------------------------------------------------
+
+#: Bytes of a file whose lines one block of the entry count holds.
+ENTRY_BLOCK = 1 << 20
+OPEN_SCHEMA = "file string, at bigint, line string, base bigint"
+
+
+def _open_entries(lines: DataFrame) -> DataFrame:
+    """Of each file the lines that make its last entry so far (at most three: the HTTP line, the last cost, a PII line),
+    with the number of entries before it."""
+    parsed = access_log.parse_lines(lines.withColumn("line_no", F.col("at"))).select(
+        "file", F.col("line_no").alias("at"), "is_http", F.col("cost").isNotNull().alias("is_cost"), "is_pii")
+    told = lines.join(parsed.where("is_http OR is_cost OR is_pii"), ["file", "at"])
+    last = told.groupBy("file").agg(F.max(F.when(F.col("is_http"), F.col("at"))).alias("http_at"),
+                                    (F.count_if("is_http") - 1 + F.coalesce(F.max("base"), F.lit(0))).alias("base")).where("http_at IS NOT NULL")
+    own = told.drop("base").join(last, "file").where("at >= http_at")
+    line = F.struct("at", "line")
+    kept = own.groupBy("file", "base").agg(*[F.max(F.when(F.col(c), line)).alias(c) for c in ("is_http", "is_cost", "is_pii")])
+    return (kept.select("file", "base", F.explode(F.array_distinct(F.array_compact(F.array("is_http", "is_cost", "is_pii")))).alias("l"))
+            .select("file", F.col("l.at").alias("at"), F.col("l.line").alias("line"), "base"))
+
+
+def live_access_log(spark: SparkSession, directory: str, sink, state_dir: str, checkpoint: str, suffix: str = "",
+                    trigger: dict | None = None):
+    """Entries of log files as lines are appended to them. ``sink(entries, epoch)`` gets each entry whose lines
+    are new, keyed by (file, line_no), the byte of its HTTP line; an entry that gets a cost or PII line later comes
+    again, with both. The last entry of each file is kept between batches in ``state_dir``, a folder per epoch that
+    only that epoch writes, so a retried epoch gives the same."""
+    from vigil.session import cut_lineage
+    from vigil.sources.log_tail import follow
+
+    def per_batch(batch: DataFrame, epoch: int) -> None:
+        s = batch.sparkSession
+        lines = batch.withColumn("base", F.lit(None).cast("bigint"))
+        if epoch > 0:
+            lines = lines.unionByName(s.read.schema(OPEN_SCHEMA).parquet(f"{state_dir}/epoch={epoch - 1}"))
+        lines = cut_lineage(lines)
+        numbered = lines.withColumn("line_no", F.col("at")).withColumn("block", F.floor(F.col("at") / ENTRY_BLOCK))
+        e = access_log.entries(access_log.parse_lines(numbered), order=["block", "line_no"])
+        base = lines.where("base IS NOT NULL").groupBy("file").agg(F.max("base").alias("_base"))
+        e = e.join(base, "file", "left").withColumn("entry_id", F.col("entry_id") + F.coalesce("_base", F.lit(0))).drop("_base")
+        fresh = batch.select("file").distinct()
+        sink(access_log.describe(e.join(fresh, "file", "left_semi")), epoch)
+        _open_entries(lines).write.mode("overwrite").parquet(f"{state_dir}/epoch={epoch}")
+
+    w = follow(spark, directory, suffix).writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"processingTime": "2 seconds"})).start()
+
+
+# --- T11: policies that change while a stream runs ------------------------------------
+
+def policy_checks_stream(requests: DataFrame, policies_dir: str, versions: str, sink, checkpoint: str, wanted: str = "policy",
+                         trigger: dict | None = None):
+    """Per-request cost limits of a stream under policies that may change between two batches. Before a batch is
+    decided, changed policy files become a new version of the policy table (P12 decides whether they are read at all);
+    ``sink(decisions, epoch)`` gets request_id, policy_name, policy_version, allowed and reason. ``requests`` needs
+    request_id, estimated_cost and the name of the policy asked for."""
+
+    def per_batch(batch: DataFrame, epoch: int) -> None:
+        from vigil.operators import policy
 
-def access_log_stream(spark: SparkSession, directory: str, sink, policies_dir: str | None = None,
-                      checkpoint: str | None = None, trigger: dict | None = None):
-    """Parse log files as they arrive and attach detail lines to their
-    entries inside ``foreachBatch`` (a file arrives whole in one batch).
-    T11: when ``policies_dir`` is given, policies are re-read each batch and
-    passed to ``sink(entries, epoch, policies)``."""
-    lines = spark.readStream.text(directory).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.col("value").alias("line"))
+        s = batch.sparkSession
+        now = policy.refresh_versions(s, policies_dir, versions)
+        in_force = policy.read_versions(s, versions).where(F.col("version") == now)
+        d = policy.with_versions(batch.withColumn("policy_version", F.lit(now)), in_force, wanted)
+        ok, reason = costs.per_request_check(F.col("estimated_cost"), F.col("max_per_request"))
+        ok = F.coalesce(ok, F.lit(True))
+        sink(d.select("request_id", "policy_name", "policy_version", ok.alias("allowed"), F.when(~ok, reason).alias("reason")), epoch)
 
-    def per_batch(batch: DataFrame, epoch: int):
-        from vigil.operators import policy
-        # line order inside the batch: (file, split start, position in split)
-        numbered = batch.withColumn("line_no", F.monotonically_increasing_id())
-        entries = access_log.describe(access_log.entries(access_log.parse_lines(numbered), order=["block", "line_no"]))
-        pols = policy.read_policies(batch.sparkSession, policies_dir) if policies_dir else None
-        sink(entries, epoch, pols)
-
-    w = lines.writeStream.foreachBatch(per_batch).trigger(**(trigger or {"availableNow": True}))
-    if checkpoint:
-        w = w.option("checkpointLocation", checkpoint)
-    return w.start()
+    return (requests.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "2 seconds"})).start())
