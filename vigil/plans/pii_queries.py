@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vigil.functions import pii
 from vigil.operators import pii_scan
 from vigil.plans.registry import query
+from vigil.session import spread
 from vigil.sources import dims
 from vigil.sources.tables import read_table
 
@@ -83,7 +84,7 @@ def rewritten_sql(repl) -> str:
 
 
 def docs(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query("pii_scan_documents", f"""WITH {found_sql()}

@@ -70,6 +70,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of an input that has fewer splits than the cluster has cores (a file of one row group, say) out
+    to all of them; an input with enough splits, as any large one has, is left as it is and nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 8) -> dict[str, str]:
     """Starting settings for a large cluster run (the session builder of the
     platform applies them): AQE starts from one shuffle partition per GB of
