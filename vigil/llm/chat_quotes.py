@@ -101,6 +101,19 @@ def link(messages: DataFrame) -> DataFrame:
         "conv_id", "turn", "level", "passage", (-F.col("m.n")).alias("to"))
 
 
+def as_replies(messages: DataFrame) -> DataFrame:
+    """The messages as mail replies, for logs that hold no quotes: each turn answers the turn of half its number, and
+    quotes that turn's first written line, below the line which that turn quoted itself."""
+    line = messages.select("conv_id", "turn", F.regexp_extract("text", r"([^\n]*[^\s][^\n]*)", 1).alias("line")).where("line <> ''").dropDuplicates(["conv_id", "turn"])
+    half = lambda t: F.when(F.col(t) >= 1, F.floor(F.col(t) / 2))
+    one = line.select(F.col("conv_id").alias("c1"), F.col("turn").alias("t1"), F.col("line").alias("q1"))
+    two = line.select(F.col("conv_id").alias("c2"), F.col("turn").alias("t2"), F.col("line").alias("q2"))
+    d = messages.withColumn("_p", half("turn")).withColumn("_g", half("_p"))
+    d = d.join(one, (F.col("conv_id") == F.col("c1")) & (F.col("_p") == F.col("t1")), "left").join(two, (F.col("conv_id") == F.col("c2")) & (F.col("_g") == F.col("t2")), "left")
+    quote = lambda marks, q: F.coalesce(F.concat(F.lit(marks + " "), F.col(q), F.lit("\n")), F.lit(""))
+    return d.withColumn("text", F.concat(quote(">>", "q2"), quote(">", "q1"), F.coalesce("text", F.lit("")))).select(*messages.columns)
+
+
 def conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, turn, role, text, n_quoted, n_linked, parent_turn, thread_turn, depth, position): ``text`` is
     without quotes; ``thread_turn`` is the root; ``position`` counts from 1 in reply order inside a thread."""

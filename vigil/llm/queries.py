@@ -167,11 +167,31 @@ def op6(spark, sf_dir):
     return out.select(part.alias("file_no"), "doc_no", "start", "n_tokens", "complete")
 
 
-@query("op7_quotation_linking")
+OP7_SQL = r"""
+WITH RECURSIVE ln AS (SELECT conv_id, turn, regexp_extract(text, '([^\n]*[^\s][^\n]*)', 1) AS line FROM conversations),
+d AS (SELECT c.conv_id, c.turn, c.role, c.text, p.line AS q1, g.line AS q2
+      FROM conversations c LEFT JOIN ln p ON p.conv_id = c.conv_id AND p.turn = c.turn // 2 AND c.turn >= 1 AND p.line <> ''
+      LEFT JOIN ln g ON g.conv_id = c.conv_id AND g.turn = c.turn // 2 // 2 AND c.turn // 2 >= 1 AND g.line <> ''),
+own AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))), lambda x: x <> '') AS w FROM conversations),
+wrote AS (SELECT conv_id, h, min(turn) AS first FROM (SELECT conv_id, turn, unnest(w) AS h FROM own UNION ALL SELECT conv_id, turn, array_to_string(w, ' ') FROM own WHERE len(w) > 1) GROUP BY ALL),
+q AS (SELECT conv_id, turn, 1 AS level, q1 AS line FROM d WHERE q1 IS NOT NULL UNION ALL SELECT conv_id, turn, 2, q2 FROM d WHERE q2 IS NOT NULL),
+l AS (SELECT q.conv_id, q.turn, level, first AS link FROM q LEFT JOIN wrote w ON w.conv_id = q.conv_id AND w.h = trim(regexp_replace(lower(q.line), '\s+', ' ', 'g')) AND w.first < q.turn),
+n AS (SELECT conv_id, turn, count(*) AS n_quoted, count(link) AS n_linked, max(CASE WHEN level = 1 THEN link END) AS parent FROM l GROUP BY ALL),
+up AS (SELECT c.conv_id, c.turn, n.parent, c.turn AS root, CAST(0 AS BIGINT) AS depth FROM conversations c LEFT JOIN n USING (conv_id, turn)),
+r AS (SELECT conv_id, turn, parent, root, depth FROM up WHERE parent IS NULL
+      UNION ALL SELECT u.conv_id, u.turn, u.parent, r.root, r.depth + 1 FROM r JOIN up u ON u.conv_id = r.conv_id AND u.parent = r.turn)
+SELECT d.conv_id, d.turn, d.role, trim(d.text, ' ' || chr(10) || chr(9) || chr(13)) AS text, coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked,
+       r.parent AS parent_turn, r.root AS thread_turn, r.depth, row_number() OVER (PARTITION BY d.conv_id, r.root ORDER BY d.turn) AS position
+FROM d LEFT JOIN n USING (conv_id, turn) JOIN r USING (conv_id, turn)
+"""
+
+
+@query("op7_quotation_linking", OP7_SQL)
 def op7(spark, sf_dir):
-    from vigil.llm.chat_quotes import conversations
+    from vigil.llm.chat_quotes import as_replies, conversations
+
+    return conversations(as_replies(read_table(spark, sf_dir, "conversations")))
 
-    return conversations(read_table(spark, sf_dir, "conversations"))
 
 
 OP12_SQL = """
