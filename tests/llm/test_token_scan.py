@@ -1,3 +1,4 @@
+import pytest
 import random
 from collections import Counter
 
@@ -59,9 +60,17 @@ def test_a_store_that_python_cannot_open(spark, tmp_path, monkeypatch, caplog):
     from vigil.llm import token_scan
 
     (tmp_path / "a").write_bytes(b"".join(t.to_bytes(2, "big") for t in [1, 2, 50_256, 3, 50_256]))
-    monkeypatch.setattr(token_scan, "_opened", lambda uri: 1 / 0)
+    def unknown(uri):
+        import pyarrow as pa
+
+        raise pa.ArrowInvalid("Unrecognized filesystem type in URI")
+
+    monkeypatch.setattr(token_scan, "_opened", unknown)
     got = count_tokens(read_blocks(spark, str(tmp_path), 4), block_bytes=4).orderBy("doc_no").collect()
     assert [r.n_tokens for r in got] == [2, 1] and "by whole files" in caplog.text
+    monkeypatch.setattr(token_scan, "_opened", lambda uri: 1 / 0)
+    with pytest.raises(ZeroDivisionError):  # any other error is raised
+        read_blocks(spark, str(tmp_path), 4)
 
 
 def test_no_files_with_tokens(spark, empty, tmp_path):

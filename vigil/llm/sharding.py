@@ -7,8 +7,9 @@ of the record (a rerun draws the same), gives quantile boundaries; records are
 range-partitioned by them, and a range that came out overfull is subdivided
 by further splitters of its own sample. Exact sums per range and within each
 range then cut the order into ``shards`` runs of equal bytes: a shard is off the
-mean by one record at most, whatever the sample was. All driver data (sample,
-boundaries, sums per range) is bounded by parameters.
+mean by one record at most, whatever the sample was. The number of ranges
+follows the number of rows; all driver data (sample, boundaries, sums per range)
+is bounded by parameters.
 
 Defined cases: a null text counts 0 bytes and has crc32 0; equal rows share a
 key and are ordered arbitrarily among themselves, being interchangeable; null
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 from vigil.llm.common import staged
 
 SHARDS, ROW_BYTES = 24, 8
-#: Ranges per shard, sampled keys per range, and the share of the mean range from which one is overfull.
-RANGES_PER_SHARD, SAMPLE_PER_RANGE, OVERFULL = 16, 16, 2.0
+#: Least ranges per shard, rows from which a shard has more (up to a bound), sampled keys per range, and the share of
+#: the mean range from which one is overfull.
+RANGES_PER_SHARD, RANGE_ROWS, MOST_RANGES, SAMPLE_PER_RANGE, OVERFULL = 16, 1_000_000, 2_048, 16, 2.0
 
 
 def _priority(seed: int) -> Column:
@@ -46,7 +48,9 @@ def _range_of(bounds: list[tuple[int, int]], base: Column) -> Column:
     if not bounds:
         return base
     arr = ", ".join(f"struct(bigint('{k}') AS k, bigint('{i}') AS i)" for k, i in bounds)  # one expression: built by one call
-    return base + F.expr(f"size(filter(array({arr}), b -> b <= struct(_k AS k, _id AS i)))")
+    steps = ", ".join(str(1 << s) for s in range((len(bounds)).bit_length() - 1, -1, -1))
+    return base + F.expr(f"aggregate(array({steps}), 0, (at, s) -> if(at + s <= {len(bounds)} AND "
+                         f"get(array({arr}), at + s - 1) <= struct(_k AS k, _id AS i), at + s, at))")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", row_id: str = "doc_id",
@@ -60,7 +64,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", row_id: str
         *[F.col(c) for c in keep], (F.octet_length(body) + F.lit(row_bytes)).cast("bigint").alias("_size"),
         F.crc32(body).alias("_crc"), F.xxhash64(body).alias("_k"),
         F.coalesce(F.col(row_id).cast("bigint"), F.lit(-(1 << 63)).cast("bigint")).alias("_id")))
-    n = shards * ranges_per_shard
+    n = shards * max(ranges_per_shard, min(MOST_RANGES, -(-slim.count() // (shards * RANGE_ROWS))))  # a range's rows are one sort
     bounds = _splitters(slim, n, n * sample_per_range, seed)
     ranged = slim.withColumn("_range", _range_of(bounds, F.lit(0)).cast("bigint"))
     sums = ranged.groupBy("_range").agg(F.sum("_size").alias("_b"), F.count(F.lit(1)).alias("_n")).collect()  # at most n rows

@@ -23,6 +23,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vigil.llm.common import staged
 from vigil.llm.tokens import encoder, vocabulary_path
 
 #: The id that ends a document, and how ids are laid out; bytes of a block (a multiple of the id's width).
@@ -66,6 +67,8 @@ def read_blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES,
     """(file, block, data): the files' bytes in blocks, regardless of documents. Files are only listed; blocks are dealt
     to tasks of some ``task_bytes``, which read their byte ranges. A store that Python cannot open is read by Spark
     instead, each file as one row (so of less than 2 GB), with a warning."""
+    import pyarrow as pa
+
     files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("path").alias("file"), "length")  # no contents
     total, one = files.agg(F.sum("length"), F.min("file")).first()
     cut = F.explode(F.expr(f"sequence(0L, (length - 1) div {block_bytes})")).alias("block")
@@ -73,7 +76,7 @@ def read_blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES,
         if one is not None:
             store, inside = _opened(one)
             store.open_input_file(inside).close()
-    except Exception as why:  # noqa: BLE001
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as why:  # a kind of store that pyarrow does not know; other errors are raised
         LOG.warning("%s is read by whole files: %s", path, why)
         whole = spark.read.format("binaryFile").load(path).where("length > 0")
         parts = F.expr(f"transform(sequence(0L, (length - 1) div {block_bytes}), i -> struct(i AS block, substring(content, cast(i * {block_bytes} + 1 AS int), {block_bytes}) AS data))")
@@ -116,12 +119,14 @@ def count_tokens(blocks: DataFrame, end_id: int = END_ID, layout: str = LAYOUT,
                                              ["file", "block", "size", "ends"])
 
     found = blocks.mapInArrow(scan, "file string, block bigint, size bigint, ends array<bigint>")
-    found = found.withColumn("ends", F.expr(f"transform(ends, e -> e + block * {per_block})"))
+    found = staged(found.withColumn("ends", F.expr(f"transform(ends, e -> e + block * {per_block})")))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
     after = Window.partitionBy("file").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
-    stitched = found.select(
-        "file", "block", "size", "ends", F.coalesce(F.max(F.array_max("ends")).over(before), F.lit(-1)).alias("last"),
-        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("number"), F.count(F.lit(1)).over(after).alias("later"))
+    # the windows see a few numbers per block; the ends of the documents come back by an equi-join
+    slim = found.select("file", "block", F.array_max("ends").alias("end"), F.size("ends").alias("n"))
+    seams = slim.select("file", "block", F.coalesce(F.max("end").over(before), F.lit(-1)).alias("last"),
+                        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("number"), F.count(F.lit(1)).over(after).alias("later"))
+    stitched = found.join(seams, ["file", "block"])
     one = F.expr("transform(ends, (e, i) -> struct(number + i AS doc_no, if(i = 0, last, ends[i - 1]) + 1 AS start, e AS stop, true AS complete))")
     rest = F.expr(f"""if(later = 0 AND coalesce(array_max(ends), last) < block * {per_block} + size - 1,
         array(struct(number + size(ends) AS doc_no, coalesce(array_max(ends), last) + 1 AS start, block * {per_block} + size AS stop, false AS complete)),
