@@ -38,12 +38,17 @@ def worker_cache() -> dict:
     return sys.__dict__.setdefault("_vigil_llm_cache", {})
 
 
+#: Models and other values of one job (keyed by a string) that a worker keeps, and lasting tables (other keys).
+JOB_VALUES, LASTING = 2, 16
+
+
 def cached(key, make: Callable):
-    """The worker's value for ``key``, made once; the oldest of over 16 entries goes."""
+    """The worker's value for ``key``, made once. A worker outlives jobs, so only the latest jobs' values stay."""
     c = worker_cache()
     if key not in c:
-        while len(c) >= 16:
-            c.pop(next(iter(c)))
+        alike = [k for k in c if isinstance(k, str) == isinstance(key, str)]
+        for k in alike[:max(0, len(alike) + 1 - (JOB_VALUES if isinstance(key, str) else LASTING))]:
+            c.pop(k)
         c[key] = make()
     return c[key]
 
