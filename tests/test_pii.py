@@ -107,3 +107,20 @@ def test_response_actions_and_entity_column(spark):
     assert pii_scan.scan_response(df, "block").first().choices[0].message.content == "Response blocked due to PII detection."
     assert [f.type for f in pii_scan.scan_response(df, "warn", F.col("ents")).first().response_findings] == ["email"]
     assert pii_scan.scan_response(df, "warn", ["ssn"]).first().response_findings == []
+
+
+def test_many_findings_in_one_text_take_linear_time(spark):
+    import time
+
+    def run(n):
+        t = " ".join(f"u{i}@x.org" for i in range(n))
+        df = spark.createDataFrame([(t,)], "text string").select("text", pii.detect(F.col("text"), ["email"]).alias("f"))
+        df = df.select(F.size("f").alias("n"), F.col("f")[n - 1]["end"].alias("end"), F.length("text").alias("len"), pii.redact_text(F.col("text"), F.col("f")).alias("r"))
+        t0 = time.perf_counter()
+        r = df.first()
+        assert (r.n, r.end) == (n, r.len) and r.r == " ".join(f"u{i}"[:2] + pii.EMAIL_MASK_SUFFIX for i in range(n))
+        return time.perf_counter() - t0
+
+    run(500)
+    small, large = run(8_000), run(32_000)
+    assert large < 20 and large < 10 * small + 2  # it was fifteen times as long, and over a minute

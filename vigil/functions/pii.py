@@ -96,27 +96,51 @@ def _guard(text: Column, kind: str) -> Column:
     return F.lit(True)
 
 
+#: Elements appended one by one before their array is appended as a whole.
+RUN = 128
+
+
+def _fold(items: Column, init: Column, step) -> Column:
+    """The findings that a walk over ``items`` emits, in linear time: ``step(state, item)`` gives the next state and
+    an array of what it emits. An array is copied when one is appended to it, so emitted findings are gathered in
+    runs of ``RUN`` items, and the runs are put together at the end. (What a lambda uses more than once is boxed
+    into a struct, as an outer expression would be evaluated for every element.)"""
+    none = F.array().cast(T.ArrayType(FINDINGS))
+
+    def run(s, state, b):
+        def one(c, x):
+            nxt, emitted = step(c["s"], x)
+            return F.struct(nxt.alias("s"), F.concat(c["out"], emitted).alias("out"))
+        return F.aggregate(F.slice(s["x"], b * RUN + 1, F.lit(RUN)), F.struct(state.alias("s"), _empty().alias("out")), one)
+
+    def walk(s):
+        def whole(a, b):
+            return F.get(F.transform(F.array(run(s, a["s"], b)), lambda z: F.struct(
+                z["s"].alias("s"), F.concat(a["out"], F.array(z["out"])).alias("out"))), F.lit(0))
+        runs = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(s["x"]) - 1) / RUN).cast("int")), F.struct(init.alias("s"), none.alias("out")), whole, lambda a: a["out"])
+        return F.when(F.size(s["x"]) <= 0, _empty()).otherwise(F.flatten(runs))
+
+    return F.get(F.transform(F.array(F.struct(items.alias("x"))), walk), F.lit(0))
+
+
 def find_spans(text: Column, pattern: str | Column, kind: str) -> Column:
     """Every non-overlapping match of ``pattern`` with half-open
     code-point offsets, as ARRAY<STRUCT<type, text, start, end>>.
 
     Match i starts after pieces 0..i and matches 0..i-1. Matches and pieces
-    are zipped and walked once by ``aggregate`` (an outer expression
-    referenced inside a lambda would be re-evaluated per element)."""
+    are zipped and walked once, in time linear in the text and its matches."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     pieces = F.split(text, pattern, -1)
     zipped = F.arrays_zip(matches.alias("m"), pieces.alias("p"))
-    init = F.struct(F.lit(0).alias("pos"), _empty().alias("out"))
 
-    def step(acc, z):
-        start = acc["pos"] + F.length(z["p"])
-        span = F.struct(F.lit(kind).alias("type"), z["m"].alias("text"), start.cast("int").alias("start"),
-                        (start + F.length(z["m"])).cast("int").alias("end"))
-        return F.when(z["m"].isNull(), acc).otherwise(F.struct(
-            (start + F.length(z["m"])).alias("pos"), F.concat(acc["out"], F.array(span)).alias("out")))
+    def step(at, z):
+        start = at + F.length(z["p"])
+        end = start + F.length(z["m"])
+        span = F.struct(F.lit(kind).alias("type"), z["m"].alias("text"), start.cast("int").alias("start"), end.cast("int").alias("end"))
+        return F.coalesce(end, at), F.when(z["m"].isNull(), _empty()).otherwise(F.array(span))
 
-    return F.aggregate(zipped, init, step, lambda acc: acc["out"])
+    return _fold(zipped, F.lit(0), step)
 
 
 def detect_family(text: Column, kind: str) -> Column:
@@ -214,12 +238,9 @@ def merge_overlaps(findings: Column) -> Column:
     keyed = F.array_sort(F.transform(findings, lambda f: F.struct(
         f["start"].alias("s"), (-f["end"]).alias("ne"), dims.pii_type_rank(f["type"]).alias("r"),
         f.alias("f"))))
-    init = F.struct(F.lit(-1).alias("last"), _empty().alias("kept"))
-    acc = F.aggregate(keyed, init, lambda a, k: F.when(
-        k["s"] >= a["last"],
-        F.struct(k["f"]["end"].alias("last"), F.concat(a["kept"], F.array(k["f"])).alias("kept"))
-    ).otherwise(a))
-    return acc["kept"]
+    fits = lambda last, k: k["s"] >= last
+    return _fold(keyed, F.lit(-1), lambda last, k: (
+        F.when(fits(last, k), k["f"]["end"]).otherwise(last), F.when(fits(last, k), F.array(k["f"])).otherwise(_empty())))
 
 
 def _splice(text: Column, findings: Column, repl) -> Column:
