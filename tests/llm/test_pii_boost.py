@@ -146,6 +146,19 @@ def test_many_accepted_spans_in_one_text_take_linear_time(spark):
     assert len(r.pii_spans) == 24_000 and r.redacted_text == "[EMAIL] password=\"[SECRET]\" " * 12_000
 
 
+def test_placeholders_code_and_dates_are_no_secrets():
+    def kind(text, x):
+        s = text.index(x)
+        return P.rule_kind(text, s, s + len(x), {(a, b): k for k, a, b in P.base_spans(text)})
+
+    for text, x in [("password = required!", "required!"), ("secret=os.environ", "os.environ"), ("password=%s", "%s"), ("api_key: ${API_KEY}", "${API_KEY}"), ("pwd = <hidden>", "<hidden>"),
+                    ("tel 2024-11-05", "2024-11-05"), ("password = 2024-11-05", "2024-11-05"), ("use a::b here", "a::b"), ("token = request.headers", "request.headers"), ("pwd=********", "********")]:
+        assert kind(text, x) == 0, text
+    for text, x in [('password="zq9!xw"', "zq9!xw"), ("secret=a8f3kq9z", "a8f3kq9z"), ('secret="qzjvkwxpytmnbv"', "qzjvkwxpytmnbv")]:
+        assert kind(text, x) == 1 + P.KINDS.index("secret"), text
+    assert kind("tel 555 123 4567", "555 123 4567") == 1 + P.KINDS.index("phone") and kind("host fe80::1ff:2", "fe80::1ff:2") == 1 + P.KINDS.index("ip")
+
+
 def test_redaction():
     t = "a bob@x.org b +1 (555) 123-4567."
     assert P.redact(t, P.base_spans(t)) == "a [EMAIL] b [PHONE]."

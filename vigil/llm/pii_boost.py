@@ -70,6 +70,9 @@ _STRONG = re.compile(r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|(?:api|access
 _SAID = r"""[a-z]{0,6}\.?\\?["']?\s*(?:(?:no\.?|number|is|at|me)\s*)?(?:[=:#]\s*)?\\?["'(<]?\Z"""
 _MAIL_WORD, _IP_WORD, _CARD_WORD, _PHONE_WORD = (re.compile(rf"\b(?:{w}){_SAID}", re.IGNORECASE) for w in (
     "e-?mail|mail|contact|write to", "ip|ipv6|host|addr|client|server", "card|visa|mastercard|amex|cc|pan", "tel|phone|telephone|mobile|cell|call|fax|sms"))
+# Weak negatives: what stands for a value in code and templates, words with a mark at the end, and dates.
+_PLACEHOLDER = re.compile(r"%[a-z(]|\$[\w{(]|\{|<|[A-Za-z_]+(?:(?:\.|::|->)[A-Za-z_]+)+\Z|[A-Za-z]+[!?.,;:*]*\Z|[*x.•-]+\Z", re.IGNORECASE)
+_DATE = re.compile(r"(?:[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:[0-9]{2}|[0-9]{4}))\Z")
 _NONE = frozenset(("null", "none", "nil", "true", "false", "undefined"))
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
@@ -177,7 +180,7 @@ def features(text: str, s: int, e: int, gen: int) -> list[float]:
             max((int(g[:9]) for g in groups), default=0), switches, -sum(p * math.log2(p) for p in counts),
             all(c in "0123456789abcdefABCDEF" for c in x), x[:1] == "+", x.rpartition("@")[2].count("."),
             n - digits - upper - lower, any(c.isspace() for c in x), x.count(":"), "::" in x, x.lower() in _NONE, float(_KEY.match(x) is not None),
-            float(_at_end(text, e)), float(sum(map(len, groups))), *_named(before),
+            float(_at_end(text, e)), float(_PLACEHOLDER.match(x) is not None), float(_DATE.match(x) is not None), float(sum(map(len, groups))), *_named(before),
             float(gen), *(float(w in low) for w in _NAMES), prev.isspace(), prev in ("\"", "'"), prev in ("=", ":"), prev.isalnum(),
             nxt.isspace(), nxt in ("\"", "'"), nxt in (".", ","), nxt.isalnum(), "=" in before[-4:] or ":" in before[-4:]]
 
@@ -206,7 +209,8 @@ def rule_kind(text: str, s: int, e: int, base: dict[tuple[int, int], str]) -> in
     before = text[max(0, s - 24):s]
     strong, assigned, mail, ip, card, phone = _named(before)
     digits, has_letter = sum(c.isdigit() for c in x), any(c.isalpha() for c in x)
-    if _at_end(text, e) and x.lower() not in _NONE and (
+    plain = _PLACEHOLDER.match(x) is not None and not (strong == 2 and e - s >= 12 and x.isalnum())  # a long quoted run of letters can be a key
+    if _at_end(text, e) and x.lower() not in _NONE and not plain and not _DATE.match(x) and (
             (strong == 2 and (has_letter or digits)) or (strong and has_letter and (digits or any(not c.isalnum() and not c.isspace() for c in x)))
             or (assigned and digits and has_letter and e - s >= 12)):
         return 1 + KINDS.index("secret")
@@ -214,11 +218,11 @@ def rule_kind(text: str, s: int, e: int, base: dict[tuple[int, int], str]) -> in
         return 0  # part of something longer
     if _ADDRESS.fullmatch(x) and (mail or any(c in "[({" for c in x)) or (mail and _MAILBOX.fullmatch(x)):
         return 1 + KINDS.index("email")
-    if _IPV6.fullmatch(x) and (x.count(":") == 7 or ("::" in x and x.count("::") == 1 and sum(c.isalnum() for c in x) >= 2) or (ip and x.count(":") > 3)):
+    if _IPV6.fullmatch(x) and digits and (x.count(":") == 7 or ("::" in x and x.count("::") == 1 and sum(c.isalnum() for c in x) >= 2) or (ip and x.count(":") > 3)):
         return 1 + KINDS.index("ip")
     if card and 13 <= digits <= 19 and _CARD.fullmatch(x):
         return 1 + KINDS.index("card")
-    return 1 + KINDS.index("phone") if phone and 7 <= digits <= 15 and _NUMBER.fullmatch(x) else 0
+    return 1 + KINDS.index("phone") if phone and 7 <= digits <= 15 and _NUMBER.fullmatch(x) and not _DATE.match(x.strip()) else 0
 
 
 def fit(docs: DataFrame, text: str = "text", sample_candidates: int = SAMPLE_CANDIDATES) -> dict:
