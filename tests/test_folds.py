@@ -82,6 +82,36 @@ def test_rate_random_against_brute_force(spark):
     assert _run_rate(spark, rows) == brute_rate(rows, LIMITS)
 
 
+def test_rate_long_runs_are_decided_as_arrays(spark):
+    """Clients that are always at their limits, in long runs: equal to one request after the other, also across Arrow batches."""
+    rnd = random.Random(41)
+    rows, resets, rid = [], [], 0
+    for c, gap in (("busy", 1), ("steady", 9), ("bursts", 40)):
+        t = 0
+        for _ in range(1500):
+            t += rnd.randrange(1, 2 * gap + 1) if rnd.random() > 0.02 else 4000
+            for _ in range(rnd.choice([1, 1, 1, 3])):
+                rows.append((rid, c, t))
+                rid += 1
+        resets += [(c, rows[-700][2]), (c, rows[-300][2])]
+    df = spark.createDataFrame(rows, "request_id long, client_id string, sec long")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size, limits, rs in ((10_000, {"requests_per_minute": 7, "requests_per_hour": 90, "requests_per_day": 400}, []), (100, {"requests_per_minute": 3, "requests_per_hour": 50}, resets),
+                                 (777, {"requests_per_minute": 0, "requests_per_day": 5}, []), (10_000, {"requests_per_hour": 10**6}, resets)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+            want = brute_rate(rows, limits, rs)
+            r = spark.createDataFrame(rs, "client_id string, reset_sec long") if rs else None
+            for strategy in ("chunked", "serial"):
+                got = {x.request_id: (x.allowed, x.reason, getattr(x, "remaining_minute", None), getattr(x, "remaining_hour", None), getattr(x, "remaining_day", None))
+                       for x in rate_limit.decisions(df, limits, r, strategy=strategy).collect()}
+                assert got == want, (size, strategy)
+        got = {x.request_id: x.allowed for x in rate_limit.decisions(df, {"requests_per_minute": 7, "requests_per_hour": 90}, count_mode="requests").collect()}
+        assert got == {k: v[0] for k, v in brute_rate_requests(rows, {"requests_per_minute": 7, "requests_per_hour": 90}).items()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_rate_fail_open_without_time(spark):
     df = spark.createDataFrame([(1, "a", None)], "request_id long, client_id string, sec long")
     r = rate_limit.decisions(df, LIMITS).first()

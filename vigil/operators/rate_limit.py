@@ -12,7 +12,8 @@ express. What keeps it cheap and skew-proof:
 * The fold streams each client's seconds in time order through
   ``mapInPandas`` (repartition by client, sort within partitions) with state
   bounded by the limits (at most ``limit`` seconds per window): no group is
-  ever materialised whole.
+  ever materialised whole. Long runs are decided as arrays, ``limit`` decisions
+  of a window at a time.
 * Decisions go back to the requests with an equi-join on (client, second);
   the fold side has one row per key, so AQE can split a skewed request side.
 """
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,68 +71,133 @@ def _fold_schema(limits) -> T.StructType:
     return T.StructType(fields)
 
 
-def _check(states, t, limits, add, distinct=True):
-    """One request against the per-window state; returns (allowed, reason,
-    remaining per window (None when not reached), slots taken). With
-    ``distinct`` a second holds one slot however many requests it has (the
-    original's sorted-set members are seconds); otherwise every admitted
-    request takes a slot."""
-    rem = [None] * len(limits)
-    took = [False] * len(limits)
-    for k, (name, limit, width, suffix) in enumerate(limits):
+def _step(states, t, limits, add, distinct=True):
+    """One request against the per-window state: (number of the window that denies it or -1, remaining per window (-1
+    where the check did not come), slots taken). With ``distinct`` a second holds one slot however many requests it
+    has (the original's sorted-set members are seconds); otherwise every admitted request takes a slot."""
+    rem, took = [-1] * len(limits), [False] * len(limits)
+    for k, (_, limit, width, _) in enumerate(limits):
         q = states[k]
         while q and q[0] <= t - width:
             q.popleft()
         c = len(q)
-        if c < limit:
-            if add and (not distinct or not q or q[-1] != t):
-                q.append(t)
-                took[k] = True
-            rem[k] = limit - c - 1
-        else:
+        if c >= limit:
             rem[k] = 0
-            return False, REASON.format(name=name, limit=limit, suffix=suffix), rem, took
-    return True, None, rem, took
+            return k, rem, took
+        if add and (not distinct or not q or q[-1] != t):
+            q.append(t)
+            took[k] = True
+        rem[k] = limit - c - 1
+    return -1, rem, took
+
+
+def _check(states, t, limits, add, distinct=True):
+    """``_step`` with the answer's words: (allowed, reason, remaining per window (None where not reached), slots taken)."""
+    k, rem, took = _step(states, t, limits, add, distinct)
+    reason = None if k < 0 else REASON.format(name=limits[k][0], limit=limits[k][1], suffix=limits[k][3])
+    return k < 0, reason, [None if x < 0 else x for x in rem], took
+
+
+#: Rows of one group from which they are decided as arrays.
+ARRAY_ROWS = 48
+
+
+def _accepted(t: np.ndarray, last: np.ndarray, limit: int, width: int) -> np.ndarray:
+    """Which of the sorted times one window accepts, after those accepted before (``last``, ascending).
+
+    A request is accepted if the ``limit``-th accepted one before it is at least ``width`` old. So of the next
+    ``limit`` accepted ones each has its bound in what is known already: the first place at or after the bound, and
+    after the one before it. That is a sorted search and a running maximum for ``limit`` decisions at a time."""
+    n = len(t)
+    out = np.zeros(n, dtype=bool)
+    at = 0
+    while at < n and limit > 0:
+        j = np.arange(min(limit, n - at))
+        known = j + len(last) - limit
+        bound = np.full(len(j), at)
+        old = known >= 0
+        bound[old] = np.maximum(np.searchsorted(t, last[known[old]] + width), at)
+        place = j + np.maximum.accumulate(bound - j)
+        place = place[place < n]
+        out[place] = True
+        if len(place) < len(j):
+            break
+        last = np.concatenate([last, t[place]])[-limit:]
+        at = int(place[-1]) + 1
+    return out
+
+
+def _decide_rows(states, t: np.ndarray, many: np.ndarray, limits, distinct: bool):
+    """The rows of one group, window by window: what one window accepts is what the next one sees.
+    (failed window or -1, remaining, slots taken) of the first request of each row and of the others."""
+    n, k_n = len(t), len(limits)
+    fail1, fail2 = np.full(n, -1, dtype=np.int8), np.full(n, -1, dtype=np.int8)
+    rem1, rem2 = np.full((k_n, n), -1, dtype=np.int64), np.full((k_n, n), -1, dtype=np.int64)  # -1: not reached
+    took = np.zeros((k_n, n), dtype=bool)
+    reach1, reach2 = np.ones(n, dtype=bool), many.copy()
+    for k, (_, limit, width, _) in enumerate(limits):
+        before = np.array(states[k], dtype=np.int64)
+        seen = np.flatnonzero(reach1)
+        took[k, seen] = _accepted(t[seen], before[-limit:] if limit > 0 else before[:0], limit, width)
+        held = np.concatenate([before, t[took[k]]])
+        count = len(before) + np.cumsum(took[k]) - took[k] - np.searchsorted(held, t - width, side="right")
+        ok1 = reach1 & took[k]
+        rem1[k] = np.where(ok1, limit - count - 1, np.where(reach1, 0, -1))
+        fail1[reach1 & ~took[k]] = k
+        after = count + (took[k] if distinct else 0)
+        ok2 = reach2 & (after < limit)
+        rem2[k] = np.where(ok2, limit - after - 1, np.where(reach2, 0, -1))
+        fail2[reach2 & ~ok2] = k
+        reach1, reach2 = ok1, ok2
+        states[k] = deque(held[np.searchsorted(held, t[-1] - width, side="right"):].tolist()) if n else states[k]
+    return (fail1, rem1, took), (fail2, rem2)
 
 
 def make_fold(limits, group_cols=("client_id",), ctx_col: str | None = None, distinct: bool = True):
     """Iterator fold for mapInPandas over rows sorted by (group, sec, kind).
-    State starts empty at each new group; rows flagged ``ctx_col`` only
-    build state (their decisions belong to another group)."""
+    State starts empty at each new group and at each reset; rows flagged
+    ``ctx_col`` only build state (their decisions belong to another group).
+    Long runs of one group are decided as arrays, short ones row by row."""
+    k_n = len(limits)
+    reasons = np.array([REASON.format(name=n, limit=lim, suffix=suf) for n, lim, _, suf in limits] + [None], dtype=object)
 
     def fold(batches):
-        cur = None
-        states = None
-        cols = ["client_id", "sec", "first_id", "first_allowed", "first_reason"] + \
-               [f"first_rem_{_short(x[0])}" for x in limits] + ["rest_allowed", "rest_reason"] + \
-               [f"rest_rem_{_short(x[0])}" for x in limits] + [f"slot_{_short(x[0])}" for x in limits]
+        cur, states = None, [deque() for _ in limits]
         for pdf in batches:
-            rows = []
-            groups = zip(*[pdf[c].values for c in group_cols])
-            ctx = pdf[ctx_col].values if ctx_col else [False] * len(pdf)
-            for g, cid, t, n, kind, fid, is_ctx in zip(groups, pdf["client_id"].values, pdf["sec"].values,
-                                                       pdf["n"].values, pdf["kind"].values,
-                                                       pdf["first_id"].values, ctx):
-                if g != cur:
-                    cur = g
-                    states = [deque() for _ in limits]
-                if kind == 1:
-                    states = [deque() for _ in limits]
+            n = len(pdf)
+            t, many = pdf["sec"].values.astype(np.int64), pdf["n"].values > 1
+            reset = pdf["kind"].values == 1
+            fail1, fail2 = np.full(n, -1, dtype=np.int8), np.full(n, -1, dtype=np.int8)
+            rem1, rem2 = np.full((k_n, n), -1, dtype=np.int64), np.full((k_n, n), -1, dtype=np.int64)
+            took = np.zeros((k_n, n), dtype=bool)
+            cut = reset.copy()  # a run is cut where a group begins, and around resets
+            cut[1:] |= reset[:-1]
+            for c in group_cols:
+                v = pdf[c].values
+                cut[1:] |= v[1:] != v[:-1]
+            cuts = np.flatnonzero(cut).tolist()
+            for lo, hi in zip([0, *[c for c in cuts if c]], [*[c for c in cuts if c], n], strict=True) if n else ():
+                group = tuple(pdf[c].values[lo] for c in group_cols)
+                if group != cur or reset[lo]:
+                    cur, states = group, [deque() for _ in limits]
+                if reset[lo]:
                     continue
-                t = int(t)
-                a1, r1, rem1, took = _check(states, t, limits, add=True, distinct=distinct)
-                if is_ctx:
+                if hi - lo >= ARRAY_ROWS:
+                    (fail1[lo:hi], rem1[:, lo:hi], took[:, lo:hi]), (fail2[lo:hi], rem2[:, lo:hi]) = _decide_rows(states, t[lo:hi], many[lo:hi], limits, distinct)
                     continue
-                if n > 1:
-                    a2, r2, rem2, _ = _check(states, t, limits, add=False)
-                else:
-                    a2, r2, rem2 = None, None, [None] * len(limits)
-                rows.append((cid, t, int(fid), a1, r1, *rem1, a2, r2, *rem2, *took))
-            out = pd.DataFrame(rows, columns=cols)
-            for c in cols:
-                if "_rem_" in c:
-                    out[c] = out[c].astype("Int64")
-            yield out
+                for i in range(lo, hi):
+                    fail1[i], rem1[:, i], took[:, i] = _step(states, int(t[i]), limits, True, distinct)
+                    if many[i]:
+                        fail2[i], rem2[:, i], _ = _step(states, int(t[i]), limits, False, distinct)
+            keep = ~reset & ~(pdf[ctx_col].values.astype(bool) if ctx_col else np.zeros(n, dtype=bool))
+            many = many[keep]
+            number = lambda x: pd.arrays.IntegerArray(x[keep].copy(), x[keep] < 0)  # noqa: B023, E731
+            out = {"client_id": pdf["client_id"].values[keep], "sec": t[keep], "first_id": pdf["first_id"].values[keep].astype(np.int64),
+                   "first_allowed": fail1[keep] < 0, "first_reason": reasons[fail1[keep]]}
+            out |= {f"first_rem_{_short(x[0])}": number(rem1[k]) for k, x in enumerate(limits)}
+            out |= {"rest_allowed": pd.arrays.BooleanArray(fail2[keep] < 0, ~many), "rest_reason": np.where(many, reasons[fail2[keep]], None)}
+            out |= {f"rest_rem_{_short(x[0])}": number(rem2[k]) for k, x in enumerate(limits)}
+            yield pd.DataFrame(out | {f"slot_{_short(x[0])}": took[k][keep] for k, x in enumerate(limits)})
 
     return fold
 
