@@ -80,3 +80,14 @@ def test_masked_log(spark):
     df = spark.createDataFrame([("question", "answer", 2.5)], "prompt string, response_text string, cost double")
     assert tuple(policy.log_policy_mask(df, log_responses=False).first()) == ("question", None, 2.5)
     assert policy.log_policy_mask(df, log_responses=True).first().response_text == "answer"
+
+
+def test_routing_conditions(spark):
+    rows = [(1, 50, "a"), (2, 150, "b"), (3, None, "b"), (4, 500, "it's")]
+    df = spark.createDataFrame(rows, "id int, max_tokens int, tier string")
+    hits = lambda text: [r.id for r in df.where(policy.condition(text)).orderBy("id").collect()]
+    assert hits("request.max_tokens < 100") == [1] and hits("max_tokens >= 150 and tier != 'b'") == [4]
+    assert hits('request.tier == "it\'s" or request.max_tokens<=50.5') == [1, 4] and hits("tier = 'b'") == [2, 3]
+    for bad in ("", "max_tokens < (SELECT 1)", "sleep(10)", "max_tokens < 100; drop", "a.b.c < 1", "java_method('x', 'y') = 'z'"):
+        with pytest.raises(ValueError):
+            policy.condition(bad)

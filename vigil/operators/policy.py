@@ -10,6 +10,9 @@ broadcast where joined.
 from __future__ import annotations
 
 import json
+import re
+from decimal import Decimal
+from functools import reduce
 
 import pandas as pd
 
@@ -235,20 +238,39 @@ def with_policies_as_of(requests: DataFrame, versions: DataFrame, wanted: str, t
     return with_versions(requests.withColumn("policy_version", which), versions, wanted)
 
 
+_COMPARISON = re.compile(r"""\s*(?:request\.)?([A-Za-z_]\w*)\s*(<=|>=|==|!=|<|>|=)\s*(?:(-?\d+(?:\.\d+)?)|'([^']*)'|"([^"]*)")\s*\Z""")
+_COMPARE = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
+            "=": lambda a, b: a == b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b}
+
+
+def condition(text: str) -> Column:
+    """A routing condition: comparisons of a request's field with a number or a quoted text, joined by ``and`` and
+    ``or``. Nothing else of a policy's text is run; another form is an error."""
+    def one(part: str) -> Column:
+        m = _COMPARISON.match(part)
+        if m is None:
+            raise ValueError(f"not a routing condition: {text!r}")
+        field, op, number, *quoted = m.groups()
+        value = F.lit(Decimal(number)) if number is not None else F.lit(next(q for q in quoted if q is not None))
+        return _COMPARE[op](F.col(field), value)
+
+    either = [reduce(lambda a, b: a & b, map(one, re.split(r"\band\b", part, flags=re.IGNORECASE))) for part in re.split(r"\bor\b", text, flags=re.IGNORECASE)]
+    return reduce(lambda a, b: a | b, either)
+
+
 def _sql_condition(cond: str) -> str:
     return cond.replace("request.", "")
 
 
 def route_model(rules: list[tuple[str, str]], requested: Column | None = None) -> Column:
-    """Ordered rules, first match wins, 'default' last. Conditions are
-    SQL predicates over the request's columns."""
+    """Ordered rules, first match wins, 'default' last (see ``condition``)."""
     out = None
     default = None
     for cond, model in rules:
         if cond == "default":
             default = F.lit(model)
             continue
-        pred = F.coalesce(F.expr(_sql_condition(cond)), F.lit(False))
+        pred = F.coalesce(condition(cond), F.lit(False))
         out = F.when(pred, F.lit(model)) if out is None else out.when(pred, F.lit(model))
     fallback = default if default is not None else (requested if requested is not None else F.lit(None))
     return fallback if out is None else out.otherwise(fallback)

@@ -36,8 +36,13 @@ def cost_trend(log: DataFrame, as_of: str, days: int = 7) -> DataFrame:
 
 
 def model_totals(log: DataFrame, as_of: str) -> DataFrame:
-    """A3 over the retained model/day counters."""
-    s = retained(costs.model_daily_stats(log), as_of)
+    """A3 over the retained model/day counters of a log."""
+    return counter_totals(costs.model_daily_stats(log), as_of)
+
+
+def counter_totals(stats: DataFrame, as_of: str) -> DataFrame:
+    """A3 over model/day counters (a table of them, or ``jobs.read_counters``): nothing of the raw log is read."""
+    s = retained(stats, as_of)
     return s.groupBy("model").agg(
         F.sum("requests").alias("requests"), F.sum("cost").cast(MONEY_SUM).alias("cost"),
         (F.sum("input_tokens") + F.sum("output_tokens")).alias("tokens"))

@@ -45,6 +45,12 @@ def counters_model_stats(spark, sf_dir):
     return json_io.read_model_stats(spark, counters(spark, sf_dir), AS_OF)
 
 
+@query("counters_model_totals", ORACLES["model_totals"])
+def counters_model_totals(spark, sf_dir):
+    """A3 from the written counters instead of the raw log."""
+    return reports.counter_totals(spark.read.parquet(counters(spark, sf_dir)), AS_OF)
+
+
 SPLIT = "2024-01-16 12:00:00"
 
 

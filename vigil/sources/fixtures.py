@@ -119,6 +119,10 @@ def chat_turns(conversations: DataFrame, with_pii: bool = False) -> DataFrame:
         F.lit(1).cast("bigint").alias("msg_one"),
         *extra,
     )
+    if with_pii:
+        from vigil.session import cut_lineage
+
+        turns = cut_lineage(turns)  # the running sums read their input twice, detection must not
     turns = running_sum(turns, keys=["conv_id"], order="turn", values=values,
                         block=F.floor(F.col("turn") / 64), inclusive=False)
     pii_cols = ([F.col("request_findings_count"), F.col("msg_findings").alias("response_findings_count")]

@@ -103,6 +103,17 @@ def _expire(state, at_ms: int) -> None:
         state.remove()
 
 
+#: Rows of one frame that a stateful handler gives out.
+OUT_ROWS = 10_000
+
+
+def _gathered(pdfs, *cols: str) -> list[np.ndarray]:
+    """The given number columns of a key's rows of a micro-batch: each Arrow batch goes once its numbers are taken, so
+    a hot key costs a few numbers a row."""
+    parts = [[p[c].values.astype(np.int64) for c in cols] for p in pdfs]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
 def undecided(requests: DataFrame, decisions: DataFrame) -> DataFrame:
     """Batch side output: requests that came later than the streams accept, and so have no decision."""
     return requests.join(decisions.select("request_id").distinct(), "request_id", "left_anti")
@@ -135,24 +146,32 @@ def rate_limit_stream(keyed: DataFrame, rate_limits: dict[str, int], late_by: st
             return
         prev = state.get if state.exists else tuple([] for _ in limits)
         states = [deque(int(x) for x in (prev[k] or [])) for k in range(len(limits))]
-        pdf = pd.concat(list(pdfs)).sort_values(["sec", "request_id"])
+        ids, secs = _gathered(pdfs, "request_id", "sec")
+        order = np.lexsort((ids, secs))
         newest = max((q[-1] for q in states if q), default=None)
+        cols = [f.name for f in _rate_output_schema(limits).fields]
+
+        def frame(rows):
+            out = pd.DataFrame(rows, columns=cols)
+            for c in cols:
+                if c.startswith("remaining_"):
+                    out[c] = out[c].astype("Int64")
+            return out
+
         rows, last, seen = [], newest or 0, newest
-        for rid, own in zip(pdf["request_id"].values, pdf["sec"].values):
+        for rid, own in zip(ids[order].tolist(), secs[order].tolist()):
             sec = max(int(own), last)
             first = sec != seen
             seen = sec
             a, r, rem, _ = rate_limit._check(states, sec, limits, add=first)
             rows.append((int(rid), key[0], int(own), a, r, *rem))
             last = sec
+            if len(rows) >= OUT_ROWS:
+                yield frame(rows)
+                rows = []
         state.update(tuple(list(q) for q in states))
         _expire(state, (last + max_w) * 1000)
-        cols = [f.name for f in _rate_output_schema(limits).fields]
-        out = pd.DataFrame(rows, columns=cols)
-        for c in cols:
-            if c.startswith("remaining_"):
-                out[c] = out[c].astype("Int64")
-        yield out
+        yield frame(rows)
 
     s = keyed.select("request_id", "client_id", "sec", F.col("ts").cast("timestamp").alias("ts"))
     known = F.col("client_id").isNotNull() & F.col("sec").isNotNull()
@@ -183,14 +202,15 @@ def cache_replay_stream(keyed: DataFrame, ttl_seconds: int, late_by: str = LATE_
             state.remove()
             return
         store = state.get[0] if state.exists else None
-        pdf = pd.concat(list(pdfs)).sort_values(["t_us", "request_id"])
-        t = np.maximum(pdf["t_us"].values.astype(np.int64), store or 0)
-        hit, _, store = cache._fold_key(t, pdf["ok"].values.astype(bool), store, ttl_us)
+        ids, times, ok = _gathered(pdfs, "request_id", "t_us", "ok")
+        order = np.lexsort((ids, times))
+        ids, t = ids[order], np.maximum(times[order], store or 0)
+        hit, _, store = cache._fold_key(t, ok[order].astype(bool), store, ttl_us)
         if store is not None:
             state.update((store,))
             _expire(state, (store + ttl_us) // 1000)
-        yield pd.DataFrame({"request_id": pdf["request_id"].values.astype(np.int64), "cache_key": key[0],
-                            "cache_hit": hit})
+        for at in range(0, len(ids), OUT_ROWS):
+            yield pd.DataFrame({"request_id": ids[at:at + OUT_ROWS], "cache_key": key[0], "cache_hit": hit[at:at + OUT_ROWS]})
 
     s = keyed.select("request_id", "cache_key", F.col("ts").cast("timestamp").alias("ts"),
                      F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"),
