@@ -10,5 +10,6 @@ def load_all() -> None:
         return
     from vigil.plans import (access_log_queries, budget_queries, cache_queries, chat_queries,  # noqa: F401
                              cost_queries,
-                             govern_queries, limit_queries, pii_queries, policy_queries, report_queries, sink_queries)
+                             govern_queries, limit_queries, pii_queries, policy_queries, report_queries, sink_queries,
+                             stream_queries)
     _LOADED = True
