@@ -3,8 +3,8 @@ minute spend, W4 running total, A14 budget utilisation.
 
 Admission under a daily cap is a serial fold (a denied request adds
 nothing, so later decisions depend on earlier ones). What a day surely admits
-comes from prefix sums; from where the cap can bind, each minute is summed up
-as a step function of the spend, and those are composed per day.
+comes from prefix sums; from where the cap can bind, each block of minutes is
+summed up as a step function of the spend, and those are composed per day.
 """
 
 from __future__ import annotations
@@ -38,6 +38,17 @@ def _minute():
     return F.date_trunc("minute", F.col("ts"))
 
 
+#: Seconds of the blocks that are summed up as step functions: some hundred a day.
+STEP_SECONDS = 300
+
+
+def _step_block(kind: T.DataType):
+    """Number of a time's block, in order within a day whatever the session's time zone does."""
+    ts = F.col("ts")
+    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60 if isinstance(kind, T.TimestampNTZType) else F.unix_timestamp(ts)
+    return F.floor(seconds / STEP_SECONDS).cast("bigint")
+
+
 def daily_running_spend(df: DataFrame, cost_col: str = "cost") -> DataFrame:
     """Spend of the day strictly before each request (order ts,
     request_id), as a two-level prefix sum over minute blocks, so a hot day is
@@ -194,9 +205,9 @@ def admission(requests: DataFrame, daily_cap: str | Decimal) -> DataFrame:
     that prefix comes from a skew-safe running sum for every day in
     parallel. From the first row where the cap could bind, rows whose estimate
     no longer fits are denied in parallel. Those that may still fit are worked
-    by minute: each minute gives what it would spend as a step function of what
-    is left (``Steps``), a day's functions are applied one after the other (a few
-    numbers a minute), and each minute is decided from what is really left, so
+    in blocks of minutes: each gives what it would spend as a step function of
+    what is left (``Steps``), a day's functions are applied one after the other (a
+    few numbers a block), and each block is decided from what is really left, so
     that no day is one task."""
     cap = Decimal(str(daily_cap))
     cap_micro = int(cap * SCALE)
@@ -222,12 +233,12 @@ def admission(requests: DataFrame, daily_cap: str | Decimal) -> DataFrame:
                            T.StructField("ts", requests.schema["ts"].dataType), T.StructField("day", T.DateType()),
                            T.StructField("act_micro", T.LongType()), T.StructField("allowed", T.BooleanType()),
                            T.StructField("spend_before_micro", T.LongType())])
-    able = tail.where(fits).select("request_id", "ts", "day", _minute().alias("blk"), "est_micro", "act_micro", "start_micro")
+    able = tail.where(fits).select("request_id", "ts", "day", _step_block(requests.schema["ts"].dataType).alias("blk"), "est_micro", "act_micro", "start_micro")
     steps = (able.select("day", "blk", "ts", "request_id", "est_micro", "act_micro", "start_micro")
              .repartition("day", "blk").sortWithinPartitions("day", "blk", "ts", "request_id")
-             .mapInPandas(_block_steps(cap_micro), f"day date, blk {able.schema['blk'].dataType.simpleString()}, left bigint, bounds array<bigint>, spent array<bigint>"))
+             .mapInPandas(_block_steps(cap_micro), "day date, blk bigint, left bigint, bounds array<bigint>, spent array<bigint>"))
     left = (steps.repartition("day").sortWithinPartitions("day", "blk")
-            .mapInPandas(_compose_steps, f"day date, blk {able.schema['blk'].dataType.simpleString()}, left bigint"))
+            .mapInPandas(_compose_steps, "day date, blk bigint, left bigint"))
     folded = (able.drop("start_micro").join(left, ["day", "blk"]).repartition("day", "blk").sortWithinPartitions("day", "blk", "ts", "request_id")
               .mapInPandas(_admission_fold(cap_micro), schema))
     folded = cut_lineage(folded)  # Python state over a day: not to be computed once per branch
