@@ -82,10 +82,13 @@ def read_policies(spark: SparkSession, directory: str) -> DataFrame:
 
 def default_policies(spark: SparkSession) -> DataFrame:
     """Both built-in defaults as named policies."""
-    rows = [("file_default", json.dumps(FILE_DEFAULT)), ("builtin_default", json.dumps(BUILTIN_DEFAULT))]
-    return (spark.createDataFrame(rows, "policy_name string, json string")
-            .select("policy_name", F.parse_json("json").alias("doc"),
-                    F.lit(None).cast("timestamp").alias("modified")))
+    return _built_in(spark, [("file_default", FILE_DEFAULT), ("builtin_default", BUILTIN_DEFAULT)])
+
+
+def _built_in(spark: SparkSession, policies: list[tuple[str, dict]]) -> DataFrame:
+    # names are rows, not literals: a constant name would turn the joins by name into nested loops
+    return (spark.createDataFrame([(n, json.dumps(d)) for n, d in policies], "policy_name string, json string")
+            .select("policy_name", F.parse_json("json").alias("doc"), F.lit(None).cast("timestamp").alias("modified")))
 
 
 def with_fallback(policies: DataFrame, spark: SparkSession) -> DataFrame:
@@ -94,8 +97,7 @@ def with_fallback(policies: DataFrame, spark: SparkSession) -> DataFrame:
     the emptiness check is a one-row probe."""
     if policies.limit(1).count() > 0:
         return policies
-    return default_policies(spark).where(F.col("policy_name") == "builtin_default") \
-        .withColumn("policy_name", F.lit("default"))
+    return _built_in(spark, [("default", BUILTIN_DEFAULT)])
 
 
 def _vtype(doc: Column, path: str) -> Column:

@@ -139,7 +139,7 @@ def requests_under_default_policy(spark, sf_dir):
     """Without any policy the built-in default decides."""
     none = policy.default_policies(spark).where("false")
     o = read_table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("request_id"), F.lit("mine").alias("wanted"), (F.col("o_totalprice") / 1000000).cast("decimal(18,6)").alias("estimated_cost"))
+        F.col("o_orderkey").alias("request_id"), F.concat(F.lit("policy-"), F.col("o_custkey").cast("string")).alias("wanted"), (F.col("o_totalprice") / 1000000).cast("decimal(18,6)").alias("estimated_cost"))
     d = policy.with_policies(o, policy.with_fallback(none, spark), "wanted")
     ok, _ = costs.per_request_check(F.col("estimated_cost"), F.col("max_per_request"))
     return d.select("request_id", "policy_name", "max_per_request", ok.alias("cost_ok"))
