@@ -78,7 +78,7 @@ def test_sketch_never_underestimates_and_rarely_over():
     assert over < 400
 
 
-def test_a_worker_keeps_the_latest_jobs_values_only():
+def test_a_worker_keeps_the_latest_jobs_value_only():
     from vigil.llm import common
 
     c = common.worker_cache()
@@ -88,7 +88,7 @@ def test_a_worker_keeps_the_latest_jobs_values_only():
         common.cached(("table", 1), lambda: "kept")
         for k in range(9):
             assert common.cached(f"job{k}", lambda k=k: k) == k
-        assert set(c) == {("table", 1), "job7", "job8"} and common.cached("job8", lambda: 1 / 0) == 8
+        assert set(c) == {("table", 1), "job8"} and common.cached("job8", lambda: 1 / 0) == 8
     finally:
         c.clear()
         c.update(before)

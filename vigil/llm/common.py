@@ -39,7 +39,7 @@ def worker_cache() -> dict:
 
 
 #: Models and other values of one job (keyed by a string) that a worker keeps, and lasting tables (other keys).
-JOB_VALUES, LASTING = 2, 16
+JOB_VALUES, LASTING = 1, 16
 
 
 def cached(key, make: Callable):
@@ -53,6 +53,19 @@ def cached(key, make: Callable):
     return c[key]
 
 
+def tidy() -> None:
+    """Gives back what Arrow and the allocator hold of freed memory. Workers stay alive beside those of the next job,
+    so what they keep counts twice."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def with_columns(df: DataFrame, added: T.StructType, fn, drop: tuple[str, ...] = ()) -> DataFrame:
     """``fn(pyarrow.RecordBatch) -> dict of added arrays`` over Arrow batches.
     The columns of ``df`` pass through; one of the same name as an added column
@@ -65,11 +78,14 @@ def with_columns(df: DataFrame, added: T.StructType, fn, drop: tuple[str, ...] =
     def run(batches):
         import pyarrow as pa
 
+        tidy()
         for b in batches:
             if b.num_rows == 0:
                 continue
             got = fn(b)
             yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [got[n] for n in order], names + order)
+            del got, b
+        tidy()
 
     return df.mapInArrow(run, schema)
 

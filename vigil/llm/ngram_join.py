@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm import repeats
 from vigil.llm.buckets import bucketed
-from vigil.llm.common import staged
+from vigil.llm.common import staged, tidy
 from vigil.llm.components import components
 from vigil.llm.words import mix, slices
 
@@ -69,7 +69,9 @@ def document_sets(docs: DataFrame, text: str = "text", row_id: str = "doc_id", n
     sketch = repeats.Sketch.for_items(max(1, total // 5), depth)
 
     def first(key, table):
-        return repeats.ask(sketch, key[0].as_py(), _sets(table, n)[1])
+        out = repeats.ask(sketch, key[0].as_py(), _sets(table, n)[1])
+        tidy()
+        return out
 
     def second(key, table, answers):
         import numpy as np
@@ -90,6 +92,8 @@ def document_sets(docs: DataFrame, text: str = "text", row_id: str = "doc_id", n
         ends = np.searchsorted(row, np.arange(many + 1))
         enough = (100 * np.diff(ends) >= percent * sizes) & (sizes > 0)
         blobs = [rank[ends[k]:ends[k + 1]].tobytes() if enough[k] else None for k in range(many)]
+        del h, est, hot, rank, row, order
+        tidy()
         return pa.table([table.column("id"), table.column("text_hash"), pa.array(sizes), pa.array(sums.view(np.int64)), pa.array(blobs, pa.binary())],
                         names=["id", "text_hash", "n_shingles", "class", "shared"])
 
