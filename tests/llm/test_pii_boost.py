@@ -172,3 +172,29 @@ def test_trees_learn_an_interaction():
     y = (x[:, 0] > 0.5) ^ (x[:, 3] > 0.3)
     p = fit_trees(x[:2000], y[:2000]).probability(x[2000:])
     assert ((p > 0.5) == y[2000:]).mean() > 0.95
+
+
+def test_every_candidate_is_fitted_and_calibrated(spark, caplog):
+    rows = _rows(random.Random(1))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen = {(y, f"{g} {e - s} {min(s, 24)} {t[max(0, s - 24):e + 12]}") for _, t in rows for found in [P.candidates(t)]
+            for (s, e, g), y in zip(found, P._labels(t, found), strict=True)}
+    models = P.fit(df, sample_candidates=15)  # a weight, and no bound: of 15 a label, no half would hold enough examples
+    assert "secret" in models and f"{len(seen)} candidates in all" in caplog.text
+    found = {r.doc_id: r.redacted_text for r in P.detect(df, models).collect()}
+    assert sum(found[i] == t for i, t in rows if i % 6 in (2, 4)) <= 5 and all(found[i] == t for i, t in rows if i % 6 == 5)
+
+
+def test_trees_summed_by_jobs_equal_those_summed_here(spark):
+    df = spark.createDataFrame(_rows(random.Random(1), 600), "doc_id long, text string").repartition(5)
+    plain = lambda models: {k: (t.base, *([x.tolist() for x in y] for y in (t.features, t.thresholds, t.leaves)), at) for k, (t, at) in models.items()}
+    a = plain(P.fit(df, rounds=9))
+    assert "secret" in a and plain(P.fit(df.repartition(3), rounds=9, local_rows=0)) == a
+
+
+def test_a_part_of_a_labelled_candidate():
+    t = 'password=732881584d8c4fa2815d2802 and 732881584 x'
+    found = P.candidates(t)
+    got = {(t[s:e], s): y for (s, e, _), y in zip(found, P._labels(t, found), strict=True)}
+    assert got[("732881584", 9)] == P.PART and got[("732881584d8c4fa2815d2802", 9)] == 1 + P.KINDS.index("secret")
+    assert got[("732881584", t.rindex("732881584"))] == 0

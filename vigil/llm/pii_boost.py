@@ -5,18 +5,20 @@ always kept. Generators propose further, overlapping spans: around every digit
 and every ``@`` address-like words, number runs, dotted numbers and long tokens; and
 assigned values, quoted words, addresses with "at" written out, IPv6 forms and runs of 20 capitals. Each candidate gets format features (lengths,
 character classes, groups, entropy) and context features (the characters and key
-words around it). One boosted tree model per kind is fitted on a bounded
-sample of candidates with labels by rule: a candidate that is a base span has
+words around it). One boosted tree model per kind is fitted on the distinct
+candidates of all rows with labels by rule: a candidate that is a base span has
 its kind; one with the form of an access key, a value assigned to a secret's name
 (quoted or after ``=`` of any form, else with a digit or symbol) or a mixed token assigned to
 a weaker name is a ``secret``; a near form that follows a key word of its kind (or is plain by
-itself: "[at]", IPv6) has that kind; others are none. Half of the sample fits the
-trees, the other half calibrates a threshold per kind, the lowest of at least
-0.5 that reaches ``PRECISION`` there (no threshold, no span). Accepted candidates that touch no
+itself: "[at]", IPv6) has that kind; others are none. One of none inside one of a kind is a
+part: the fit takes it as an example against every kind, the calibration as neither right nor wrong,
+as of overlapping spans the better is taken anyway. All of them fit the trees. Each half (by hash) is
+also scored by trees of the other half alone, which gives a threshold per kind, the lowest of at least
+0.5 that reaches ``PRECISION`` over both (no threshold, no span). Accepted candidates that touch no
 base span and no better candidate are added.
 
 Defined cases: null is an empty text without spans; without any candidate
-in the sample only base spans are found; repeated rows give the same spans.
+in any row only base spans are found; repeated rows give the same spans.
 Offsets are code points, ends exclusive. Columns named like an added one are
 replaced.
 """
@@ -32,15 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.boosting import Boosted
-from vigil.llm.boosting import fit as fit_trees
+from vigil.llm.boosting import BINS, Boosted, LocalSums, SparkSums, grow, whole_scale
 from vigil.llm.common import cached, staged, with_columns
 
-#: Bound of the sample, which is drawn from all rows: distinct candidates of each label (a kind, or none).
-SAMPLE_CANDIDATES = 10_000
+#: What a label (a kind, or none) weighs in the fit at most, in candidates; all of them take part, each for less.
+LABEL_WEIGHT = 10_000
+#: Distinct binned candidates up to which the driver sums gradients itself; more are summed by Spark jobs, with the same trees.
+LOCAL_ROWS = 65_536
 #: Least precision of the calibration half, and least examples of a kind in either half.
 PRECISION, LEAST = 0.99, 10
-HASHES = 1 << 40
 LOG = logging.getLogger(__name__)
 
 # The kinds in their order, and the patterns and limits of the base spans.
@@ -75,6 +77,9 @@ _PLACEHOLDER = re.compile(r"%[a-z(]|\$[\w{(]|\{|<|[A-Za-z_]+(?:(?:\.|::|->)[A-Za
 _DATE = re.compile(r"(?:[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:[0-9]{2}|[0-9]{4}))\Z")
 _NONE = frozenset(("null", "none", "nil", "true", "false", "undefined"))
 
+#: The label of a candidate of no kind inside one of a kind.
+PART = 1 + len(KINDS)
+
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
                      T.StructField("base", T.BooleanType()), T.StructField("score", T.DoubleType())])
 ADDED = T.StructType([T.StructField("pii_spans", T.ArrayType(SPAN)), T.StructField("redacted_text", T.StringType())])
@@ -225,91 +230,190 @@ def rule_kind(text: str, s: int, e: int, base: dict[tuple[int, int], str]) -> in
     return 1 + KINDS.index("phone") if phone and 7 <= digits <= 15 and _NUMBER.fullmatch(x) and not _DATE.match(x.strip()) else 0
 
 
-def fit(docs: DataFrame, text: str = "text", sample_candidates: int = SAMPLE_CANDIDATES) -> dict:
-    """kind -> (trees, threshold). Every row is scanned; of each label the distinct candidates (with the text around
-    them) of the lowest hashes are the sample. A kind that gets no model is logged as a warning."""
+def _codes(x):
+    """Ascending 16-bit codes of features (none is negative): single precision cut to 8 significant bits."""
     import numpy as np
 
-    def propose(batches):
-        import heapq
-        from hashlib import blake2b
+    return (np.abs(np.asarray(x, dtype="<f4")).view("<u4") >> 16).astype("<u2")
 
-        import pyarrow as pa
 
-        held: dict[int, dict[int, bytes]] = {}
-        bound: dict[int, int] = {}
+def _lowest(codes):
+    """The least feature value of each code."""
+    import numpy as np
 
-        def lowest(y):
-            keep = heapq.nsmallest(sample_candidates + 1, held[y])
-            held[y] = {h: held[y][h] for h in keep}
-            bound[y] = keep[-1]
+    return (np.asarray(codes).astype("<u4") << 16).view("<f4").astype(float)
 
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                if not t:
-                    continue
-                found = candidates(t)
-                base = {(s, e): k for k, s, e in base_spans(t)} if found else {}
-                for s, e, gen in found:
-                    y = rule_kind(t, s, e, base)
-                    around = f"{gen} {e - s} {min(s, 24)} {t[max(0, s - 24):e + 12]}"
-                    h = int.from_bytes(blake2b(around.encode("utf-8", "surrogatepass"), digest_size=5).digest(), "big")
-                    mine = held.setdefault(y, {})
-                    if h in mine or h > bound.get(y, HASHES):
-                        continue
-                    mine[h] = np.array(features(t, s, e, gen), dtype="<f8").tobytes()
-                    if len(mine) > 2 * sample_candidates + 2:
-                        lowest(y)
-        for y in held:
-            if len(held[y]) > sample_candidates:
-                lowest(y)
-            for at in range(0, len(held[y]), 4096):
-                part = list(held[y].items())[at:at + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array([y] * len(part), pa.int32()), pa.array([h for h, _ in part], pa.int64()),
-                                                  pa.array([x for _, x in part], pa.binary())], ["y", "h", "x"])
-
-    # a band is an eighth of a doubling of the hash, so the bands up to the cut hold little more than the sample
-    near = staged(docs.select(text).mapInArrow(propose, "y int, h bigint, x binary").groupBy("y", "h").agg(F.min("x").alias("x"))
-                  .withColumn("band", F.floor(8 * F.log2(F.col("h") + 1)).cast("int")))
-    bands: dict[int, list] = {}
-    for r in near.groupBy("y", "band").agg(F.count(F.lit(1)).alias("n")).collect():  # some 320 per label
-        bands.setdefault(r.y, []).append((r.band, r.n))
-    models, xs, ys, hs, ws = {}, [], [], [], []
-    for y, counts in sorted(bands.items()):
-        cut = total = 0
-        for band, n in sorted(counts):
-            cut, total = band, total + n
-            if total > sample_candidates:
-                break
-        got = near.where((F.col("y") == y) & (F.col("band") <= cut)).select("h", "x").collect()  # bounded
-        got.sort(key=lambda r: r.h)
-        # each stands for its share of the hashes: a cut label's candidates for more than one
-        weight = HASHES / (got[sample_candidates].h + 1) if len(got) > sample_candidates else 1.0
-        for r in got[:sample_candidates]:
-            xs.append(np.frombuffer(r.x, "<f8"))
-            ys.append(y)
-            hs.append(r.h)
-            ws.append(weight)
-    x, y, test, w = np.array(xs), np.array(ys, dtype=int), np.array(hs, dtype=np.int64) % 2 == 1, np.array(ws)
-    for k, kind in enumerate(KINDS, start=1):
-        right = y == k
-        if min((right & ~test).sum(), (right & test).sum()) < LEAST or right[~test].all():
-            why = "too few or no other examples"
+
+def _labels(text: str, found) -> list[int]:
+    """The labels of a text's candidates (by start)."""
+    from bisect import bisect_right
+    from itertools import accumulate
+
+    base = {(s, e): k for k, s, e in base_spans(text)} if found else {}
+    labels = [rule_kind(text, s, e, base) for s, e, _ in found]
+    starts = [s for (s, _, _), y in zip(found, labels, strict=True) if y]
+    ends = list(accumulate((e for (_, e, _), y in zip(found, labels, strict=True) if y), max))
+    for i, (s, e, _) in enumerate(found):
+        at = bisect_right(starts, s) if not labels[i] else 0
+        if at and ends[at - 1] >= e:
+            labels[i] = PART
+    return labels
+
+
+def _propose(batches):
+    """Every candidate: its label, a hash of its form with the text around it, and its features' codes."""
+    from hashlib import blake2b
+
+    import numpy as np
+    import pyarrow as pa
+
+    def rows(ys, hs, xs):
+        return pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(hs, pa.int64()), pa.array([c.tobytes() for c in _codes(np.array(xs))], pa.binary())], ["y", "h", "x"])
+
+    out: tuple[list, list, list] = ([], [], [])
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
+            found = candidates(t) if t else ()
+            for (s, e, gen), y in zip(found, _labels(t, found), strict=True):
+                around = f"{gen} {e - s} {min(s, 24)} {t[max(0, s - 24):e + 12]}"
+                h = int.from_bytes(blake2b(around.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+                for column, value in zip(out, (y, h, features(t, s, e, gen)), strict=True):
+                    column.append(value)
+                if len(out[0]) == 4096:
+                    yield rows(*out)
+                    out = ([], [], [])
+    if out[0]:
+        yield rows(*out)
+
+
+def _matrix(column, kind: str):
+    import numpy as np
+
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _histogram(batches):
+    """How often each (label, feature, code) occurs: key = (label * 256 + feature) * 65536 + code."""
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        if b.num_rows:
+            x = _matrix(b.column("x"), "<u2").astype(np.int64)
+            key, n = np.unique((b.column("y").to_numpy()[:, None].astype(np.int64) * 256 + np.arange(x.shape[1])) * 65536 + x, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
+
+def _cuts(codes, weights) -> list:
+    """Up to BINS - 1 of the ascending codes: the weighted quantiles, without the greatest code."""
+    import numpy as np
+
+    total = np.cumsum(weights)
+    at = np.searchsorted(total, total[-1] * np.arange(1, BINS) / BINS)
+    return [int(c) for c in np.unique(codes[np.minimum(at, len(codes) - 1)]) if c < codes[-1]]
+
+
+def fit(docs: DataFrame, text: str = "text", sample_candidates: int = LABEL_WEIGHT, local_rows: int = LOCAL_ROWS, rounds: int = 40) -> dict:
+    """kind -> (trees, threshold), from the distinct candidates (with the text around them) of all rows. A label with
+    more than ``sample_candidates`` of them weighs no more than so many when trees are fitted; each is used, and the
+    thresholds count each fully. A kind with too few examples, or no precise threshold, is logged as a warning.
+
+    Spark finds and counts the candidates, the features' quantiles, the distinct binned candidates, the trees' sums
+    and the precision at each score; the driver holds sums, and binned candidates only up to ``local_rows``."""
+    import numpy as np
+
+    near = staged(docs.select(text).mapInArrow(_propose, "y int, h bigint, x binary").groupBy("y", "h").agg(F.min("x").alias("x")))
+    near = near.withColumn("odd", F.col("h").bitwiseAND(1) == 1)
+    sizes = {(r.y, r.odd): r.n for r in near.groupBy("y", "odd").agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = lambda y, half: sizes.get((y, half), 0)
+    whole = {half: sum(n for (_, h), n in sizes.items() if h == half) for half in (False, True)}
+    models: dict = {}
+    why = {k: "too few or no other examples" for k in range(1, PART) if any(size(k, half) < LEAST or size(k, half) == whole[half] for half in whole)}
+    kinds = [k for k in range(1, PART) if k not in why]
+    if kinds:
+        weights = {y: min(1.0, sample_candidates / (size(y, False) + size(y, True))) for y, _ in sizes}
+        found = near.mapInArrow(_histogram, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()
+        key, n = found["key"].to_numpy(), found["n"].to_numpy()
+        label, feature, code = key >> 24, (key >> 16) & 255, key & 65535
+        weigh = n * np.array([weights[int(y)] for y in label])
+        cuts = []
+        for j in range(int(feature.max()) + 1):
+            here = feature == j
+            codes, of = np.unique(code[here], return_inverse=True)
+            cuts.append(_cuts(codes, np.bincount(of, weigh[here])))
+
+        def binned(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                if b.num_rows:
+                    x = _matrix(b.column("x"), "<u2")
+                    v = np.stack([np.searchsorted(c, x[:, j]) for j, c in enumerate(cuts)], axis=1).astype(np.uint8)
+                    yield pa.RecordBatch.from_arrays([b.column("y"), b.column("odd"), pa.array([r.tobytes() for r in v], pa.binary())], ["y", "odd", "v"])
+
+        rows = staged(near.select("y", "odd", "x").mapInArrow(binned, "y int, odd boolean, v binary").groupBy("y", "odd", "v").agg(F.count(F.lit(1)).alias("n")))
+        classes = [(k, half) for half in (None, False, True) for k in kinds]  # of all rows, and of each half
+
+        def rights(t):
+            y, half = t["y"].to_numpy(), t["odd"].to_numpy()
+            w = t["n"].to_numpy() * np.array([weights[int(k)] for k in y])
+            return np.stack([y == k for k, _ in classes], axis=1), np.stack([w if h is None else w * (half == h) for _, h in classes], axis=1)
+
+        total = {half: sum(n * weights[y] for (y, h), n in sizes.items() if h == half) for half in (False, True)}
+        total[None] = total[False] + total[True]
+        share = lambda k, half: sum(size(k, h) for h in (False, True) if half in (None, h)) * weights[k] / total[half]
+        scale = whole_scale(total[None])
+        if rows.count() <= local_rows:
+            t = rows.toArrow()
+            sums = LocalSums(_matrix(t["v"], "u1"), *rights(t), scale)
         else:
-            trees = fit_trees(x[~test], right[~test])
-            p = trees.probability(x[test])
-            order = np.argsort(-p, kind="stable")
-            precision = np.cumsum((w * right)[test][order]) / np.cumsum(w[test][order])
-            last = np.flatnonzero((precision >= PRECISION) & (p[order] >= 0.5) & (np.diff(p[order], append=-1) < 0))  # never between equal scores
-            if len(last):
-                models[kind] = (trees, float(p[order][last[-1]]))
-                continue
-            why = f"no threshold reaches precision {PRECISION}"
-        LOG.warning("no model for kind %s, only base spans of it are found: %s (%d examples to fit, %d to calibrate, %d candidates in all)",
-                    kind, why, (right & ~test).sum(), (right & test).sum(), len(y))
+            sums = SparkSums(rows, rights, len(classes), scale, staged)
+        above = [np.nextafter(_lowest(np.array(c, dtype=np.int64) + 1), -np.inf) for c in cuts]  # the greatest value of each cut's code
+        trees = dict(zip(classes, grow(sums, np.array([share(*c) for c in classes]), above, scale, rounds), strict=True))
+        models, failed = _calibrated(near, kinds, trees)
+        why |= failed
+    for k, reason in sorted(why.items()):
+        LOG.warning("no model for kind %s, only base spans of it are found: %s (%d examples in one half, %d in the other, %d candidates in all)",
+                    KINDS[k - 1], reason, size(k, False), size(k, True), sum(sizes.values()))
     return models
 
 
+def _calibrated(near: DataFrame, kinds: list[int], trees: dict) -> tuple[dict, dict]:
+    """kind -> (trees of all rows, threshold), and the kinds for which no threshold reaches the precision. Each row is
+    scored by the trees of the half that it is not in. Thresholds lie on a grid of scores: a 64th of the log odds
+    apart, from even odds on."""
+    import numpy as np
+
+    grid = 1 / (1 + np.exp(-np.arange(0, 40 * 64 + 1) / 64))
+    plain = {c: (t.base, t.features, t.thresholds, t.leaves) for c, t in trees.items() if c[1] is not None}
+
+    def scored(batches):
+        import pyarrow as pa
+
+        models = {c: Boosted(*t) for c, t in plain.items()}
+        for b in batches:
+            x, labels, halves = _lowest(_matrix(b.column("x"), "<u2")) if b.num_rows else (), b.column("y").to_numpy(), b.column("odd").to_numpy(zero_copy_only=False)
+            for (k, half), model in models.items():
+                of = np.flatnonzero((halves != half) & (labels != PART))
+                if len(of):
+                    cell = np.searchsorted(grid, model.probability(x[of]), side="right") - 1
+                    key, n = np.unique((cell * 2 + (labels[of] == k))[cell >= 0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(key), pa.int32()), pa.array(key), pa.array(n)], ["kind", "key", "n"])
+
+    counts = np.zeros((1 + len(KINDS), len(grid), 2), dtype=np.int64)
+    for r in near.select("y", "odd", "x").mapInArrow(scored, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect():  # bounded by the grid
+        counts[r.kind, r.key // 2, r.key % 2] = r.n
+    models, failed = {}, {}
+    for k in kinds:
+        reached = np.cumsum(counts[k][::-1], axis=0)[::-1]  # at this score or more
+        held = np.flatnonzero((counts[k].sum(axis=1) > 0) & (reached[:, 1] >= PRECISION * reached.sum(axis=1)))
+        if len(held):
+            models[KINDS[k - 1]] = (trees[k, None], float(grid[held[0]]))
+        else:
+            failed[k] = f"no threshold reaches precision {PRECISION}"
+    return models, failed
+
+
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     """Each run of overlapping spans becomes one ``[KIND]``, of its first span."""
     out, at = [], 0
@@ -335,7 +439,7 @@ def detect(docs: DataFrame, models: dict, text: str = "text") -> DataFrame:
         found = [(k, s, e, features(t, s, e, gen)) for k, t in enumerate(texts) if t and m for s, e, gen in candidates(t)]
         extra: dict[int, list] = {}
         if found:
-            x = np.array([f[3] for f in found], dtype=float)
+            x = _lowest(_codes([f[3] for f in found]))
             score = {kind: trees.probability(x) for kind, (trees, _) in m.items()}
             for i, (k, s, e, _) in enumerate(found):
                 kind = max((c for c in score if score[c][i] >= m[c][1]), key=lambda c: score[c][i], default=None)
