@@ -13,7 +13,7 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,8 +189,9 @@ def _admission_fold(cap_micro: int):
             for key, lo, hi, begins in _runs(pdf, ["day", "blk"], key):
                 spend = cap_micro - int(left[lo]) if begins else spend
                 allowed[lo:hi], before[lo:hi], spend = _fold_tail(est[lo:hi], act[lo:hi], spend, cap_micro)
-            yield pd.DataFrame({"request_id": pdf["request_id"].values, "ts": pdf["ts"].values, "day": pdf["day"].values, "act_micro": act,
+            out = pd.DataFrame({"request_id": pdf["request_id"].values, "ts": pdf["ts"].values, "day": pdf["day"].values, "act_micro": act,
                                 "allowed": allowed, "spend_before_micro": before})
+            yield out[pdf["ts"].notna().values]  # without the rows that only bring what is left
     return fold
 
 
@@ -239,7 +240,12 @@ def admission(requests: DataFrame, daily_cap: str | Decimal) -> DataFrame:
              .mapInPandas(_block_steps(cap_micro), "day date, blk bigint, left bigint, bounds array<bigint>, spent array<bigint>"))
     left = (steps.repartition("day").sortWithinPartitions("day", "blk")
             .mapInPandas(_compose_steps, "day date, blk bigint, left bigint"))
-    folded = (able.drop("start_micro").join(left, ["day", "blk"]).repartition("day", "blk").sortWithinPartitions("day", "blk", "ts", "request_id")
+    # what is left leads its block as a row without a time; a join here would be planned with the block's own shuffle, which
+    # adaptive execution then reads by the piece (local reads, skew), and each piece of a block would begin with all that is left
+    zero = F.lit(0).cast("bigint")
+    leads = left.select("day", "blk", F.lit(None).cast(schema["ts"].dataType).alias("ts"), F.lit(0).cast(schema["request_id"].dataType).alias("request_id"),
+                        zero.alias("est_micro"), zero.alias("act_micro"), "left")
+    folded = (able.drop("start_micro").withColumn("left", zero).unionByName(leads).repartition("day", "blk").sortWithinPartitions("day", "blk", "ts", "request_id")
               .mapInPandas(_admission_fold(cap_micro), schema))
     folded = cut_lineage(folded)  # Python state over a day: not to be computed once per branch
     # a row that never fits sees the start's spend and what the fold admitted before it, a prefix sum over minutes
@@ -249,11 +255,89 @@ def admission(requests: DataFrame, daily_cap: str | Decimal) -> DataFrame:
     denied = seen.join(starts, "day").select("request_id", F.lit(False).alias("allowed"),
                                              (F.col("start_micro") + F.col("more")).alias("spend_before_micro"))
     out = sure.unionByName(folded.select("request_id", "allowed", "spend_before_micro")).unionByName(denied)
+    return _told(out, cap)
+
+
+def _told(out: DataFrame, cap: Decimal, *carry: str) -> DataFrame:
+    """(request_id, allowed, spend_before, reason) of decided rows."""
     spend = (F.col("spend_before_micro").cast("decimal(38,0)") * F.lit(Decimal("0.000001"))).cast(MONEY)
     before_text, after_text = DAILY_CAP_REASON.format(cap=_py_float(cap), current="\0").split("\0")
     reason = F.when(~F.col("allowed"), F.concat(
         F.lit(before_text), F.format_string("%.2f", F.round(spend, 2).cast("double")), F.lit(after_text)))
-    return out.select("request_id", "allowed", spend.alias("spend_before"), reason.alias("reason"))
+    return out.select("request_id", "allowed", spend.alias("spend_before"), reason.alias("reason"), *carry)
+
+
+def micro(money: Column) -> Column:
+    return (money * SCALE).cast("bigint")
+
+
+#: Spending rows a day from where the cap can bind that ``bounds`` folds, in one task a day: by then little is left.
+HEAD = 1000
+
+
+def _head_left(cap_micro: int):
+    """Folds each day's head: (day, time of its last row, what is left after it) of the days whose head is full."""
+    def fold(batches):
+        day, spend, n, until = None, 0, 0, None
+
+        def closed():
+            return [(day, until, cap_micro - spend)] if day is not None and n >= HEAD else []
+
+        for pdf in batches:
+            out = []
+            est, act, start = (pdf[c].values.astype(np.int64) for c in ("est_micro", "act_micro", "start_micro"))
+            for (k,), lo, hi, begins in _runs(pdf, ["day"], (day,)):
+                if begins:
+                    out += closed()
+                    day, spend, n = k, int(start[lo]), 0
+                spend = _fold_tail(est[lo:hi], act[lo:hi], spend, cap_micro)[2]
+                n, until = n + hi - lo, pdf["ts"].iloc[hi - 1]
+            yield pd.DataFrame(out, columns=["day", "until", "left"])
+        yield pd.DataFrame(closed(), columns=["day", "until", "left"])
+
+    return fold
+
+
+def bounds(requests: DataFrame, daily_cap: str | Decimal) -> DataFrame:
+    """A guess of which requests the cap can admit at all, from requests as ``admission`` takes them: (day, until,
+    most) of the days that have many more than it can. Those after ``until`` whose estimate is more than ``most``
+    micro-dollars are taken for denied; ``denied_unless`` checks that, once the others are decided.
+
+    A day's spend is followed by minute totals to where the cap can bind, and from there by a fold of at most ``HEAD``
+    spending rows (more at equal times), so nothing here grows with a day but aggregates and one partial sort."""
+    cap_micro = int(Decimal(str(daily_cap)) * SCALE)
+    d = requests.select("request_id", "ts", F.to_date("ts").alias("day"), _minute().alias("minute"), micro(F.col("estimated_cost")).alias("est_micro"),
+                        micro(F.coalesce(F.col("actual_cost"), F.lit(0))).alias("act_micro"))
+    days = d.groupBy("day").agg(F.max("est_micro").alias("emax"), F.percentile_approx("est_micro", 0.05).alias("cheap"))
+    w = Window.partitionBy("day").orderBy("minute")  # minutes, not requests
+    spent = d.groupBy("day", "minute").agg(F.sum("act_micro").alias("act_micro")).withColumn("end", F.sum("act_micro").over(w))
+    starts = (spent.join(days, "day").where(F.col("end") + F.col("emax") > cap_micro)
+              .groupBy("day", "cheap").agg(F.min("minute").alias("from"), F.min_by(F.col("end") - F.col("act_micro"), "minute").alias("start_micro")))
+    starts = cut_lineage(starts)  # one row per day
+    able = (d.where("act_micro > 0").join(starts.drop("cheap"), "day")
+            .where((F.col("minute") >= F.col("from")) & (F.col("est_micro") + F.col("start_micro") <= cap_micro)))
+    head = able.withColumn("nth", F.rank().over(Window.partitionBy("day").orderBy("ts", "request_id"))).where(F.col("nth") <= HEAD)
+    schema = T.StructType([T.StructField("day", T.DateType()), T.StructField("until", requests.schema["ts"].dataType), T.StructField("left", T.LongType())])
+    left = (head.select("day", "ts", "request_id", "est_micro", "act_micro", "start_micro")
+            .repartition("day").sortWithinPartitions("day", "ts", "request_id").mapInPandas(_head_left(cap_micro), schema))
+    return left.join(starts, "day").select("day", "until", F.greatest(F.col("left") * 2, "cheap").alias("most"))
+
+
+def may_pass(bounds: DataFrame, requests: DataFrame) -> DataFrame:
+    """``requests`` with their day and ``may``: whether ``bounds`` leaves it open that they are admitted."""
+    d = requests.withColumn("day", F.to_date("ts")).join(F.broadcast(bounds), "day", "left")  # a row a day
+    return d.withColumn("may", F.coalesce(F.col("until").isNull() | (F.col("ts") <= F.col("until")) | (micro(F.col("estimated_cost")) <= F.col("most")), F.lit(True))).drop("until", "most")
+
+
+def denied_unless(rest: DataFrame, spends: DataFrame, daily_cap: str | Decimal) -> DataFrame:
+    """Decides requests that spend nothing, after those that do: (request_id, allowed, spend_before, reason, day,
+    est_micro) of ``rest`` (request_id, ts, estimated_cost) by the ``spends`` (request_id, ts, actual_cost) before each."""
+    cap = Decimal(str(daily_cap))
+    none = F.lit(None).cast("bigint")
+    asks = rest.select(F.to_date("ts").alias("day"), "ts", "request_id", micro(F.col("estimated_cost")).alias("est_micro"), F.lit(0).cast("bigint").alias("act_micro"), F.lit(True).alias("ask"))
+    steps = spends.select(F.to_date("ts").alias("day"), "ts", "request_id", none.alias("est_micro"), micro(F.col("actual_cost")).alias("act_micro"), F.lit(False).alias("ask"))
+    seen = running_sum(asks.unionByName(steps), ["day"], ["ts", "request_id"], {"act_micro": "spend_before_micro"}, block=_minute(), inclusive=False).where("ask")
+    return _told(seen.withColumn("allowed", F.col("est_micro") + F.col("spend_before_micro") <= int(cap * SCALE)), cap, "day", "est_micro")
 
 
 def _py_float(x: Decimal) -> str:

@@ -23,6 +23,11 @@ cap decisions, the cap is decided again with the resulting spend, until no
 decision changes. Every round makes at least the first wrong decision in time
 right; it never stops early. After the first, a round replays only the keys in
 which a decision turned, and decides only the days whose spend that changed.
+On a day with far more requests than its cap pays for, nearly all are denied,
+and these neither hit, store nor spend: a guess (``budget.bounds``) sets them
+apart, the rounds settle the others, and one prefix sum of what those spend
+shows that every row set apart is denied, and the spend it saw. Rows for which
+it does not hold join the rounds, so the result does not rest on the guess.
 Rounds work on slim tables in the shared folder.
 """
 
@@ -98,34 +103,64 @@ def _cap_and_cache(reach: DataFrame, p) -> DataFrame:
         return cache.replay(rows, int(p["cache_ttl"]), answered_ok=F.col("answer_ok") & F.col("cap_ok"),
                             carry=[*base, "cap_ok", *carry]).withColumnRenamed("entry_stored_at", "stored_at")
 
-    def decided(rows: DataFrame) -> DataFrame:
+    def with_spend(rows: DataFrame) -> DataFrame:
         spend = F.when(~F.col("cache_hit") & F.col("answer_ok"), F.col("full_cost"))
-        asked = rows.select("request_id", "ts", "estimated_cost", F.coalesce(spend, F.lit(0)).alias("actual_cost"))
-        return budget.admission(asked, cap).select("request_id", F.col("allowed").alias("new_ok"), F.col("reason").alias("new_reason"))
+        return rows.withColumn("actual_cost", F.coalesce(spend, F.lit(0)))
+
+    def asked(rows: DataFrame) -> DataFrame:
+        return with_spend(rows).select("request_id", "ts", "estimated_cost", "actual_cost")
+
+    def decided(rows: DataFrame) -> DataFrame:
+        return budget.admission(asked(rows), cap).select("request_id", F.col("allowed").alias("new_ok"), F.col("reason").alias("new_reason"))
+
+    def settled(seen: DataFrame) -> DataFrame:
+        """Cap and cache decided to their fixed point over rows that were looked up with ``cap_ok`` true."""
+        now = seen.join(decided(seen), "request_id")
+        while caching:
+            now = cut_lineage(now)
+            turned = cut_lineage(now.where(F.col("new_ok") != F.col("cap_ok")).select("cache_key").distinct())
+            if turned.limit(1).count() == 0:
+                break
+            # only keys in which a decision turned are replayed, and only days whose spend that changed are decided again
+            redo = now.join(turned, "cache_key", "left_semi").withColumn("cap_ok", F.col("new_ok")).withColumnRenamed("cache_hit", "was_hit").drop("stored_at")
+            redo = cut_lineage(looked_up(redo, "new_ok", "new_reason", "was_hit"))
+            days = redo.where((F.col("cache_hit") != F.col("was_hit")) & F.col("answer_ok")).select(F.to_date("ts").alias("day")).distinct()
+            merged = now.join(turned, "cache_key", "left_anti").unionByName(redo.drop("was_hit"))
+            days = cut_lineage(days)
+            again = decided(cut_lineage(merged.withColumn("day", F.to_date("ts")).join(days, "day", "left_semi")))
+            again = again.select("request_id", F.struct("new_ok", "new_reason").alias("again"))
+            now = merged.join(again, "request_id", "left").select(
+                *[c for c in merged.columns if c not in ("new_ok", "new_reason")],
+                F.when(F.col("again").isNotNull(), F.col("again.new_ok")).otherwise(F.col("new_ok")).alias("new_ok"),
+                F.when(F.col("again").isNotNull(), F.col("again.new_reason")).otherwise(F.col("new_reason")).alias("new_reason"))
+        return now
+
+    def told(now: DataFrame) -> DataFrame:
+        return now.select("request_id", F.col("new_ok").alias("cap_ok"), F.col("new_reason").alias("cap_reason"), "cache_hit", "stored_at")
 
     seen = looked_up(reach.withColumn("cap_ok", F.lit(True)))
     if cap is None:
         return seen.withColumn("cap_reason", F.lit(None).cast("string"))
     seen = cut_lineage(seen)  # read by the cap and by the join
-    now = seen.join(decided(seen), "request_id")
-    while caching:
-        now = cut_lineage(now)
-        turned = cut_lineage(now.where(F.col("new_ok") != F.col("cap_ok")).select("cache_key").distinct())
-        if turned.limit(1).count() == 0:
-            break
-        # only keys in which a decision turned are replayed, and only days whose spend that changed are decided again
-        redo = now.join(turned, "cache_key", "left_semi").withColumn("cap_ok", F.col("new_ok")).withColumnRenamed("cache_hit", "was_hit").drop("stored_at")
-        redo = cut_lineage(looked_up(redo, "new_ok", "new_reason", "was_hit"))
-        days = redo.where((F.col("cache_hit") != F.col("was_hit")) & F.col("answer_ok")).select(F.to_date("ts").alias("day")).distinct()
-        merged = now.join(turned, "cache_key", "left_anti").unionByName(redo.drop("was_hit"))
-        days = cut_lineage(days)
-        again = decided(cut_lineage(merged.withColumn("day", F.to_date("ts")).join(days, "day", "left_semi")))
-        again = again.select("request_id", F.struct("new_ok", "new_reason").alias("again"))
-        now = merged.join(again, "request_id", "left").select(
-            *[c for c in merged.columns if c not in ("new_ok", "new_reason")],
-            F.when(F.col("again").isNotNull(), F.col("again.new_ok")).otherwise(F.col("new_ok")).alias("new_ok"),
-            F.when(F.col("again").isNotNull(), F.col("again.new_reason")).otherwise(F.col("new_reason")).alias("new_reason"))
-    return now.select("request_id", F.col("new_ok").alias("cap_ok"), F.col("new_reason").alias("cap_reason"), "cache_hit", "stored_at")
+    if not caching:
+        return told(settled(seen))
+    bounds = cut_lineage(budget.bounds(asked(seen), cap))
+    while bounds.limit(1).count():
+        # rows that the cap is taken to deny neither hit, store nor spend: the others are settled without them ...
+        rows = budget.may_pass(bounds, seen.select("request_id", "cache_key", "ts", *base))
+        now = cut_lineage(with_spend(settled(cut_lineage(looked_up(rows.where("may").drop("day", "may").withColumn("cap_ok", F.lit(True)))))))
+        spends = now.where("new_ok AND actual_cost > 0").select("request_id", "ts", "actual_cost")
+        # ... and it holds if they are denied by what those spend; else they take part too
+        rest = rows.where(~F.col("may")).select("request_id", "ts", "estimated_cost")
+        rest = cut_lineage(budget.denied_unless(rest, spends, cap))
+        wrong = cut_lineage(rest.where("allowed").groupBy("day").agg(F.max("est_micro").alias("found")))
+        if wrong.limit(1).count() == 0:
+            rest = rest.select("request_id", F.col("allowed").alias("cap_ok"), F.col("reason").alias("cap_reason"),
+                               F.lit(False).alias("cache_hit"), F.lit(None).cast(now.schema["stored_at"].dataType).alias("stored_at"))
+            return told(now).unionByName(rest)
+        more = F.when(F.col("found").isNotNull(), F.greatest(F.col("found"), F.col("most") * 2)).otherwise(F.col("most"))
+        bounds = cut_lineage(bounds.join(wrong, "day", "left").select("day", "until", more.alias("most")))
+    return told(settled(seen))
 
 
 def govern(requests: DataFrame, policy_settings: DataFrame, pricing: DataFrame | None = None) -> DataFrame:
